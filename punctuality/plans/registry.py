@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from punctuality.plans import analytics, collection
+from punctuality.plans import analytics, boards, collection
 
 
 def queries() -> dict:
-    return {**analytics.QUERIES, **collection.QUERIES}
+    return {**analytics.QUERIES, **collection.QUERIES, **boards.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**analytics.ORACLE, **collection.ORACLE}
+    return {**analytics.ORACLE, **collection.ORACLE, **boards.ORACLE}
