@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from punctuality.plans import analytics, boards, collection
+from punctuality.plans import analytics, boards, collection, streams
 
 
 def queries() -> dict:
-    return {**analytics.QUERIES, **collection.QUERIES, **boards.QUERIES}
+    return {**analytics.QUERIES, **collection.QUERIES, **boards.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**analytics.ORACLE, **collection.ORACLE, **boards.ORACLE}
+    return {**analytics.ORACLE, **collection.ORACLE, **boards.ORACLE, **streams.ORACLE}

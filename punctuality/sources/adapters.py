@@ -78,7 +78,11 @@ ROUTES_SQL = "routes(position, origin_iata, destination_iata) AS (VALUES " + ",
 def observations(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
     """One row an event: what a source said of a leg at a time. A leg is a user's local
     day, a run an hour; every 20th row moves the schedule by five hours."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return observed(spark.read.parquet(f"{sf_dir}/events.parquet"), p)
+
+
+def observed(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The same for rows of events, a stream's too."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(p.zone), F.col("ts"))
     status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])
     day = F.to_date(local)
