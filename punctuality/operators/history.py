@@ -178,7 +178,7 @@ def mark_stale(flights: DataFrame, seen: DataFrame, origins: DataFrame, as_of: d
     was. seen: flights of this cycle; origins: boards that were read (a few rows)."""
     cutoff = F.lit(str(as_of)).cast("timestamp_ntz") - F.expr(f"INTERVAL {p.stale_minutes} MINUTES")
     open_ = flights.where((F.col("last_seen_at") < cutoff) & (F.col("data_quality") != "STALE") & ~F.col("status").isin(*SETTLED))
-    gone = open_.join(F.broadcast(origins), "origin_iata", "left_semi").join(seen.select(*FLIGHT), list(FLIGHT), "left_anti")
+    gone = open_.join(origins, "origin_iata", "left_semi").join(seen.select(*FLIGHT), list(FLIGHT), "left_anti")
     return gone.withColumn("data_quality", F.lit("STALE")).withColumn("event_type", F.lit("WENT_STALE"))
 
 
@@ -188,7 +188,7 @@ def provider_health(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     provider may have a third of all calls, so no window over its rows)."""
     at = F.struct("called_at", "call_id")
     last_ok = calls.groupBy("provider").agg(F.max(F.when(F.col("ok"), at)).alias("_ok"))
-    rows = calls.join(F.broadcast(last_ok), "provider")  # a row a provider
+    rows = calls.join(last_ok, "provider")  # a row a provider: adaptive execution broadcasts it by its measured size
     out = rows.groupBy("provider").agg(
         F.count("*").alias("total_calls"), F.count_if(~F.col("ok")).alias("total_failures"), F.count_if(~F.col("ok") & (F.col("_ok").isNull() | (at > F.col("_ok")))).alias("consecutive_failures"),
         F.max(F.when(F.col("ok"), F.col("called_at"))).alias("last_success_at"), F.max(F.when(~F.col("ok"), F.col("called_at"))).alias("last_failure_at"),

@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     home = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[2]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(home / "warehouse"))
         .config("spark.checkpoint.dir", f"file://{home}/shared").getOrCreate()
     )
