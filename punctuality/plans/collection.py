@@ -16,7 +16,7 @@ from punctuality.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-NOW = datetime(2024, 1, 31, 12, 0)
+NOW = datetime(2024, 1, 30, 12, 0)
 
 
 def over(name: str, table: Callable[[SparkSession, str], DataFrame], text: str, job: Callable[[DataFrame], DataFrame]) -> None:
@@ -131,13 +131,13 @@ over("derive_events", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL
 
 
 def _stale(o: DataFrame) -> DataFrame:
-    seen = o.where("observed_at >= timestamp_ntz'2024-01-31 00:00:00'").select(*history.FLIGHT).distinct()
-    return history.mark_stale(history.latest_state(o), seen, o.where("observed_at >= timestamp_ntz'2024-01-31 00:00:00'").select("origin_iata").distinct(), NOW).select(*history.FLIGHT, "status", "data_quality", "event_type")
+    seen = o.where("observed_at >= timestamp_ntz'2024-01-30 00:00:00'").select(*history.FLIGHT).distinct()
+    return history.mark_stale(history.latest_state(o), seen, o.where("observed_at >= timestamp_ntz'2024-01-30 00:00:00'").select("origin_iata").distinct(), NOW).select(*history.FLIGHT, "status", "data_quality", "event_type")
 
 
 over(
     "mark_stale", adapters.observations,
-    sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, status, 'STALE' AS data_quality, 'WENT_STALE' AS event_type FROM state ANTI JOIN (SELECT * FROM observations WHERE observed_at >= TIMESTAMP '2024-01-31') USING ({FLIGHT}) WHERE last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE AND data_quality <> 'STALE' AND status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') AND origin_iata IN (SELECT origin_iata FROM observations WHERE observed_at >= TIMESTAMP '2024-01-31')",
+    sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, status, 'STALE' AS data_quality, 'WENT_STALE' AS event_type FROM state ANTI JOIN (SELECT * FROM observations WHERE observed_at >= TIMESTAMP '2024-01-30') USING ({FLIGHT}) WHERE last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE AND data_quality <> 'STALE' AND status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') AND origin_iata IN (SELECT origin_iata FROM observations WHERE observed_at >= TIMESTAMP '2024-01-30')",
     _stale,
 )
 observed("history_counts", "SELECT 'observations' AS table_name, count(*) AS n FROM observations UNION ALL SELECT 'flights', count(*) FROM (SELECT DISTINCT flight_number, flight_date_local FROM observations)", lambda o: o.agg(F.count("*").alias("n")).select(F.lit("observations").alias("table_name"), "n").unionByName(o.select(*history.FLIGHT).distinct().agg(F.count("*").alias("n")).select(F.lit("flights").alias("table_name"), "n")))

@@ -43,5 +43,9 @@ ORACLE["stream_hourly_counts"] = sql.with_(adapters.OBSERVATIONS_SQL) + "SELECT
 QUERIES["stream_alerts_once"] = lambda spark, d: jobs.run_now(jobs.alerts_once(source(spark, d)))
 ORACLE["stream_alerts_once"] = sql.with_(adapters.OBSERVATIONS_SQL) + "SELECT DISTINCT 'CANCELLATION:' || flight_number || ':' || flight_date_local AS dedup_key FROM observations WHERE is_cancelled"
 QUERIES["stream_stale"] = lambda spark, d: jobs.run_now(jobs.stale(source(spark, d)))
+ORACLE["stream_stale"] = (
+    sql.with_(adapters.OBSERVATIONS_SQL, f"s AS (SELECT {collection.FLIGHT}, arg_max(status, (observed_at, observation_id)) AS status, max(observed_at) AS last_at FROM observations GROUP BY {collection.FLIGHT})")
+    + "SELECT flight_number, origin_iata, destination_iata, CAST(flight_date_local AS VARCHAR) AS flight_date_local, status, 'WENT_STALE' AS event_type FROM s WHERE status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') AND epoch_ms(last_at) + 180 * 60000 < (SELECT max(epoch_ms(observed_at)) - 2 * 86400000 FROM observations)"
+)
 QUERIES["stream_latest_state"] = _latest
 ORACLE["stream_latest_state"] = collection.ORACLE["latest_state"]
