@@ -37,14 +37,15 @@ LANES = 1024
 INTERVAL = 256
 BLOCK = 1 << 20
 END_ID = 2
-#: Words remembered by a Python worker, with their ids.
-MEMORY = 400_000
+#: Words of a generation that a Python worker remembers with their ids (it has two).
+MEMORY = 500_000
 
 _HEAD = struct.Struct("<4sIIIQQII")
 _LOW = np.uint64(1 << 31)
 _S, _W = np.uint64(SCALE), np.uint64(32)
 #: A space between white space: not a place to cut. Then the library gets the whole text.
 _UNSAFE = re.compile(r"\s (?!\S)|[\x1c-\x1f]")
+_WORD = re.compile(r"\S+")
 _SPACED = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -143,64 +144,107 @@ def decode_block(data: bytes, table: Table, checkpoint: int = 0, steps: int | No
 # --- the tokenizer ---
 
 
+class _Memory:
+    """Keys and their ids: key -> number, number -> a run in flat."""
+
+    def __init__(self):
+        self.code: dict[str, int] = {}
+        self.flat, self.start, self.count = array("I"), array("q"), array("q")
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.code.update(zip(keys, range(len(self.start), len(self.start) + len(keys)), strict=True))
+        self.start.frombytes((len(self.flat) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.count.frombytes(counts.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def runs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys' numbers, one run after the other, and the runs' lengths."""
+        start, count, flat = np.array(self.start), np.array(self.count), np.array(self.flat)
+        n = count[codes]
+        ends = np.cumsum(n)
+        return flat[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
 class Encoder:
     """Ids of texts by the library. As the pre-tokenizer never joins what a lone space
     separates, texts are cut there and each different word is encoded once while it is
-    remembered; texts with white space of other kinds beside spaces go whole."""
+    remembered; texts with white space of other kinds beside spaces go whole. Words are
+    remembered in two generations, so that common ones outlive the limit."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.library, self.end_id = Tokenizer.from_file(path), end_id
-        self.clear()
-
-    def clear(self) -> None:
-        self.code, self.flat, self.start, self.count = {}, array("I"), array("q"), array("q")
-        self._add(["  "], [[self.end_id]])
+        vocabulary = self.library.get_vocab()
+        #: Ids that begin with a space: where words that are encoded together begin.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for word, i in vocabulary.items() if word.startswith("\u0120")]] = True
+        self.old, self.young = _Memory(), self._fresh()
 
-    def _add(self, keys: list[str | None], ids: list[list[int]]) -> None:
-        for key, one in zip(keys, ids, strict=True):
-            if key is not None:
-                self.code[key] = len(self.start)
-            self.start.append(len(self.flat))
-            self.count.append(len(one))
-            self.flat.extend(one)
+    def _fresh(self) -> _Memory:
+        memory = _Memory()
+        memory.add(["  "], np.array([self.end_id]), np.array([1]))
+        return memory
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library(texts)
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space. Many words make one text for the library; each
+        begins at an id that begins with a space."""
+        texts = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.fromiter(itertools.chain.from_iterable(self._library(texts)), np.uint32)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words):
+            return self._each([" " + w for w in words])
+        return ids, np.diff(np.append(at, len(ids)))
+
+    def _learn(self, keys: list[str]) -> None:
+        if self.old.code:
+            known = [k for k in keys if k in self.old.code]
+            self.young.add(known, *self.old.runs(np.fromiter(map(self.old.code.__getitem__, known), np.int64, len(known))))
+            keys = [k for k in keys if k not in self.old.code]
+        words, others = [], []
+        for k, word in zip(keys, map(_WORD.fullmatch, keys), strict=True):
+            (words if word else others).append(k)
+        if words:
+            self.young.add(words, *self._words(words))
+        if others:
+            self.young.add(others, *self._each([k[1:] if k[:1] == " " else " " + k for k in others]))
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.code) > MEMORY:
-            self.clear()
+        if len(self.young.code) > MEMORY:
+            self.old, self.young = self.young, self._fresh()
         # keys: "  " the end, " x" x at the start of a text, x the word x after a space
         keys: list[str] = []
         lengths, whole = [], []
-        for i, text in enumerate(texts):
+        for text in texts:
             text = text or ""
             if (any(s in text for s in _SPACED) or not text.isascii() or text[-1:] == " ") and ("<|" in text or _UNSAFE.search(text)):
-                whole.append((len(keys), text))
-                part = ["  "]
+                whole.append((len(lengths), text))
+                part = []
             else:
                 part = text.split(" ")
                 part[0] = " " + part[0]
             keys += part
             keys.append("  ")
             lengths.append(len(part) + 1)
-        new = [k for k in set(keys) if k not in self.code]
-        self._add(new, self._library([k[1:] if k[:1] == " " else " " + k for k in new]))
-        codes = np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
-        mark = len(self.start), len(self.flat)
-        if whole:
-            self._add([None] * len(whole), self._library([t for _, t in whole]))
-            codes[[k for k, _ in whole]] = np.arange(mark[0], len(self.start))
-        start, count, flat = np.array(self.start), np.array(self.count), np.array(self.flat)
-        if whole:
-            del self.start[mark[0] :], self.count[mark[0] :], self.flat[mark[1] :]
-        n = count[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum(lengths)]
-        return np.split(ids, bounds[:-1])
+        codes = np.fromiter(map(self.young.code.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            missed = [keys[i] for i in missing]
+            self._learn(list(dict.fromkeys(missed)))
+            codes[missing] = np.fromiter(map(self.young.code.__getitem__, missed), np.int64, len(missed))
+        ids, n = self.young.runs(codes)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(lengths)]
+        out = np.split(ids, ends[:-1])
+        for (i, _), found in zip(whole, self._library([t for _, t in whole]), strict=True):
+            out[i] = np.array([*found, self.end_id], np.uint32)
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -223,8 +267,8 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def each(batches):
         make = encoder(path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 found = make(part.column(1).to_pylist())
                 wide = [bool(len(x) and x.max() > 0xFFFF) for x in found]
                 data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
