@@ -112,6 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     counted in TRAIN_PARTS tasks, whose counts are summed; the few features that have
     a ratio are made in as many, and one task fits them."""
     sample = written(labelled(docs, labels, label, id_col, text_col, rows, keep).repartition(TRAIN_PARTS, "id"), "toxic-sample")
+    if sample.isEmpty():
+        return np.zeros(1 << BITS, np.float32), -35.0
 
     def pairs(batches):
         for b in batches:
