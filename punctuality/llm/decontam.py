@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from punctuality.llm.shared import ascii_lower, written
 
 WINDOW = 10
-#: Characters of benchmark text in one broadcast.
-PART_CHARS = 16_000_000
+#: Characters of benchmark text in one broadcast (some 100 MB as a hash set).
+PART_CHARS = 1_000_000
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
