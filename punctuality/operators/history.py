@@ -194,3 +194,15 @@ def provider_health(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.max(F.when(F.col("ok"), F.col("called_at"))).alias("last_success_at"), F.max(F.when(~F.col("ok"), F.col("called_at"))).alias("last_failure_at"),
     )
     return out.withColumn("healthy", F.col("consecutive_failures") < p.provider_failures)
+
+
+def run_summary(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Counters of each collection run: what it saw, created, updated and wrote."""
+    counts = rows.groupBy("run_id").agg(
+        F.count("*").alias("observations_written"), F.count_distinct(*FLIGHT).alias("flights_seen"), F.count_if("is_cancelled").alias("cancellations_detected"),
+        F.count_if(F.col("delay_minutes") >= p.delay_threshold).alias("delays_detected"), F.count_distinct("data_source").alias("providers"),
+    )
+    created = rows.groupBy(*FLIGHT).agg(F.min("run_id").alias("run_id")).groupBy("run_id").agg(F.count("*").alias("flights_created"))
+    events = derive_events(rows, p).join(rows.select("observation_id", "run_id"), "observation_id").groupBy("run_id").agg(F.count("*").alias("events_written"))
+    out = counts.join(created, "run_id", "left").join(events, "run_id", "left").fillna(0, ["flights_created", "events_written"])
+    return out.withColumn("flights_updated", F.col("flights_seen") - F.col("flights_created"))

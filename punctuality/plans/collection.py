@@ -145,9 +145,14 @@ observed(
     "import_history", f"SELECT observation_id FROM observations SEMI JOIN (SELECT {FLIGHT} FROM observations GROUP BY {FLIGHT} HAVING NOT bool_and(is_mock)) USING ({FLIGHT})",
     lambda o: o.join(history.latest_state(o).where("not is_mock").select(*history.FLIGHT), list(history.FLIGHT), "left_semi").select("observation_id"),
 )
-observed(
-    "run_summary", "SELECT run_id, count(*) AS observations_written, count(DISTINCT flight_number || flight_date_local) AS flights_seen, count(*) FILTER (is_cancelled) AS cancellations_detected, count(*) FILTER (delay_minutes >= 15) AS delays_detected, count(DISTINCT data_source) AS providers FROM observations GROUP BY run_id",
-    lambda o: o.groupBy("run_id").agg(F.count("*").alias("observations_written"), F.count_distinct("flight_number", "flight_date_local").alias("flights_seen"), F.count_if("is_cancelled").alias("cancellations_detected"), F.count_if(F.col("delay_minutes") >= 15).alias("delays_detected"), F.count_distinct("data_source").alias("providers")),
+over(
+    "run_summary", adapters.observations,
+    sql.with_(
+        adapters.OBSERVATIONS_SQL, f"w AS (SELECT *, {_PREV} FROM observations)", f"e AS (SELECT run_id, count(*) AS n FROM ({_EVENTS}) JOIN (SELECT observation_id, run_id FROM observations) USING (observation_id) GROUP BY run_id)",
+        f"c AS (SELECT run_id, count(*) AS n FROM (SELECT min(run_id) AS run_id FROM observations GROUP BY {FLIGHT}) GROUP BY run_id)",
+        "s AS (SELECT run_id, count(*) AS observations_written, count(DISTINCT flight_number || flight_date_local) AS flights_seen, count(*) FILTER (is_cancelled) AS cancellations_detected, count(*) FILTER (delay_minutes >= 15) AS delays_detected, count(DISTINCT data_source) AS providers FROM observations GROUP BY run_id)",
+    ) + "SELECT s.*, coalesce(c.n, 0) AS flights_created, flights_seen - coalesce(c.n, 0) AS flights_updated, coalesce(e.n, 0) AS events_written FROM s LEFT JOIN c USING (run_id) LEFT JOIN e USING (run_id)",
+    history.run_summary,
 )
 observed(
     "recent_runs", "SELECT run_id, max(observed_at) AS finished_at, count(*) AS n FROM observations GROUP BY run_id ORDER BY run_id DESC LIMIT 20",
