@@ -33,14 +33,20 @@ MIN_REVISIT = 1000
 ID = "urn:page:"
 #: Rows of one archive file, at most.
 FILE_ROWS = 200_000
+#: Groups of equal payloads that are broadcast, at most (some 50 MB); more are joined by
+#: a shuffle.
+BROADCAST_GROUPS = 500_000
+DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = MIN_REVISIT, date: str = DATE) -> DataFrame:
     """(record): one WARC record a page, as text that ends in CR LF CR, so that the text
     sink's line feed closes it."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("sha1", F.sha1(F.col("body").cast("binary")))
     same = rows.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("sha1", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = written(same.drop("n"), "warc-copies")
+    same = F.broadcast(same) if same.count() <= BROADCAST_GROUPS else same
     joined = rows.join(same.select(F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"), "first"), F.expr("sha1 = _sha1 and bytes = _bytes and id is not null"), "left")
     revisit = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -48,7 +54,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
     body = F.when(revisit, F.lit("")).otherwise(F.col("body"))
     one_line = F.regexp_replace("url", r"[\r\n]", "")  # a header is one line
     head = F.concat(
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", uri(F.col("id"))), line("WARC-Target-URI", one_line),
+        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", uri(F.col("id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", one_line),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), line("WARC-Payload-Length", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(line("WARC-Refers-To", uri(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", (F.octet_length(body) + len(HTTP)).cast("string")),
@@ -63,9 +69,9 @@ def write(pages: DataFrame, path: str, **options) -> None:
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, row, value): what stands between magic lines. Files are read in
-    splits; row rises with the place in the split."""
+    splits; row rises with the place in the split; file is a hash of the path."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value"))
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value"))
 
 
 def _header(head: Column, name: str) -> Column:
@@ -91,8 +97,8 @@ def _described(raw: DataFrame) -> DataFrame:
     return raw.select(
         "file", "row", "block", "size", "record", "valid", _header(F.col("head"), "WARC-Type").alias("kind"), _header(F.col("head"), "WARC-Record-ID").alias("id"),
         _header(F.col("head"), "WARC-Refers-To").alias("to"), F.expr(r"try_cast(regexp_extract(head, '(?im)^WARC-Payload-Length:[ \t]*([0-9]+)', 1) as bigint)").alias("told_bytes"),
-        _header(F.col("head"), "WARC-Payload-Digest").alias("told"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"),
-    )
+        F.regexp_replace(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("sha1"), F.octet_length(payload).cast("long").alias("_bytes"), F.sha1(payload).alias("_sha1"),
+    ).withColumn("right", (F.col("kind") == "revisit") | ((F.col("sha1") == F.col("_sha1")) & (F.col("told_bytes") == F.col("_bytes")))).drop("_bytes", "_sha1")
 
 
 def _jump(nxt: np.ndarray) -> np.ndarray:
@@ -121,7 +127,7 @@ def reachable(offsets: DataFrame) -> DataFrame:
         end = _jump(nxt)
         return pd.DataFrame({"file": part["file"].to_numpy(), "block": part["block"].to_numpy(), "at": part["at"].to_numpy(), "exit": to[end]})
 
-    out = written(offsets.groupBy("file", "block").applyInPandas(exits, "file string, block long, at long, exit long"), "warc-exits")
+    out = written(offsets.groupBy("file", "block").applyInPandas(exits, "file long, block long, at long, exit long"), "warc-exits")
     # only a file's first record and those that another split's chain leads to matter now
     doors = out.select("file", F.col("exit").alias("at")).where("at > 0").distinct().join(out, ["file", "at"]).select("file", "block", "at", "exit")
     doors = written(doors.unionByName(out.where("at = 0").select("file", "block", "at", "exit")).distinct(), "warc-doors")
@@ -148,7 +154,7 @@ def reachable(offsets: DataFrame) -> DataFrame:
         return part.loc[on, ["file", "row"]]
 
     held = offsets.join(entries.select("file", "block", "entry", F.col("entry").alias("at")), ["file", "block", "at"], "left")
-    return held.groupBy("file", "block").applyInPandas(marked, "file string, row long")
+    return held.groupBy("file", "block").applyInPandas(marked, "file long, row long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -168,14 +174,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     real = placed.join(on, ["file", "row"], "left_semi")
     whole = real.where(F.col("record") == F.col("size") + len(MAGIC))
     broken = written(real.where(F.col("record") != F.col("size") + len(MAGIC)).select("file", "row", "at", "record"), "warc-broken")
-    out = whole.select("id", "kind", "to", "told", "told_bytes", "bytes", "sha1")
+    out = whole.select("id", "kind", "to", "told_bytes", "sha1", "right")
     if not broken.isEmpty():
         out = out.unionByName(_mended(rows, placed, broken).select(*out.columns))
     page = F.nullif(F.regexp_extract("id", rf"^<{ID}(.*)>$", 1), F.lit(""))
-    right = (F.col("kind") == "revisit") | ((F.concat(F.lit("sha1:"), F.col("sha1")) == F.col("told")) & (F.col("bytes") == F.col("told_bytes")))
+    damaged = F.raise_error(F.concat(F.lit("damaged record "), F.col("id")))
     return out.select(
-        page.alias("id"), F.when(right, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("id")))).alias("kind"),
-        F.col("told_bytes").alias("bytes"), F.regexp_replace("told", "^sha1:", "").alias("sha1"), F.nullif(F.regexp_extract("to", rf"^<{ID}(.*)>$", 1), F.lit("")).alias("refers_to"),
+        page.alias("id"), F.when(F.col("right"), F.col("kind")).otherwise(damaged).alias("kind"), F.col("told_bytes").alias("bytes"), "sha1",
+        F.nullif(F.regexp_extract("to", rf"^<{ID}(.*)>$", 1), F.lit("")).alias("refers_to"),
     )
 
 

@@ -247,13 +247,14 @@ def test_links_of_many_shards(spark, monkeypatch):
 # 6
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big, record = "x" * 1500, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     trap = "<pre>" + record * 3 + "</pre>" + "WARC/1.1\r\n" + "é" * 900 + "\r\n\r\nWARC/1.1\r\n"
     html = [big, big, big, None, "", "short", "short", trap, trap, "WARC/1.1\r\n", "a\nb\r\n\r\nc\r\n\r\n", record, "中文" * 3000]
     rows = [(i, None if i % 5 == 4 else f"http://x/é{i}\r\nX: y", h, 1, "z") for i, h in enumerate(html)] + [(2, "u", big, 1, "z"), (None, "u", big, 1, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int, sha1 string")
-    for size in ("1k", "64m"):
+    for size, groups in (("1k", 0), ("64m", 9)):
+        monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         got = sorted((tuple(r) for r in warc.report(spark, pages, new_path(spark, "warc")).collect()), key=str)
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
