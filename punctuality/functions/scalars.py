@@ -27,8 +27,10 @@ LEAST_DELAY, MOST_DELAY = -180, 1440
 def parse_iso(text: Column) -> Column:
     """ISO text with an offset or Z as a UTC time without a zone; with a blank or T
     between date and time, with or without seconds. Anything else is null."""
-    found = [F.try_to_timestamp(F.upper(F.trim(text)), F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")]
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.coalesce(*found).cast("timestamp_ntz"))
+    text = F.upper(F.trim(text))
+    full = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1 $2:00$3")
+    known = full.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.when(known, full.try_cast("timestamp")).cast("timestamp_ntz"))
 
 
 def assume_zone(naive: Column, zone: Column | str) -> Column:
@@ -83,7 +85,12 @@ def delay(scheduled: Column, estimated: Column, actual: Column, told: Column) ->
 def resolve(raw: Column, cancelled: Column, diverted: Column, departure: Column, arrival: Column, delay_: Column, p: Params = DEFAULT) -> Column:
     """The final status: flags first, then a text that says cancelled or diverted, then
     movements, then a measured delay."""
-    mapped = status(raw)
+    return resolve_known(status(raw), cancelled, diverted, departure, arrival, delay_, p)
+
+
+def resolve_known(mapped: Column, cancelled: Column, diverted: Column, departure: Column, arrival: Column, delay_: Column, p: Params = DEFAULT) -> Column:
+    """The same for a status that was looked up before (as a column of its own, it is
+    not computed again for each mention)."""
     return (
         F.when(F.coalesce(cancelled, F.lit(False)), "CANCELLED").when(F.coalesce(diverted, F.lit(False)), "DIVERTED").when(mapped.isin(*EXPLICIT), mapped)
         .when(arrival.isNotNull(), "ARRIVED").when(departure.isNotNull(), "DEPARTED").when(mapped.isin("SCHEDULED", "UNKNOWN") & (delay_ >= p.delay_threshold), "DELAYED").otherwise(mapped)

@@ -88,9 +88,9 @@ def merge(rows: DataFrame, trust: tuple[str, ...] = SOURCES, p: Params = DEFAULT
     )
     v = lambda c: F.col(c)["v"]
     late = scalars.delay(v("scheduled_departure_utc"), v("estimated_departure_utc"), v("actual_departure_utc"), F.col("told"))
-    status = scalars.resolve(F.lower("base.status"), F.col("base.is_cancelled"), F.col("base.is_diverted"), v("actual_departure_utc"), F.lit(None).cast("timestamp_ntz"), F.col("_late"), p)
+    status = scalars.resolve_known(F.col("_mapped"), F.col("base.is_cancelled"), F.col("base.is_diverted"), v("actual_departure_utc"), F.lit(None).cast("timestamp_ntz"), F.col("_late"), p)
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"_{c}"), c) for c in OBSERVED], F.when(F.col("_cancel"), "is_cancelled"), F.when(F.col("_divert"), "is_diverted")))
-    out = grouped.withColumn("_late", late).withColumn("status", status).withColumn("delay_minutes", scalars.without_delay(F.col("status"), F.col("_late")))
+    out = grouped.withColumns({"_late": late, "_mapped": scalars.status(F.lower("base.status"))}).withColumn("status", status).withColumn("delay_minutes", scalars.without_delay(F.col("status"), F.col("_late")))
     named = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c)["s"].alias("value"))) for c in fields]
     return out.select(
         *LEG, *[v(c).alias(c) for c in fields], "status", "delay_minutes", (F.col("base.is_cancelled") | (F.col("status") == "CANCELLED")).alias("is_cancelled"), (F.col("base.is_diverted") | (F.col("status") == "DIVERTED")).alias("is_diverted"),

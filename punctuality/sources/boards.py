@@ -33,13 +33,13 @@ def _leg(rows: DataFrame, source: str, cancelled: Column, diverted: Column, p: P
     c = F.col
     late = scalars.delay(c("scheduled_departure_utc"), c("estimated_departure_utc"), c("actual_departure_utc"), c("_told"))
     arrival = scalars.delay(c("scheduled_arrival_utc"), c("estimated_arrival_utc"), c("actual_arrival_utc"), c("_told_arrival"))
-    status = scalars.resolve(c("raw_status"), c("_cancelled"), c("_diverted"), c("actual_departure_utc"), c("actual_arrival_utc"), c("_late"), p)
-    out = found.withColumns({"_late": late, "_late_arrival": arrival}).withColumn("status", status)
+    status = scalars.resolve_known(c("_mapped"), c("_cancelled"), c("_diverted"), c("actual_departure_utc"), c("actual_arrival_utc"), c("_late"), p)
+    out = found.withColumns({"_late": late, "_late_arrival": arrival, "_mapped": scalars.status(c("raw_status"))}).withColumn("status", status)
     out = out.withColumns({"delay_minutes": scalars.without_delay(c("status"), c("_late")), "arrival_delay_minutes": scalars.without_delay(c("status"), c("_late_arrival"))})
     out = out.withColumns(
         {"is_cancelled": c("status") == "CANCELLED", "is_diverted": c("status") == "DIVERTED", "data_source": F.lit(source), "data_quality": scalars.quality(c("status"), c("scheduled_departure_utc"), c("delay_minutes"), c("scheduled_arrival_utc").isNotNull())}
     )
-    return out.drop("_cancelled", "_diverted", "_told", "_told_arrival", "_late", "_late_arrival")
+    return out.drop("_cancelled", "_diverted", "_told", "_told_arrival", "_late", "_late_arrival", "_mapped")
 
 
 def _items(payloads: DataFrame, schema: str, field: str) -> DataFrame:
