@@ -109,7 +109,7 @@ over(
 over(
     "backfill_first_schedule", adapters.observations,
     sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, coalesce(least_, s.scheduled_departure_utc) AS first_scheduled_departure_utc FROM state s LEFT JOIN (SELECT {FLIGHT}, min(scheduled_departure_utc) AS least_ FROM observations WHERE observation_id % 3 = 0 GROUP BY {FLIGHT}) USING ({FLIGHT})",
-    lambda o: history.first_schedule(history.latest_state(o), o.where("observation_id % 3 = 0")).select(*history.FLIGHT, "first_scheduled_departure_utc"),
+    lambda o: history.first_schedule(history.latest_state(o), o).select(*history.FLIGHT, "first_scheduled_departure_utc"),
 )
 observed("discover_airlines", f"SELECT airline_iata AS iata, arg_max(airline_name, {_T}) AS name FROM observations WHERE airline_iata IS NOT NULL GROUP BY airline_iata", history.airlines)
 observed("list_airlines", f"SELECT airline_iata AS iata, arg_max(airline_name, {_T}) AS name FROM observations WHERE airline_iata IS NOT NULL GROUP BY airline_iata ORDER BY name, iata", lambda o: history.airlines(o).orderBy("name", "iata"))

@@ -116,3 +116,27 @@ def test_ledger(spark):
     assert sorted(r.dedup_key for r in alerts.unsent(built, ledger).collect()) == ["a", "c"]
     (t,) = alerts.tally(built, ledger).collect()
     assert (t.built, t.new, t.duplicate) == (4, 2, 2)
+
+
+def test_first_schedule(spark):
+    flights = spark.createDataFrame([("A1", "AAA", "BBB", datetime(2026, 1, 2, 9)), ("A2", "AAA", "BBB", datetime(2026, 1, 2, 8))], "flight_number string, origin_iata string, destination_iata string, scheduled_departure_utc timestamp_ntz")
+    keys = history.FLIGHT
+    flights = flights.select(*[(F.col(k) if k in flights.columns else F.lit("x")).alias(k) for k in keys], *[c for c in flights.columns if c not in keys])
+    rows = flights.where("flight_number = 'A1'").crossJoin(spark.createDataFrame([(datetime(2026, 1, 2, h),) for h in (9, 7, 8)], "_at timestamp_ntz"))
+    got = history.first_schedule(flights, rows.withColumn("scheduled_departure_utc", F.col("_at")).drop("_at"))
+    # A2 has no observation: its own schedule
+    assert {r["flight_number"]: r["first_scheduled_departure_utc"] for r in got.collect()} == {"A1": datetime(2026, 1, 2, 7), "A2": datetime(2026, 1, 2, 8)}
+
+
+def test_backfill_reads_all_observations(spark):
+    """The earliest schedule of a flight may stand in any row."""
+    from punctuality.plans import collection
+    from punctuality.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    least = {}
+    for r in adapters.observations(spark, sf).select(*history.FLIGHT, "scheduled_departure_utc").collect():
+        if r[-1] is not None:
+            least[r[:-1]] = min(r[-1], least.get(r[:-1], r[-1]))
+    got = {r[:-1]: r[-1] for r in collection.QUERIES["backfill_first_schedule"](spark, sf).collect()}
+    assert got and all(got[k] == v for k, v in least.items())
