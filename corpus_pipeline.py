@@ -5,14 +5,14 @@ Every stage works on all that its predecessor kept and, but for the last, return
 columns of documents. Nulls, empty and repeated rows are handled as the operators'
 docstrings say: a null text is scored as an empty one, documents without an id stay.
 Documents go that score under 0.7 for quality or 0.5 and over for toxicity, that are
-near duplicates of another (the smallest id stays), or that hold a benchmark window.
+near copies of another (0.8 of their five-word shingles or more; the smallest id stays), or that hold a benchmark window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import decontam, packing, quality, simhash, toxicity
+from punctuality.llm import decontam, packing, quality, similar, toxicity
 from punctuality.llm.shared import written
 
 
@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

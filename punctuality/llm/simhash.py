@@ -74,9 +74,10 @@ def _ring(fp: Column, v: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(v)).cast("long"))).cast("int")
 
 
-def shards(nodes: DataFrame, n: int) -> DataFrame:
+def shards(nodes: DataFrame, n: int, beside: tuple[str, ...] = ()) -> DataFrame:
     """(shard, lo, hi, fps): runs of vantage-point tree leaves; lo and hi bound the
-    distances to each vantage point."""
+    distances to each vantage point. The long columns beside go with their fingerprints,
+    one after the other."""
     each = min(SHARD_MAX, max(SHARD_MIN, -(-n // SHARDS)))
     rings = [_ring(F.col("fp"), v).alias(f"d{i}") for i, v in enumerate(VANTAGE)]
 
@@ -86,24 +87,25 @@ def shards(nodes: DataFrame, n: int) -> DataFrame:
         part, k = TaskContext.get().partitionId(), 0
         kept, held = [], 0
 
-        def out(fps):
+        def out(rows):
+            fps = rows[0]
             d = np.stack([np.bitwise_count(fps ^ np.uint64(v)) for v in VANTAGE])
             return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([(part << 24) + k], pa.int64()), "lo": pa.array([d.min(1).astype(int).tolist()], pa.list_(pa.int32())), "hi": pa.array([d.max(1).astype(int).tolist()], pa.list_(pa.int32())), "fps": pa.array([fps.tobytes()], pa.binary())}
+                {"shard": pa.array([(part << 24) + k], pa.int64()), "lo": pa.array([d.min(1).astype(int).tolist()], pa.list_(pa.int32())), "hi": pa.array([d.max(1).astype(int).tolist()], pa.list_(pa.int32())), "fps": pa.array([rows.tobytes()], pa.binary())}
             )
 
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            kept, held = [*kept, fps], held + len(fps)
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns])
+            kept, held = [*kept, fps], held + fps.shape[1]
             while held >= each:
-                rows = np.concatenate(kept)
-                yield out(rows[:each])
-                kept, held, k = [rows[each:]], held - each, k + 1
+                rows = np.concatenate(kept, 1)
+                yield out(rows[:, :each])
+                kept, held, k = [rows[:, each:]], held - each, k + 1
         if held:
-            yield out(np.concatenate(kept))
+            yield out(np.concatenate(kept, 1))
 
     order = [f"d{i}" for i in range(len(VANTAGE))]
-    ranged = nodes.select("fp", *rings).repartitionByRange(max(1, -(-n // each)), *order, "fp").sortWithinPartitions(*order, "fp").select("fp")
+    ranged = nodes.select("fp", *beside, *rings).repartitionByRange(max(1, -(-n // each)), *order, "fp").sortWithinPartitions(*order, "fp").select("fp", *beside)
     return ranged.mapInArrow(pack, "shard long, lo array<int>, hi array<int>, fps binary")
 
 
@@ -161,15 +163,22 @@ def link_shards(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> li
     return [(int(both[i]), int(both[j])) for i, j in forest.links]
 
 
-def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between n distinct fingerprints (column fp) that join all that
-    is reachable in steps of radius bits."""
-    blocks = written(shards(nodes, n), "vp-shards")
+def _shard_pairs(blocks: DataFrame, radius: int) -> DataFrame:
+    """(shard, b_shard, left, right): the pairs of shards whose rings can hold a link."""
     sides = blocks.select("shard", "lo", "hi")
     home = sides.withColumn("ring", F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0]))).select("ring", *[F.col(c).alias(f"b_{c}") for c in sides.columns])
     query = sides.withColumn("ring", F.explode(F.sequence(F.col("lo")[0] - radius, F.col("hi")[0] + radius)))
     overlap = [(F.col("b_lo")[i] <= F.col("hi")[i] + radius) & (F.col("b_hi")[i] >= F.col("lo")[i] - radius) for i in range(len(VANTAGE))]
     pairs = query.join(home, "ring").where(functools.reduce(lambda x, y: x & y, overlap, F.col("shard") <= F.col("b_shard"))).select("shard", "b_shard").distinct()
+    held = blocks.select(F.col("shard"), F.col("fps").alias("left"))
+    other = blocks.select(F.col("shard").alias("b_shard"), F.col("fps").alias("right"))
+    return pairs.join(held, "shard").join(other, "b_shard").select("shard", "b_shard", "left", "right")
+
+
+def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between n distinct fingerprints (column fp) that join all that
+    is reachable in steps of radius bits."""
+    blocks = written(shards(nodes, n), "vp-shards")
 
     def search(batches):
         for batch in batches:
@@ -179,10 +188,7 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
                 found = np.array(link_shards(a, b, radius), np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    held = blocks.select(F.col("shard"), F.col("fps").alias("left"))
-    other = blocks.select(F.col("shard").alias("b_shard"), F.col("fps").alias("right"))
-    joined = pairs.join(held, "shard").join(other, "b_shard").select("shard", "b_shard", "left", "right")
-    return joined.mapInArrow(search, "a long, b long")
+    return _shard_pairs(blocks, radius).mapInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
