@@ -2,6 +2,11 @@
 become the numbers of known licence sentences, and ordered rules (sequences of such
 numbers, next to each other in the text) name the licences.
 
+Sentences run over the line breaks inside a paragraph: a sentence that isn't known as a
+whole is looked up line by line, so that a notice that stands on a line of its own is found
+as well. Comment signs at the start of a line are no words, and a full stop after an
+abbreviation before a number ends nothing.
+
 Everything is DataFrame functions in one narrow stage: no shuffle. Texts without any
 word that a known sentence has as its rarest (see ANCHORS) can hold none and skip the
 cutting.
@@ -68,7 +73,22 @@ RULES = [
     ("Proprietary", (22,)),
     ("Public-Domain", (23,)),
 ]
-BREAK = r"[.!?;]+\s+|[.!?;]+$|[\r\n]+"
+#: Wordings of standard notices beside SENTENCES, normalised, with the numbers each counts as.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": (2, 3),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": (8,),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": (8, 9),
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": (9,),
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": (10,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": (13,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": (13,),
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": (14,),
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": (20, 21),
+}
+#: Ends of sentences; a blank line ends a paragraph.
+BREAK = r"[.!?;]+\s+|[.!?;]+$|\n[ \t]*\n\s*"
+#: What is no word or no end: line ends, comment signs, numbers of list items, stops of abbreviations.
+CLEAN = [(r"\r\n?", "\n"), (r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|\*+|--+|>+)[ \t]*", ""), (r"(?m)(^[ \t]*|:[ \t]+)[0-9]+\.(?=[ \t])", "$1"), (r"\b(v|ver|vers|no|vol)\.(?=\s+[0-9])", "$1 ")]
 
 
 def anchors(sentences: dict[int, str] = SENTENCES) -> list[str]:
@@ -89,10 +109,15 @@ def anchors(sentences: dict[int, str] = SENTENCES) -> list[str]:
 
 def sentence_ids(text: Column, sentences: dict[int, str] = SENTENCES) -> Column:
     """The numbers of a text's sentences in order, 0 for one that isn't known."""
-    number = F.create_map(*[x for k, s in sorted(sentences.items()) for x in (F.lit(s), F.lit(k))])
+    counted = {s: (k,) for k, s in sentences.items()} | (WORDINGS if sentences is SENTENCES else {})
+    number = F.create_map(*[x for s, ids in sorted(counted.items()) for x in (F.lit(s), F.array(*map(F.lit, ids)))])
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    known = lambda s: F.coalesce(F.try_element_at(number, plain(s)), F.lit(0))
-    return F.transform(F.split(F.lower(text), BREAK), known)
+    known = lambda s: F.try_element_at(number, plain(s))
+    lines = lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda x: F.coalesce(known(x), F.array(F.lit(0)))))
+    low = F.lower(text)
+    for pattern, to in CLEAN:
+        low = F.regexp_replace(low, pattern, to)
+    return F.flatten(F.transform(F.split(low, BREAK), lambda s: F.coalesce(known(s), lines(s))))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
