@@ -96,8 +96,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
 
 
 def text_cluster(text_col: str = "text") -> Column:
-    """The cluster of documents whose texts differ in case and white space only."""
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(F.col(text_col).cast("string"), r"\s+", " "))))
+    """The cluster of documents whose texts differ in case and white space only; a null
+    text has none."""
+    text = F.col(text_col).cast("string")
+    return F.when(text.isNotNull(), F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))))
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\x00") -> DataFrame:
