@@ -11,9 +11,11 @@ states u64 at the start | for each checkpoint its place in the words u64 and the
 u64 | words u32. Id i is in lane i mod lanes, at step i div lanes; at every multiple of
 the interval of steps there is a checkpoint, from which decoding can begin.
 
-Defined results: a null text is the empty one: its end id alone; null ids come first;
-repeated rows are each written; an empty table makes empty files; other columns are
-never read.
+Defined results: a null text is the empty one: its end id alone; a very long text is
+tokenised whole (in parts that are cut between words, where the tokenizer never joins
+anything) and its ids stay in one block, which then is longer; null ids come first; rows
+of equal ids stand in the order of a hash of their token ids, equal ones one after the
+other, each written; an empty table makes empty files; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +36,24 @@ from pyspark.sql import types as T
 from punctuality.llm.shared import discard, new_path, tasks, written
 
 SCALE = 20
-LANES = 1024
-INTERVAL = 256
+LANES = 4096
+INTERVAL = 128
 BLOCK = 1 << 20
 END_ID = 2
-#: Words of a generation that a Python worker remembers with their ids (it has two).
-MEMORY = 500_000
+#: Pieces of a generation (there are two) that a Python worker remembers, and characters
+#: that are tokenised at once, at most, but for a single longer text.
+PIECES, CHARS = 600_000, 1_000_000
 
 _HEAD = struct.Struct("<4sIIIQQII")
 _LOW = np.uint64(1 << 31)
 _S, _W = np.uint64(SCALE), np.uint64(32)
-#: A space between white space: not a place to cut. Then the library gets the whole text.
-_UNSAFE = re.compile(r"\s (?!\S)|[\x1c-\x1f]")
-_WORD = re.compile(r"\S+")
-_SPACED = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
+# Kinds of characters; white space first.
+_BLANK, _SPACE, _LETTER, _NUMBER, _OTHER, _STOP, _UNKNOWN = range(7)
+# The contractions of the byte-level pre-tokenizer: 's 't 'm 'd, 're 've 'll.
+_SHORT = [ord(c) for c in "stmd"]
+_LONG = [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+_GAP = re.compile(r"(?<=\w) (?=\w)")
+_WEIGHTS = np.random.default_rng(10).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- the coder ---
@@ -145,106 +152,227 @@ def decode_block(data: bytes, table: Table, checkpoint: int = 0, steps: int | No
 
 
 class _Memory:
-    """Keys and their ids: key -> number, number -> a run in flat."""
+    """Pieces of text by a hash: their ids, and their characters, which tell whether a
+    piece of the same hash is the same piece. A table of slots with linear probing,
+    looked up for many hashes at once."""
 
     def __init__(self):
-        self.code: dict[str, int] = {}
-        self.flat, self.start, self.count = array("I"), array("q"), array("q")
-
-    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.code.update(zip(keys, range(len(self.start), len(self.start) + len(keys)), strict=True))
-        self.start.frombytes((len(self.flat) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
-        self.count.frombytes(counts.astype(np.int64).tobytes())
-        self.flat.frombytes(ids.astype(np.uint32).tobytes())
-
-    def runs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the keys' numbers, one run after the other, and the runs' lengths."""
-        start, count, flat = np.array(self.start), np.array(self.count), np.array(self.flat)
-        n = count[codes]
+        self.ids, self.chars, self.keys = _Runs("I"), _Runs("I"), array("Q")
+        self._grow(20)
+
+    def _grow(self, bits: int) -> None:
+        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        self._place(np.frombuffer(self.keys, np.uint64), 0)
+
+    def _place(self, keys: np.ndarray, base: int) -> None:
+        todo, at = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = base + todo[free]
+            lost = self.slots[at] != base + todo
+            todo, at = todo[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, chars: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Add different pieces that aren't there; their entries."""
+        base = len(self.keys)
+        self.keys.frombytes(keys.tobytes())
+        self.ids.add(ids, n)
+        self.chars.add(chars, width)
+        if 2 * len(self.keys) > len(self.slots):
+            self._grow((4 * len(self.keys)).bit_length())
+        else:
+            self._place(keys, base)
+        return np.arange(base, base + len(keys))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entries of hashes, -1 for what isn't known."""
+        keys, out = np.frombuffer(self.keys, np.uint64), np.full(len(hashes), -1, np.int64)
+        todo, at = np.arange(len(hashes)), (hashes >> self.shift).astype(np.int64)
+        while len(todo):
+            entry = self.slots[at]
+            there = entry >= 0
+            todo, at, entry = todo[there], at[there], entry[there]
+            same = keys[entry] == hashes[todo]
+            out[todo[same]] = entry[same]
+            todo, at = todo[~same], (at[~same] + 1) & (len(self.slots) - 1)
+        return out
+
+
+class _Runs:
+    """Runs of numbers in one growing array."""
+
+    def __init__(self, kind: str):
+        self.flat, self.start, self.count = array(kind), array("q"), array("q")
+
+    def add(self, flat: np.ndarray, count: np.ndarray) -> None:
+        self.start.frombytes((len(self.flat) + np.cumsum(count) - count).astype(np.int64).tobytes())
+        self.count.frombytes(count.astype(np.int64).tobytes())
+        self.flat.frombytes(flat.astype(np.uint32).tobytes())
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the entries, one after the other, and their lengths."""
+        start, count, flat = (np.frombuffer(x, x.typecode) for x in (self.start, self.count, self.flat))
+        n = count[entries]
         ends = np.cumsum(n)
-        return flat[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+        return flat[np.repeat(start[entries] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
 class Encoder:
-    """Ids of texts by the library. As the pre-tokenizer never joins what a lone space
-    separates, texts are cut there and each different word is encoded once while it is
-    remembered; texts with white space of other kinds beside spaces go whole. Words are
-    remembered in two generations, so that common ones outlive the limit."""
+    """Ids of texts by the library. Texts are cut into the pieces that the library's
+    byte-level pre-tokenizer makes, for many texts at once, and each different piece is
+    encoded by the library once while it is remembered (for two generations, so that
+    common ones outlive the limit). Which characters are letters, numbers or spaces is
+    asked of the library, as releases of Unicode differ. Texts that hold the sign of a
+    special token, and all texts of tokenizers of other kinds, go to the library whole."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library, self.end_id = Tokenizer.from_file(path), end_id
         vocabulary = self.library.get_vocab()
-        #: Ids that begin with a space: where words that are encoded together begin.
+        #: Ids that begin with a space: where pieces that are encoded together begin.
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for word, i in vocabulary.items() if word.startswith("\u0120")]] = True
+        cutter = self.library.pre_tokenizer
+        self.cuts = self.library.normalizer is None and isinstance(cutter, ByteLevel) and not cutter.add_prefix_space and cutter.use_regex
+        self.kind = np.full(0x110000, _UNKNOWN, np.uint8)
+        self.kind[[0, 32]] = _STOP, _BLANK
         self.old, self.young = _Memory(), self._fresh()
 
     def _fresh(self) -> _Memory:
-        memory = _Memory()
-        memory.add(["  "], np.array([self.end_id]), np.array([1]))
+        """A memory that knows what ends a text."""
+        memory, stop = _Memory(), np.zeros(1, np.uint64)
+        memory.add(self._hashes(stop, stop, stop + 1), np.array([self.end_id]), np.array([1]), stop, np.array([1]))
         return memory
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._library(texts)
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words after a space. Many words make one text for the library; each
-        begins at an id that begins with a space."""
-        texts = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        ids = np.fromiter(itertools.chain.from_iterable(self._library(texts)), np.uint32)
+    @staticmethod
+    def _hashes(codes: np.ndarray, starts: np.ndarray, width: np.ndarray) -> np.ndarray:
+        place = np.arange(len(codes)) - np.repeat(starts.astype(np.int64), width.astype(np.int64))
+        return np.add.reduceat(codes * _WEIGHTS[place & 63], starts.astype(np.int64)) ^ (width.astype(np.uint64) * _WEIGHTS[0])
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, one text after the other, and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces. Many words that begin with a space make one text for the
+        library; each begins at an id that begins with a space."""
+        joined = np.array([len(p) > 1 and p[0] == " " and p[1:].isalpha() for p in pieces], bool)
+        some = [p for p, j in zip(pieces, joined.tolist(), strict=True) if j]
+        ids, _ = self._library(["".join(some[i : i + 256]) for i in range(0, len(some), 256)])
         at = np.flatnonzero(self.begins[ids])
-        if len(at) != len(words):
-            return self._each([" " + w for w in words])
-        return ids, np.diff(np.append(at, len(ids)))
-
-    def _learn(self, keys: list[str]) -> None:
-        if self.old.code:
-            known = [k for k in keys if k in self.old.code]
-            self.young.add(known, *self.old.runs(np.fromiter(map(self.old.code.__getitem__, known), np.int64, len(known))))
-            keys = [k for k in keys if k not in self.old.code]
-        words, others = [], []
-        for k, word in zip(keys, map(_WORD.fullmatch, keys), strict=True):
-            (words if word else others).append(k)
-        if words:
-            self.young.add(words, *self._words(words))
-        if others:
-            self.young.add(others, *self._each([k[1:] if k[:1] == " " else " " + k for k in others]))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.young.code) > MEMORY:
+        if len(at) != len(some):
+            return self._library(pieces)
+        rest, n_rest = self._library([p for p, j in zip(pieces, joined.tolist(), strict=True) if not j])
+        n = np.zeros(len(pieces), np.int64)
+        n[joined], n[~joined] = np.diff(np.append(at, len(ids))), n_rest
+        out, own = np.zeros(int(n.sum()), np.uint32), np.repeat(joined, n)
+        out[own], out[~own] = ids, rest
+        return out, n
+
+    def _classify(self, code: int) -> int:
+        one = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text)) == 1
+        c = chr(code)
+        return _LETTER if one(f"a{c}a") else _NUMBER if one(f"1{c}1") else _OTHER if one(f"!{c}!") else _SPACE
+
+    def _starts(self, codes: np.ndarray) -> np.ndarray:
+        """Where pieces start. A run of letters, of numbers or of other signs takes the
+        space before it along; of white space before a sign, the last is apart; a
+        contraction is a piece where its apostrophe begins one."""
+        kind = self.kind[codes]
+        if (kind == _UNKNOWN).any():
+            for code in np.unique(codes[kind == _UNKNOWN]).tolist():
+                self.kind[code] = self._classify(code)
+            kind = self.kind[codes]
+        before = np.concatenate([[_STOP], kind[:-1]])
+        after = np.concatenate([kind[1:], [_STOP]])
+        white = kind <= _SPACE
+        start = np.where(white, (before > _SPACE) | ((after > _SPACE) & (after != _STOP)), (kind != before) & (before != _BLANK)) | (kind == _STOP) | (before == _STOP)
+        at = np.flatnonzero((codes == 39) & start)
+        one, two = codes[np.minimum(at + 1, len(codes) - 1)], codes[np.minimum(at + 2, len(codes) - 1)]
+        size = np.where(np.isin(one, _SHORT), 2, 0)
+        for a, b in _LONG:
+            size[(one == a) & (two == b)] = 3
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        start[at + size] = True
+        return np.flatnonzero(start)
+
+    def _find(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray | None:
+        """The memory's entries of the pieces; None if two pieces share a hash."""
+        width = np.diff(starts, append=len(codes))
+        which, different = pd.factorize(self._hashes(codes, starts, width))
+        first = np.empty(len(different), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        entries = self.young.find(different)
+        missing = np.flatnonzero(entries < 0)
+        if len(missing) and len(self.old.keys):
+            held = self.old.find(different[missing])
+            again, held = missing[held >= 0], held[held >= 0]
+            entries[again] = self.young.add(different[again], *self.old.ids.of(held), *self.old.chars.of(held))
+            missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            a, n = starts[first[missing]], width[first[missing]]
+            pieces = [text[i:j] for i, j in zip(a.tolist(), (a + n).tolist(), strict=True)]
+            chars = codes[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            entries[missing] = self.young.add(different[missing], *self._encode(pieces), chars, n)
+        found = entries[which]
+        chars, n = self.young.chars.of(found)
+        return found if (n == width).all() and (chars == codes).all() else None
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, each text's with the end id, one text after the other, and
+        how many each has."""
+        if len(self.young.keys) > PIECES:
             self.old, self.young = self.young, self._fresh()
-        # keys: "  " the end, " x" x at the start of a text, x the word x after a space
-        keys: list[str] = []
-        lengths, whole = [], []
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if not self.cuts or "<|" in t or "\0" in t]
+        cut = list(texts)
+        for i in whole:
+            cut[i] = ""
+        text = "\0".join([*cut, ""])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts = self._starts(codes)
+        entries = self._find(text, codes, starts)
+        if entries is None:
+            ids, n = self._library(texts)
+            return np.insert(ids, np.cumsum(n), self.end_id), n + 1
+        ids, n = self.young.ids.of(entries)
+        counts = np.diff(np.cumsum(n)[codes[starts] == 0], prepend=0)
+        if not whole:
+            return ids, counts
+        found, n = self._library([texts[i] for i in whole])
+        at = np.cumsum(counts) - counts  # a text that goes whole has its end id alone so far
+        ids = np.insert(ids, np.repeat(at[whole], n), found)
+        counts[whole] += n
+        return ids, counts
+
+    def slices(self, texts: list[str | None]):
+        """Calls for texts one after the other, of CHARS characters or so at once. A text
+        that is longer is taken in parts, cut before spaces between words."""
+        some, held = [], 0
         for text in texts:
-            text = text or ""
-            if (any(s in text for s in _SPACED) or not text.isascii() or text[-1:] == " ") and ("<|" in text or _UNSAFE.search(text)):
-                whole.append((len(lengths), text))
-                part = []
-            else:
-                part = text.split(" ")
-                part[0] = " " + part[0]
-            keys += part
-            keys.append("  ")
-            lengths.append(len(part) + 1)
-        codes = np.fromiter(map(self.young.code.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            missed = [keys[i] for i in missing]
-            self._learn(list(dict.fromkeys(missed)))
-            codes[missing] = np.fromiter(map(self.young.code.__getitem__, missed), np.int64, len(missed))
-        ids, n = self.young.runs(codes)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(lengths)]
-        out = np.split(ids, ends[:-1])
-        for (i, _), found in zip(whole, self._library([t for _, t in whole]), strict=True):
-            out[i] = np.array([*found, self.end_id], np.uint32)
-        return out
+            if text and len(text) > 2 * CHARS and self.cuts and "<|" not in text:
+                if some:
+                    yield self(some)
+                    some, held = [], 0
+                cuts = [0]
+                while place := _GAP.search(text, cuts[-1] + CHARS):
+                    cuts.append(place.start())
+                parts = [self([text[a:b]])[0][:-1] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+                ids = np.concatenate([*parts, np.array([self.end_id], np.uint32)])
+                yield ids, np.array([len(ids)])
+                continue
+            some.append(text)
+            held += len(text or "")
+            if held > CHARS:
+                yield self(some)
+                some, held = [], 0
+        if some:
+            yield self(some)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -260,21 +388,28 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(id, ids): each text's ids and end_id, as bytes: two an id if the vocabulary
-    allows it, else four (the first byte of `wide` tells)."""
+    """(id, ids, wide, counts): each text's ids and end_id, as bytes: two an id if the
+    text's ids allow it, else four (wide). The last row of a task has no text: its counts
+    say how often each id occurs in the task's rows (two arrays of 64-bit numbers)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = ["id", "ids", "wide", "counts"]
 
     def each(batches):
-        make = encoder(path, end_id)
+        make, total, kind = encoder(path, end_id), np.zeros(1 << 16, np.int64), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = make(part.column(1).to_pylist())
-                wide = [bool(len(x) and x.max() > 0xFFFF) for x in found]
-                data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array(wide, pa.bool_())], names=["id", "ids", "wide"])
+            at, kind = 0, batch.schema.field(0).type
+            for ids, n in make.slices(batch.column(1).to_pylist()):
+                one = np.bincount(ids, minlength=len(total))
+                total = one + (total if len(one) == len(total) else np.pad(total, (0, len(one) - len(total))))
+                wide = np.maximum.reduceat(ids, np.cumsum(n) - n) > 0xFFFF
+                data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(np.split(ids, np.cumsum(n)[:-1]), wide.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(data, pa.binary()), pa.array(wide), pa.nulls(len(n), pa.binary())], names=names)
+                at += len(n)
+        if kind is not None:
+            kept = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([np.concatenate([kept, total[kept]]).tobytes()], pa.binary())], names=names)
 
-    return rows.mapInArrow(each, T.StructType(list(rows.select("id").schema.fields)).add("ids", "binary").add("wide", "boolean"))
+    return rows.mapInArrow(each, T.StructType(list(rows.select("id").schema.fields)).add("ids", "binary").add("wide", "boolean").add("counts", "binary"))
 
 
 def _numbers(data, wide: bool) -> np.ndarray:
@@ -282,20 +417,15 @@ def _numbers(data, wide: bool) -> np.ndarray:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(symbol, n): how often each id occurs. Each task sums its own rows first."""
+    """(symbol, n): how often each id occurs, from the counts of tokenised's tasks."""
 
     def each(batches):
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for data, wide in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                one = np.bincount(_numbers(data, wide))
-                if len(one) > len(total):
-                    total = np.pad(total, (0, len(one) - len(total)))
-                total[: len(one)] += one
-        kept = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["symbol", "n"])
+            for data in batch.column(0):
+                symbols, n = np.frombuffer(data.as_buffer(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(symbols), pa.array(n)], names=["symbol", "n"])
 
-    return rows.select("ids", "wide").mapInArrow(each, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return rows.select("counts").where("counts is not null").mapInArrow(each, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def encode(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block: int = BLOCK) -> None:
@@ -338,7 +468,9 @@ def encode(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_co
         if docs_:
             yield close()
 
-    ranged = rows.repartitionByRange(tasks(spark), "id").sortWithinPartitions("id", "ids")
+    # a hash beside the id, so that rows of one id don't all meet in one range
+    texts = rows.where("counts is null").select("id", "ids", "wide", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ranged = texts.repartitionByRange(tasks(spark), "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "ids", "wide")
     ranged.mapInArrow(each, schema).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     discard(spark, rows)
 

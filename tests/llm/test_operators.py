@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -38,28 +40,38 @@ def empty(spark):
 
 
 def brute_top(rows, k):
-    out = []
-    for q, v in rows.items():
+    """rows: (id, whole numbers)."""
+    out, most = [], 2**63 - 1
+    for n, (q, v) in enumerate(rows):
         if q % 20:
             continue
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows.items() if i != q and len(w) == len(v))
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+        scores = [(max(-most, min(most, sum(a * b for a, b in zip(v, w)))), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v)]
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
     return sorted(out)
 
 
-def test_top_k(spark):
+def brute_rows(rows):
+    return [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+
+
+def test_top_k(spark, monkeypatch):
+    """Ties, repeated ids, large components, lengths, over many lanes and waves."""
     rng = random.Random(1)
-    rows = {i: [rng.randint(-9, 9) for _ in range(3 if i % 3 else 5)] for i in range(900)}
-    rows[901] = [10**8, 10**9, -(10**9)]
-    rows[920] = [-(10**9), 3, 10**9]
-    rows |= {2000 + i: [1, 1, 1] for i in range(300)}  # ties
-    table = spark.createDataFrame([(i, [x / 64 + 0.001 for x in v]) for i, v in rows.items()] + [(5000, None), (5020, [1.0, None, 2.0]), (5040, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (20, [x / 64 + 0.001 for x in rows[20]])], "vec_id long, embedding array<double>")
+    rows = [(i, [rng.randint(-9, 9) / 64 + 0.001 for _ in range(3 if i % 3 else 5)]) for i in range(900)]
+    rows += [(901, [1e8, 1e9, -1e9]), (920, [-1e9, 3.0, 1e9]), (940, [1e16, -2e15, 1.0]), (941, [1e16, 2e15, -7.5]), (942, [1e300, 1.0, 2.0]), (960, [-3e15, 5e-324, 0.5])]
+    rows += [(2000 + i, [1.0, 1.0, 1.0]) for i in range(300)] + [(20, [0.5, 0.25, 1.0]), (20, [0.5, 0.25, 1.0]), (40, [1.0, 2.0, 3.0]), (40, rows[40][1])]
+    rows += [(5000, None), (5020, [1.0, None, 2.0]), (5040, [float("nan"), 1.0, 1.0]), (5060, [float("-inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (5080, []), (5100, []), (5120, [2.0, 1e308])]
+    table = spark.createDataFrame([(i, v, i, 7, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, id long, v int, dim string, lane int, block int")
     vectors = written(topk.integer_vectors(table), "v")
-    got = sorted(map(tuple, topk.top_k(vectors, F.col("id") % 20 == 0, 7).collect()))
-    assert got == brute_top({i: [int(np.floor((x / 64 + 0.001) * 64)) for x in v] for i, v in rows.items()}, 7)
+    want = brute_top(brute_rows(rows[:-1]) + [(5120, [128, 0])], 7)
+    for shard, lane in ((8192, 1 << 20), (50, 60)):
+        monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+        monkeypatch.setattr(topk, "LANE_ROWS", lane)
+        monkeypatch.setattr(topk, "QUERY_ROWS", shard // 5)
+        assert sorted(map(tuple, topk.top_k(vectors, F.col("id") % 20 == 0, 7).collect())) == want
     assert topk.top_k(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
-    same = spark.createDataFrame([(i, [i]) for i in range(50)], "id long, v array<long>")
-    assert topk.top_k(same, F.col("id") == 0, 20).count() == 20
+    same = topk.integer_vectors(spark.createDataFrame([(i, [i / 64]) for i in range(50)], "vec_id long, embedding array<double>"))
+    assert topk.top_k(written(same, "v"), F.col("id") == 0, 20).count() == 20
 
 
 def test_kd_leaves_bound():
@@ -360,18 +372,42 @@ def test_coder():
     assert alone.tolist() == [0, 1 << tokens.SCALE]
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     make = tokens.Encoder(path, 2)
     rng = random.Random(10)
     parts = [" ", " ", " ", "\n", "\t", "a", "word", "It's", "'s", "é", "中", "　", "\xa0", " ", "<|endoftext|>", "12", "!!", ".", "\x1c", "\x85", "\r"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + [None, "", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + [None, "", " ", "it's we'll I've 'sabc ''s !'s d'm'd", "a\0b", "x" * 300]
     want = [e.ids + [2] for e in make.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    got = make(texts)
-    assert [g.tolist() for g in got] == want
-    assert [g.tolist() for g in make(texts[:50])] == want[:50]
+
+    def lists(found):
+        ids, n = found
+        return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    assert lists(make(texts)) == want
+    assert lists(make(texts[:50])) == want[:50]
+    # with a memory of few pieces, and texts in parts
+    monkeypatch.setattr(tokens, "PIECES", 100)
+    monkeypatch.setattr(tokens, "CHARS", 500)
+    texts = texts[:2000] + [" ".join(t or "" for t in texts[2000:3000]), "word " * 1000, "中" * 3000]
+    want = want[:2000] + [e.ids + [2] for e in make.library.encode_batch(texts[2000:], add_special_tokens=False)]
+    assert [x for found in make.slices(texts) for x in lists(found)] == want
+    # pieces of one hash: the library decides
+    monkeypatch.setattr(make, "_hashes", lambda codes, starts, width: width.astype(np.uint64))
+    assert lists(make(texts[:300])) == want[:300]
+
+
+def test_encoder_asks_the_library_what_letters_are():
+    """Every assigned character between letters, digits and signs."""
+    import public_tokenizers
+
+    make = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    every = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}!{c} b {c}" for c in every[i : i + 50]) for i in range(0, len(every), 50)]
+    ids, n = make(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids + [2] for e in make.library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(spark):
@@ -390,6 +426,12 @@ def test_token_files(spark):
         start += len(ids)
     assert [len(r["ids"]) for r in tokens.decode(spark, out).orderBy("doc_id").collect()] == [r[2] for r in got]
     assert tokens.report(spark, odd(spark), path).count() == 10 and tokens.report(spark, empty(spark), path).count() == 0
+    # rows of one id are dealt over the ranges, and are still in order
+    same = documents(spark, [f"text {i}" for i in range(4000)] + ["other"], [7] * 4000 + [8])
+    tokens.encode(same, out + "-same", path)
+    assert spark.read.parquet(f"{out}-same/blocks").select("part").distinct().count() > 1
+    got = sorted(tokens.digest(spark, out + "-same").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [7] * 4000 + [8] and all(a["start"] + a["n_tokens"] == b["start"] for a, b in itertools.pairwise(got))
 
 
 # the pipeline
