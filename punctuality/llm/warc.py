@@ -2,7 +2,8 @@
 boundary-chain verification.
 
 Writing: pages of equal payloads (of at least MIN_REVISIT bytes) become revisits of the
-one with the largest id. A record is text, so the sink's own files are plain WARC/1.1
+one with the largest id. Which do is found from digests alone and brought to the pages
+where they are read. A record is text, so the sink's own files are plain WARC/1.1
 archives, with the sink's commit protocol behind them.
 
 Reading: tasks cut their splits at every magic line, which makes candidates, also inside
@@ -14,18 +15,21 @@ are put together again from the pieces they were cut into.
 
 Defined results: a null payload is empty, and of 0 bytes; a null id is written as an
 empty one and read back as null, and its page is always a response; of repeated rows of
-the largest id each is a response; an empty table makes an empty folder, which reads as no rows; other
-columns are kept out.
+the largest id each is a response; a very
+long payload is one record, written and digested whole (up to the 2 GB of a row); an
+empty table makes an empty folder, which reads as no rows; other columns are kept out,
+whatever they are called.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punctuality.llm.shared import written
+from punctuality.llm.shared import discard, tasks, written
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -33,38 +37,79 @@ MIN_REVISIT = 1000
 ID = "urn:page:"
 #: Rows of one archive file, at most.
 FILE_ROWS = 200_000
-#: Groups of equal payloads that are broadcast, at most (some 50 MB); more are joined by
-#: a shuffle.
-BROADCAST_GROUPS = 500_000
+#: Repeats that are broadcast at once, at most (some 100 MB).
+BROADCAST_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = MIN_REVISIT, date: str = DATE) -> DataFrame:
-    """(record): one WARC record a page, as text that ends in CR LF CR, so that the text
-    sink's line feed closes it."""
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+def _rows(pages: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    """(file, id, url, body) of pages; file: a hash of the path that a row is read from.
+    Pages that aren't read from files as they stand are written first."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    try:
+        return pages.select(F.xxhash64("_metadata.file_path").alias("file"), F.col(id_col).alias("id"), text(url_col).alias("url"), text(text_col).alias("body"))
+    except AnalysisException:
+        held = written(pages.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(text_col).alias("body")), "warc-pages")
+        return _rows(held, "id", "url", "body")
+
+
+def repeats(rows: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The pages (file, id, digest, first) whose payload a page of a larger id has, in
+    order of files; and ranges of files (from, to, how many such pages) for one broadcast
+    each. Of pages only digests are moved."""
+    digests = written(rows.select("file", "id", F.unhex(F.sha1(F.col("body").cast("binary"))).alias("digest"), F.octet_length("body").cast("long").alias("bytes")), "warc-digests")
+    large = digests.where((F.col("bytes") >= least) & F.col("id").isNotNull())
+    first = large.groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = large.join(first, ["digest", "bytes"]).where(F.col("id") != F.col("first")).select("file", "id", "digest", "first").distinct()
+    again = written(again.repartitionByRange(tasks(rows.sparkSession), "file", "id").sortWithinPartitions("file", "id"), "warc-repeats")
+    each = digests.select("file", F.lit(0).alias("n")).distinct().unionByName(again.select("file", F.lit(1).alias("n"))).groupBy("file").agg(F.sum("n").alias("n"))
+    ranges: list[tuple[int, int, int]] = []
+    for file, n in sorted(each.collect()):  # a row a file
+        if ranges and ranges[-1][2] + n <= BROADCAST_ROWS:
+            ranges[-1] = (ranges[-1][0], file, ranges[-1][2] + n)
+        else:
+            ranges.append((file, file, n))
+    discard(rows.sparkSession, digests)
+    return again, ranges
+
+
+def records(rows: DataFrame, again: DataFrame, date: str = DATE) -> DataFrame:
+    """(record): one WARC record a row (id, url, body), as text that ends in CR LF CR, so
+    that the text sink's line feed closes it. again: see repeats."""
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("sha1", F.sha1(F.col("body").cast("binary")))
-    same = rows.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("sha1", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    same = written(same.drop("n"), "warc-copies")
-    same = F.broadcast(same) if same.count() <= BROADCAST_GROUPS else same
-    joined = rows.join(same.select(F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"), "first"), F.expr("sha1 = _sha1 and bytes = _bytes and id is not null"), "left")
-    revisit = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
+    joined = rows.join(again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first"), F.expr("id = _id and unhex(sha1) = _digest"), "left")
+    revisit = F.col("first").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("body"))
     one_line = F.regexp_replace("url", r"[\r\n]", "")  # a header is one line
+    profile = line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     head = F.concat(
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", uri(F.col("id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", one_line),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), line("WARC-Payload-Length", F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", uri(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", (F.octet_length(body) + len(HTTP)).cast("string")),
-    )
+        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID", uri(F.col("id"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", one_line),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        line("WARC-Payload-Length", F.col("bytes").cast("string")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", uri(F.col("first"))), profile)).otherwise(F.lit("")),
+        line("Content-Type", F.lit("application/http;msgtype=response")),
+        line("Content-Length", (F.octet_length(body) + len(HTTP)).cast("string")),
+    )
     return joined.select(F.concat(F.lit(MAGIC), head, F.lit("\r\n" + HTTP), body, F.lit("\r\n\r")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, **options) -> None:
-    """Archives of the pages, as files in the folder path."""
-    records(pages, **options).write.option("maxRecordsPerFile", FILE_ROWS).option("lineSep", "\n").text(path)
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = MIN_REVISIT, date: str = DATE) -> None:
+    """Archives of the pages, as files in the folder path. Range by range of input files,
+    their repeats are broadcast; each file is read in one range alone, and no payload is
+    shuffled, however many repeats there are."""
+    rows = _rows(pages, id_col, url_col, text_col)
+    again, ranges = repeats(rows, least)
+    for a, b, n in ranges or [(0, 0, 0)]:
+        some = again.where(F.col("file").between(a, b))
+        # only one single file with more repeats than a broadcast may hold is joined by a shuffle
+        found = records(rows.where(F.col("file").between(a, b)), F.broadcast(some) if n <= BROADCAST_ROWS else some, date)
+        found.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", "\n").text(path)
+    discard(pages.sparkSession, again)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
