@@ -4,17 +4,23 @@ whole documents go.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with
 A-Z lowered. A window is WINDOW consecutive words of an item; an item with fewer
-words (but not none) is one window. The items are broadcast in parts of a bounded
-size; more items make more passes, never a larger broadcast.
+words (but not none) is one window. The items are cut into segments of up to SEGMENT
+words that overlap by a window less a word, repeats dropped, and broadcast in parts of
+a bounded size; more items make more passes, never a larger broadcast. As long as there
+is one part, documents are read where they stand; for more passes each is written once,
+with a row number, by which what the passes found is put together.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless
 item is never found; a null item_id counts as no item but its windows still hit;
-repeated items count once by their id; repeated documents get a row each; an empty
-benchmark hits nothing; other columns of the documents are kept by `decontaminate`.
+repeated items count once by their id, and one window of several items counts for each;
+very long texts and items are searched whole; repeated documents get a row each; an
+empty benchmark hits nothing; other columns of the documents are kept by `decontaminate`,
+whatever they are called.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -26,8 +32,9 @@ from pyspark.sql import types as T
 from punctuality.llm.shared import ascii_lower, written
 
 WINDOW = 10
-#: Characters of benchmark text in one broadcast (some 100 MB as a hash set).
-PART_CHARS = 1_000_000
+#: Characters of benchmark text in one broadcast (some 100 MB as a hash set), and words
+#: of a segment of an item.
+PART_CHARS, SEGMENT = 6_000_000, 2000
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -39,49 +46,55 @@ def words(text: str | None) -> list[str]:
 
 class Windows:
     """The hash set of a part of the benchmark: word numbers, and for each window
-    length a sorted array of hashes with the windows and items behind each."""
+    length the windows' words in the order of their hashes, with the items of each."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.number: dict[str, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = {}
+        self.items = sorted({i for i, _ in items if i is not None})
+        at = {item: i for i, item in enumerate(self.items)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.uint32)
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
+            if n:
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), at.get(item, -1)))
         self.by_length = {}
         for n, of in sorted(found.items()):
-            keys = np.array(list(of), np.uint64).reshape(-1, n)
-            hashes = _hash(keys.T)
-            self.by_length[n] = (np.sort(hashes), of)
+            rows = np.concatenate([x for x, _ in of])
+            item = np.repeat([i for _, i in of], [len(x) for x, _ in of])
+            hashes = _hash(rows.T)
+            order = np.lexsort((item, hashes))
+            self.by_length[n] = (hashes[order], rows[order], item[order])
 
     def hits(self, tokens: list[str]) -> tuple[np.ndarray, set]:
         """Which words are hit (a mask), and the items found."""
-        number = self.number
-        ids = np.fromiter((number.get(t, 0) for t in tokens), np.uint64, len(tokens))
+        ids = np.fromiter(map(self.number.get, tokens, itertools.repeat(0)), np.uint32, len(tokens))
         hit, items = np.zeros(len(tokens) + 1, np.int32), set()
         gap = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, (hashes, of) in self.by_length.items():
+        for n, (hashes, rows, item) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(gap[n:] == gap[:-n])  # all words of the window are known
             if not len(at):
                 continue
             h = _hash([ids[at + i] for i in range(n)])
-            where = np.searchsorted(hashes, h)
-            for i in at[hashes[np.minimum(where, len(hashes) - 1)] == h].tolist():
-                got = of.get(tuple(ids[i : i + n].tolist()))  # verified word by word
-                if got:
-                    hit[i] += 1
-                    hit[i + n] -= 1
-                    items |= got
-        return np.cumsum(hit[:-1]) > 0, items
+            first, last = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            at, first, many = at[last > first], first[last > first], (last - first)[last > first]
+            # every window of that hash, verified word by word
+            which = np.repeat(np.arange(len(at)), many)
+            place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(which))
+            same = (rows[place] == ids[at[which][:, None] + np.arange(n)]).all(1)
+            items.update(np.unique(item[place[same]]).tolist())
+            begin = at[np.unique(which[same])]
+            hit[begin] += 1
+            hit[begin + n] -= 1
+        return np.cumsum(hit[:-1]) > 0, {self.items[i] for i in items if i >= 0}
 
 
 def _hash(columns) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        h = (h ^ c) * _MULT
+        h = (h ^ c.astype(np.uint64)) * _MULT
         h ^= h >> np.uint64(29)
     return h
 
@@ -91,27 +104,48 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, int]:
-    """The items with the number of the part of at most about `limit` characters that
-    each is in, and the number of parts."""
+def _parts(items: DataFrame, id_col: str, text_col: str, window: int, limit: int) -> tuple[DataFrame, int]:
+    """The items' segments, each once, with the number of the part of about `limit`
+    characters that each is in, and the number of parts."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // limit))
-    return rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
-
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = words(text)
+                some = [" ".join(found[i : i + SEGMENT + window - 1]) for i in range(0, max(1, len(found) - window + 1), SEGMENT)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.string()), pa.array(some, pa.string())], names=["item", "text"])
+
+    segments = written(rows.mapInArrow(cut, "item string, text string").distinct(), "leak-segments")
+    total = segments.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = 1 if total <= limit else -(-2 * int(total) // limit)  # half as much on average: a hash doesn't deal evenly
+    return segments.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+
+
+def _held(parts: DataFrame, part: int, window: int):
+    """The broadcast of a part."""
+    found = parts.where(F.col("part") == part).select("item", "text").collect()  # bounded: see _parts
+    return parts.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in found], window))
+
+
+def hits(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    part_chars: int = PART_CHARS,
+) -> DataFrame:
     """(id, n_words, spans of hit words, items), one row a document; ids as text in
     ascending order."""
-    parts, n = _parts(items, item_col, item_text, part_chars)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kept = rows.select("id").schema
-    spark = docs.sparkSession
+    parts, n = _parts(items, item_col, item_text, window, part_chars)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows if n == 1 else written(rows, "leak-docs")
     found = None
     for part in range(n):
-        held = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in parts.where(F.col("part") == part).select("item", "text").collect()], window))
-        one = rows.mapInArrow(_search(held), _schema(kept))
-        one = one if n == 1 else written(one, "leak-hits")  # alone, as a row's place in the input counts
+        one = rows.mapInArrow(_search(_held(parts, part, window)), _schema(rows.select("id").schema))
         found = one if found is None else found.unionByName(one)
     if n == 1:
         return found.select("id", "n_words", "spans", F.array_sort("items").alias("items"))
@@ -122,11 +156,11 @@ def _schema(kept):
     return T.StructType(list(kept.fields)).add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("at", "long").add("to", "long"))).add("items", T.ArrayType(T.StringType())).add("_row", "long")
 
 
+_SPANS = pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))
+
+
 def _search(held):
     def each(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
         windows = held.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -137,10 +171,9 @@ def _search(held):
                     mask, got = windows.hits(tokens)
                     n_words.append(len(tokens))
                     spans.append([{"at": a, "to": b} for a, b in _spans(mask)])
-                    items.append(sorted(x for x in got if x is not None))
-                rows = range(row, row + part.num_rows)
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(rows, pa.int64())], names=["id", "n_words", "spans", "items", "_row"])
+                    items.append(sorted(got))
+                cells = [part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), part.column(2)]
+                yield pa.RecordBatch.from_arrays(cells, names=["id", "n_words", "spans", "items", "_row"])
 
     return each
 
@@ -170,13 +203,22 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "document", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    mode: str = "document",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    part_chars: int = PART_CHARS,
+) -> DataFrame:
     """docs with all their columns: without the documents that hold a window (mode
     "document"), or with the hit words cut out of their texts (mode "span")."""
     if mode not in ("document", "span"):
         raise ValueError(f"mode: document or span, not {mode!r}")
-    parts, n = _parts(items, item_col, item_text, part_chars)
-    at, schema, spark = docs.columns.index(text_col), docs.schema, docs.sparkSession
+    parts, n = _parts(items, item_col, item_text, window, part_chars)
+    at, schema = docs.columns.index(text_col), docs.schema
 
     def clean(held):
         def each(batches):
@@ -197,8 +239,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "document", tex
         return each
 
     for k in range(n):
-        held = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in parts.where(F.col("part") == k).select("item", "text").collect()], window))
-        docs = docs.mapInArrow(clean(held), schema)
+        docs = docs.mapInArrow(clean(_held(parts, k, window)), schema)
         if k < n - 1:
             docs = written(docs, "clean-docs")
     return docs

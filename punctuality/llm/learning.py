@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int, keep: Column | None = None) -> DataFrame:
     """(id, y, text) of at most `rows` labelled documents, the first by a hash of the
     id; keep: a condition on the column `id` of labels. Ids with no label of 0 or 1,
-    or with both, teach nothing. Only the ids of the sample are broadcast."""
+    or with both, teach nothing; of documents that share an id one teaches, that of the
+    least hash of its text. Only the ids of the sample are broadcast."""
     y = F.col(label).cast("int")
     known = labels.select(F.col(id_col).alias("id"), y.alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known if keep is None else known.where(keep)
@@ -21,7 +22,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "id").select("id", "y", "text")
+    found = texts.join(F.broadcast(known), "id")
+    # one text an id: partial aggregates leave one in each task before any is moved
+    return found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def scored(docs: DataFrame, id_col: str, text_col: str, score: Callable, result: str = "score") -> DataFrame:

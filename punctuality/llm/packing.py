@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins of a fixed size, with conflicts.
 
-Documents are dealt by a hash of their ids to packing shards of about SHARD_ROWS
-pieces. In a shard, pieces go in by falling size; open bins are kept in order of what
+Pieces are dealt to packing shards of about SHARD_ROWS by their place in the input, so
+that neither a hot source nor repeated rows or ids gather in one. In a shard, pieces go in by falling size; open bins are kept in order of what
 is left in them, each with a bitmap of its sources (max_per_source bits a source) and
 one of its duplicate clusters. The search starts at the tightest bin that has room and
 goes on to its successors until one is compatible: no other document of the same
@@ -11,8 +11,10 @@ A document costs its length and 1 for a separator; one longer than a bin is cut
 pieces that fill whole bins, and a last one. Only ids, sizes and hashes are shuffled.
 
 Defined results: a null or empty text has length 0 and is packed (cost 1); a null
-source is a source, a null cluster never conflicts; repeated rows (ids too) are packed
-each; an empty table gives no bins; other columns are never read.
+source is a source, a null cluster never conflicts; pieces of equal size go in by id and
+piece, then by source; of bins with equal room the oldest is taken; a very long text
+makes as many full bins as it fills, its length alone is read; repeated rows (ids too)
+are packed each; an empty table gives no bins; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from punctuality.llm.shared import written
+
 CAPACITY = 16384
 MAX_PER_SOURCE = 4
 SHARD_ROWS = 4096
@@ -64,20 +68,36 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, max
     return bins, slots
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    length: Column | None = None,
+    source_col: str = "source",
+    cluster: Column | None = None,
+    capacity: int = CAPACITY,
+    max_per_source: int = MAX_PER_SOURCE,
+) -> DataFrame:
     """A row for each piece: id_col, piece, start, length, bin_id, slot. length: of a
     document, by default its characters; cluster: its duplicate cluster (long)."""
     if capacity < 2 or max_per_source < 1:
         raise ValueError("capacity is 2 at least, max_per_source 1")
     most = capacity - 1
     length = F.length(F.col("text").cast("string")) if length is None else length
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.xxhash64(F.col(source_col)).alias("source"), (F.lit(None).cast("long") if cluster is None else cluster.cast("long")).alias("cluster"))
-    n = max(1, -(-docs.count() // SHARD_ROWS))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most) - 1).cast("int"))))
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(length, F.lit(0)).cast("long").alias("n"),
+        F.xxhash64(F.col(source_col)).alias("source"),
+        (F.lit(None).cast("long") if cluster is None else cluster.cast("long")).alias("cluster"),
+    )
+    # sizes alone are written: a shard is dealt by a row's place, which must not change
+    rows = written(rows, "piece-sizes")
+    how_many = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("long")
+    n = max(1, -(-int(rows.agg(F.sum(how_many)).first()[0] or 0) // SHARD_ROWS))
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.sequence(F.lit(0), (how_many - 1).cast("int"))))
     pieces = pieces.select(
         "id", "piece", "source", "cluster", (F.col("piece").cast("long") * most).alias("start"),
         F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece").cast("long") * most).alias("length"),
-        F.pmod(F.xxhash64("id", "n", "cluster"), F.lit(n)).cast("long").alias("shard"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(n)).cast("long").alias("shard"),
     )
 
     def each(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -1,14 +1,16 @@
 """Quality classifier: logistic regression on hashed word n-grams, learned with
 follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot products.
 
-A token is a run of word characters or of other signs. Its n-grams are taken over
-three renderings: the token itself (unigrams), its shape (letter case, digits, the
-sign) and whether it repeats the last token of its kind (1- to 3-grams). Feature
-values are the n-grams' shares of the text, so that length does not count.
-
-Defined results: a null or empty text has the bias alone as its score; a corpus
-without any usable label gives every text the score 0.5; repeated rows are scored
-alike; other columns are never read.
+A token is a run of word characters or of other signs. Features are the hashed 1- to
+3-grams of the lower-cased tokens and, beside them, those of the tokens' shapes (letter
+case, digits, the sign, and whether the token repeats one of the two before it). A
+feature's value is the square root of its share of the text's tokens, so that length
+does not count.
+
+Defined results: a null or empty text has the bias alone as its score; a very long text
+is scored whole; a corpus without any usable label gives every text the score 0.5; a
+score at the threshold is 1; repeated rows are scored alike, and of rows that share a
+labelled id one teaches; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from punctuality.llm.learning import filtered, labelled, scored
 
-BITS = 18
+BITS = 20
 #: Bound of the labelled sample, and passes over it.
 TRAIN_ROWS, PASSES = 6000, 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
@@ -70,13 +72,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(word), np.uint32)
     again[1:] |= word[1:] == word[:-1]
     again[2:] |= (word[2:] == word[:-2]).astype(np.uint32) << np.uint32(1)
-    mark = shape * np.uint32(4) + again
     found = [_slots(word, 1), _slots(shape, 2), _slots(again, 3)]
-    if len(word) > 1:
-        two = mark[:-1] * np.uint32(31) + mark[1:]
-        found.append(_slots(two, 4))
-        if len(word) > 2:
-            found.append(_slots(two[:-1] * np.uint32(31) + mark[2:], 5))
+    for salt, of in ((4, shape * np.uint32(4) + again), (6, word)):
+        two = of[:-1] * np.uint32(31) + of[1:]
+        found += [_slots(two, salt), _slots(two[:-1] * np.uint32(31) + of[2:], salt + 1)]
     slots, counts = np.unique(np.concatenate(found), return_counts=True)
     return slots.astype(np.int32), (np.sqrt(counts / len(word)) * SCALE).astype(np.float32)
 
@@ -123,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 
 def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
-    """A function of texts for executors; the weights (1 MB) are broadcast."""
+    """A function of texts for executors; the weights (4 MB) are broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: list[str]) -> list[float]:

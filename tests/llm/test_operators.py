@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from punctuality.llm import decontam, licences, packing, quality, sharding, simhash, tokens, topk, toxicity, warc
+from punctuality.llm import decontam, learning, licences, packing, quality, sharding, simhash, tokens, topk, toxicity, warc
 from punctuality.llm.shared import new_path, written
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +129,10 @@ def test_pack(spark):
     whole = packing.bin_texts(docs, spark.createDataFrame(rows), separator="|").collect()
     assert sum(len(r["text"]) for r in whole) == sum(map(len, texts.values())) + len(rows)
     assert packing.pack(empty(spark)).count() == 0
+    # 30,000 equal rows, without an id: many shards, none much larger than others
+    same = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("s").alias("source"))
+    packed = packing.pack(same, cluster=packing.text_cluster()).groupBy(F.shiftright("bin_id", 32).alias("shard")).count().collect()
+    assert len(packed) == 8 and sum(r["count"] for r in packed) == 30_000 and max(r["count"] for r in packed) < 4500
     assert packing.pack(odd(spark), cluster=packing.text_cluster()).select("doc_id", "piece").distinct().count() > 10
 
 
@@ -181,10 +185,27 @@ def test_decontamination(spark, chars):
     assert kept == {i for i in got if not got[i]["contaminated"]}
     for r in decontam.decontaminate(docs, bench, mode="span").collect():
         assert len(decontam.words(r["text"])) == got[r["doc_id"]]["n_words"] - got[r["doc_id"]]["n_hit"]
+    clash = odd(spark).withColumn("items", F.lit(1)).withColumn("n_words", F.lit(2))
+    assert decontam.decontaminate(clash, bench, part_chars=chars).columns == clash.columns
+    assert decontam.report(clash, bench, part_chars=chars).count() == 10
     assert decontam.decontaminate(odd(spark), bench).count() == 10 and decontam.report(empty(spark), bench).count() == 0
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_one_large_item_is_dealt_in_parts(spark):
+    """An item of 5 MB that repeats: no part of it is larger than the bound."""
+    rng = random.Random(44)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(650_000))
+    bench = spark.createDataFrame([(1, item)] * 3 + [(2, "a b c")], "item_id long, text string")
+    parts, n = decontam._parts(bench, "item_id", "text", 10, 10**6)
+    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert n == len(sizes) > 5 and max(sizes.values()) <= 10**6
+    words = item.split()
+    texts = [" ".join(words[a : a + 10]) for a in (0, 1985, 1995, 3999, 649_990)] + [" ".join(words[649_991:]), "so a b c"]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.report(documents(spark, texts), bench, part_chars=10**6).collect()}
+    assert got == {i: (10, 1) for i in range(5)} | {5: (0, 0), 6: (3, 1)}
+
+
 # 5
 
 
@@ -265,8 +286,10 @@ def test_warc(spark, monkeypatch):
     html = [big, big, big, None, "", "short", "short", trap, trap, "WARC/1.1\r\n", "a\nb\r\n\r\nc\r\n\r\n", record, "中文" * 3000]
     rows = [(i, None if i % 5 == 4 else f"http://x/é{i}\r\nX: y", h, 1, "z") for i, h in enumerate(html)] + [(2, "u", big, 1, "z"), (None, "u", big, 1, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int, sha1 string")
-    for size, groups in (("1k", 0), ("64m", 9)):
-        monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
+    held = new_path(spark, "pages")
+    pages.repartition(5).write.parquet(held)
+    for size, repeats, pages in (("1k", 0, pages), ("64m", 9, pages), ("64m", 1, spark.read.parquet(held)), ("64m", 0, spark.read.parquet(held))):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", repeats)
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         got = sorted((tuple(r) for r in warc.report(spark, pages, new_path(spark, "warc")).collect()), key=str)
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -296,6 +319,10 @@ def test_classifiers(spark, name):
     kept = keep_fn(docs, labels, keep=keep)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"] == (name == "quality")}
     assert op(odd(spark), labels).count() == 10 and op(empty(spark), labels).count() == 0
+    # a labelled id that repeats teaches once
+    many = docs.limit(50).unionByName(docs.limit(1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("x"))
+    every = docs.limit(50).select("doc_id", F.lit(1).alias(name))
+    assert learning.labelled(many, every, name, "doc_id", "text", 40).count() == 40
     conflict = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (None, 1, 1), (2, None, None), (3, 7, 7)], "doc_id long, quality int, toxic int")
     assert len({r["score"] for r in op(docs.limit(9), conflict).collect()}) == 1
 
@@ -304,7 +331,7 @@ def test_long_text_scores_as_in_pieces():
     text = "Some words, and more of them. " * 20_000
     rng = np.random.default_rng(7)
     table = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
-    data = np.frombuffer(toxicity.plain(text), np.uint8).astype(np.uint32)
+    data = toxicity.plain(text)
     total = sum(float(table[s].astype(np.float64).sum()) for _, s in toxicity.grams(data)) * toxicity.SCALE / len(data)
     assert abs(toxicity.score_texts([text], table, 0.0)[0] - 1 / (1 + np.exp(-total))) < 1e-3
 
