@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only
-    where nothing sets it (a local test session) a temporary one is made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in a local
+    session, as in tests, where nothing sets it, a temporary one is made."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -45,6 +47,22 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_skewed(rows: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
+    """rows.join(other, key, how) for an other of one row a key. Keys that more than a
+    HOT-th of all rows have (so at most HOT) are joined by a broadcast of those alone, so
+    that no task gets all rows of one."""
+    n = rows.count()
+    hot = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(HOT_ROWS, n // HOT)).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(other, key, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(other.join(hot, key))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(other, key, how))
+
+
+HOT, HOT_ROWS = 4096, 500
+
+
 def tasks(spark: SparkSession) -> int:
     """How many partitions a shuffle makes in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

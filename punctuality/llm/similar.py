@@ -3,15 +3,19 @@ Jaccard similarity of 0.8 or more are linked, and one of each class of linked te
 
 Candidates come from SimHash fingerprints by the vantage-point search of `simhash`, with
 a radius that such pairs hardly pass (see RADIUS), and are linked only after both sets of
-shingles were compared in full. Two things bound the work, and neither drops a pair:
+shingles were compared in full. Three things bound the work, and none drops a pair but
+once in some 300,000:
 `stars` first joins what shares a least hash with the first text of its bucket, so that of
 a large group of near copies few pairs are left for the search, which skips texts that are
-joined already; and a sketch of 16 bytes, of which a pair at 0.8 shares 13 on average and
-fewer than SHARED once in some 300,000, turns random neighbours away before any shuffle.
+joined already; a sketch of 16 bytes, of which a pair at 0.8 shares 13 on average, turns
+random neighbours away where they are found; and one of LONG bytes, of which it shares 51
+on average, turns away what shares passages only, before any set of shingles is moved.
 
 Defined results: a null text is an empty one, empty and blank texts are copies of each
-other; texts of fewer than five words are one shingle; documents without an id stay and
-link nothing, as nothing tells them apart; other columns are kept, whatever they are called.
+other; texts of fewer than five words are one shingle; very long texts are compared whole;
+of a class the smallest id stays; repeated rows of an id are one document, documents
+without an id stay and link nothing, as nothing tells them apart; an empty table stays
+empty; other columns are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctuality.llm import simhash
-from punctuality.llm.shared import lower_bytes, written
+from punctuality.llm.shared import join_skewed, lower_bytes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a bit differs with p = acos(0.89) / pi = 0.15: 9.7 of 64 bits, deviation 2.9.
 RADIUS = 20
-#: Bytes of a sketch, how many of them candidates share at least, buckets of a text.
-SKETCH, SHARED, STARS = 16, 5, 4
-_SALTS = np.random.default_rng(8).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of the sketches, how many of them candidates share at least (each fewer once in
+#: some 300,000 at 0.8), buckets of a text.
+SKETCH, SHARED, LONG, LONG_SHARED, STARS = 16, 5, 64, 36, 4
+_SALTS = np.random.default_rng(8).integers(1, 1 << 63, (2, LONG), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -54,21 +59,21 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 8192):
-        mixed = (hashes[at : at + 8192, None] ^ _SALTS[0]) * _SALTS[1]
+    least = np.full(LONG, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        mixed = (hashes[at : at + 512, None] ^ _SALTS[0]) * _SALTS[1]
         least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
     return least
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
-    """16 bytes as two numbers: of each least hash eight of its middle bits."""
+    """Of each least hash eight of its middle bits, eight bytes a number."""
     return (least >> np.uint64(20)).astype(np.uint8).view(np.uint64)
 
 
-def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def agree(a: np.ndarray, b: np.ndarray, least: int = SHARED) -> np.ndarray:
     """For rows of sketches whether they share enough bytes."""
-    return (a.view(np.uint8).reshape(-1, SKETCH) == b.view(np.uint8).reshape(-1, SKETCH)).sum(1) >= SHARED
+    return (a.view(np.uint8).reshape(len(a), -1) == b.view(np.uint8).reshape(len(b), -1)).sum(1) >= least
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -92,22 +97,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """(id, node, fp, s0, s1, m0...): fingerprint, sketch and least hashes of each row."""
+    """(id, node, fp, s0, s1, m0..., sketch): fingerprint, sketches and least hashes."""
     names = ["fp", "s0", "s1", *[f"m{i}" for i in range(STARS)]]
 
     def each(batches):
         for batch in batches:
-            out = np.zeros((len(names), batch.num_rows), np.uint64)
+            out, sketches = np.zeros((len(names), batch.num_rows), np.uint64), []
             for i, t in enumerate(batch.column(2)):
                 hashes = shingles(t.as_py())
                 least = least_hashes(hashes)
-                out[:, i] = [fingerprint(hashes), *sketch(least), *least[:STARS]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in out]], names=["id", "node", *names])
+                out[:, i] = [fingerprint(hashes), *sketch(least[:SKETCH]), *least[:STARS]]
+                sketches.append(sketch(least).tobytes())
+            cells = [batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in out], pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, names=["id", "node", *names, "sketch"])
 
     schema = rows.select("id", "node").schema
     for name in names:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema.add("sketch", "binary"))
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -128,26 +135,18 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Candidates between the columns of a and b (b None: within a): rows are fp, class,
-    node and sketch, in tree order. Pairs of one class are joined already."""
-    same, tile = b is None, simhash.TILE
-    b = a if same else b
-    (lo_a, hi_a), (lo_b, hi_b) = simhash._tile_bounds(a[0]), simhash._tile_bounds(b[0])
-    out_a, out_b = [], []
-    for s in range(lo_a.shape[1]):
-        left = a[0, s * tile : (s + 1) * tile, None]
-        close = ((lo_b <= hi_a[:, s : s + 1] + radius) & (hi_b >= lo_a[:, s : s + 1] - radius)).all(0)
-        for t in np.flatnonzero(close):
-            if same and t < s:
-                continue
-            i, j = np.divmod(np.flatnonzero(np.bitwise_count(left ^ b[None, 0, t * tile : (t + 1) * tile]) <= radius), min(tile, b.shape[1] - t * tile))
-            i, j = i + s * tile, j + t * tile
-            ok = (a[1, i] != b[1, j]) & (i < j if same else True)
-            i, j = i[ok], j[ok]
-            ok = agree(np.ascontiguousarray(a[3:, i].T), np.ascontiguousarray(b[3:, j].T))
-            out_a.append(a[2, i[ok]])
-            out_b.append(b[2, j[ok]])
-    none = [np.zeros(0, np.uint64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+    node and sketch. Pairs of one class are joined already."""
+    other = a if b is None else b
+    out_a, out_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i, j, found in simhash.near_pairs(np.ascontiguousarray(a[0]), None if b is None else np.ascontiguousarray(b[0]), radius):
+        x, y = np.nonzero(found)
+        x, y = i[x], j[y]
+        apart = a[1, x] != other[1, y]
+        x, y = x[apart], y[apart]
+        ok = agree(np.ascontiguousarray(a[3:, x].T), np.ascontiguousarray(other[3:, y].T))
+        out_a.append(a[2, x[ok]])
+        out_b.append(other[2, y[ok]])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
@@ -164,8 +163,23 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
     return simhash._shard_pairs(blocks, RADIUS).mapInArrow(search, "a long, b long")
 
 
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose long sketches agree."""
+
+    def keep(batches):
+        for batch in batches:
+            x, y = (np.array([v.as_py() for v in batch.column(i)], f"S{LONG}").view(np.uint8).reshape(-1, LONG) for i in (2, 3))
+            a, b = _numbers(batch, 0, 1)
+            ok = agree(x, y, LONG_SHARED)
+            yield _longs([a[ok], b[ok]], ["a", "b"])
+
+    side = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sketch").alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles are similar."""
+    pairs = written(likely(pairs, nodes), "near-likely")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("id")), "node")
 
     def each(batches):
@@ -196,7 +210,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1"), "near-labelled")
     more = written(verified(written(candidates(labelled, labelled.count()), "near-candidates"), rows, nodes), "near-links")
     comps = written(simhash.components(near_links.union(more)), "near-classes")
-    return printed.select("id", "node").join(comps, "node", "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
+    return join_skewed(printed.select("id", "node"), comps, "node", "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +219,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(classes(docs, id_col, text_col), "near-rows")
     at = F.struct("id", "node")
     least = found.groupBy("comp").agg(F.min(at).alias("least"))
-    other = found.join(least, "comp").where(at != F.col("least"))
+    other = join_skewed(found, least, "comp", "inner").where(at != F.col("least"))
     drop = written(other.select(F.col("id").alias(id_col), F.col("node").alias("_near_node")).distinct(), "near-drop")
     twice = written(found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(id_col), F.col("node").alias("_near_node")), "near-repeated")
     noded = docs.withColumn("_near_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
