@@ -31,7 +31,7 @@ def observed(name: str, text: str, job: Callable[[DataFrame], DataFrame]) -> Non
 FLIGHT = ", ".join(history.FLIGHT)
 LEG = ", ".join(history.LEG)
 _LEGS = """o AS (SELECT *, CAST(scheduled_departure_utc AS DATE) AS utc_day, CAST(actual_departure_utc IS NOT NULL AS INT) + CAST(estimated_departure_utc IS NOT NULL AS INT) + CAST(scheduled_arrival_utc IS NOT NULL AS INT) + CAST(terminal IS NOT NULL AS INT)
-  + CAST(gate IS NOT NULL AS INT) + CAST(airline_iata IS NOT NULL AS INT) + CASE WHEN status <> 'UNKNOWN' THEN 2 ELSE 0 END + CASE WHEN data_quality = 'OK' THEN 1 ELSE 0 END AS rich,
+  + CAST(gate IS NOT NULL AS INT) + CAST(airline_iata IS NOT NULL AS INT) + CAST(actual_arrival_utc IS NOT NULL AS INT) + CAST(aircraft_type IS NOT NULL AS INT) + CASE WHEN status <> 'UNKNOWN' THEN 2 ELSE 0 END + CASE WHEN data_quality = 'OK' THEN 1 ELSE 0 END AS rich,
   CASE status WHEN 'UNKNOWN' THEN 0 WHEN 'SCHEDULED' THEN 1 WHEN 'BOARDING' THEN 2 WHEN 'DELAYED' THEN 3 WHEN 'DEPARTED' THEN 4 WHEN 'DIVERTED' THEN 5 WHEN 'CANCELLED' THEN 6 ELSE 7 END AS settled FROM observations)"""
 _SHOWN = (*history.LEG, "observation_id", "status", "data_source")
 
@@ -47,60 +47,107 @@ observed("best_per_source", _first_row(LEG + ", data_source", "rich DESC, observ
 
 # --- merges ---
 
-_FIELDS = (*history.SIMPLE, *history.OBSERVED, *history.PREDICTED)
+_FIELDS = history.FIELDS
 _RANK = "CASE data_source WHEN 'primary' THEN 0 WHEN 'second' THEN 1 ELSE 2 END"
-_BEST = f"best AS (SELECT *, {_RANK} AS place FROM o QUALIFY row_number() OVER (PARTITION BY {LEG}, data_source ORDER BY rich DESC, observed_at, observation_id) = 1)"
-_USABLE = f"usable AS (SELECT * FROM (SELECT *, bool_or(NOT is_mock) OVER (PARTITION BY {LEG}) AS any_real FROM best) WHERE NOT is_mock OR NOT any_real)"
-_PICK = ", ".join(f"arg_min({c}, place) FILTER ({c} IS NOT NULL) AS {c}, arg_min(data_source, place) FILTER ({c} IS NOT NULL) AS {c}_src" for c in _FIELDS)
-_GROUPED = f"""g AS (SELECT {LEG}, {_PICK}, arg_min(status, place) AS base_status, arg_min(is_cancelled, place) AS base_cancelled, arg_min(is_diverted, place) AS base_diverted, arg_min(delay_minutes, place) FILTER (delay_minutes IS NOT NULL) AS told,
-  count(*) AS records, string_agg(data_source, '+' ORDER BY place) AS data_source, count(DISTINCT date_trunc('minute', actual_departure_utc)) > 1 AS c1, bool_and(is_cancelled) <> bool_or(is_cancelled) AS c2, bool_and(is_diverted) <> bool_or(is_diverted) AS c3 FROM usable GROUP BY {LEG}),
-d AS (SELECT *, CASE WHEN actual_departure_utc IS NOT NULL THEN CAST(date_diff('minute', scheduled_departure_utc, actual_departure_utc) AS INTEGER) WHEN estimated_departure_utc IS NOT NULL THEN CAST(date_diff('minute', scheduled_departure_utc, estimated_departure_utc) AS INTEGER) ELSE told END AS late FROM g),
-s AS (SELECT *, CASE WHEN base_cancelled OR base_status = 'CANCELLED' AND NOT base_diverted THEN 'CANCELLED' WHEN base_diverted THEN 'DIVERTED' WHEN actual_departure_utc IS NOT NULL THEN 'DEPARTED' WHEN base_status IN ('SCHEDULED', 'UNKNOWN') AND late >= 15 THEN 'DELAYED' ELSE base_status END AS status FROM d),
-m AS (SELECT *, CASE WHEN status NOT IN ('CANCELLED', 'DIVERTED') THEN late END AS delay_minutes FROM s)"""
-_MERGED = f"{_BEST}, {_USABLE}, {_GROUPED} "
+
+
+def _merge_sql(keys: str) -> str:
+    """CTEs up to m: the records of each group as a list in the order of trust, each field
+    the first in it that is known; a lone record as it is."""
+    first = lambda c: f"list_filter(rs, lambda r: r.{c} IS NOT NULL)[1]"
+    picks = ",\n  ".join(f"{first(c)}.{c} AS {c}, {first(c)}.data_source AS {c}_src" for c in _FIELDS)
+    differs = lambda c: f"len(list_distinct(list_transform(list_filter(rs, lambda r: r.{c} IS NOT NULL), lambda r: date_trunc('minute', r.{c})))) > 1"
+    split = lambda c: f"len(list_distinct(list_transform(rs, lambda r: r.{c}))) > 1"
+    minutes = lambda a, b: f"CAST(date_diff('minute', {b}, {a}) AS INTEGER)"
+
+    def delay(side: str, told: str) -> str:
+        sched, est, act = f"scheduled_{side}_utc", f"estimated_{side}_utc", f"actual_{side}_utc"
+        return f"CASE WHEN {sched} IS NOT NULL AND {act} IS NOT NULL THEN {minutes(act, sched)} WHEN {sched} IS NOT NULL AND {est} IS NOT NULL THEN {minutes(est, sched)} ELSE {told} END"
+
+    return f"""grouped AS (SELECT {keys}, count(*) AS records, bool_or(NOT is_mock) AS any_real,
+  list(o ORDER BY {_RANK}, observed_at, observation_id) AS every FROM o GROUP BY {keys}),
+usable AS (SELECT {keys}, records, list_filter(every, lambda r: NOT r.is_mock OR NOT any_real) AS rs FROM grouped),
+g AS (SELECT *, rs[1] AS base, len(rs) = 1 AS alone,
+  {picks},
+  {differs("actual_departure_utc")} AS c1, {differs("actual_arrival_utc")} AS c2, {split("is_cancelled")} AS c3, {split("is_diverted")} AS c4,
+  list_filter(list_transform(rs, lambda r: r.delay_minutes), lambda x: x IS NOT NULL)[1] AS told,
+  list_filter(list_transform(rs, lambda r: r.arrival_delay_minutes), lambda x: x IS NOT NULL)[1] AS told_arrival FROM usable),
+d AS (SELECT *, {delay("departure", "told")} AS late, {delay("arrival", "told_arrival")} AS landed FROM g),
+s AS (SELECT *, CASE WHEN alone THEN base.status WHEN base.is_cancelled THEN 'CANCELLED' WHEN base.is_diverted THEN 'DIVERTED' WHEN base.raw_status = 'cancelled' THEN 'CANCELLED'
+  WHEN actual_arrival_utc IS NOT NULL THEN 'ARRIVED' WHEN actual_departure_utc IS NOT NULL THEN 'DEPARTED'
+  WHEN base.raw_status IN ('scheduled', 'unknown') AND late >= 15 THEN 'DELAYED' ELSE upper(base.raw_status) END AS status FROM d),
+t AS (SELECT *, CASE WHEN alone THEN base.delay_minutes WHEN status NOT IN ('CANCELLED', 'DIVERTED') THEN late END AS delay_minutes,
+  CASE WHEN alone THEN base.arrival_delay_minutes WHEN status NOT IN ('CANCELLED', 'DIVERTED') THEN landed END AS arrival_delay_minutes FROM s),
+m AS (SELECT *, CASE WHEN alone THEN base.is_cancelled ELSE base.is_cancelled OR status = 'CANCELLED' END AS is_cancelled,
+  CASE WHEN alone THEN base.is_diverted ELSE base.is_diverted OR status = 'DIVERTED' END AS is_diverted, base.is_codeshare AS is_codeshare,
+  array_to_string(list_transform(rs, lambda r: r.data_source), '+') AS data_source,
+  CASE WHEN alone THEN base.data_quality WHEN delay_minutes NOT BETWEEN -180 AND 1440 THEN 'UNRELIABLE' WHEN status = 'UNKNOWN' THEN 'PARTIAL'
+    WHEN status IN ('DEPARTED', 'ARRIVED', 'DIVERTED') AND delay_minutes IS NULL THEN 'PARTIAL' WHEN scheduled_arrival_utc IS NULL THEN 'PARTIAL' ELSE 'OK' END AS data_quality,
+  CASE WHEN alone THEN [] ELSE list_filter([CASE WHEN c1 THEN 'actual_departure_utc' END, CASE WHEN c2 THEN 'actual_arrival_utc' END, CASE WHEN c3 THEN 'is_cancelled' END,
+    CASE WHEN c4 THEN 'is_diverted' END], lambda x: x IS NOT NULL) END AS conflicts FROM t) """
+
+
+_MERGED = _merge_sql(LEG)
 
 
 def _merged(o: DataFrame) -> DataFrame:
-    return history.merge(history.best_per_source(history.legs(o)))
+    return history.merge(history.legs(o))
 
 
-_OUT = (*history.LEG, *_FIELDS, "status", "delay_minutes", "is_cancelled", "is_diverted", "data_quality", "data_source")
+_OUT = (*history.LEG, *_FIELDS, "status", "delay_minutes", "arrival_delay_minutes", "is_cancelled", "is_diverted", "is_codeshare", "data_quality", "data_source")
 
 
 def _with_more(text: str, select: str) -> str:
     return sql.with_(adapters.OBSERVATIONS_SQL, _LEGS, text) + select
 
 
+over("merge_records", adapters.observations, _with_more(_MERGED, f"SELECT {', '.join(_OUT)} FROM m"), lambda o: _merged(o).select(*_OUT))
+_DERIVED = ("is_cancelled", "is_diverted", "status", "delay_minutes")
 over(
-    "merge_records", adapters.observations,
-    _with_more(_MERGED, f"""SELECT {LEG}, {', '.join(_FIELDS)}, status, delay_minutes, base_cancelled OR status = 'CANCELLED' AS is_cancelled, base_diverted OR status = 'DIVERTED' AS is_diverted, data_source,
-  CASE WHEN delay_minutes NOT BETWEEN -180 AND 1440 THEN 'UNRELIABLE' WHEN status = 'UNKNOWN' THEN 'PARTIAL' WHEN status IN ('DEPARTED', 'ARRIVED', 'DIVERTED') AND delay_minutes IS NULL THEN 'PARTIAL' WHEN scheduled_arrival_utc IS NULL THEN 'PARTIAL' ELSE 'OK' END AS data_quality FROM m"""),
-    lambda o: _merged(o).select(*_OUT),
-)
-over(
-    "merge_provenance", adapters.observations,
-    _with_more(_MERGED, f"SELECT {LEG}, field, source FROM (SELECT {LEG}, unnest([{', '.join(repr(c) for c in _FIELDS)}]) AS field, unnest([{', '.join(c + '_src' for c in _FIELDS)}]) AS source FROM m) WHERE source IS NOT NULL"),
+    "merge_provenance",
+    adapters.observations,
+    _with_more(
+        _MERGED,
+        f"""SELECT {LEG}, field, source FROM (SELECT {LEG}, unnest({[*_FIELDS, *_DERIVED]}) AS field,
+  unnest([{', '.join(f"CASE WHEN alone THEN base.data_source ELSE {c}_src END" for c in _FIELDS)},
+    {', '.join(f"CASE WHEN NOT alone THEN base.data_source END" for _ in _DERIVED[:2])}, {', '.join("CASE WHEN NOT alone THEN 'derived' END" for _ in _DERIVED[2:])}]) AS source FROM m)
+WHERE source IS NOT NULL""",
+    ),
     lambda o: _merged(o).select(*history.LEG, F.explode("field_sources").alias("field", "source")),
-)
+)
 over(
-    "merge_conflicts", adapters.observations,
-    _with_more(_MERGED, f"SELECT {LEG}, conflict FROM (SELECT {LEG}, unnest([CASE WHEN c1 THEN 'actual_departure_utc' END, CASE WHEN c2 THEN 'is_cancelled' END, CASE WHEN c3 THEN 'is_diverted' END]) AS conflict FROM m) WHERE conflict IS NOT NULL"),
+    "merge_conflicts",
+    adapters.observations,
+    _with_more(_MERGED, f"SELECT {LEG}, unnest(conflicts) AS conflict FROM m"),
     lambda o: _merged(o).select(*history.LEG, F.explode("conflicts").alias("conflict")),
-)
+)
 over(
-    "merge_summary", adapters.observations,
-    _with_more(_MERGED, "SELECT (SELECT count(*) FROM o) AS input_records, count(*) AS merged_flights, count(*) FILTER (records > 1) AS enriched, CAST(sum(CAST(c1 AS INT) + CAST(c2 AS INT) + CAST(c3 AS INT)) AS BIGINT) AS conflicts FROM m"),
+    "merge_summary",
+    adapters.observations,
+    _with_more(
+        _MERGED, "SELECT (SELECT count(*) FROM o) AS input_records, count(*) AS merged_flights, count(*) FILTER (records > 1) AS enriched, CAST(sum(len(conflicts)) AS BIGINT) AS conflicts FROM m"
+    ),
     lambda o: history.merge_summary(o, _merged(o)),
-)
+)
 
 # --- state and events ---
 
 _T = "(observed_at, observation_id)"
-_STATE = f"""state AS (SELECT {FLIGHT}, {', '.join(f'arg_max_null({c}, {_T}) AS {c}' for c in ('scheduled_departure_utc', 'estimated_departure_utc', 'status', 'is_cancelled', 'is_diverted', 'data_quality', 'data_source'))},
-  {', '.join(f'arg_max({c}, {_T}) FILTER ({c} IS NOT NULL) AS {c}' for c in ('airline_iata', 'airline_name', 'actual_departure_utc', 'scheduled_arrival_utc', 'delay_minutes', 'terminal', 'gate'))},
-  arg_min(scheduled_departure_utc, {_T}) AS first_scheduled_departure_utc, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, bool_and(is_mock) AS is_mock, count(*) AS observation_count FROM observations GROUP BY {FLIGHT})"""
-observed("latest_state", "SELECT * FROM state", history.latest_state)
-ORACLE["latest_state"] = sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + "SELECT * FROM state"
+_KNOWN = lambda c: f"{c} IS NOT NULL AND CAST({c} AS VARCHAR) <> ''"
+
+
+def _state_sql(name: str, source: str) -> str:
+    """The rule in order: what the last record says, what the last that knows says."""
+    last = ", ".join(f"arg_max_null({c}, {_T}) AS {c}" for c in history.OVERWRITTEN)
+    known = ", ".join(f"arg_max({c}, {_T}) FILTER ({_KNOWN(c)}) AS {c}" for c in history.STICKY)
+    at = "timezone('Europe/Istanbul', timezone('UTC', scheduled_departure_utc))"
+    return f"""{name} AS (SELECT *, CAST(hour({at}) AS INTEGER) AS scheduled_hour_local, CAST(isodow({at}) AS INTEGER) AS scheduled_dow_local FROM (
+  SELECT {FLIGHT}, {last}, {known}, arg_min(scheduled_departure_utc, {_T}) AS first_scheduled_departure_utc, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at,
+    bool_and(is_mock) AS is_mock, count(*) AS observation_count FROM {source} GROUP BY {FLIGHT}))"""
+
+
+_STATE = _state_sql("state", "observations")
+over("latest_state", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + "SELECT * FROM state", history.latest_state)
 over(
     "append_observations", adapters.observations,
     sql.with_(adapters.OBSERVATIONS_SQL) + f"SELECT observation_id, {FLIGHT}, run_id, data_source FROM (SELECT * FROM observations WHERE observed_at >= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY {FLIGHT}, run_id, data_source ORDER BY observed_at, observation_id) = 1) n ANTI JOIN (SELECT * FROM observations WHERE observed_at < TIMESTAMP '2024-01-20' OR event_time_odd(observation_id)) h USING ({FLIGHT}, run_id, data_source)".replace("event_time_odd(observation_id)", "observation_id % 4 = 1"),
@@ -108,11 +155,15 @@ over(
 )
 over(
     "backfill_first_schedule", adapters.observations,
-    sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, coalesce(least_, s.scheduled_departure_utc) AS first_scheduled_departure_utc FROM state s LEFT JOIN (SELECT {FLIGHT}, min(scheduled_departure_utc) AS least_ FROM observations WHERE observation_id % 3 = 0 GROUP BY {FLIGHT}) USING ({FLIGHT})",
+    sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, coalesce(least_, s.scheduled_departure_utc) AS first_scheduled_departure_utc FROM state s LEFT JOIN (SELECT {FLIGHT}, min(scheduled_departure_utc) AS least_ FROM observations GROUP BY {FLIGHT}) USING ({FLIGHT})",
     lambda o: history.first_schedule(history.latest_state(o), o).select(*history.FLIGHT, "first_scheduled_departure_utc"),
 )
-observed("discover_airlines", f"SELECT airline_iata AS iata, arg_max(airline_name, {_T}) AS name FROM observations WHERE airline_iata IS NOT NULL GROUP BY airline_iata", history.airlines)
-observed("list_airlines", f"SELECT airline_iata AS iata, arg_max(airline_name, {_T}) AS name FROM observations WHERE airline_iata IS NOT NULL GROUP BY airline_iata ORDER BY name, iata", lambda o: history.airlines(o).orderBy("name", "iata"))
+_AIRLINES = f"""a AS (SELECT airline_iata AS iata, airline_icao AS icao, airline_name AS name, {_T} AS at FROM observations WHERE airline_iata IS NOT NULL OR airline_icao IS NOT NULL),
+pair AS (SELECT icao, arg_min(iata, at) AS owner FROM a WHERE iata IS NOT NULL AND icao IS NOT NULL GROUP BY icao),
+known AS (SELECT a.*, coalesce(iata, pair.owner, 'icao ' || a.icao) AS key FROM a LEFT JOIN pair ON a.icao = pair.icao),
+air AS (SELECT arg_min(iata, at) FILTER (iata IS NOT NULL) AS iata, arg_min(icao, at) FILTER (icao IS NOT NULL) AS icao, arg_max(name, at) AS name FROM known GROUP BY key)"""
+over("discover_airlines", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL, _AIRLINES) + "SELECT * FROM air", history.airlines)
+over("list_airlines", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL, _AIRLINES) + "SELECT * FROM air ORDER BY name, iata", lambda o: history.airlines(o).orderBy("name", "iata"))
 _W = f"OVER (PARTITION BY {FLIGHT} ORDER BY observed_at, observation_id)"
 observed("prev_observation", f"SELECT observation_id, lag(observation_id) {_W} AS previous_id, lag(status) {_W} AS previous_status FROM observations", lambda o: history.with_previous(o).select("observation_id", F.col("prev.observation_id").alias("previous_id"), F.col("prev.status").alias("previous_status")))
 _PREV = ", ".join(f"lag({c}) {_W} AS p_{c}" for c in ("observation_id", "status", "delay_minutes", "gate", "terminal", "scheduled_departure_utc"))
@@ -145,15 +196,28 @@ observed(
     "import_history", f"SELECT observation_id FROM observations SEMI JOIN (SELECT {FLIGHT} FROM observations GROUP BY {FLIGHT} HAVING NOT bool_and(is_mock)) USING ({FLIGHT})",
     lambda o: o.join(history.latest_state(o).where("not is_mock").select(*history.FLIGHT), list(history.FLIGHT), "left_semi").select("observation_id"),
 )
+_KEPT = f"""kept AS (SELECT * FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY {LEG}, run_id, data_source ORDER BY rich DESC, observed_at, observation_id) = 1)
+  QUALIFY row_number() OVER (PARTITION BY {FLIGHT}, run_id, data_source ORDER BY observed_at, observation_id) = 1)"""
+_ORIGINS = ("IST", "IKA")
 over(
-    "run_summary", adapters.observations,
+    "run_summary",
+    adapters.observations,
     sql.with_(
-        adapters.OBSERVATIONS_SQL, f"w AS (SELECT *, {_PREV} FROM observations)", f"e AS (SELECT run_id, count(*) AS n FROM ({_EVENTS}) JOIN (SELECT observation_id, run_id FROM observations) USING (observation_id) GROUP BY run_id)",
-        f"c AS (SELECT run_id, count(*) AS n FROM (SELECT min(run_id) AS run_id FROM observations GROUP BY {FLIGHT}) GROUP BY run_id)",
-        "s AS (SELECT run_id, count(*) AS observations_written, count(DISTINCT flight_number || flight_date_local) AS flights_seen, count(*) FILTER (is_cancelled) AS cancellations_detected, count(*) FILTER (delay_minutes >= 15) AS delays_detected, count(DISTINCT data_source) AS providers FROM observations GROUP BY run_id)",
-    ) + "SELECT s.*, coalesce(c.n, 0) AS flights_created, flights_seen - coalesce(c.n, 0) AS flights_updated, coalesce(e.n, 0) AS events_written FROM s LEFT JOIN c USING (run_id) LEFT JOIN e USING (run_id)",
-    history.run_summary,
-)
+        adapters.OBSERVATIONS_SQL,
+        _LEGS,
+        _merge_sql(f"run_id, {LEG}"),
+        _KEPT,
+        f"w AS (SELECT *, {_PREV} FROM kept)",
+        f"e AS (SELECT run_id, count(*) AS n, count(*) FILTER (event_type = 'CANCELLED') AS gone, count(*) FILTER (event_type = 'DELAY_INCREASED') AS late FROM ({_EVENTS}) JOIN (SELECT observation_id, run_id FROM kept) USING (observation_id) GROUP BY run_id)",
+        f"made AS (SELECT run_id, count(*) AS n FROM (SELECT min(run_id) AS run_id FROM observations GROUP BY {FLIGHT}) GROUP BY run_id)",
+        "k AS (SELECT run_id, count(*) AS n, count(DISTINCT data_source) AS providers FROM kept GROUP BY run_id)",
+        "r AS (SELECT run_id, count(*) AS seen, CAST(sum(records) AS BIGINT) AS raw, count(*) FILTER (records > 1) AS enriched, CAST(sum(len(conflicts)) AS BIGINT) AS conflicts FROM m GROUP BY run_id)",
+    )
+    + """SELECT run_id, seen AS flights_seen, raw - seen AS duplicates_skipped, enriched AS enriched_flights, 'IKA' AS missing_origins, coalesce(made.n, 0) AS flights_created,
+  k.n AS observations_written, providers, coalesce(e.n, 0) AS events_written, coalesce(gone, 0) AS cancellations_detected, coalesce(late, 0) AS delays_detected,
+  conflicts AS merge_conflicts, seen - coalesce(made.n, 0) AS flights_updated FROM r JOIN k USING (run_id) LEFT JOIN made USING (run_id) LEFT JOIN e USING (run_id)""",
+    lambda o: history.run_summary(o, _ORIGINS),
+)
 observed(
     "recent_runs", "SELECT run_id, max(observed_at) AS finished_at, count(*) AS n FROM observations GROUP BY run_id ORDER BY run_id DESC LIMIT 20",
     lambda o: o.groupBy("run_id").agg(F.max("observed_at").alias("finished_at"), F.count("*").alias("n")).orderBy(F.desc("run_id")).limit(20),
@@ -163,32 +227,43 @@ observed(
     lambda o: o.agg(F.max("run_id").alias("last_run"), F.max("observed_at").alias("last_at")).withColumn("is_stale", scalars.minutes_between(F.lit(str(NOW)).cast("timestamp_ntz"), F.col("last_at")) > 120),
 )
 observed(
-    "failover_select", f"SELECT observation_id FROM (SELECT *, min({_RANK}) OVER (PARTITION BY run_id, origin_iata) AS first_ FROM observations) WHERE {_RANK} = first_",
+    "failover_select",
+    f"""SELECT observation_id FROM (SELECT *, {_RANK} AS place, min(CASE WHEN good AND NOT stopped THEN {_RANK} END) OVER (PARTITION BY run_id, origin_iata) AS first_
+FROM (SELECT *, bool_or(status <> 'CANCELLED') OVER w AS good, bool_and(observation_id % 13 = 0) OVER w AS stopped FROM observations WINDOW w AS (PARTITION BY run_id, origin_iata, data_source))) WHERE place = first_""",
     lambda o: _failover(o).select("observation_id"),
-)
+)
 observed(
-    "flight_history", "SELECT flight_number, flight_date_local, status, count(*) OVER (PARTITION BY flight_number) AS total FROM (SELECT flight_number, flight_date_local, arg_max_null(status, (observed_at, observation_id)) AS status FROM observations GROUP BY ALL)",
-    lambda o: _flight_history(history.latest_state(o)),
-)
+    "flight_history",
+    """SELECT flight_number, flight_date_local, status, scheduled_departure_utc, count(*) OVER (PARTITION BY flight_number) AS total FROM (SELECT flight_number, flight_date_local,
+  arg_max_null(status, (observed_at, observation_id)) AS status, arg_max_null(scheduled_departure_utc, (observed_at, observation_id)) AS scheduled_departure_utc FROM observations GROUP BY ALL)
+WHERE flight_number = 'U7' ORDER BY scheduled_departure_utc DESC""",
+    lambda o: _flight_history(history.latest_state(o), " u7"),
+)
 over(
-    "provider_health", adapters.calls,
+    "provider_health",
+    adapters.calls,
     sql.with_(adapters.CALLS_SQL, "k AS (SELECT provider, max((called_at, call_id)) FILTER (ok) AS last_ok FROM calls GROUP BY provider)")
-    + "SELECT provider, count(*) AS total_calls, count(*) FILTER (NOT ok) AS total_failures, count(*) FILTER (NOT ok AND (last_ok IS NULL OR (called_at, call_id) > last_ok)) AS consecutive_failures, max(called_at) FILTER (ok) AS last_success_at, max(called_at) FILTER (NOT ok) AS last_failure_at, count(*) FILTER (NOT ok AND (last_ok IS NULL OR (called_at, call_id) > last_ok)) < 3 AS healthy FROM calls JOIN k USING (provider) GROUP BY provider",
+    + """SELECT *, consecutive_failures < 3 AS healthy, CASE WHEN consecutive_failures >= 3 THEN greatest(cooldown_until, last_failure_at + INTERVAL 900 SECOND) ELSE cooldown_until END AS open_at
+FROM (SELECT provider, count(*) AS total_calls, count(*) FILTER (NOT ok) AS total_failures, count(*) FILTER (NOT ok AND (last_ok IS NULL OR (called_at, call_id) > last_ok)) AS consecutive_failures,
+  max(called_at) FILTER (ok) AS last_success_at, max(called_at) FILTER (NOT ok) AS last_failure_at,
+  arg_max(called_at + to_seconds(coalesce(retry_after_s, 900)), (called_at, call_id)) FILTER (rate_limited AND (last_ok IS NULL OR (called_at, call_id) > last_ok)) AS cooldown_until
+  FROM calls JOIN k USING (provider) GROUP BY provider)""",
     history.provider_health,
-)
+)
 
 
 def _failover(o: DataFrame) -> DataFrame:
-    """Of each run and origin only the most trusted source that answered."""
-    rank = F.coalesce(*[F.when(F.col("data_source") == s, i) for i, s in enumerate(adapters.SOURCES)])
-    ranked = o.withColumn("rank", rank)
-    answers = ranked.groupBy("run_id", "origin_iata").agg(F.min("rank").alias("rank"))
-    return ranked.join(answers, ["run_id", "origin_iata", "rank"], "left_semi")
+    """Rows of the source that each run and origin took. A source that told nothing but
+    cancellations stands for one that failed; one with odd ids alone for one that is paused."""
+    answers = o.groupBy("run_id", "origin_iata", "data_source").agg(F.bool_or(F.col("status") != "CANCELLED").alias("ok"), F.bool_and(F.col("observation_id") % 13 == 0).alias("paused"))
+    return o.join(history.failover(answers), ["run_id", "origin_iata", "data_source"], "left_semi")
 
 
-def _flight_history(state: DataFrame) -> DataFrame:
-    totals = state.groupBy("flight_number").agg(F.count("*").alias("total"))
-    return state.join(totals, "flight_number").select("flight_number", "flight_date_local", "status", "total")
+def _flight_history(state: DataFrame, number: str) -> DataFrame:
+    """The flights of one number, however it is written, newest first, with their total."""
+    rows = state.where(F.col("flight_number") == scalars.flight_number(F.lit(number)))
+    totals = rows.groupBy("flight_number").agg(F.count("*").alias("total"))
+    return rows.join(totals, "flight_number").select("flight_number", "flight_date_local", "status", "scheduled_departure_utc", "total").orderBy(F.desc("scheduled_departure_utc"))
 
 
 # --- scalars ---

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuality.operators import history
 from punctuality.plans import collection, sql
 from punctuality.session import shared_path
 from punctuality.sources import adapters
@@ -31,12 +30,12 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "latest")
-    query = jobs.upsert_latest(source(spark, sf_dir), folder).option("checkpointLocation", shared_path(spark, "latest-log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/v{query.lastProgress['batchId']}") if query.lastProgress else history.latest_state(adapters.observations(spark, sf_dir))
+    query = jobs.upsert_latest(source(spark, sf_dir), folder).option("checkpointLocation", shared_path(spark, "latest-log"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return jobs.latest(spark, folder)
 
 
-QUERIES["stream_events"] = lambda spark, d: jobs.run_now(jobs.events(source(spark, d)))
+QUERIES["stream_events"] = lambda spark, d: jobs.last_word(jobs.run_now(jobs.events(source(spark, d))))
 ORACLE["stream_events"] = collection.ORACLE["derive_events"]
 QUERIES["stream_hourly_counts"] = _hours
 ORACLE["stream_hourly_counts"] = sql.with_(adapters.OBSERVATIONS_SQL) + "SELECT date_trunc('hour', observed_at) AS hour, origin_iata, count(*) AS n, count(*) FILTER (is_cancelled) AS cancelled FROM observations GROUP BY ALL"

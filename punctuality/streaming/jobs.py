@@ -1,12 +1,14 @@
 """The collection cycle as Structured Streaming jobs.
 
 All take a streaming DataFrame of observations (see sources.adapters) whose event time is
-`seen_at`. State is keyed by flight and is as small as one snapshot; it ends with the
-watermark (two days).
+`seen_at`. Whatever the order and the number of micro-batches that rows come in, and
+however often a batch is run again, the outcome is that of the batch jobs over all rows
+that weren't later than the watermark (two days).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -14,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from punctuality.operators import history
+from punctuality.operators import alerts, history, insights, metrics
 from punctuality.params import DEFAULT, SETTLED, Params
 from punctuality.session import shared_path
 
 LATE = "2 days"
-_PREV = "observation_id long, status string, delay_minutes int, gate string, terminal string, scheduled string"
+LATE_MS = 2 * 86_400_000
+_KEYS = "flight_number string, origin_iata string, destination_iata string, flight_date_local string"
+_SNAP = ("observation_id", "status", "delay_minutes", "gate", "terminal", "scheduled")
 
 
 def timed(observations: DataFrame) -> DataFrame:
@@ -28,45 +32,89 @@ def timed(observations: DataFrame) -> DataFrame:
 
 def once(observations: DataFrame, *keys: str) -> DataFrame:
     """Each snapshot once: of a flight, run and source."""
-    return timed(observations).dropDuplicatesWithinWatermark(list(keys or (*history.FLIGHT, "run_id", "data_source")))
+    return timed(observations).dropDuplicatesWithinWatermark(list(keys or history.SNAPSHOT))
 
 
-def _none(x):
-    return None if x is None or pd.isna(x) else x
+# --- events ---
+
+
+def _plain(x):
+    """A value of a pandas cell as JSON knows it."""
+    return None if x is None or pd.isna(x) else x if isinstance(x, str) else int(x)
 
 
 def _predecessors(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one flight in order, each with the snapshot before it; the last one stays
-    as state until the watermark has passed it."""
+    """The rows of one flight whose predecessor is new or not what was told before. State:
+    the flight's snapshots by time and id, each with how often it was told, until the
+    watermark has passed the last of them; a row that is there is no new one."""
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(parts)).sort_values(["seen_at", "observation_id"])
-    last = tuple(state.get) if state.exists else None
+    held: list[list] = json.loads(state.get[0]) if state.exists else []  # [time, id, snapshot, seen, source, times told]
+    known = {r[1] for r in held}
+    new = set()
+    for part in parts:
+        for r in part.itertuples(index=False):
+            one = int(r.observation_id)
+            if one not in known:
+                known.add(one)
+                new.add(one)
+                held.append([int(r.micros), one, [_plain(getattr(r, c)) for c in _SNAP], r.seen, r.data_source, 0])
+    held.sort(key=lambda r: (r[0], r[1]))
     out = []
-    for r in rows.itertuples(index=False):
-        now = (int(r.observation_id), r.status, None if _none(r.delay_minutes) is None else int(r.delay_minutes), _none(r.gate), _none(r.terminal), r.scheduled)
-        out.append((*key, *now, r.seen, r.data_source, *(last or (None,) * 6)))
-        last = now
-    state.update(last)
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["seen_at"].max().timestamp() * 1000)) + 2 * 86_400_000)
-    names = [*history.FLIGHT, "observation_id", "status", "delay_minutes", "gate", "terminal", "scheduled", "seen", "data_source", *(f"p{i}" for i in range(6))]
+    for before, row in zip([None, *held], held, strict=False):
+        if row[1] in new or (before is not None and before[1] in new):
+            out.append((*key, *row[2], row[3], row[4], row[5], *(before[2] if before else (None,) * len(_SNAP))))
+            row[5] += 1
+    if held:
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held[-1][0] // 1000) + LATE_MS)
+    names = [*history.FLIGHT, *_SNAP, "seen", "data_source", "revision", *(f"p{i}" for i in range(len(_SNAP)))]
     yield pd.DataFrame(out, columns=names, dtype=object)
 
 
 def events(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Lifecycle events as observations come in: the state only gives each row its
-    predecessor, the difference is the batch job's own expression."""
+    predecessor, the difference is the batch job's own expression. A late row gets its
+    right predecessor, and its successor's events are told again, under the next revision,
+    after one that says REVISED; `last_word` keeps what counts."""
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     rows = timed(observations).select(
-        "flight_number", "origin_iata", "destination_iata", F.col("flight_date_local").cast("string").alias("flight_date_local"), "observation_id", "status", "delay_minutes", "gate", "terminal",
-        text("scheduled_departure_utc").alias("scheduled"), text("observed_at").alias("seen"), "data_source", "seen_at",
-    )
-    shape = "flight_number string, origin_iata string, destination_iata string, flight_date_local string, observation_id long, status string, delay_minutes int, gate string, terminal string, scheduled string, seen string, data_source string, p0 long, p1 string, p2 int, p3 string, p4 string, p5 string"
-    joined = rows.groupBy(*history.FLIGHT).applyInPandasWithState(_predecessors, shape, _PREV, "append", GroupStateTimeout.EventTimeTimeout)
-    prev = F.when(F.col("p0").isNotNull(), F.struct(F.col("p0").alias("observation_id"), F.col("p1").alias("status"), F.col("p2").alias("delay_minutes"), F.col("p3").alias("gate"), F.col("p4").alias("terminal"), F.col("p5").cast("timestamp_ntz").alias("scheduled_departure_utc")))
-    back = joined.withColumns({"prev": prev, "scheduled_departure_utc": F.col("scheduled").cast("timestamp_ntz"), "observed_at": F.col("seen").cast("timestamp_ntz"), "flight_date_local": F.col("flight_date_local").cast("date")})
-    return history.events_of(back, p)
+        *history.FLIGHT[:3],
+        F.col("flight_date_local").cast("string").alias("flight_date_local"),
+        *_SNAP[:-1],
+        text("scheduled_departure_utc").alias("scheduled"),
+        text("observed_at").alias("seen"),
+        F.unix_micros("seen_at").alias("micros"),
+        "data_source",
+        "seen_at",
+    )
+    kinds = ("long", "string", "int", "string", "string", "string")
+    snap = ", ".join(f"{c} {k}" for c, k in zip(_SNAP, kinds, strict=True))
+    before = ", ".join(f"p{i} {k}" for i, k in enumerate(kinds))
+    joined = rows.groupBy(*history.FLIGHT).applyInPandasWithState(
+        _predecessors, f"{_KEYS}, {snap}, seen string, data_source string, revision int, {before}", "held string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    fields = [F.col(f"p{i}").alias(c) for i, c in enumerate(_SNAP[:-1])]
+    prev = F.when(F.col("p0").isNotNull(), F.struct(*fields, F.col("p5").cast("timestamp_ntz").alias("scheduled_departure_utc")))
+    back = joined.withColumns(
+        {
+            "prev": prev,
+            "scheduled_departure_utc": F.col("scheduled").cast("timestamp_ntz"),
+            "observed_at": F.col("seen").cast("timestamp_ntz"),
+            "flight_date_local": F.col("flight_date_local").cast("date"),
+        }
+    )
+    return history.events_of(back, p, revised="revision")
+
+
+def last_word(told: DataFrame) -> DataFrame:
+    """Of each observation the events of its last revision."""
+    last = told.groupBy("observation_id").agg(F.max("revision").alias("revision"))
+    return told.join(last, ["observation_id", "revision"]).where("event_type <> 'REVISED'").drop("revision")
+
+
+# --- counts, statistics and alerts ---
 
 
 def hourly_counts(observations: DataFrame) -> DataFrame:
@@ -75,65 +123,137 @@ def hourly_counts(observations: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("n"), F.count_if("is_cancelled").alias("cancelled")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "origin_iata", "n", "cancelled")
 
 
+def _listed(rows: DataFrame, column: str) -> list:
+    """The values of a column of one micro-batch: days or runs, so few."""
+    return [r[0] for r in rows.select(column).distinct().collect()]
+
+
+def reopen_days(flights: DataFrame, days: list, path: str, p: Params = DEFAULT) -> None:
+    """Compute the statistics of the days that a batch touched anew, and no other: a late
+    row opens its day again. For foreachBatch, after the state was folded."""
+    facts = metrics.facts(flights.where(F.col("flight_date_local").isin(days)).withColumns({"hour_local": F.col("scheduled_hour_local"), "dow_local": F.col("scheduled_dow_local")}))
+    insights.write_statistics(insights.daily(facts, p), path)
+
+
 def alerts_once(observations: DataFrame) -> DataFrame:
-    """Cancellation alerts, each key once in the stream; the ledger's anti-join (see
-    operators.alerts) is the guarantee beyond the watermark."""
-    key = F.concat_ws(":", F.lit("CANCELLATION"), "flight_number", F.col("flight_date_local").cast("string"))
-    return timed(observations.where("is_cancelled")).withColumn("dedup_key", key).dropDuplicatesWithinWatermark(["dedup_key"]).select("dedup_key")
+    """Cancellation alerts, each key once in the stream; the ledger (see send_once) is the
+    guarantee beyond the watermark."""
+    return timed(observations.where("is_cancelled")).withColumn("dedup_key", alerts.cancellation_key()).dropDuplicatesWithinWatermark(["dedup_key"]).select("dedup_key")
+
+
+def send_once(built: DataFrame, ledger: str):
+    """Start a stream of alerts (dedup_key and more) into a ledger, a partition a batch:
+    only keys go in that no earlier batch holds, and a batch that is run again writes its
+    own partition again."""
+
+    def each(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema("dedup_key string, batch long").parquet(ledger).where(F.col("batch") < k) if _exists(spark, ledger) else None
+        new = batch.dropDuplicates(["dedup_key"])
+        new = new if held is None else alerts.unsent(new, held.select("dedup_key"))
+        new.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
+
+    return built.writeStream.foreachBatch(each)
 
 
 def _silence(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: time, id and status of the flight's last row. An older row changes nothing."""
     if state.hasTimedOut:
-        (status,) = state.get
+        _, _, status = state.get
         state.remove()
-        yield pd.DataFrame([(*key, status, "WENT_STALE")], columns=[*history.FLIGHT, "status", "event_type"])
-        return
-    rows = pd.concat(list(parts)).sort_values(["seen_at", "observation_id"])
-    last = rows.iloc[-1]
-    if last["status"] in SETTLED:
-        if state.exists:
-            state.remove()
+        if status not in SETTLED:
+            yield pd.DataFrame([(*key, status, "WENT_STALE")], columns=[*history.FLIGHT, "status", "event_type"])
         return
-    state.update((last["status"],))
-    until = int(last["seen_at"].timestamp() * 1000) + int(last["limit"]) * 60_000
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    last, limit, now = tuple(state.get) if state.exists else None, 0, state.getCurrentWatermarkMs()
+    for part in parts:
+        for r in part.itertuples(index=False):
+            limit = int(r.limit) * 60_000
+            if int(r.micros) // 1000 >= now and (last is None or (int(r.micros), int(r.observation_id)) > tuple(last[:2])):
+                last = (int(r.micros), int(r.observation_id), r.status)
+    if last is not None:
+        state.update(last)
+        wait = LATE_MS if last[2] in SETTLED else limit  # a settled flight is remembered, so that no late row opens it again
+        state.setTimeoutTimestamp(max(last[0] // 1000 + wait, now + 1))
 
 
 def stale(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """A flight that hasn't settled and isn't heard of for stale_minutes of event time
     goes stale; its status stays. (Which boards were read is a second input: where
     some fail, the batch sweep operators.history.mark_stale decides.)"""
-    rows = timed(observations).select("flight_number", "origin_iata", "destination_iata", F.col("flight_date_local").cast("string").alias("flight_date_local"), "observation_id", "status", "seen_at", F.lit(p.stale_minutes).alias("limit"))
-    return rows.groupBy(*history.FLIGHT).applyInPandasWithState(_silence, "flight_number string, origin_iata string, destination_iata string, flight_date_local string, status string, event_type string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def fold_state(batch: DataFrame, held: DataFrame | None) -> DataFrame:
-    """The latest state with a batch folded in: what flights the batch touches take its
-    values where the fold says so; the others stay. For foreachBatch."""
-    new = history.latest_state(batch)
-    if held is None:
-        return new
-    keys, known = list(history.FLIGHT), ("airline_iata", "airline_name", "actual_departure_utc", "scheduled_arrival_utc", "delay_minutes", "terminal", "gate")
-    first = ("first_scheduled_departure_utc", "first_seen_at")
-    n, o = (lambda c: F.col(f"n.{c}")), (lambda c: F.col(f"o.{c}"))
-    pick = {"is_mock": F.coalesce(n("is_mock") & o("is_mock"), n("is_mock"), o("is_mock")), "observation_count": F.coalesce(n("observation_count"), F.lit(0)) + F.coalesce(o("observation_count"), F.lit(0))}
-    for c in new.columns:
-        if c not in pick:
-            # the newer side's own null counts for fields that the last record sets
-            pick[c] = F.coalesce(n(c), o(c)) if c in known or c in keys else F.coalesce(o(c), n(c)) if c in first else F.when(n("last_seen_at").isNotNull(), n(c)).otherwise(o(c))
-    return new.alias("n").join(held.alias("o"), keys, "full").select(*[pick[c].alias(c) if c not in keys else F.col(c) for c in new.columns])
-
-
-def upsert_latest(observations: DataFrame, folder: str):
-    """Start the fold of a stream into a versioned table: version k holds the state after
-    batch k, so that a batch that is run again gives the same."""
+    rows = timed(observations).select(
+        *history.FLIGHT[:3],
+        F.col("flight_date_local").cast("string").alias("flight_date_local"),
+        "observation_id",
+        "status",
+        F.unix_micros("seen_at").alias("micros"),
+        F.lit(p.stale_minutes).alias("limit"),
+        "seen_at",
+    )
+    state = "micros long, observation_id long, status string"
+    return rows.groupBy(*history.FLIGHT).applyInPandasWithState(_silence, f"{_KEYS}, status string, event_type string", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# --- the latest state ---
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place, files = _path(spark, path)
+    return files.exists(place)
+
+
+def state_before(spark: SparkSession, folder: str, k: int, days: list | None = None) -> DataFrame:
+    """The state rows that batches before k left: of each day the newest version. Only
+    the partitions of the days are read."""
+    rows = spark.read.parquet(folder).where(F.col("v") < k)
+    rows = rows if days is None else rows.where(F.col("day").isin(days))
+    newest = rows.groupBy("day").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(newest), ["day", "v"]).drop("day", "v")  # a row a day
+
+
+def fold_batch(batch: DataFrame, k: int, folder: str) -> list:
+    """Fold a micro-batch into the state table in folder, which has a partition for each
+    local day and version. Only the days that the batch touches are read and get a
+    version k; the one before it stays, so that a batch that is run again gives the same,
+    older ones go. The touched days."""
+    spark = batch.sparkSession
+    new = history.state_of(batch)
+    days = [str(d) for d in _listed(batch, "flight_date_local")]
+    if not days:
+        return days
+    states = new.unionByName(state_before(spark, folder, k, days)) if _exists(spark, folder) else new
+    out = history.fold_states(states).withColumn("day", F.col("flight_date_local").cast("string")).withColumn("v", F.lit(k).cast("long"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "v").parquet(folder)
+    for day in days:
+        place, files = _path(spark, f"{folder}/day={day}")
+        versions = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in files.listStatus(place) if s.getPath().getName().startswith("v="))
+        for _, old in [v for v in versions if v[0] < k][:-1]:
+            files.delete(old, True)
+    return days
+
+
+def upsert_latest(observations: DataFrame, folder: str, statistics: str | None = None, keys: tuple[str, ...] = ("observation_id",)):
+    """Start the fold of a stream, each snapshot (as keys tell them) once, into a state
+    table (see fold_batch); the statistics of the days touched are written anew, if a path
+    for them is given."""
 
     def each(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        held = spark.read.parquet(f"{folder}/v{k - 1}") if k else None
-        fold_state(batch, held).write.mode("overwrite").parquet(f"{folder}/v{k}")
+        batch = batch.persist()  # it is read for its days and for its fold
+        days = fold_batch(batch, k, folder)
+        if statistics and days:
+            reopen_days(history.flights_of(state_before(batch.sparkSession, folder, k + 1, days)), days, statistics)
+        batch.unpersist()
+
+    return once(observations, *keys).drop("seen_at").writeStream.foreachBatch(each)
+
 
-    return timed(observations).drop("seen_at").writeStream.foreachBatch(each)
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The flights as the state table has them now."""
+    return history.flights_of(state_before(spark, folder, 1 << 62))
 
 
 def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -141,9 +261,9 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark: SparkSession = stream.sparkSession
     out, mark = shared_path(spark, "stream"), shared_path(spark, "stream-log")
     if mode == "append":
-        query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", out)
     else:
-        query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, k: b.withColumn("batch", F.lit(k)).write.mode("append").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
+        query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, k: b.withColumn("batch", F.lit(k)).write.mode("append").parquet(out))
+    query.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "integer")
     return spark.read.schema(schema).parquet(out)

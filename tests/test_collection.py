@@ -17,12 +17,12 @@ def column(spark, values, make, kind="string"):
 
 
 def test_status_words(spark):
-    cases = {"En Route / On Time": "DEPARTED", "Cancelled (weather)": "CANCELLED", "On-Time": "SCHEDULED", "Gate Closed": "BOARDING", "": "UNKNOWN", "???": "UNKNOWN", None: "UNKNOWN", "LANDED": "ARRIVED", "Not Operational": "CANCELLED", "Diverted (fuel)": "DIVERTED", "EstimatedArrival": "DELAYED"}
+    cases = {"In Flight (holding)": "DEPARTED", "CANCELED by carrier": "CANCELLED", "planned": "SCHEDULED", "Final-Call!": "BOARDING", "  ": "UNKNOWN", "no idea": "UNKNOWN", None: "UNKNOWN", "gate arrival": "ARRIVED", "notoperational": "CANCELLED", "will divert": "DIVERTED", "Rescheduled 14:00": "DELAYED"}
     assert column(spark, cases, scalars.status) == list(cases.values())
 
 
 def test_designators(spark):
-    cases = {"TK 878": "TK878", "TK0878": "TK878", "B9 9701A": "B99701A", "": None, "  ": None, "tk000": "TK0", "ABC": "ABC", None: None, "9W 12": "9W12"}
+    cases = {"lh 0400": "LH400", "QS 12 3B": "QS123B", "7C 0005x": "7C5X", "": None, "\t": None, "zz0000": "ZZ0", "NONE": "NONE", None: None, "U2 91": "U291"}
     assert column(spark, cases, scalars.flight_number) == list(cases.values())
 
 
@@ -77,14 +77,18 @@ def test_boards(spark):
     assert boards.parse_b(raw(A)).count() == 0
 
 
-OBS = "observation_id long, flight_number string, origin_iata string, destination_iata string, flight_date_local date, run_id string, data_source string, observed_at timestamp_ntz, scheduled_departure_utc timestamp_ntz, estimated_departure_utc timestamp_ntz, actual_departure_utc timestamp_ntz, scheduled_arrival_utc timestamp_ntz, status string, delay_minutes int, is_cancelled boolean, is_diverted boolean, gate string, terminal string, data_quality string, is_mock boolean, airline_iata string, airline_name string"
+OBS = {c: "string" for c in (*history.FIELDS, "flight_number", "origin_iata", "destination_iata", "run_id", "data_source", "status", "raw_status", "data_quality")}
+OBS |= {c: "timestamp_ntz" for c in OBS if c.endswith("_utc")} | {"observed_at": "timestamp_ntz", "observation_id": "long", "flight_date_local": "date", "delay_minutes": "int", "arrival_delay_minutes": "int"}
+OBS |= {c: "boolean" for c in ("is_cancelled", "is_diverted", "is_codeshare", "is_mock")}
+SHAPE = ", ".join(f"{c} {t}" for c, t in OBS.items())
 
 
 def seen(spark, *rows):
     at = datetime(2026, 9, 6, 5, 15)
-    base = dict(flight_number="TK878", origin_iata="IST", destination_iata="IKA", flight_date_local=at.date(), run_id="r", data_source="primary", scheduled_departure_utc=at, is_cancelled=False, is_diverted=False, data_quality="OK", is_mock=False)
+    base = dict(flight_number="TK878", origin_iata="IST", destination_iata="IKA", flight_date_local=at.date(), run_id="r", data_source="primary", scheduled_departure_utc=at, is_cancelled=False, is_diverted=False, is_codeshare=False, data_quality="OK", is_mock=False)
     full = [base | dict(observation_id=i, observed_at=datetime(2026, 9, 6, 4, i)) | r for i, r in enumerate(rows)]
-    return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in OBS.split(", ")) for r in full], OBS)
+    full = [r | dict(raw_status=r.get("raw_status", r["status"].lower())) for r in full]
+    return spark.createDataFrame([tuple(r.get(c) for c in OBS) for r in full], SHAPE)
 
 
 def test_three_cycles(spark):
@@ -93,21 +97,89 @@ def test_three_cycles(spark):
     assert (state.status, state.delay_minutes, state.gate, state.observation_count) == ("DEPARTED", 70, "B2", 3)
     kinds = [r.event_type for r in history.derive_events(rows).orderBy("observation_id").collect()]
     assert sorted(kinds) == sorted(["FIRST_SEEN", "STATUS_CHANGED", "DELAY_INCREASED", "STATUS_CHANGED", "DEPARTED", "DELAY_INCREASED", "GATE_CHANGED"])
-    # folding in two steps gives the same
-    first, rest = rows.where("observation_id < 1"), rows.where("observation_id >= 1")
-    two = jobs.fold_state(rest, history.latest_state(first)).collect()[0].asDict()
-    assert two == state.asDict()
+
+
+def test_states_fold_in_any_order(spark):
+    """Each single record a state of its own, folded in several orders and groupings."""
+    rows = seen(
+        spark, dict(status="SCHEDULED", delay_minutes=0, gate="A1", terminal=""), dict(status="DELAYED", delay_minutes=35, terminal="2", airline_icao="THY"),
+        dict(status="DEPARTED", delay_minutes=70, gate="B2", terminal="", airline_icao=""), dict(status="DEPARTED", gate=None, scheduled_departure_utc=datetime(2026, 9, 6, 7)),
+    )
+    (want,) = history.latest_state(rows).collect()
+    assert (want.status, want.delay_minutes, want.gate, want.terminal, want.airline_icao, want.observation_count) == ("DEPARTED", 70, "B2", "2", "THY", 4)
+    assert (want.first_scheduled_departure_utc, want.scheduled_hour_local, want.scheduled_dow_local) == (datetime(2026, 9, 6, 5, 15), 10, 7)
+    parts = [history.state_of(rows.where(F.col("observation_id") == i)) for i in range(4)]
+    for order in ((3, 0, 2, 1), (1, 3, 0, 2)):
+        state = parts[order[0]]
+        for i in order[1:]:
+            state = history.fold_states(state.unionByName(parts[i]))
+        assert history.flights_of(state).collect() == [want]
+    moved = history.displacement(history.latest_state(rows)).first()
+    assert (moved.schedule_moved_minutes, moved.total_displacement_minutes) == (105, 175)
 
 
 def test_merge_rules(spark):
     at = datetime(2026, 9, 6, 5, 50)
     rows = seen(
-        spark, dict(status="SCHEDULED", data_source="third", gate="C3", terminal="1", actual_departure_utc=at, is_cancelled=True), dict(status="SCHEDULED", data_source="primary", gate="A1", estimated_departure_utc=datetime(2026, 9, 6, 5, 30)),
-        dict(status="SCHEDULED", data_source="other", terminal="9", actual_departure_utc=datetime(2026, 9, 6, 5, 55)), dict(status="ARRIVED", data_source="second", gate="M", is_mock=True),
+        spark, dict(status="SCHEDULED", data_source="third", gate="C3", terminal="1", actual_departure_utc=at, is_cancelled=True, aircraft_type="A333"), dict(status="SCHEDULED", data_source="primary", gate="A1", estimated_departure_utc=datetime(2026, 9, 6, 5, 30)),
+        dict(status="SCHEDULED", data_source="other", terminal="9", actual_departure_utc=datetime(2026, 9, 6, 5, 55)), dict(status="ARRIVED", data_source="second", gate="M", aircraft_registration="TC-M", is_mock=True),
     )
     (m,) = history.merge(history.legs(rows)).collect()
     assert (m.gate, m.terminal, m.actual_departure_utc, m.status, m.delay_minutes, m.data_source) == ("A1", "1", at, "DEPARTED", 35, "primary+third+other")
-    assert m.field_sources["gate"] == "primary" and m.field_sources["terminal"] == "third" and sorted(m.conflicts) == ["actual_departure_utc", "is_cancelled"]
+    assert (m.aircraft_type, m.aircraft_registration, m.records) == ("A333", None, 4)
+    assert m.field_sources["gate"] == "primary" and m.field_sources["aircraft_type"] == "third" and m.field_sources["status"] == "derived" and m.field_sources["is_cancelled"] == "primary"
+    assert "aircraft_registration" not in m.field_sources and sorted(m.conflicts) == ["actual_departure_utc", "is_cancelled"]
+    # minutes tell times apart, not seconds
+    near = seen(spark, dict(status="DEPARTED", actual_departure_utc=at), dict(status="DEPARTED", data_source="second", actual_departure_utc=at.replace(second=40)))
+    assert history.merge(history.legs(near)).first().conflicts == []
+
+
+def test_a_lone_record_passes_through(spark):
+    rows = seen(spark, dict(status="SCHEDULED", delay_minutes=40, arrival_delay_minutes=3, data_quality="PARTIAL"), dict(status="DEPARTED", is_mock=True, data_source="second"))
+    (m,) = history.merge(history.legs(rows)).collect()
+    assert (m.status, m.delay_minutes, m.arrival_delay_minutes, m.data_quality, m.conflicts) == ("SCHEDULED", 40, 3, "PARTIAL", [])
+    assert m.field_sources == dict.fromkeys(history.FIELDS, "primary")
+    only_mock = history.merge(history.legs(rows.where("is_mock"))).first()
+    assert only_mock.is_mock and only_mock.data_source == "second"
+
+
+def test_airlines_known_by_icao_alone(spark):
+    rows = seen(
+        spark, dict(status="SCHEDULED", airline_icao="IRM", airline_name="Old"), dict(status="SCHEDULED", airline_icao="IRM", airline_name="New"), dict(status="SCHEDULED", airline_iata="TK"),
+        dict(status="SCHEDULED", airline_iata="TK", airline_icao="THY", airline_name=""), dict(status="SCHEDULED", airline_icao="THY", airline_name="Turkish"), dict(status="SCHEDULED", airline_name="No code"),
+    )
+    assert sorted(map(tuple, history.airlines(rows).collect()), key=str) == [("TK", "THY", "Turkish"), (None, "IRM", "New")]
+
+
+def test_run_counters_come_from_events(spark):
+    rows = seen(
+        spark, dict(status="SCHEDULED", delay_minutes=0), dict(status="SCHEDULED", delay_minutes=1, data_source="second", gate="A"), dict(status="SCHEDULED", delay_minutes=1, data_source="second"),
+        dict(status="CANCELLED", is_cancelled=True, run_id="s"), dict(status="CANCELLED", is_cancelled=True, run_id="s", data_source="second"),
+    )
+    r, s = history.run_summary(rows, ("IST", "IKA")).orderBy("run_id").collect()
+    assert (r.flights_seen, r.duplicates_skipped, r.enriched_flights, r.flights_created, r.observations_written, r.missing_origins) == (1, 2, 1, 1, 2, "IKA")
+    # two records of a cancelled flight, one event
+    assert (s.cancellations_detected, s.flights_created, s.flights_updated, s.merge_conflicts) == (1, 0, 1, 0)
+
+
+def test_history_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    one = seen(spark, dict(status="SCHEDULED", run_id="2026090604"), dict(status="SCHEDULED", run_id="2026090604"), dict(status="SCHEDULED", run_id="2026090705"))
+    history.append(one, path)
+    history.append(one, path)
+    history.append(seen(spark, dict(status="SCHEDULED", run_id="2026090604", data_source="second"), dict(status="SCHEDULED", run_id="2026090604")), path)
+    assert sorted((r.run_id, r.data_source) for r in spark.read.parquet(path).collect()) == [("2026090604", "primary"), ("2026090604", "second"), ("2026090705", "primary")]
+
+
+def test_failover_and_cooldown(spark):
+    tried = [("r", "IST", "primary", False, False), ("r", "IST", "second", True, False), ("r", "IST", "third", True, False), ("s", "IST", "primary", True, True), ("s", "IST", "third", True, False), ("t", "IST", "primary", False, False)]
+    answers = spark.createDataFrame(tried, "run_id string, origin_iata string, data_source string, ok boolean, paused boolean")
+    assert sorted(map(tuple, history.failover(answers).collect())) == [("r", "IST", "second"), ("s", "IST", "third")]
+    at = lambda m: datetime(2026, 9, 6, 5, m)
+    log = [("a", 1, at(0), True, False, None), ("a", 2, at(5), False, True, 60), ("b", 3, at(0), False, True, None), ("b", 4, at(1), True, False, None), ("c", 5, at(1), False, False, None), ("c", 6, at(2), False, False, None), ("c", 7, at(3), False, False, None)]
+    calls = spark.createDataFrame(log, "provider string, call_id int, called_at timestamp_ntz, ok boolean, rate_limited boolean, retry_after_s int")
+    got = {r.provider: (r.consecutive_failures, r.healthy, r.cooldown_until, r.open_at) for r in history.provider_health(calls).collect()}
+    assert got == {"a": (1, True, at(6), at(6)), "b": (0, True, None, None), "c": (3, False, None, at(18))}
 
 
 def test_ledger(spark):
@@ -140,3 +212,74 @@ def test_backfill_reads_all_observations(spark):
             least[r[:-1]] = min(r[-1], least.get(r[:-1], r[-1]))
     got = {r[:-1]: r[-1] for r in collection.QUERIES["backfill_first_schedule"](spark, sf).collect()}
     assert got and all(got[k] == v for k, v in least.items())
+
+
+# --- streams: several micro-batches, out of order, replayed ---
+
+
+def in_batches(spark, tmp_path, rows, *batches):
+    """A stream of files, one a micro-batch, of the given observation ids each."""
+    import os
+    import time
+
+    folder = tmp_path / "rows"
+    for n, ids in enumerate(batches):
+        rows.where(F.col("observation_id").isin(ids)).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            if not getattr(in_batches, "seen", set()) & {str(f)}:
+                in_batches.seen = getattr(in_batches, "seen", set()) | {str(f)}
+                os.utime(f, (time.time() - 1000 + n, time.time() - 1000 + n))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def flown(spark):
+    return seen(
+        spark, dict(status="SCHEDULED", delay_minutes=0, gate="A1"), dict(status="DELAYED", delay_minutes=35, gate="B2", terminal="1"), dict(status="DELAYED", delay_minutes=35, gate="B2"),
+        dict(status="DEPARTED", delay_minutes=70, gate="B3"), dict(status="CANCELLED", is_cancelled=True, flight_number="W5113"), dict(status="SCHEDULED", delay_minutes=9, flight_number="W5113"),
+    )
+
+
+ORDERS = [([0, 1], [2, 3], [4, 5]), ([3, 5], [0, 4], [2], [1]), ([1], [1, 0], [3, 4], [2, 3], [5])]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_streamed_events_are_those_of_the_batch(spark, tmp_path, order):
+    rows = flown(spark)
+    want = sorted(map(str, history.derive_events(rows).collect()))
+    got = jobs.last_word(jobs.run_now(jobs.events(in_batches(spark, tmp_path, rows, *order))))
+    assert sorted(map(str, got.select(*history.derive_events(rows).columns).collect())) == want
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_streamed_state_is_that_of_the_batch(spark, tmp_path, order):
+    rows, folder, stats = flown(spark), str(tmp_path / "state"), str(tmp_path / "stats")
+    query = jobs.upsert_latest(in_batches(spark, tmp_path, rows, *order), folder, stats)
+    query.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    want = history.latest_state(rows)
+    assert sorted(map(str, jobs.latest(spark, folder).collect())) == sorted(map(str, want.collect()))
+    # a batch that is run again changes nothing
+    last = max(int(r.v) for r in spark.read.parquet(folder).select("v").distinct().collect())
+    ids = order[-1]
+    if len(order) == 3:
+        jobs.fold_batch(rows.where(F.col("observation_id").isin(ids)), last, folder)
+        assert sorted(map(str, jobs.latest(spark, folder).collect())) == sorted(map(str, want.collect()))
+    total = spark.read.parquet(stats).where("scope = 'OVERALL'").first()
+    assert (total.total_flights, total.cancelled_flights) == (2, 0)
+
+
+def test_late_rows_do_not_reset_silence(spark, tmp_path):
+    """Flights that fell silent, with their rows in and out of order."""
+    hour = lambda d, h: datetime(2026, 9, d, h)
+    rows = seen(
+        spark, dict(status="DEPARTED", observed_at=hour(6, 5)), dict(status="SCHEDULED", observed_at=hour(6, 4)), dict(status="BOARDING", flight_number="W5113", observed_at=hour(6, 5)),
+        dict(status="SCHEDULED", flight_number="W5113", observed_at=hour(6, 4)), dict(status="SCHEDULED", flight_number="TK1", observed_at=hour(12, 4)), dict(status="SCHEDULED", flight_number="TK1", observed_at=hour(12, 5)),
+    )
+    got = jobs.run_now(jobs.stale(in_batches(spark, tmp_path, rows, [0, 2], [1, 3], [4], [5]))).collect()
+    assert [(r.flight_number, r.status) for r in got] == [("W5113", "BOARDING")]
+
+
+def test_alerts_go_into_the_ledger_once(spark, tmp_path):
+    rows, ledger = seen(spark, *[dict(status="CANCELLED", is_cancelled=True, flight_number=n) for n in ("TK1", "TK1", "TK2", "TK1")]), str(tmp_path / "ledger")
+    built = in_batches(spark, tmp_path, rows, [0, 1], [2], [3]).select(alerts.cancellation_key().alias("dedup_key"))
+    jobs.send_once(built, ledger).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.dedup_key for r in spark.read.parquet(ledger).collect()) == ["CANCELLATION:TK1:2026-09-06", "CANCELLATION:TK2:2026-09-06"]
