@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,28 @@ EXPLICIT = ("CANCELLED", "DIVERTED")
 LEAST_DELAY, MOST_DELAY = -180, 1440
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body mentions it: as the one
+    element of an array that is transformed. It also keeps generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_iso(text: Column) -> Column:
     """ISO text with an offset or Z as a UTC time without a zone; with a blank or T
     between date and time, with or without seconds. Anything else is null."""
-    text = F.upper(F.trim(text))
-    full = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1 $2:00$3")
-    known = full.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.when(known, full.try_cast("timestamp")).cast("timestamp_ntz"))
+    return parse_isos(text)[0]
+
+
+def parse_isos(*texts: Column) -> Column:
+    """The times of several texts, as an array: one piece of code for all of them."""
+
+    def one(text: Column) -> Column:
+        upper = F.upper(F.trim(text))
+        full = F.regexp_replace(upper, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1 $2:00$3")
+        known = upper.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$")
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.when(known, full.try_cast("timestamp")).cast("timestamp_ntz"))
+
+    return F.transform(F.array(*texts), one)
 
 
 def assume_zone(naive: Column, zone: Column | str) -> Column:
@@ -56,24 +73,27 @@ def flight_number(text: Column) -> Column:
     """Normal form of a designator: no white space, upper case, no leading zeros in the
     last run of digits, one section letter kept."""
     compact = F.nullif(F.upper(F.regexp_replace(text, r"\s+", "")), F.lit(""))
-    part = lambda i: F.regexp_extract(compact, "^(.*?)([0-9]+)([A-Z]?)$", i)
-    digits = F.regexp_replace(part(2), "^0+(?=[0-9])", "")
-    return F.when(part(2) != "", F.concat(part(1), digits, part(3))).otherwise(compact)
+    return let(compact, lambda c: F.when(c.rlike("[0-9][A-Z]?$"), F.regexp_replace(c, "^(.*?)0*([0-9]+[A-Z]?)$", "$1$2")).otherwise(c))
 
 
 def status(raw: Column) -> Column:
-    """One of the eight statuses; what no word explains is UNKNOWN."""
-    key = F.trim(F.regexp_replace(F.lower(F.trim(raw)), r"[^\p{L}\p{N} \-/_]", ""))
-    compact = F.regexp_replace(key, r"[ \-_/]", "")
+    """One of the eight statuses; what no word explains is UNKNOWN. A text that is a word
+    is looked up; else the words, longest first, are searched for in it."""
     words = {w: s for s, of in STATUS_WORDS.items() for w in of}
     known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-    out = F.when(F.contains(compact, F.lit("cancel")), "CANCELLED").when(F.contains(compact, F.lit("divert")), "DIVERTED")
-    for word in sorted(words, key=len, reverse=True):
-        inner = word.replace(" ", "").replace("-", "")
-        if inner and words[word] not in EXPLICIT:
-            out = out.when(F.contains(compact, F.lit(inner)), words[word])
-    exact = F.coalesce(F.try_element_at(known, key), F.try_element_at(known, compact))
-    return F.when(raw.isNull(), "UNKNOWN").otherwise(F.coalesce(exact, out.otherwise("UNKNOWN")))
+    inner = {w: w.replace(" ", "").replace("-", "") for w in sorted(words, key=len, reverse=True) if words[w] not in EXPLICIT}
+    parts = {part: words[w] for w, part in reversed(inner.items()) if part}
+    listed = F.array(*[F.lit(part) for part in dict.fromkeys(part for part in inner.values() if part)])
+    found = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+
+    def mapped(key: Column, compact: Column) -> Column:
+        longest = F.get(F.filter(listed, lambda part: F.contains(compact, part)), 0)
+        return (
+            F.coalesce(F.try_element_at(known, key), F.try_element_at(known, compact), F.when(F.contains(compact, F.lit("cancel")), "CANCELLED"), F.when(F.contains(compact, F.lit("divert")), "DIVERTED"), F.try_element_at(found, longest), F.lit("UNKNOWN"))
+        )
+
+    key = F.trim(F.regexp_replace(F.lower(F.trim(raw)), r"[^\p{L}\p{N} \-/_]", ""))
+    return F.when(raw.isNull(), "UNKNOWN").otherwise(let(key, lambda k: let(F.regexp_replace(k, r"[ \-_/]", ""), lambda c: mapped(k, c))))
 
 
 def delay(scheduled: Column, estimated: Column, actual: Column, told: Column) -> Column:

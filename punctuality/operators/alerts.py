@@ -51,6 +51,14 @@ def all_alerts(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return cancellations(rows).unionByName(delays(rows, p)).unionByName(disruptions(rows, p))
 
 
+def report_keys(times: DataFrame, at: str, p: Params = DEFAULT) -> DataFrame:
+    """(alert_type, dedup_key) of the reports that fall due at times (UTC): one an hour and
+    one a day, by the local clock."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(p.zone), F.col(at))
+    each = lambda kind, form: F.struct(F.lit(kind).alias("alert_type"), F.concat(F.lit(f"{kind}:"), F.date_format(local, form)).alias("dedup_key"))
+    return times.select(F.inline(F.array(each("HOURLY_REPORT", "yyyy-MM-dd HH"), each("DAILY_REPORT", "yyyy-MM-dd")))).distinct()
+
+
 def unsent(built: DataFrame, ledger: DataFrame) -> DataFrame:
     """The first of each key that the ledger doesn't hold."""
     return built.dropDuplicates(["dedup_key"]).join(ledger, "dedup_key", "left_anti")

@@ -7,6 +7,7 @@ by a window over one flight's observations, which are few.
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -285,6 +286,37 @@ def append(new: DataFrame, path: str) -> None:
     fresh.write.mode("append").partitionBy("run_day").parquet(path)
 
 
+TABLES = ("airlines", "flights", "observations", "events", "runs")
+
+
+def tables(rows: DataFrame, p: Params = DEFAULT) -> dict[str, DataFrame]:
+    """The five history tables that observations make."""
+    runs = rows.groupBy("run_id").agg(F.max("observed_at").alias("finished_at"), F.count("*").alias("observations"))
+    return dict(zip(TABLES, (airlines(rows), latest_state(rows, p), rows, derive_events(rows, p), runs), strict=True))
+
+
+def export(rows: DataFrame, path: str, p: Params = DEFAULT) -> None:
+    """Write the history tables as Parquet, a folder each."""
+    for name, table in tables(rows, p).items():
+        table.write.parquet(f"{path}/{name}")
+
+
+def count_rows(held: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of tables."""
+    each = [table.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, table in held.items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def importable(new: dict[str, DataFrame], held: DataFrame) -> dict[str, DataFrame]:
+    """What an import takes of history tables: nothing if there are flights already (held);
+    else no mock flights and none of their observations and events."""
+    if held.limit(1).count():
+        return {name: table.limit(0) for name, table in new.items()}
+    keep = new["flights"].where("not is_mock")
+    with_ = lambda name: new[name].join(keep.select(*FLIGHT), list(FLIGHT), "left_semi")
+    return new | {"flights": keep, "observations": with_("observations"), "events": with_("events")}
+
+
 def first_schedule(flights: DataFrame, rows: DataFrame) -> DataFrame:
     """Flights with the earliest schedule that was ever observed, else their own."""
     least = rows.groupBy(*FLIGHT).agg(F.min("scheduled_departure_utc").alias("_first"))

@@ -130,48 +130,65 @@ def best_and_worst(board: DataFrame) -> DataFrame:
     return both.where("best is not null").select(F.explode(each).alias("x")).select("x.which", "x.r.key", "x.r.reliability_score", "x.r.total_flights")
 
 
-def time_of_day(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Best and worst times of day of each route, among periods with enough flights;
-    with fewer than two of those nothing can be compared, and a note says why."""
+def time_of_day(facts: DataFrame, p: Params = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
+    """Best and worst times of day of each route, among periods with enough flights; with
+    fewer than two of those nothing can be compared, and a note says why, as a code. Of
+    routes, those without flights are there too."""
     by = metrics.block(facts.withColumn("period", metrics.period(F.col("hour_local"))), "route", "period", least=p.min_period, p=p)
     place = F.coalesce(*[F.when(F.col("period") == label, -i) for i, (label, _, _) in enumerate(PERIODS)])
     score = F.coalesce("reliability_score", F.lit(0.0))
     top = lambda *by_: F.max(F.when(F.col("is_ranked"), F.struct(*by_, F.col("period")))).getField("period")
     found = by.withColumns({"place": place, "score": score}).groupBy("route").agg(
-        F.count_if("is_ranked").alias("ranked_periods"), top("score", "total_flights", "place").alias("best"), F.max(F.when(F.col("is_ranked"), F.col("period"))).alias("any_period"),
-        top("delay_rate", "score", "total_flights", "place").alias("late"), top("cancellation_rate", "score", "total_flights", "place").alias("gone"),
-    )
-    two = F.col("ranked_periods") >= 2
-    least = str(p.min_period)
-    note = (
-        F.when(F.col("ranked_periods") == 0, f"No time period has reached the {least}-flight minimum yet; periods are shown but not ranked.")
-        .when(F.col("ranked_periods") == 1, F.concat(F.lit("Only "), F.col("any_period"), F.lit(f" has reached the {least}-flight minimum, so periods cannot be compared yet. Its own figures are shown below.")))
-        .when((F.col("best") == F.col("late")) & (F.col("late") == F.col("gone")), "Every ranked period scores alike, so no period stands out yet.")
+        F.count_if("is_ranked").alias("ranked_periods"),
+        top("score", "total_flights", "place").alias("best"),
+        top("delay_rate", "score", "total_flights", "place").alias("late"),
+        top("cancellation_rate", "score", "total_flights", "place").alias("gone"),
     )
-    return found.select("route", "ranked_periods", F.when(two, F.col("best")).alias("best_period"), F.when(two, F.col("late")).alias("worst_delay_period"), F.when(two, F.col("gone")).alias("worst_cancellation_period"), note.alias("note"))
+    if routes is not None:
+        found = routes.select(F.concat_ws("-", "origin_iata", "destination_iata").alias("route")).join(found, "route", "full")
+    ranked_ = F.col("ranked_periods")
+    two = ranked_ >= 2
+    alike = (F.col("best") == F.col("late")) & (F.col("late") == F.col("gone"))
+    note = F.when(ranked_.isNull(), "no_flights").when(ranked_ == 0, "none_ranked").when(ranked_ == 1, "one_ranked").when(alike, "all_alike")
+    worst = [F.when(two, F.col(c)).alias(name) for c, name in (("best", "best_period"), ("late", "worst_delay_period"), ("gone", "worst_cancellation_period"))]
+    return found.select("route", F.coalesce(ranked_, F.lit(0)).alias("ranked_periods"), *worst, note.alias("note"))
 
 
 # --- report tables ---
 
 
+def labelled(routes: DataFrame, airports: DataFrame) -> DataFrame:
+    """Routes with a label that states the direction: an airport under its city, else its
+    name, else its code."""
+    known = lambda c: F.nullif(F.col(c), F.lit(""))
+    side = lambda end: F.broadcast(airports.select(F.col("iata").alias(f"{end}_iata"), F.upper(F.coalesce(known("city"), known("name"), "iata")).alias(f"{end}_label")))
+    both = routes.withColumn("route", F.concat_ws("-", "origin_iata", "destination_iata")).join(side("origin"), "origin_iata", "left").join(side("destination"), "destination_iata", "left")
+    text = lambda end: F.coalesce(f"{end}_label", f"{end}_iata")
+    return both.withColumn("label", F.concat(text("origin"), F.lit(" -> "), text("destination")))
+
+
 def report_today(board: DataFrame, routes: DataFrame, airports: DataFrame) -> DataFrame:
     """Today's figures of each monitored route, those without flights too."""
     counts = board.groupBy("route").agg(F.count_if(F.col("status").isin(*DEPARTED)).alias("departed"), F.count_if(F.col("status").isin("SCHEDULED", "BOARDING", "DELAYED")).alias("still_scheduled"))
     block = metrics.block(board, "route").join(counts, "route")
-    label = lambda side: F.broadcast(airports.select(F.col("iata").alias(f"{side}_iata"), F.upper("city").alias(f"{side}_city")))
-    known = routes.withColumn("route", F.concat_ws("-", "origin_iata", "destination_iata")).join(label("origin"), "origin_iata", "left").join(label("destination"), "destination_iata", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    city = lambda side: F.coalesce(f"{side}_city", f"{side}_iata")
-    return known.join(block, "route", "left").select(
-        "route", F.concat(city("origin"), F.lit(" - "), city("destination")).alias("label"), *map(zero, ("total_flights", "cancelled_flights", "delayed_flights", "departed", "still_scheduled")), "avg_delay_minutes", "cancellation_rate"
+    return labelled(routes, airports).join(block, "route", "left").select(
+        "route", "label", *map(zero, ("total_flights", "cancelled_flights", "delayed_flights", "departed", "still_scheduled")), "avg_delay_minutes", "cancellation_rate"
     )
 
 
-def issues(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Cancelled flights, and late ones that haven't left, the worst first."""
+def issues(board: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Of a day's board the cancelled flights, in order of departure, and the late ones
+    that haven't left, the worst first."""
     late = ~F.col("is_cancelled") & (F.col("delay_minutes") >= p.delay_threshold) & ~F.col("status").isin(*DEPARTED)
     kind = F.when(F.col("is_cancelled"), "cancelled").when(late, "delayed")
-    return facts.select(kind.alias("issue"), "flight_id", "flight_number", "route", "delay_minutes").where("issue is not null").orderBy("issue", F.desc("delay_minutes"), "flight_id")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(p.zone), F.col("scheduled_departure_utc"))
+    return (
+        board.withColumn("issue", kind)
+        .where("issue is not null")
+        .orderBy("issue", F.when(F.col("issue") == "delayed", -F.col("delay_minutes")), "scheduled_departure_utc", "flight_id")
+        .select("issue", "flight_id", "flight_number", F.coalesce("airline_name", "airline_iata", F.lit("Unknown")).alias("airline"), F.date_format(local, "HH:mm").alias("scheduled_local"), "destination_iata", "status", "delay_minutes")
+    )
 
 
 def history_routes(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -179,6 +196,15 @@ def history_routes(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return metrics.block(facts, "route", p=p).join(verdict, "route", "left")
 
 
-def history(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Overall, routes and airlines in one table."""
-    return metrics.by_scopes(facts, ("OVERALL", "ROUTE", "AIRLINE"), p=p).select(F.col("scope").alias("section"), "key", "total_flights", "cancelled_flights", "avg_delay_minutes", "cancellation_rate", "delay_rate", "reliability_score")
+def history(flights_facts: DataFrame, days: int, end: date, routes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The report over a rolling window: all flights, the monitored routes with their trend
+    against the window before, and the airlines in the order of their leaderboard."""
+    facts = flights_facts.where(F.col("flight_date_local").between(F.lit(end - timedelta(days=days - 1)), F.lit(end)))
+    shown = ("total_flights", "cancelled_flights", "avg_delay_minutes", "cancellation_rate", "delay_rate", "reliability_score")
+    none = {"position": "int", "total_delta": "long", "delay_rate_delta": "double", "sufficient_data": "boolean"}
+    section = lambda rows, name, *has: rows.select(F.lit(name).alias("section"), "key", *shown, *[F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    overall = section(metrics.by_scope(facts, "OVERALL", p), "overall")
+    compared = trend(flights_facts, days, end, p=p).select(F.col("route").alias("key"), "total_delta", "delay_rate_delta", "sufficient_data")
+    named = routes.select(F.concat_ws("-", "origin_iata", "destination_iata").alias("key"))
+    per_route = named.join(metrics.by_scope(facts, "ROUTE", p), "key", "left").join(compared, "key", "left").fillna(0, ["total_flights", "cancelled_flights"])
+    return overall.unionByName(section(per_route, "route", "total_delta", "delay_rate_delta", "sufficient_data")).unionByName(section(rank_airlines(facts, p), "airline", "position"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.operators import alerts, insights, metrics, population
@@ -168,18 +168,18 @@ register(
     lambda f: insights.ranked(metrics.by_scope(metrics.facts(f), "FLIGHT")).where("is_ranked"),
 )
 _ORDER = "CASE period " + " ".join(f"WHEN '{label}' THEN {i}" for i, (label, _, _) in enumerate(PERIODS)) + " END"
-register(
-    "time_of_day",
-    sql.facts(
-        sql.block("b", "facts", "route, period", "10"), f"p AS (SELECT *, {_ORDER} AS o FROM b)",
-        """v AS (SELECT route, count(*) FILTER (is_ranked) AS ranked_periods, max(period) FILTER (is_ranked) AS any_period, arg_max(period, (coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked) AS best,
-    arg_max(period, (delay_rate, coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked AND delay_rate IS NOT NULL) AS late, arg_max(period, (cancellation_rate, coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked) AS gone FROM p GROUP BY route)""",
-    )
-    + """SELECT route, ranked_periods, CASE WHEN ranked_periods >= 2 THEN best END AS best_period, CASE WHEN ranked_periods >= 2 THEN late END AS worst_delay_period, CASE WHEN ranked_periods >= 2 THEN gone END AS worst_cancellation_period,
-  CASE WHEN ranked_periods = 0 THEN 'No time period has reached the 10-flight minimum yet; periods are shown but not ranked.' WHEN ranked_periods = 1 THEN 'Only ' || any_period || ' has reached the 10-flight minimum, so periods cannot be compared yet. Its own figures are shown below.'
-    WHEN best = late AND late = gone THEN 'Every ranked period scores alike, so no period stands out yet.' END AS note FROM v""",
-    lambda f: insights.time_of_day(metrics.facts(f)),
+_VERDICT_PARTS = (
+    sql.block("tod", "facts", "route, period", "10"),
+    f"p AS (SELECT *, {_ORDER} AS o FROM tod)",
+    """v AS (SELECT route, count(*) FILTER (is_ranked) AS ranked, arg_max(period, (coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked) AS best,
+    arg_max(period, (delay_rate, coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked AND delay_rate IS NOT NULL) AS late,
+    arg_max(period, (cancellation_rate, coalesce(reliability_score, 0), total_flights, -o)) FILTER (is_ranked) AS gone FROM p GROUP BY route)""",
 )
+_VERDICT = """SELECT route, coalesce(ranked, 0) AS ranked_periods, CASE WHEN ranked >= 2 THEN best END AS best_period, CASE WHEN ranked >= 2 THEN late END AS worst_delay_period,
+  CASE WHEN ranked >= 2 THEN gone END AS worst_cancellation_period,
+  CASE WHEN ranked IS NULL THEN 'no_flights' WHEN ranked = 0 THEN 'none_ranked' WHEN ranked = 1 THEN 'one_ranked' WHEN best = late AND late = gone THEN 'all_alike' END AS note FROM """
+QUERIES["time_of_day"] = lambda spark, d: insights.time_of_day(metrics.facts(adapters.flights(spark, d)), routes=adapters.routes(spark))
+ORACLE["time_of_day"] = sql.facts(adapters.ROUTES_SQL, *_VERDICT_PARTS) + _VERDICT + "(SELECT DISTINCT origin_iata || '-' || destination_iata AS route FROM routes) FULL JOIN v USING (route)"
 register(
     "best_worst_flight",
     sql.facts(sql.keyed(("FLIGHT",)), sql.block("b", "keyed", "scope, key", "10"), f"r AS (SELECT *, {_POSITION} FROM b)") + "SELECT CASE WHEN position = 1 THEN 'best' ELSE 'worst' END AS which, key, reliability_score, total_flights FROM r WHERE is_ranked AND position IN (1, (SELECT max(position) FROM r WHERE is_ranked))",
@@ -227,26 +227,38 @@ def _today(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["report_today"] = _today
 ORACLE["report_today"] = (
     sql.facts(adapters.ROUTES_SQL, adapters.AIRPORTS_SQL, f"today AS (SELECT * FROM facts WHERE flight_date_local = {_d(TODAY)})", sql.block("b", "today", "route", "1"), "c AS (SELECT route, count(*) FILTER (status IN ('DEPARTED', 'ARRIVED', 'DIVERTED')) AS departed, count(*) FILTER (status IN ('SCHEDULED', 'BOARDING', 'DELAYED')) AS still_scheduled FROM today GROUP BY route)")
-    + """SELECT r.origin_iata || '-' || r.destination_iata AS route, upper(o.city) || ' - ' || upper(d.city) AS label, coalesce(total_flights, 0) AS total_flights, coalesce(cancelled_flights, 0) AS cancelled_flights, coalesce(delayed_flights, 0) AS delayed_flights,
+    + """SELECT r.origin_iata || '-' || r.destination_iata AS route, upper(coalesce(o.city, o.name, r.origin_iata)) || ' -> ' || upper(coalesce(d.city, d.name, r.destination_iata)) AS label, coalesce(total_flights, 0) AS total_flights, coalesce(cancelled_flights, 0) AS cancelled_flights, coalesce(delayed_flights, 0) AS delayed_flights,
   coalesce(departed, 0) AS departed, coalesce(still_scheduled, 0) AS still_scheduled, avg_delay_minutes, cancellation_rate FROM routes r LEFT JOIN b ON b.route = r.origin_iata || '-' || r.destination_iata LEFT JOIN c ON c.route = b.route LEFT JOIN airports o ON o.iata = r.origin_iata LEFT JOIN airports d ON d.iata = r.destination_iata"""
 )
-_ISSUE = "flight_id, flight_number, route, delay_minutes"
+_ISSUE = """flight_id, flight_number, coalesce(airline_name, airline_iata, 'Unknown') AS airline, strftime(timezone('Europe/Istanbul', timezone('UTC', scheduled_departure_utc)), '%H:%M') AS scheduled_local,
+  destination_iata, status, delay_minutes"""
 register(
     "report_issues",
-    sql.facts() + f"SELECT 'cancelled' AS issue, {_ISSUE} FROM facts WHERE is_cancelled UNION ALL SELECT 'delayed' AS issue, {_ISSUE} FROM facts WHERE NOT is_cancelled AND delay_minutes >= 15 AND status NOT IN ('DEPARTED', 'ARRIVED', 'DIVERTED')",
-    lambda f: insights.issues(metrics.facts(f)),
+    sql.facts(f"today AS (SELECT * FROM facts WHERE flight_date_local = {_d(TODAY)})")
+    + f"SELECT 'cancelled' AS issue, {_ISSUE} FROM today WHERE is_cancelled UNION ALL SELECT 'delayed' AS issue, {_ISSUE} FROM today WHERE NOT is_cancelled AND delay_minutes >= 15 AND status NOT IN ('DEPARTED', 'ARRIVED', 'DIVERTED')",
+    lambda f: insights.issues(population.day_board(f, TODAY)),
 )
-_VERDICT = ORACLE["time_of_day"]
 register(
     "report_history_routes",
-    sql.facts(sql.block("h", "facts", "route", "1"), "verdict AS (SELECT * FROM (" + _VERDICT + "))") + "SELECT h.*, best_period, worst_delay_period, worst_cancellation_period, note FROM h LEFT JOIN verdict USING (route)",
+    sql.facts(sql.block("h", "facts", "route", "1"), *_VERDICT_PARTS, f"verdict AS ({_VERDICT}v)") + "SELECT h.*, best_period, worst_delay_period, worst_cancellation_period, note FROM h LEFT JOIN verdict USING (route)",
     lambda f: insights.history_routes(metrics.facts(f)),
 )
-register(
-    "report_history",
-    sql.facts(sql.keyed(("OVERALL", "ROUTE", "AIRLINE")), sql.block("b", "keyed", "scope, key", "1")) + "SELECT scope AS section, key, total_flights, cancelled_flights, avg_delay_minutes, cancellation_rate, delay_rate, reliability_score FROM b",
-    lambda f: insights.history(metrics.facts(f)),
-)
+_WINDOW = f"(SELECT * FROM facts WHERE flight_date_local BETWEEN {_d(TODAY - timedelta(days=_DAYS - 1))} AND {_d(TODAY)})"
+_SHOWN = "total_flights, cancelled_flights, avg_delay_minutes, cancellation_rate, delay_rate, reliability_score"
+QUERIES["report_history"] = lambda spark, d: insights.history(metrics.facts(adapters.flights(spark, d)), _DAYS, TODAY, adapters.routes(spark))
+ORACLE["report_history"] = (
+    sql.facts(
+        adapters.ROUTES_SQL,
+        sql.block("every", _WINDOW, "", "1"),
+        sql.block("route_", _WINDOW, "route", "1"),
+        sql.block("air", f"(SELECT *, airline_key AS key FROM {_WINDOW} WHERE airline_key IS NOT NULL)", "key", "20"),
+        f"trend AS ({{}})",
+    )
+    + f"""SELECT 'overall' AS section, 'ALL' AS key, {_SHOWN}, CAST(NULL AS INTEGER) AS position, CAST(NULL AS BIGINT) AS total_delta, CAST(NULL AS DOUBLE) AS delay_rate_delta, CAST(NULL AS BOOLEAN) AS sufficient_data FROM every
+UNION ALL SELECT 'route', r.origin_iata || '-' || r.destination_iata, coalesce(total_flights, 0), coalesce(cancelled_flights, 0), avg_delay_minutes, cancellation_rate, delay_rate, reliability_score, NULL, total_delta, delay_rate_delta, sufficient_data
+  FROM routes r LEFT JOIN route_ ON route_.route = r.origin_iata || '-' || r.destination_iata LEFT JOIN trend ON trend.route = r.origin_iata || '-' || r.destination_iata
+UNION ALL SELECT 'airline', key, {_SHOWN}, {_POSITION}, NULL, NULL, NULL FROM air"""
+).replace("trend AS ({})", "trend AS (SELECT * FROM (" + ORACLE["trend_by_route"] + "))")
 register(
     "route_comparison",
     sql.facts(sql.block("b", "facts", "route", "1")) + "SELECT route, total_flights, cancellation_rate, delay_rate, avg_delay_minutes, reliability_score FROM b",
@@ -257,4 +269,10 @@ register(
     sql.facts() + "SELECT airline_key, count(*) AS n FROM facts GROUP BY airline_key",
     lambda f: metrics.facts(f).groupBy("airline_key").agg(F.count("*").alias("n")),
 )
-del Window
+register(
+    "score_caveats",
+    sql.facts(sql.keyed(("FLIGHT",)), sql.block("b", "keyed", "scope, key", "10"))
+    + """SELECT key, CASE WHEN total_flights = 0 THEN 'no_flights' WHEN completed_flights = 0 THEN 'none_completed' WHEN reliability_score IS NULL THEN 'no_timing'
+  WHEN NOT is_ranked AND total_flights < 10 THEN 'small_sample' WHEN NOT is_ranked THEN 'nothing_measured' END AS caveat FROM b""",
+    lambda f: metrics.by_scope(metrics.facts(f), "FLIGHT").select("key", metrics.caveat(F.lit(P.min_flight)).alias("caveat")),
+)

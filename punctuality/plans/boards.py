@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from punctuality.operators import history
 from punctuality.plans import sql
-from punctuality.plans.collection import FLIGHT
+from punctuality.plans.collection import _EVENTS, _PREV, FLIGHT
 from punctuality.sources import adapters, boards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +30,11 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumns({"moved": late, "number": number, "observed_at": F.col("scheduled_departure_utc")})
 
 
-def _payload(rows: DataFrame, field: str, item: Column) -> DataFrame:
-    return rows.select("origin_iata", "observed_at", F.to_json(F.struct(F.array(item).alias(field))).alias("raw"))
+def _payload(rows: DataFrame, field: str, item: Column, *more: str) -> DataFrame:
+    return rows.select("origin_iata", "observed_at", *more, F.to_json(F.struct(F.array(item).alias(field))).alias("raw"))
 
 
-def payloads_a(f: DataFrame) -> DataFrame:
+def payloads_a(f: DataFrame, *more: str) -> DataFrame:
     block = lambda c: F.struct(_stamp(c).alias("utc"))
     item = F.struct(
         F.struct(block(F.col("scheduled_departure_utc")).alias("scheduledTime"), F.when(F.col("moved").isNotNull(), block(F.col("moved"))).alias("revisedTime"), F.lit(" 1 ").alias("terminal")).alias("departure"),
@@ -42,7 +42,7 @@ def payloads_a(f: DataFrame) -> DataFrame:
         "number", F.initcap("status").alias("status"), F.when(F.col("flight_id") % 7 == 0, "IsCodeshared").otherwise("IsOperator").alias("codeshareStatus"), (F.col("flight_id") % 11 == 0).alias("isCargo"),
         F.struct(F.col("airline_iata").alias("iata"), F.col("airline_icao").alias("icao"), F.col("airline_name").alias("name")).alias("airline"),
     )
-    return _payload(f, "departures", item)
+    return _payload(f, "departures", item, *more)
 
 
 def payloads_b(f: DataFrame) -> DataFrame:
@@ -79,38 +79,39 @@ ORACLE["parse_board_c"] = sql.with_(adapters.FLIGHTS_SQL, _LEGS, "x AS (SELECT *
 
 
 def _payload_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path into the payloads, kept as they came."""
-    kind = F.get_json_object("raw", "$.departures[0].codeshareStatus")
-    return payloads_a(_flights(spark, sf_dir)).groupBy("origin_iata", kind.alias("kind")).agg(F.count("*").alias("n"))
+    """A path into the payloads, which history keeps as they came, beside what became of
+    their flights."""
+    flights = _flights(spark, sf_dir)
+    kept = payloads_a(flights, "flight_id").select("flight_id", F.get_json_object("raw", "$.departures[0].codeshareStatus").alias("kind"))
+    return kept.join(flights.select("flight_id", "status"), "flight_id").groupBy("status", "kind").agg(F.count("*").alias("n"))
 
 
 QUERIES["payload_quality"] = _payload_quality
-ORACLE["payload_quality"] = sql.with_(adapters.FLIGHTS_SQL) + "SELECT origin_iata, CASE WHEN flight_id % 7 = 0 THEN 'IsCodeshared' ELSE 'IsOperator' END AS kind, count(*) AS n FROM flights GROUP BY ALL"
+ORACLE["payload_quality"] = sql.with_(adapters.FLIGHTS_SQL) + "SELECT status, CASE WHEN flight_id % 7 = 0 THEN 'IsCodeshared' ELSE 'IsOperator' END AS kind, count(*) AS n FROM flights JOIN (SELECT flight_id FROM flights) USING (flight_id) GROUP BY ALL"
 
 # --- details, coverage, hubs ---
 
 
 def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each flight with its observations and events in order, as text."""
+    """Each flight with its observations and its events in order of time, as text."""
     o = adapters.observations(spark, sf_dir)
-    seen = o.groupBy(*history.FLIGHT).agg(F.array_sort(F.collect_list(F.struct("observed_at", "observation_id", "status"))).alias("seen"))
-    events = history.derive_events(o).groupBy(*history.FLIGHT).agg(F.count("*").alias("events"))
-    return seen.join(events, list(history.FLIGHT), "left").select(*history.FLIGHT, F.array_join("seen.status", ">").alias("statuses"), F.coalesce("events", F.lit(0)).alias("events"))
+    text = lambda of, *cells: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*of))), lambda x: F.concat_ws(" ", *[x[c].cast("string") for c in cells])), "; ")
+    seen = o.groupBy(*history.FLIGHT).agg(text(("observed_at", "observation_id", "status", "delay_minutes", "data_source"), "observation_id", "status", "delay_minutes", "data_source").alias("observations"))
+    cells = ("observation_id", "event_type", "previous_value", "new_value")
+    events = history.derive_events(o).groupBy(*history.FLIGHT).agg(text(("occurred_at", *cells), *cells).alias("events"))
+    return seen.join(events, list(history.FLIGHT), "left")
 
 
 QUERIES["flight_detail"] = _detail
-
-
-def _detail_sql() -> str:
-    from punctuality.plans.collection import _EVENTS, _PREV
-
-    return (
-        sql.with_(adapters.OBSERVATIONS_SQL, f"w AS (SELECT *, {_PREV} FROM observations)", f"e AS (SELECT {FLIGHT}, count(*) AS events FROM ({_EVENTS}) GROUP BY {FLIGHT})", f"s AS (SELECT {FLIGHT}, string_agg(status, '>' ORDER BY observed_at, observation_id) AS statuses FROM observations GROUP BY {FLIGHT})")
-        + f"SELECT {FLIGHT}, statuses, coalesce(events, 0) AS events FROM s LEFT JOIN e USING ({FLIGHT})"
+ORACLE["flight_detail"] = (
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        f"w AS (SELECT *, {_PREV} FROM observations)",
+        f"e AS (SELECT {FLIGHT}, string_agg(concat_ws(' ', observation_id, event_type, previous_value, new_value), '; ' ORDER BY occurred_at, observation_id, event_type, previous_value NULLS FIRST, new_value NULLS FIRST) AS events FROM ({_EVENTS}) GROUP BY {FLIGHT})",
+        f"s AS (SELECT {FLIGHT}, string_agg(concat_ws(' ', observation_id, status, delay_minutes, data_source), '; ' ORDER BY observed_at, observation_id) AS observations FROM observations GROUP BY {FLIGHT})",
     )
-
-
-ORACLE["flight_detail"] = _detail_sql()
+    + f"SELECT {FLIGHT}, observations, events FROM s LEFT JOIN e USING ({FLIGHT})"
+)
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,17 +130,23 @@ ORACLE["route_coverage"] = (
 
 
 def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hub (3 for each route out of it, 2 for each into it; of equals the first in
-    the alphabet) and each route as outbound from it, return to it, or other."""
-    routes = adapters.flights(spark, sf_dir).select("origin_iata", "destination_iata").distinct()
-    ends = routes.select(F.inline(F.array(F.struct(F.col("origin_iata").alias("airport"), F.lit(3).alias("w")), F.struct(F.col("destination_iata").alias("airport"), F.lit(2).alias("w")))))
-    weight = ends.groupBy("airport").agg(F.sum("w").alias("w"))
-    hub = weight.agg(F.min(F.struct(-F.col("w"), F.col("airport"))).getField("airport").alias("hub"))
-    return routes.crossJoin(F.broadcast(hub)).withColumn("kind", F.when(F.col("origin_iata") == F.col("hub"), "outbound").when(F.col("destination_iata") == F.col("hub"), "return").otherwise("other"))  # one row
+    """The hub (3 for each route out of it, 2 for each into it; of equals the one that comes
+    first as routes are read in the order of their first flights) and each route as
+    outbound from it; all others return."""
+    routes = adapters.flights(spark, sf_dir).groupBy("origin_iata", "destination_iata").agg(F.min("flight_id").alias("first"))
+    end = lambda c, w, second: F.struct(F.col(c).alias("airport"), F.lit(w).alias("w"), F.struct(F.col("first"), F.lit(second)).alias("at"))
+    ends = routes.select(F.inline(F.array(end("origin_iata", 3, 0), end("destination_iata", 2, 1))))
+    weight = ends.groupBy("airport").agg(F.sum("w").alias("w"), F.min("at").alias("at"))
+    hub = weight.agg(F.min_by("airport", F.struct(-F.col("w"), F.col("at"))).alias("hub"))
+    return routes.crossJoin(F.broadcast(hub)).select("origin_iata", "destination_iata", "hub", F.when(F.col("origin_iata") == F.col("hub"), "outbound").otherwise("return").alias("kind"))  # one row
 
 
 QUERIES["hub_routes"] = _hubs
 ORACLE["hub_routes"] = (
-    sql.with_(adapters.FLIGHTS_SQL, "r AS (SELECT DISTINCT origin_iata, destination_iata FROM flights)", "h AS (SELECT airport AS hub FROM (SELECT origin_iata AS airport, 3 AS w FROM r UNION ALL SELECT destination_iata, 2 FROM r) GROUP BY airport ORDER BY sum(w) DESC, airport LIMIT 1)")
-    + "SELECT origin_iata, destination_iata, hub, CASE WHEN origin_iata = hub THEN 'outbound' WHEN destination_iata = hub THEN 'return' ELSE 'other' END AS kind FROM r, h"
+    sql.with_(
+        adapters.FLIGHTS_SQL,
+        "r AS (SELECT origin_iata, destination_iata, min(flight_id) AS first FROM flights GROUP BY ALL)",
+        "h AS (SELECT airport AS hub FROM (SELECT origin_iata AS airport, 3 AS w, first, 0 AS side FROM r UNION ALL SELECT destination_iata, 2, first, 1 FROM r) GROUP BY airport ORDER BY sum(w) DESC, min((first, side)) LIMIT 1)",
+    )
+    + "SELECT origin_iata, destination_iata, hub, CASE WHEN origin_iata = hub THEN 'outbound' ELSE 'return' END AS kind FROM r, h"
 )

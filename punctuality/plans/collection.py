@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.functions import scalars
-from punctuality.operators import history
+from punctuality.operators import alerts, history
 from punctuality.plans import sql
 from punctuality.sources import adapters
 
@@ -158,10 +158,10 @@ over(
     sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, coalesce(least_, s.scheduled_departure_utc) AS first_scheduled_departure_utc FROM state s LEFT JOIN (SELECT {FLIGHT}, min(scheduled_departure_utc) AS least_ FROM observations GROUP BY {FLIGHT}) USING ({FLIGHT})",
     lambda o: history.first_schedule(history.latest_state(o), o).select(*history.FLIGHT, "first_scheduled_departure_utc"),
 )
-_AIRLINES = f"""a AS (SELECT airline_iata AS iata, airline_icao AS icao, airline_name AS name, {_T} AS at FROM observations WHERE airline_iata IS NOT NULL OR airline_icao IS NOT NULL),
-pair AS (SELECT icao, arg_min(iata, at) AS owner FROM a WHERE iata IS NOT NULL AND icao IS NOT NULL GROUP BY icao),
+_AIRLINES = f"""a AS (SELECT airline_iata AS iata, airline_icao AS icao, airline_name AS name, {_T} AS told FROM observations WHERE airline_iata IS NOT NULL OR airline_icao IS NOT NULL),
+pair AS (SELECT icao, arg_min(iata, told) AS owner FROM a WHERE iata IS NOT NULL AND icao IS NOT NULL GROUP BY icao),
 known AS (SELECT a.*, coalesce(iata, pair.owner, 'icao ' || a.icao) AS key FROM a LEFT JOIN pair ON a.icao = pair.icao),
-air AS (SELECT arg_min(iata, at) FILTER (iata IS NOT NULL) AS iata, arg_min(icao, at) FILTER (icao IS NOT NULL) AS icao, arg_max(name, at) AS name FROM known GROUP BY key)"""
+air AS (SELECT arg_min(iata, told) FILTER (iata IS NOT NULL) AS iata, arg_min(icao, told) FILTER (icao IS NOT NULL) AS icao, arg_max(name, told) AS name FROM known GROUP BY key)"""
 over("discover_airlines", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL, _AIRLINES) + "SELECT * FROM air", history.airlines)
 over("list_airlines", adapters.observations, sql.with_(adapters.OBSERVATIONS_SQL, _AIRLINES) + "SELECT * FROM air ORDER BY name, iata", lambda o: history.airlines(o).orderBy("name", "iata"))
 _W = f"OVER (PARTITION BY {FLIGHT} ORDER BY observed_at, observation_id)"
@@ -191,11 +191,50 @@ over(
     sql.with_(adapters.OBSERVATIONS_SQL, _STATE) + f"SELECT {FLIGHT}, status, 'STALE' AS data_quality, 'WENT_STALE' AS event_type FROM state ANTI JOIN (SELECT * FROM observations WHERE observed_at >= TIMESTAMP '2024-01-30') USING ({FLIGHT}) WHERE last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE AND data_quality <> 'STALE' AND status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') AND origin_iata IN (SELECT origin_iata FROM observations WHERE observed_at >= TIMESTAMP '2024-01-30')",
     _stale,
 )
-observed("history_counts", "SELECT 'observations' AS table_name, count(*) AS n FROM observations UNION ALL SELECT 'flights', count(*) FROM (SELECT DISTINCT flight_number, flight_date_local FROM observations)", lambda o: o.agg(F.count("*").alias("n")).select(F.lit("observations").alias("table_name"), "n").unionByName(o.select(*history.FLIGHT).distinct().agg(F.count("*").alias("n")).select(F.lit("flights").alias("table_name"), "n")))
-observed(
-    "import_history", f"SELECT observation_id FROM observations SEMI JOIN (SELECT {FLIGHT} FROM observations GROUP BY {FLIGHT} HAVING NOT bool_and(is_mock)) USING ({FLIGHT})",
-    lambda o: o.join(history.latest_state(o).where("not is_mock").select(*history.FLIGHT), list(history.FLIGHT), "left_semi").select("observation_id"),
-)
+over(
+    "history_counts",
+    adapters.observations,
+    sql.with_(adapters.OBSERVATIONS_SQL, _AIRLINES, f"w AS (SELECT *, {_PREV} FROM observations)")
+    + f"""SELECT 'airlines' AS table_name, count(*) AS n FROM air UNION ALL SELECT 'flights', count(*) FROM (SELECT DISTINCT {FLIGHT} FROM observations)
+UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'events', count(*) FROM ({_EVENTS}) UNION ALL SELECT 'runs', count(DISTINCT run_id) FROM observations""",
+    lambda o: history.count_rows(history.tables(o)),
+)
+
+
+def _imported(o: DataFrame) -> DataFrame:
+    kept = history.importable(history.tables(o), o.limit(0))
+    seen = kept["observations"].select(F.lit("observations").alias("table_name"), "observation_id", F.lit(None).cast("string").alias("event_type"))
+    return seen.unionByName(kept["events"].select(F.lit("events").alias("table_name"), "observation_id", "event_type"))
+
+
+over(
+    "import_history",
+    adapters.observations,
+    sql.with_(adapters.OBSERVATIONS_SQL, f"w AS (SELECT *, {_PREV} FROM observations)", f"kept AS (SELECT {FLIGHT} FROM observations GROUP BY {FLIGHT} HAVING NOT bool_and(is_mock))")
+    + f"""SELECT 'observations' AS table_name, observation_id, CAST(NULL AS VARCHAR) AS event_type FROM observations SEMI JOIN kept USING ({FLIGHT})
+UNION ALL SELECT 'events', observation_id, event_type FROM ({_EVENTS}) SEMI JOIN kept USING ({FLIGHT})""",
+    _imported,
+)
+over(
+    "flight_displacement",
+    adapters.observations,
+    sql.with_(adapters.OBSERVATIONS_SQL, _STATE)
+    + f"""SELECT {FLIGHT}, moved AS schedule_moved_minutes, CASE WHEN moved IS NOT NULL OR delay_minutes IS NOT NULL THEN coalesce(moved, 0) + coalesce(delay_minutes, 0) END AS total_displacement_minutes
+FROM (SELECT *, CAST(floor((epoch(scheduled_departure_utc) - epoch(first_scheduled_departure_utc)) / 60) AS INTEGER) AS moved FROM state)""",
+    lambda o: history.displacement(history.latest_state(o)).select(*history.FLIGHT, "schedule_moved_minutes", "total_displacement_minutes"),
+)
+over(
+    "report_keys",
+    adapters.observations,
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        "due AS (SELECT DISTINCT timezone('Europe/Istanbul', timezone('UTC', observed_at)) AS t, observation_id FROM observations)",
+        "built AS (SELECT DISTINCT 'HOURLY_REPORT' AS alert_type, strftime(t, 'HOURLY_REPORT:%Y-%m-%d %H') AS dedup_key FROM due UNION ALL SELECT DISTINCT 'DAILY_REPORT', strftime(t, 'DAILY_REPORT:%Y-%m-%d') FROM due)",
+        "sent AS (SELECT DISTINCT strftime(t, 'HOURLY_REPORT:%Y-%m-%d %H') AS dedup_key FROM due WHERE observation_id % 9 = 0)",
+    )
+    + "SELECT * FROM built ANTI JOIN sent USING (dedup_key)",
+    lambda o: alerts.unsent(alerts.report_keys(o, "observed_at"), alerts.report_keys(o.where("observation_id % 9 = 0"), "observed_at").where("alert_type = 'HOURLY_REPORT'").select("dedup_key")).select("alert_type", "dedup_key"),
+)
 _KEPT = f"""kept AS (SELECT * FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY {LEG}, run_id, data_source ORDER BY rich DESC, observed_at, observation_id) = 1)
   QUALIFY row_number() OVER (PARTITION BY {FLIGHT}, run_id, data_source ORDER BY observed_at, observation_id) = 1)"""
 _ORIGINS = ("IST", "IKA")

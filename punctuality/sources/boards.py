@@ -18,7 +18,7 @@ _PLACE = "struct<iata:string,icao:string,name:string>"
 _STOP = f"struct<airport:{_PLACE},scheduledTime:{_TIME},revisedTime:{_TIME},runwayTime:{_TIME},terminal:string,gate:string>"
 BOARD_A = f"departures array<struct<departure:{_STOP},arrival:{_STOP},number:string,callSign:string,status:string,codeshareStatus:string,isCargo:boolean,aircraft:struct<reg:string,model:string>,airline:{_PLACE}>>"
 _STOP_B = "struct<iata:string,terminal:string,gate:string,delay:string,scheduled:string,estimated:string,actual:string,actual_runway:string>"
-BOARD_B = f"data array<struct<flight_status:string,departure:{_STOP_B},arrival:{_STOP_B},airline:{_PLACE},flight:struct<number:string,iata:string,icao:string,codeshared:struct<flight_iata:string>>,aircraft:struct<registration:string,iata:string,icao:string>>>"
+BOARD_B = f"data array<struct<flight_status:string,departure:{_STOP_B},arrival:{_STOP_B},airline:{_PLACE},flight:struct<number:string,iata:string,icao:string,codeshared:map<string,string>>,aircraft:struct<registration:string,iata:string,icao:string>>>"
 _TIMES_C = ",".join(f"{kind}_{side}:string" for kind in ("scheduled", "estimated", "actual") for side in ("out", "off", "in", "on"))
 BOARD_C = f"scheduled_departures array<struct<ident:string,ident_iata:string,ident_icao:string,operator:string,operator_iata:string,operator_icao:string,destination:struct<code_iata:string,code:string>,{_TIMES_C},cancelled:boolean,diverted:boolean,departure_delay:bigint,arrival_delay:bigint,status:string,gate_origin:string,terminal_origin:string,aircraft_type:string,registration:string,codeshares:array<string>,position_only:boolean>>"
 
@@ -26,10 +26,12 @@ BOARD_C = f"scheduled_departures array<struct<ident:string,ident_iata:string,ide
 def _leg(rows: DataFrame, source: str, cancelled: Column, diverted: Column, p: Params, **fields: Column) -> DataFrame:
     """The common record from the fields of a provider: rows without a number, a
     schedule or a destination go."""
-    none = F.lit(None)
-    told = (fields.pop("told", none.cast("int")), fields.pop("told_arrival", none.cast("int")))
-    found = rows.select("origin_iata", "observed_at", cancelled.alias("_cancelled"), diverted.alias("_diverted"), told[0].alias("_told"), told[1].alias("_told_arrival"), *[c.alias(k) for k, c in fields.items()])
-    found = found.where("flight_number is not null and scheduled_departure_utc is not null and destination_iata is not null")
+    none = F.lit(None).cast("int")
+    fields = {"_told": none, "_told_arrival": none} | {{"told": "_told", "told_arrival": "_told_arrival"}.get(k, k): v for k, v in fields.items()}
+    row = F.struct(cancelled.alias("_cancelled"), diverted.alias("_diverted"), *[v.alias(k) for k, v in fields.items()])
+    whole = lambda r: r["flight_number"].isNotNull() & r["scheduled_departure_utc"].isNotNull() & r["destination_iata"].isNotNull()
+    # filtered as an array, as a filter beside would be pushed down and parse all texts twice
+    found = rows.select("origin_iata", "observed_at", F.inline(F.filter(F.array(row), whole)))
     c = F.col
     late = scalars.delay(c("scheduled_departure_utc"), c("estimated_departure_utc"), c("actual_departure_utc"), c("_told"))
     arrival = scalars.delay(c("scheduled_arrival_utc"), c("estimated_arrival_utc"), c("actual_arrival_utc"), c("_told_arrival"))
@@ -50,50 +52,123 @@ def _destination(rows: DataFrame, code: Column, wanted: tuple[str, ...] | None)
     return rows if wanted is None else rows.where(F.upper(F.trim(code)).isin(*wanted))
 
 
-def parse_a(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT) -> DataFrame:
-    """Boards with time blocks; cancelled or diverted is what the status text says."""
+TIMES = ("scheduled_departure_utc", "estimated_departure_utc", "actual_departure_utc", "scheduled_arrival_utc", "estimated_arrival_utc", "actual_arrival_utc")
+
+
+def _timed(rows: DataFrame, pairs: list[tuple[Column, Column]]) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with the times of pairs of texts (a text, and what stands in for it), and the
+    columns for TIMES: the first of each pair that is a time."""
+    parsed = rows.withColumn("_times", scalars.parse_isos(*[text for pair in pairs for text in pair]))
+    return parsed, {name: F.coalesce(F.col("_times")[2 * i], F.col("_times")[2 * i + 1]) for i, name in enumerate(TIMES)}
+
+
+def parse_a(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT, codeshares: bool = False) -> DataFrame:
+    """Boards with time blocks; cancelled or diverted is what the status text says.
+    codeshares: whether flights sold under another's number stay."""
     c, clean = F.col, scalars.clean
     rows = _destination(_items(payloads, BOARD_A, "departures"), c("i.arrival.airport.iata"), wanted)
-    rows = rows.where(~F.coalesce(c("i.isCargo"), F.lit(False)) & (F.lower(F.trim(F.coalesce(c("i.codeshareStatus"), F.lit("")))) != "iscodeshared"))
-    time = lambda f: F.coalesce(scalars.parse_iso(c(f"i.{f}.utc")), scalars.parse_iso(c(f"i.{f}.local")))
+    shared = F.lower(F.trim(F.coalesce(c("i.codeshareStatus"), F.lit("")))) == "iscodeshared"
+    rows = rows.where(~F.coalesce(c("i.isCargo"), F.lit(False)) & (F.lit(codeshares) | ~shared))
+    blocks = [f"{side}.{kind}Time" for side in ("departure", "arrival") for kind in ("scheduled", "revised", "runway")]
+    rows, times = _timed(rows, [(c(f"i.{b}.utc"), c(f"i.{b}.local")) for b in blocks])
     says = lambda word: F.contains(F.lower(F.coalesce(c("i.status"), F.lit(""))), F.lit(word))
     return _leg(
-        rows, "board_a", says("cancel"), says("divert"), p, flight_number=scalars.flight_number(c("i.number")), destination_iata=clean(F.upper("i.arrival.airport.iata")),
-        scheduled_departure_utc=time("departure.scheduledTime"), estimated_departure_utc=time("departure.revisedTime"), actual_departure_utc=time("departure.runwayTime"),
-        scheduled_arrival_utc=time("arrival.scheduledTime"), estimated_arrival_utc=time("arrival.revisedTime"), actual_arrival_utc=time("arrival.runwayTime"), raw_status=clean(c("i.status")),
-        airline_iata=clean(c("i.airline.iata")), airline_icao=clean(c("i.airline.icao")), airline_name=clean(c("i.airline.name")), terminal=clean(c("i.departure.terminal")), gate=clean(c("i.departure.gate")),
-        aircraft_type=clean(c("i.aircraft.model")), aircraft_registration=clean(c("i.aircraft.reg")),
-    )
+        rows,
+        "board_a",
+        says("cancel"),
+        says("divert"),
+        p,
+        **times,
+        flight_number=scalars.flight_number(c("i.number")),
+        destination_iata=clean(F.upper("i.arrival.airport.iata")),
+        raw_status=clean(c("i.status")),
+        airline_iata=clean(c("i.airline.iata")),
+        airline_icao=clean(c("i.airline.icao")),
+        airline_name=clean(c("i.airline.name")),
+        terminal=clean(c("i.departure.terminal")),
+        gate=clean(c("i.departure.gate")),
+        aircraft_type=clean(c("i.aircraft.model")),
+        aircraft_registration=clean(c("i.aircraft.reg")),
+        is_codeshare=shared,
+        codeshare_of=F.lit(None).cast("string"),
+    )
 
 
-def parse_b(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT) -> DataFrame:
-    """Rows with a nested flight; codeshares go; the provider's own delay is a fallback."""
+def parse_b(
+    payloads: DataFrame,
+    wanted: tuple[str, ...] | None = None,
+    p: Params = DEFAULT,
+    codeshares: bool = False,
+    window: tuple[Column, Column] | None = None,
+) -> DataFrame:
+    """Rows with a nested flight; the provider's own delay is a fallback. A flight is sold
+    under another's number if the object that says so isn't empty; such go, unless
+    codeshares. window: only departures from the first (with it) to the second time."""
     c, clean = F.col, scalars.clean
-    rows = _destination(_items(payloads, BOARD_B, "data"), c("i.arrival.iata"), wanted).where("i.flight.codeshared is null")
-    time = lambda f: scalars.parse_iso(c(f"i.{f}"))
-    first = lambda a, b: F.coalesce(time(a), time(b))
+    rows = _destination(_items(payloads, BOARD_B, "data"), c("i.arrival.iata"), wanted)
+    shared = F.coalesce(F.size("i.flight.codeshared") > 0, F.lit(False))
+    rows = rows.where(F.lit(codeshares) | ~shared)
+    none = F.lit(None).cast("string")
+    sides = [("departure.scheduled", None), ("departure.estimated", None), ("departure.actual", "departure.actual_runway")]
+    sides += [("arrival.scheduled", None), ("arrival.estimated", None), ("arrival.actual", "arrival.actual_runway")]
+    rows, times = _timed(rows, [(c(f"i.{a}"), c(f"i.{b}") if b else none) for a, b in sides])
     status = F.lower(F.trim(F.coalesce(c("i.flight_status"), F.lit(""))))
-    return _leg(
-        rows, "board_b", status == "cancelled", status == "diverted", p, flight_number=scalars.flight_number(F.coalesce(clean(c("i.flight.iata")), c("i.flight.icao"))), destination_iata=clean(F.upper("i.arrival.iata")),
-        scheduled_departure_utc=time("departure.scheduled"), estimated_departure_utc=time("departure.estimated"), actual_departure_utc=first("departure.actual", "departure.actual_runway"),
-        scheduled_arrival_utc=time("arrival.scheduled"), estimated_arrival_utc=time("arrival.estimated"), actual_arrival_utc=first("arrival.actual", "arrival.actual_runway"), raw_status=clean(c("i.flight_status")),
-        airline_iata=clean(c("i.airline.iata")), airline_icao=clean(c("i.airline.icao")), airline_name=clean(c("i.airline.name")), terminal=clean(c("i.departure.terminal")), gate=clean(c("i.departure.gate")),
-        aircraft_type=F.coalesce(clean(c("i.aircraft.iata")), clean(c("i.aircraft.icao"))), aircraft_registration=clean(c("i.aircraft.registration")),
-        told=F.trim("i.departure.delay").try_cast("int"), told_arrival=F.trim("i.arrival.delay").try_cast("int"),
-    )
+    found = _leg(
+        rows,
+        "board_b",
+        status == "cancelled",
+        status == "diverted",
+        p,
+        **times,
+        flight_number=scalars.flight_number(F.coalesce(clean(c("i.flight.iata")), c("i.flight.icao"))),
+        destination_iata=clean(F.upper("i.arrival.iata")),
+        raw_status=clean(c("i.flight_status")),
+        airline_iata=clean(c("i.airline.iata")),
+        airline_icao=clean(c("i.airline.icao")),
+        airline_name=clean(c("i.airline.name")),
+        terminal=clean(c("i.departure.terminal")),
+        gate=clean(c("i.departure.gate")),
+        aircraft_type=F.coalesce(clean(c("i.aircraft.iata")), clean(c("i.aircraft.icao"))),
+        aircraft_registration=clean(c("i.aircraft.registration")),
+        is_codeshare=shared,
+        codeshare_of=scalars.flight_number(F.try_element_at("i.flight.codeshared", F.lit("flight_iata"))),
+        told=F.trim("i.departure.delay").try_cast("int"),
+        told_arrival=F.trim("i.arrival.delay").try_cast("int"),
+    )
+    if window is None:
+        return found
+    return found.where((c("scheduled_departure_utc") >= window[0]) & (c("scheduled_departure_utc") < window[1]))
 
 
-def parse_c(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT) -> DataFrame:
-    """Rows with out/off and in/on times and flags; delays are told in seconds."""
+def parse_c(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT, codeshares: bool = False) -> DataFrame:
+    """Rows with out/off and in/on times and flags; delays are told in seconds. A row that
+    only tells a position is another's duplicate and goes, unless codeshares."""
     c, clean = F.col, scalars.clean
     code = F.coalesce(clean(c("i.destination.code_iata")), clean(c("i.destination.code")))
-    rows = _destination(_items(payloads, BOARD_C, "scheduled_departures"), code, wanted).where("not coalesce(i.position_only, false)")
-    first = lambda kind, a, b: F.coalesce(scalars.parse_iso(c(f"i.{kind}_{a}")), scalars.parse_iso(c(f"i.{kind}_{b}")))
+    rows = _destination(_items(payloads, BOARD_C, "scheduled_departures"), code, wanted)
+    shared = F.coalesce(c("i.position_only"), F.lit(False))
+    rows = rows.where(F.lit(codeshares) | ~shared)
+    sides = [(f"{kind}_{a}", f"{kind}_{b}") for a, b in (("out", "off"), ("in", "on")) for kind in ("scheduled", "estimated", "actual")]
+    rows, times = _timed(rows, [(c(f"i.{a}"), c(f"i.{b}")) for a, b in sides])
     return _leg(
-        rows, "board_c", F.coalesce(c("i.cancelled"), F.lit(False)), F.coalesce(c("i.diverted"), F.lit(False)), p, flight_number=scalars.flight_number(F.coalesce(clean(c("i.ident_iata")), c("i.ident"))), destination_iata=F.upper(code),
-        scheduled_departure_utc=first("scheduled", "out", "off"), estimated_departure_utc=first("estimated", "out", "off"), actual_departure_utc=first("actual", "out", "off"),
-        scheduled_arrival_utc=first("scheduled", "in", "on"), estimated_arrival_utc=first("estimated", "in", "on"), actual_arrival_utc=first("actual", "in", "on"), raw_status=clean(c("i.status")),
-        airline_iata=clean(c("i.operator_iata")), airline_icao=F.coalesce(clean(c("i.operator_icao")), clean(c("i.operator"))), airline_name=clean(c("i.operator")), terminal=clean(c("i.terminal_origin")), gate=clean(c("i.gate_origin")),
-        aircraft_type=clean(c("i.aircraft_type")), aircraft_registration=clean(c("i.registration")),
-        told=F.expr("cast(i.departure_delay div 60 as int)"), told_arrival=F.expr("cast(i.arrival_delay div 60 as int)"),
-    )
+        rows,
+        "board_c",
+        F.coalesce(c("i.cancelled"), F.lit(False)),
+        F.coalesce(c("i.diverted"), F.lit(False)),
+        p,
+        **times,
+        flight_number=scalars.flight_number(F.coalesce(clean(c("i.ident_iata")), c("i.ident"))),
+        destination_iata=F.upper(code),
+        raw_status=clean(c("i.status")),
+        airline_iata=clean(c("i.operator_iata")),
+        airline_icao=F.coalesce(clean(c("i.operator_icao")), clean(c("i.operator"))),
+        airline_name=clean(c("i.operator")),
+        terminal=clean(c("i.terminal_origin")),
+        gate=clean(c("i.gate_origin")),
+        aircraft_type=clean(c("i.aircraft_type")),
+        aircraft_registration=clean(c("i.registration")),
+        is_codeshare=shared,
+        codeshare_of=scalars.flight_number(F.get("i.codeshares", F.lit(0))),
+        told=F.expr("cast(i.departure_delay div 60 as int)"),
+        told_arrival=F.expr("cast(i.arrival_delay div 60 as int)"),
+    )
