@@ -1,6 +1,8 @@
 """Licence scans by sentence rules: texts are cut into sentences, normalised sentences
 become the numbers of known licence sentences, and ordered rules (sequences of such
-numbers, next to each other in the text) name the licences.
+numbers, next to each other in the text) name the licences. Rules of more sentences go
+before shorter ones, equal ones in their order; what a rule has matched is used up, so
+that the sentences of a full notice don't also match the rules of a shorter one.
 
 Sentences run over the line breaks inside a paragraph: a sentence that isn't known as a
 whole is looked up line by line, so that a notice that stands on a line of its own is found
@@ -11,9 +13,10 @@ Everything is DataFrame functions in one narrow stage: no shuffle. Texts without
 word that a known sentence has as its rarest (see ANCHORS) can hold none and skip the
 cutting.
 
-Defined results: a null or empty text has no sentences and no licence; a sentence that
-repeats counts each time; a licence is named once a text; repeated rows get a row each;
-an empty table gives an empty result; other columns are never read.
+Defined results: a null or empty text has no sentences and no licence; a very long text is
+cut whole; a sentence that repeats counts each time; a licence is named once a text, where
+its first rule stands in the order; repeated rows get a row each; an empty table gives an
+empty result; other columns are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -49,27 +52,131 @@ SENTENCES = {
     23: "this work is in the public domain",
     24: "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
-#: Ordered rules: earlier ones come first in the result.
+# More known sentences, of standard notices and licence texts.
+SENTENCES |= {
+    25: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    26: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    27: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    28: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    29: "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    30: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    31: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    32: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    33: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    34: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    35: "see the gnu general public license for more details",
+    36: "see the gnu lesser general public license for more details",
+    37: "see the gnu affero general public license for more details",
+    38: "you should have received a copy of the gnu general public license along with this program",
+    39: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    40: "see the license for the specific language governing permissions and limitations under the license",
+    41: "this is free and unencumbered software released into the public domain",
+    42: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    43: "this software is provided as is without any express or implied warranty",
+    44: "in no event will the authors be held liable for any damages arising from the use of this software",
+    45: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    46: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    47: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    48: "you just do what the fuck you want to",
+    49: "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",
+    50: "you can copy modify distribute and perform the work even for commercial purposes all without asking permission",
+    51: "you are free to share copy and redistribute the material in any medium or format",
+    52: "you must give appropriate credit provide a link to the license and indicate if changes were made",
+    53: "you may not use the material for commercial purposes",
+    54: "if you remix transform or build upon the material you must distribute your contributions under the same license as the original",
+    55: "if you remix transform or build upon the material you may not distribute the modified material",
+    56: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+}
+# The names of licences, normalised.
+NAMES = {
+    "MIT": ("mit", "expat"),
+    "Apache-2.0": ("apache 2 0", "apache license 2 0", "apache license version 2 0", "apache software license 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd"),
+    "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"),
+    "BSD": ("bsd",),
+    "ISC": ("isc",),
+    "Zlib": ("zlib",),
+    "BSL-1.0": ("boost software license 1 0", "boost software license version 1 0", "boost software"),
+    "GPL-2.0": ("gpl 2 0", "gpl v2", "gplv2", "gnu gpl v2", "gnu general public license v2 0", "gnu general public license version 2"),
+    "GPL-3.0": ("gpl 3 0", "gpl v3", "gplv3", "gnu gpl v3", "gnu general public license v3 0", "gnu general public license version 3"),
+    "LGPL-2.1": ("lgpl 2 1", "lgpl v2 1", "gnu lesser general public license v2 1", "gnu lesser general public license version 2 1"),
+    "LGPL-3.0": ("lgpl 3 0", "lgpl v3", "gnu lesser general public license v3 0", "gnu lesser general public license version 3"),
+    "AGPL-3.0": ("agpl 3 0", "agpl v3", "gnu affero general public license v3 0", "gnu affero general public license version 3"),
+    "MPL-2.0": ("mpl 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mozilla public license version 2 0"),
+    "EPL-2.0": ("epl 2 0", "eclipse public license 2 0", "eclipse public license v 2 0"),
+    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution sharealike 4 0 international"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0", "creative commons attribution noncommercial 4 0 international"),
+    "CC-BY-ND-4.0": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0", "creative commons attribution noderivatives 4 0 international"),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0", "creative commons attribution noncommercial sharealike 4 0 international"),
+    "CC-BY-NC-ND-4.0": ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0", "creative commons attribution noncommercial noderivatives 4 0 international"),
+    "CC0-1.0": ("cc0", "cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal"),
+    "Unlicense": ("unlicense",),
+    "WTFPL": ("wtfpl",),
+    "Artistic-2.0": ("artistic 2 0", "artistic license 2 0"),
+}
+#: How a text says that a licence of that name holds; {} is the name.
+NOTICES = (
+    "released under {}", "released under the {}", "released under the {} license", "licensed under {}", "licensed under the {}", "licensed under the {} license", "licensed under a {} license",
+    "this project is licensed under the {}", "this project is licensed under the {} license", "this software is licensed under the {}", "this software is licensed under the {} license",
+    "this work is licensed under {}", "this work is licensed under the {}", "this work is licensed under the {} license", "this work is licensed under a {} license",
+    "distributed under the {} license", "distributed under the terms of the {}", "distributed under the terms of the {} license", "available under the {} license", "code released under the {} license",
+)
+#: The number of a licence's notices is FIRST_NOTICE and its place in NAMES.
+FIRST_NOTICE = 101
+_NOTICE = {name: FIRST_NOTICE + i for i, name in enumerate(NAMES)}
+#: Ordered rules: of rules of equal length the earlier goes before.
 RULES = [
+    ("Apache-2.0", (2, 3, 4, 39, 40)),
     ("Apache-2.0", (2, 3, 4)),
     ("Apache-2.0", (1,)),
     ("Apache-2.0", (2,)),
     ("MIT", (8, 9, 10)),
+    ("MIT", (8, 9)),
     ("MIT", (5,)),
     ("MIT", (6,)),
     ("MIT", (7,)),
     ("MIT", (8,)),
     ("GPL-3.0", (11,)),
     ("GPL-2.0", (12,)),
+    ("GPL", (13, 14, 35, 38)),
+    ("GPL", (13, 14, 35)),
     ("GPL", (13, 14)),
     ("GPL", (13,)),
+    ("AGPL-3.0", (34, 14, 37)),
+    ("AGPL-3.0", (34, 14)),
+    ("AGPL-3.0", (34,)),
+    ("LGPL-2.1", (31, 33, 36)),
+    ("LGPL-2.1", (31, 33)),
+    ("LGPL-2.1", (31,)),
+    ("LGPL-3.0", (32, 33, 36)),
+    ("LGPL-3.0", (32, 33)),
+    ("LGPL-3.0", (32,)),
     ("CC-BY-NC-4.0", (15,)),
     ("CC-BY-NC-4.0", (19,)),
     ("CC-BY-4.0", (16,)),
     ("CC-BY-4.0", (18,)),
     ("CC-BY-SA-4.0", (17,)),
+    ("BSD-3-Clause", (20, 21, 25, 27, 26)),
+    ("BSD-2-Clause", (20, 21, 25, 26)),
+    ("BSD-3-Clause", (20, 21, 25, 27)),
+    ("BSD-2-Clause", (20, 21, 25)),
     ("BSD", (20, 21)),
+    ("ISC", (28, 29)),
+    ("ISC", (28,)),
+    ("MPL-2.0", (24, 30)),
     ("MPL-2.0", (24,)),
+    ("Unlicense", (41, 42)),
+    ("Unlicense", (41,)),
+    ("Zlib", (43, 44, 45)),
+    ("Zlib", (45,)),
+    ("BSL-1.0", (46,)),
+    ("WTFPL", (47,)),
+    ("WTFPL", (48,)),
+    ("CC0-1.0", (49, 50)),
+    ("CC0-1.0", (49,)),
+    ("EPL-2.0", (56,)),
+    *[(name, (k,)) for name, k in _NOTICE.items()],
     ("Proprietary", (22,)),
     ("Public-Domain", (23,)),
 ]
@@ -87,14 +194,35 @@ WORDINGS = {
 }
 #: Ends of sentences; a blank line ends a paragraph.
 BREAK = r"[.!?;]+\s+|[.!?;]+$|\n[ \t]*\n\s*"
-#: What is no word or no end: line ends, comment signs, numbers of list items, stops of abbreviations.
-CLEAN = [(r"\r\n?", "\n"), (r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|\*+|--+|>+)[ \t]*", ""), (r"(?m)(^[ \t]*|:[ \t]+)[0-9]+\.(?=[ \t])", "$1"), (r"\b(v|ver|vers|no|vol)\.(?=\s+[0-9])", "$1 ")]
+#: What is no word or no end: line ends, comment signs, numbers of list items, stops of
+#: abbreviations. Patterns that both engines read alike; \\N is a group.
+CLEAN = [
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|\*+|--+|>+)[ \t]*", ""),
+    (r"(?m)(^[ \t]*|:[ \t]+)[0-9]+\.[ \t]", r"\1 "),
+    (r"\b(v|ver|vers|no|vol)\.(\s+[0-9])", r"\1 \2"),
+]
+
+
+def counted(sentences: dict[int, str] = SENTENCES) -> dict[str, tuple[int, ...]]:
+    """Known wordings and the numbers that each counts as: sentences, whole notices that
+    are more than one, and what says that a licence of some name holds."""
+    own = {s: (k,) for k, s in sentences.items()}
+    if sentences is not SENTENCES:
+        return own
+    said = {notice.format(name): (_NOTICE[licence],) for licence, names in NAMES.items() for name in names for notice in NOTICES}
+    return said | WORDINGS | own
 
 
-def anchors(sentences: dict[int, str] = SENTENCES) -> list[str]:
-    """A short list of words such that each sentence has one: the word most sentences
-    share, then that of the sentences left, and so on."""
-    left, out = [set(s.split()) for s in sentences.values()], []
+def ordered_rules(rules: list[tuple[str, tuple[int, ...]]]) -> list[tuple[str, str]]:
+    """(licence, run of marked numbers) in the order in which rules apply."""
+    return [(name, "".join(f"<{k}>" for k in seq)) for name, seq in sorted(rules, key=lambda r: -len(r[1]))]
+
+
+def anchors(texts: list[str] | None = None) -> list[str]:
+    """A short list of words such that each known wording has one: the word most of them
+    share, then that of those left, and so on."""
+    left, out = [set(s.split()) for s in (counted() if texts is None else texts)], []
     while left:
         shared: dict[str, int] = {}
         for words in left:
@@ -109,47 +237,63 @@ def anchors(sentences: dict[int, str] = SENTENCES) -> list[str]:
 
 def sentence_ids(text: Column, sentences: dict[int, str] = SENTENCES) -> Column:
     """The numbers of a text's sentences in order, 0 for one that isn't known."""
-    counted = {s: (k,) for k, s in sentences.items()} | (WORDINGS if sentences is SENTENCES else {})
-    number = F.create_map(*[x for s, ids in sorted(counted.items()) for x in (F.lit(s), F.array(*map(F.lit, ids)))])
+    number = F.create_map(*[x for s, ids in sorted(counted(sentences).items()) for x in (F.lit(s), F.array(*map(F.lit, ids)))])
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     known = lambda s: F.try_element_at(number, plain(s))
     lines = lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda x: F.coalesce(known(x), F.array(F.lit(0)))))
     low = F.lower(text)
     for pattern, to in CLEAN:
-        low = F.regexp_replace(low, pattern, to)
+        low = F.regexp_replace(low, pattern, to.replace("\\", "$"))
     return F.flatten(F.transform(F.split(low, BREAK), lambda s: F.coalesce(known(s), lines(s))))
 
 
+def matched(ids: Column, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> Column:
+    """The licences whose rules match the numbers, rule by rule, as an array in the order
+    in which rules apply. What a rule matches is used up."""
+    run = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(seq).alias("seq")) for name, seq in ordered_rules(rules)])
+    start = F.struct(run.alias("run"), F.array().cast("array<string>").alias("names"))
+    hit = lambda state, rule: F.struct(F.replace(state["run"], rule["seq"], F.lit("<0>")).alias("run"), F.array_append(state["names"], rule["name"]).alias("names"))
+    return F.aggregate(each, start, lambda state, rule: F.when(F.contains(state["run"], rule["seq"]), hit(state, rule)).otherwise(state), lambda state: F.array_distinct(state["names"]))
+
+
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
     """Per document: id_col, n_known, sentence_ids (known ones in order, comma-joined),
-    licences (in the order of the rules, comma-joined)."""
+    licences (in the order of the rules that matched, comma-joined)."""
     text = F.col(text_col).cast("string")
     low = F.lower(text)
     may = F.lit(False)
-    for word in anchors(sentences):
+    for word in anchors(list(counted(sentences))):
         may = may | F.contains(low, F.lit(word))
-    found = docs.select(F.col(id_col).alias("id"), F.when(may, text).alias("text")).select("id", F.coalesce(sentence_ids(F.col("text"), sentences), F.array().cast("array<int>")).alias("ids"))
-    run = F.concat(F.lit(","), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(","))
-    names = F.array(*[F.when(F.contains(F.col("run"), F.lit("," + ",".join(map(str, seq)) + ",")), F.lit(name)) for name, seq in rules])
+    none = F.array().cast("array<int>")
+    found = docs.select(F.col(id_col).alias("id"), F.when(may, text).alias("text")).select("id", F.coalesce(sentence_ids(F.col("text"), sentences), none).alias("ids"))
     known = F.filter("ids", lambda i: i > 0)
-    out = found.withColumn("run", run)
-    return out.select(
-        F.col("id").alias(id_col), F.size(known).cast("long").alias("n_known"), F.array_join(known.cast("array<string>"), ",").alias("sentence_ids"),
-        F.array_join(F.array_distinct(F.array_compact(names)), ",").alias("licences"),
-    )
+    named = F.when(F.size(known) > 0, F.array_join(matched(F.col("ids"), rules), ",")).otherwise("")
+    return found.select(
+        F.col("id").alias(id_col), F.size(known).cast("long").alias("n_known"), F.array_join(known.cast("array<string>"), ",").alias("sentence_ids"), named.alias("licences")
+    )
 
 
 def sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The same in DuckDB's SQL, without the anchors."""
-    pairs = ", ".join(f"'{s}': {k}" for k, s in SENTENCES.items())
-    names = ", ".join(f"CASE WHEN contains(run, ',{','.join(map(str, seq))},') THEN '{name}' END" for name, seq in RULES)
-    order = ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in RULES))
+    """The same in DuckDB's SQL, without the anchors: rules one after the other, each on
+    what those before have left."""
+    pairs = ", ".join(f"'{s}': {list(ids)}" for s, ids in counted().items())
+    low = f"lower(coalesce({text_col}, ''))"
+    for pattern, to in CLEAN:
+        into = "chr(10)" if to == "\n" else f"'{to}'"
+        low = f"regexp_replace({low}, '{pattern}', {into}, 'g')"
+    known = lambda s: f"known[trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'))]"
+    rules = ordered_rules(RULES)
+    left = ", ".join(f"replace(r{i}, '{seq}', '<0>') AS r{i + 1}" for i, (_, seq) in enumerate(rules))
+    names = ", ".join(f"CASE WHEN contains(r{i}, '{seq}') THEN '{name}' END" for i, (name, seq) in enumerate(rules))
     return rf"""
-WITH cut AS (
-  SELECT {id_col}, list_transform(regexp_split_to_array(lower(coalesce({text_col}, '')), '[.!?;]+\s+|[.!?;]+$|[\r\n]+'),
-    lambda s: coalesce(MAP {{{pairs}}}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))], 0)) AS ids FROM {table}),
-run AS (SELECT {id_col}, list_filter(ids, lambda i: i > 0) AS known, ',' || array_to_string(ids, ',') || ',' AS run FROM cut),
-named AS (SELECT {id_col}, known, [{names}] AS names FROM run)
-SELECT {id_col}, CAST(len(known) AS BIGINT) AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_filter([{order}], lambda n: list_contains(names, n)), ','), '') AS licences
+WITH table_ AS (SELECT MAP {{{pairs}}} AS known),
+cut AS (
+  SELECT {id_col}, flatten(list_transform(regexp_split_to_array({low}, '{BREAK}'),
+    lambda s: coalesce({known("s")}, flatten(list_transform(string_split(s, chr(10)), lambda x: coalesce({known("x")}, [0])))))) AS ids FROM {table}, table_),
+run AS (SELECT {id_col}, list_filter(ids, lambda i: i > 0) AS numbers, array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '') AS r0 FROM cut),
+used AS (SELECT *, {left} FROM run),
+named AS (SELECT {id_col}, numbers, list_filter([{names}], lambda n: n IS NOT NULL) AS names FROM used)
+SELECT {id_col}, CAST(len(numbers) AS BIGINT) AS n_known, coalesce(array_to_string(numbers, ','), '') AS sentence_ids,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(names) + 1), lambda i: list_position(names, names[i]) = i), lambda i: names[i]), ','), '') AS licences
 FROM named"""

@@ -18,7 +18,7 @@ GPL = [
 MPL = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]
 APACHE = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0"]
 BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."]
-TEXTS = {"MIT": (MIT, "8,9,10"), "GPL": (GPL, "13,14"), "MPL-2.0": (MPL, "24"), "Apache-2.0": (APACHE, "2,3,4"), "BSD": (BSD, "20,21")}
+TEXTS = {"MIT": (MIT, "8,9,10"), "GPL": (GPL, "13,14,35"), "MPL-2.0": (MPL, "24,30"), "Apache-2.0": (APACHE, "2,3,4"), "BSD": (BSD, "20,21")}
 
 
 def shapes(parts):
@@ -46,3 +46,17 @@ def test_standard_texts(found):
 
 def test_lines_of_their_own(found):
     assert found["own lines"] == found["other"] == ("Proprietary", "22") and found["none"] == ("", "")
+
+
+def test_rules_use_sentences_up(spark):
+    """The longest rule first, then the order of the rules; what it matched is gone."""
+    rules = [("short", (1, 2)), ("long", (1, 2, 3)), ("first", (4,)), ("second", (4,)), ("alone", (3,))]
+    cases = {(1, 2, 3): "long", (1, 2): "short", (1, 2, 3, 0, 1, 2): "long,short", (4,): "first", (3, 1, 2, 3): "long,alone", (1, 0, 2): "", (1, 2, 3, 1, 2, 3): "long", (): ""}
+    rows = spark.createDataFrame([(i, list(ids)) for i, ids in enumerate(cases)], "i int, ids array<int>")
+    got = {r["i"]: ",".join(r["m"]) for r in rows.select("i", licences.matched(rows["ids"], rules).alias("m")).collect()}
+    assert list(got.values()) == list(cases.values())
+    full = "\n".join(licences.SENTENCES[k] + "." for k in (20, 21, 25, 27, 26))
+    names = ["This project is licensed under the BSD 3-Clause License.", "Distributed under the terms of the GNU Lesser General Public License v2.1", "Code released under the ISC license", "This work is licensed under CC BY-NC-SA 4.0.", full]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id int, text string")
+    assert [r["licences"] for r in licences.licences(docs).orderBy("doc_id").collect()] == ["BSD-3-Clause", "LGPL-2.1", "ISC", "CC-BY-NC-SA-4.0", "BSD-3-Clause"]
+    assert len(licences.counted()) > 500
