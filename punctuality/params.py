@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 
 
+# The defaults of the settings.
 @dataclass(frozen=True)
 class Params:
     zone: str = "Europe/Istanbul"

@@ -328,7 +328,19 @@ flown(
     "norm_flight_number", "SELECT flight_id, upper(regexp_replace(raw, '\\s+', '', 'g')) AS seen, CASE WHEN flight_id % 11 = 0 THEN NULL ELSE 'TK' || (flight_id % 900) || CASE WHEN flight_id % 7 = 0 THEN 'A' ELSE '' END END AS number FROM (SELECT *, CASE WHEN flight_id % 11 = 0 THEN ' ' ELSE ' tk 0' || (flight_id % 900) || CASE WHEN flight_id % 7 = 0 THEN 'a ' ELSE '' END END AS raw FROM flights)".replace("\\s", "[ ]"),
     lambda f: f.withColumn("raw", F.when(F.col("flight_id") % 11 == 0, " ").otherwise(F.concat(F.lit(" tk 0"), (F.col("flight_id") % 900).cast("string"), F.when(F.col("flight_id") % 7 == 0, "a ").otherwise("")))).select("flight_id", F.upper(F.regexp_replace("raw", "[ ]+", "")).alias("seen"), scalars.flight_number(F.col("raw")).alias("number")),
 )
-_RAWS = {"Scheduled": "SCHEDULED", "On Time": "SCHEDULED", "En Route / On Time": "DEPARTED", "Cancelled (weather)": "CANCELLED", "Gate Closed": "BOARDING", "Landed 12:30": "ARRIVED", "wibble": "UNKNOWN", "Diverted to ESB": "DIVERTED", "not-operational": "CANCELLED", "EXPECTED 13:05": "SCHEDULED", "Delayed": "DELAYED"}
+_RAWS = {
+    "Planned": "SCHEDULED",
+    "on-time": "SCHEDULED",
+    "In Flight (climbing)": "DEPARTED",
+    "CANCELED by carrier": "CANCELLED",
+    "final call": "BOARDING",
+    "Landed at stand 4": "ARRIVED",
+    "no idea": "UNKNOWN",
+    "will divert south": "DIVERTED",
+    "not operational": "CANCELLED",
+    "Filed 13:05": "SCHEDULED",
+    "Rescheduled": "DELAYED",
+}
 flown(
     "norm_status", f"SELECT flight_id, {list(_RAWS)}[flight_id % {len(_RAWS)} + 1] AS raw, {list(_RAWS.values())}[flight_id % {len(_RAWS)} + 1] AS status FROM flights",
     lambda f: f.select("flight_id", F.element_at(F.array(*map(F.lit, _RAWS)), (F.col("flight_id") % len(_RAWS) + 1).cast("int")).alias("raw")).withColumn("status", scalars.status(F.col("raw"))),

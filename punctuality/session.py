@@ -15,10 +15,12 @@ def session(name: str = "punctuality", **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir);
-    a temporary one only where no cluster names any."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only
+    in a local session, as in tests, where nothing sets it, a temporary one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -75,6 +75,37 @@ def test_boards(spark):
     c = {r.flight_number: r for r in boards.parse_c(raw(C), ("IKA",)).collect()}
     assert {k: r.delay_minutes for k, r in c.items()} == {"TK878": 65, "X1": -10}
     assert boards.parse_b(raw(A)).count() == 0
+    assert {r.flight_number for r in boards.parse_c(raw(C), ("IKA",), codeshares=True).collect()} == {"TK878", "X1", "X2"}
+
+
+def test_codeshares_and_window_of_board_b(spark):
+    """An empty object says nothing about another's number; a window has its start, not its end."""
+    leg = lambda number, hour, shared: f"""{{"flight": {{"iata": "{number}", "codeshared": {shared}}}, "arrival": {{"iata": "IKA"}}, "departure": {{"scheduled": "2026-09-06T0{hour}:00:00+00:00"}}}}"""
+    text = '{"data": [' + ", ".join([leg("A1", 1, "{}"), leg("A2", 2, "null"), leg("A3", 3, '{"flight_iata": "bb 07"}'), leg("A4", 4, "{}")]) + "]}"
+    rows = spark.createDataFrame([(text, "IST", datetime(2026, 9, 6))], "raw string, origin_iata string, observed_at timestamp_ntz")
+    assert sorted(r.flight_number for r in boards.parse_b(rows).collect()) == ["A1", "A2", "A4"]
+    every = {r.flight_number: (r.is_codeshare, r.codeshare_of) for r in boards.parse_b(rows, codeshares=True).collect()}
+    assert every["A3"] == (True, "BB7") and every["A1"] == (False, None)
+    at = lambda h: F.lit(f"2026-09-06 0{h}:00:00").cast("timestamp_ntz")
+    assert sorted(r.flight_number for r in boards.parse_b(rows, window=(at(1), at(4))).collect()) == ["A1", "A2"]
+
+
+def test_import_only_into_an_empty_history(spark):
+    rows = seen(spark, dict(status="SCHEDULED"), dict(status="CANCELLED", is_cancelled=True, flight_number="M1", is_mock=True))
+    new = history.tables(rows)
+    taken = history.importable(new, new["flights"].limit(0))
+    assert {name: t.count() for name, t in taken.items()} == {"airlines": 0, "flights": 1, "observations": 1, "events": 1, "runs": 1}
+    assert all(t.count() == 0 for t in history.importable(new, new["flights"]).values())
+
+
+def test_plans_compile(spark):
+    """No parser's code is too large to be generated."""
+    from punctuality.plans import boards as board_plans
+
+    for name in ("a", "b", "c"):
+        plan = board_plans.QUERIES[f"parse_board_{name}"](spark, "/root/testdata/sf0.001")
+        code = plan._jdf.queryExecution().debug().codegenToSeq()
+        assert code.size() > 0 and all(code.apply(i)._3().maxMethodCodeSize() > 0 for i in range(code.size()))
 
 
 OBS = {c: "string" for c in (*history.FIELDS, "flight_number", "origin_iata", "destination_iata", "run_id", "data_source", "status", "raw_status", "data_quality")}
