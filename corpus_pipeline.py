@@ -2,10 +2,13 @@
 read again as the next one's documents.
 
 Every stage works on all that its predecessor kept and, but for the last, returns the
-columns of documents. Nulls, empty and repeated rows are handled as the operators'
-docstrings say: a null text is scored as an empty one, documents without an id stay.
-Documents go that score under 0.7 for quality or 0.5 and over for toxicity, that are
-near copies of another (0.8 of their five-word shingles or more; the smallest id stays), or that hold a benchmark window.
+columns of documents, whatever else these have. Documents go that score under 0.7 for
+quality or 0.5 and over for toxicity (a score at the threshold counts as over it), that are
+near copies of another (0.8 of their five-word shingles or more; of a class the smallest id
+stays, of repeated rows one), or that hold a benchmark window. Null texts are scored as
+empty ones, and null and empty texts are copies of each other; very long texts are scored,
+compared and searched whole, and packed in pieces; documents without an id stay; an empty
+table stays empty. The operators' docstrings say more.
 """
 
 from __future__ import annotations
