@@ -12,9 +12,10 @@ in doubt, the points of the windows in which their cuts lie are fetched, and the
 search goes on: the result is exact.
 
 Defined results: a null text has size 1 and is a group of its own, apart from the empty
-text's; null ids come first; repeated rows are in one group; with few
-groups the last shards are empty; an empty table gives no rows; other columns are never
-read.
+text's; a very long text has the size of all its bytes and is one group; groups whose
+smallest ids tie stand in the order of their digests; null ids come first; repeated rows
+are in one group, in slots one after the other; with few groups the last shards are empty;
+an empty table gives no rows; other columns are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -134,7 +135,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     _, cuts = minimax(base, shards, fetch) if base else (0, [])
     which = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
     of = run.select("group", which.cast("int").alias("shard"))
-    dealt = ordered(rows.join(of, "group").select("id", "size", "crc", "shard"), ["shard", "id", "crc"], "sharded")
+    # the place in the input last, so that equal rows don't all fall in one range
+    placed_rows = rows.withColumn("row", F.monotonically_increasing_id()).join(of, "group").select("id", "size", "crc", "shard", "row")
+    dealt = ordered(placed_rows, ["shard", "id", "crc", "row"], "sharded")
     done: dict[int, int] = {}
     starts = []
     for part, s, first, count in _offsets(dealt, ["_part", "shard"], [F.min("_pos").alias("first"), F.count("*").alias("n")]):
@@ -142,5 +145,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         done[s] = done.get(s, 0) + count
     starts_df = spark.createDataFrame(starts, "_part int, shard int, _start long")
     return dealt.join(F.broadcast(starts_df), ["_part", "shard"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_pos")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+        F.col("id").alias(id_col),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("_start") + F.col("_pos")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
