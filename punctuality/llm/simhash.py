@@ -190,8 +190,9 @@ class VpTree:
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
-    """(i, j, found): blocks of places of a and of b (b None: of a) and which pairs of
-    them are within the radius; within a each pair once."""
+    """(at, start, i, j, found): of a leaf of a and a tile of b (b None: of a) where they
+    start, the places of their members, and which pairs of those are within the radius;
+    within a each pair once."""
     tree, same = VpTree(a), b is None
     b = a[tree.order] if same else b
     for start in range(0, len(b), TILE):
@@ -203,7 +204,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
             if same and y > start:
                 found &= np.arange(x, y)[:, None] < start + who[None]
             if found.any():
-                yield tree.order[x:y], tree.order[start + who] if same else start + who, found
+                yield x, start, tree.order[x:y], tree.order[start + who] if same else start + who, found
 
 
 def link_shards(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -212,7 +213,7 @@ def link_shards(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> li
     both = a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
     forest = _Forest(len(both))
-    for i, j, found in near_pairs(a, b, radius):
+    for _, _, i, j, found in near_pairs(a, b, radius):
         j = j + shift
         while found.any():
             rows = np.flatnonzero(found.any(1))

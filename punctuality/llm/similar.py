@@ -10,6 +10,10 @@ a large group of near copies few pairs are left for the search, which skips text
 joined already; a sketch of 16 bytes, of which a pair at 0.8 shares 13 on average, turns
 random neighbours away where they are found; and one of LONG bytes, of which it shares 51
 on average, turns away what shares passages only, before any set of shingles is moved.
+The search never lists pairs, of which a group of near copies that are not similar enough
+has as many as the square of its size: it tells which texts of two blocks have candidates
+in the other; these come together with their sets of shingles, block by block, and give a
+spanning forest of their links.
 
 Defined results: a null text is an empty one, empty and blank texts are copies of each
 other; texts of fewer than five words are one shingle; very long texts are compared whole;
@@ -133,24 +137,36 @@ def stars(nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(keep, "a long, b long").distinct()
 
 
-def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates between the columns of a and b (b None: within a): rows are fp, class,
-    node and sketch. Pairs of one class are joined already."""
+def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Which nodes have candidates among the columns of a and b (b None: within a), by
+    blocks of up to simhash.TILE on either side: never the pairs themselves, of which a
+    group of near copies has as many as the square of its size. Columns are fp, class,
+    node and sketch; what is of one class is joined already."""
     other = a if b is None else b
-    out_a, out_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for i, j, found in simhash.near_pairs(np.ascontiguousarray(a[0]), None if b is None else np.ascontiguousarray(b[0]), radius):
-        x, y = np.nonzero(found)
+    found: dict[tuple[int, int], list] = {}
+    for at, start, i, j, hit in simhash.near_pairs(np.ascontiguousarray(a[0]), None if b is None else np.ascontiguousarray(b[0]), radius):
+        x, y = np.nonzero(hit)
         x, y = i[x], j[y]
         apart = a[1, x] != other[1, y]
         x, y = x[apart], y[apart]
         ok = agree(np.ascontiguousarray(a[3:, x].T), np.ascontiguousarray(other[3:, y].T))
-        out_a.append(a[2, x[ok]])
-        out_b.append(other[2, y[ok]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        if ok.any():
+            found.setdefault((at // simhash.TILE, start // simhash.TILE), []).append((np.unique(a[2, x[ok]]), np.unique(other[2, y[ok]])))
+    return {block: tuple(np.unique(np.concatenate(side)) for side in zip(*of, strict=True)) for block, of in found.items()}
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """(a, b): the candidates among n nodes (fp, comp, node, s0, s1) of different classes."""
+_BLOCK = "block long, side boolean, node long"
+
+
+def _block_rows(block: int, sides) -> pa.RecordBatch:
+    nodes = np.concatenate(list(sides)).astype(np.uint64).view(np.int64)
+    side = np.repeat([False, True], [len(s) for s in sides])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), block)), pa.array(side), pa.array(nodes)], names=["block", "side", "node"])
+
+
+def neighbours(nodes: DataFrame, n: int) -> DataFrame:
+    """(block, side, node): the nodes (of n: fp, comp, node, s0, s1) that have candidates on
+    the other side of a block."""
     blocks = written(simhash.shards(nodes, n, ("comp", "node", "s0", "s1")), "near-shards")
 
     def search(batches):
@@ -158,37 +174,132 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
             for one, other, left, right in zip(*(batch.column(i) for i in range(4)), strict=True):
                 a = np.frombuffer(left.as_py(), np.uint64).reshape(5, -1)
                 b = None if one == other else np.frombuffer(right.as_py(), np.uint64).reshape(5, -1)
-                yield _longs(list(near(a, b)), ["a", "b"])
+                for (x, y), sides in near(a, b).items():
+                    yield _block_rows(xxhash.xxh64_intdigest(f"{one} {other} {x} {y}") >> 1, sides)
+
+    return simhash._shard_pairs(blocks, RADIUS).mapInArrow(search, _BLOCK)
+
+
+def _in_blocks(batches):
+    """(block, columns of one side, columns of the other) of rows that are sorted by block
+    and side: block, side, node, fp, comp, sketch and more."""
+    held: list[pa.RecordBatch] = []
+
+    def both():
+        table = pa.Table.from_batches(held).combine_chunks()
+        side = table.column("side").to_numpy()
+        return [table.filter(pa.array(side == s)).to_pydict() for s in (False, True)]
+
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            if held and held[0].column("block")[0].as_py() != block[a]:
+                yield int(held[0].column("block")[0].as_py()), *both()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield int(held[0].column("block")[0].as_py()), *both()
+
+
+def _candidates(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the pairs of different classes that are within the radius
+    and whose long sketches agree."""
+    numbers = lambda x: np.array(x, np.int64).view(np.uint64)
+    sketches = [np.frombuffer(b"".join(of["sketch"]), np.uint8).reshape(-1, LONG) for of in (a, b)]
+    fps, comps = ([numbers(of[c]) for of in (a, b)] for c in ("fp", "comp"))
+    out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(fps[0]), 256):
+        near_ = (np.bitwise_count(fps[0][at : at + 256, None] ^ fps[1][None]) <= RADIUS) & (comps[0][at : at + 256, None] != comps[1][None])
+        x, y = np.nonzero(near_)
+        ok = agree(sketches[0][x + at], sketches[1][y], LONG_SHARED)
+        out_x.append(x[ok] + at)
+        out_y.append(y[ok])
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
+def likely(involved: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of nodes with candidates those that have one whose long sketch agrees, with what
+    tells that (fp, comp, sketch)."""
+    rows = involved.join(nodes.select("node", "fp", "comp", "sketch"), "node").select("block", "side", "node", "fp", "comp", "sketch")
 
-    return simhash._shard_pairs(blocks, RADIUS).mapInArrow(search, "a long, b long")
+    def keep(batches):
+        for block, a, b in _in_blocks(batches):
+            x, y = _candidates(a, b)
+            if len(x):
+                yield _block_rows(block, [np.unique(np.array(of["node"], np.int64)[k]).view(np.uint64) for of, k in ((a, x), (b, y))])
 
+    kept = rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(keep, _BLOCK)
+    return written(kept, "near-likely").join(nodes.select("node", "fp", "comp", "sketch"), "node")
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose long sketches agree."""
 
-    def keep(batches):
+def shingle_sets(asked: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set): the sorted shingle hashes of the texts of the nodes asked for."""
+    first = asked.select("node").distinct().join(nodes.select("node", F.col("first").alias("id")), "node")
+
+    def each(batches):
         for batch in batches:
-            x, y = (np.array([v.as_py() for v in batch.column(i)], f"S{LONG}").view(np.uint8).reshape(-1, LONG) for i in (2, 3))
-            a, b = _numbers(batch, 0, 1)
-            ok = agree(x, y, LONG_SHARED)
-            yield _longs([a[ok], b[ok]], ["a", "b"])
+            sets = [np.unique(shingles(t.as_py())).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    side = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sketch").alias(name))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+    texts = rows.join(first, ["id", "node"], "left_semi").select("node", "text")
+    return written(texts.mapInArrow(each, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+
+
+def forest(a: dict, b: dict) -> list[tuple[int, int]]:
+    """Links between nodes of both sides of a block whose sets are similar: a spanning
+    forest of them. Each node's set is held against those of all its candidates at once."""
+    x, y = _candidates(a, b)
+    if not len(x):
+        return []
+    sets = [np.frombuffer(v, np.uint64) for v in (*a["set"], *b["set"])]
+    size, shift = np.array([len(v) for v in sets]), len(a["set"])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(ids, np.cumsum(size)[:-1])
+    flags, names = np.zeros(int(ids.max()) + 1, np.int32), [*a["node"], *b["node"]]
+    joined = simhash._Forest(len(sets))
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order] + shift
+    for part in np.split(y, np.flatnonzero(np.diff(x)) + 1):
+        one = int(x[0])
+        x = x[len(part) :]
+        part = np.array([k for k in part.tolist() if joined.root(k) != joined.root(one)], np.int64)
+        if not len(part):
+            continue
+        flags[sets[one]] = 1
+        both = np.add.reduceat(flags[np.concatenate([sets[k] for k in part])], np.cumsum(size[part]) - size[part])
+        flags[sets[one]] = 0
+        for k in part[both * 10 >= round(SIMILARITY * 10) * (size[one] + size[part] - both)].tolist():
+            joined.link(one, k)
+    return [(names[i], names[j]) for i, j in joined.links]
+
+
+def block_links(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between nodes of each block (see likely)."""
+
+    def link(batches):
+        for _, a, b in _in_blocks(batches):
+            found = np.array(forest(a, b) if a["node"] and b["node"] else [], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    rows = kept.join(sets, "node").select("block", "side", "node", "fp", "comp", "sketch", "set")
+    return rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(link, "a long, b long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are similar."""
-    pairs = written(likely(pairs, nodes), "near-likely")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("id")), "node")
+    """The pairs (a, b) of stars, at most STARS a node, whose sets of shingles are similar."""
 
-    def each(batches):
+    def keep(batches):
         for batch in batches:
-            sets = [np.unique(shingles(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+            x, y = (np.array([v.as_py() for v in batch.column(i)], f"S{LONG}").view(np.uint8).reshape(-1, LONG) for i in (2, 3))
+            a, b = _numbers(batch, 0, 1)
+            ok = agree(x, y, LONG_SHARED)
+            yield _longs([a[ok], b[ok]], ["a", "b"])
 
-    texts = rows.join(asked, ["id", "node"], "left_semi").select("node", "text")
-    sets = written(texts.mapInArrow(each, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+    side = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sketch").alias(name))
+    told = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = written(told.mapInArrow(keep, "a long, b long"), "near-pairs")
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows, nodes)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
 
     def compare(batches):
@@ -207,8 +318,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = written(printed.groupBy("node").agg(F.min("id").alias("first"), *[F.any_value(c).alias(c) for c in printed.columns[2:]]), "near-nodes")
     near_links = written(verified(written(stars(nodes), "near-stars"), rows, nodes), "near-links")
     joined = simhash.components(near_links).withColumnRenamed("comp", "joined")
-    labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1"), "near-labelled")
-    more = written(verified(written(candidates(labelled, labelled.count()), "near-candidates"), rows, nodes), "near-links")
+    labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1", "sketch"), "near-labelled")
+    kept = written(likely(written(neighbours(labelled, labelled.count()), "near-involved"), labelled), "near-kept")
+    more = written(block_links(kept, shingle_sets(kept, rows, nodes)), "near-links")
     comps = written(simhash.components(near_links.union(more)), "near-classes")
     return join_skewed(printed.select("id", "node"), comps, "node", "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
 

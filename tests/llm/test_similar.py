@@ -59,15 +59,65 @@ def test_near_copies(spark):
     assert sorted(i for i in ids if i is not None) == sorted({root(i) for i in range(len(texts))})
 
 
-def test_search_lists_pairs_of_different_classes_only():
+def test_search_tells_who_has_candidates_of_other_classes(monkeypatch):
+    monkeypatch.setattr(similar.simhash, "LEAF", 64)
+    monkeypatch.setattr(similar.simhash, "TILE", 256)
     rng = np.random.default_rng(12)
     fps = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 1500)] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
     rows = np.stack([fps, rng.integers(0, 9, 1500).astype(np.uint64), np.arange(1500, dtype=np.uint64), fps * 0, fps * 0])
     want = {(i, j) for i in range(1500) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 20 and rows[1, i] != rows[1, j]}
-    a, b = similar.near(rows, None)
-    assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
-    a, b = similar.near(rows[:, :700], rows[:, 700:])
-    assert {(y, x) for x, y in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in want if i >= 700 > j}
+
+    def covered(found, pairs):
+        """Every pair is in some block, and a node is there only if it has a pair."""
+        together = set()
+        for a, b in found.values():
+            a, b = set(a.tolist()), set(b.tolist())
+            together |= {(i, j) for i, j in pairs if i in a and j in b or j in a and i in b}
+            named = a | b
+            assert named <= {k for p in pairs for k in p}
+        return together == pairs
+
+    assert covered(similar.near(rows, None), want)
+    assert covered(similar.near(rows[:, :700], rows[:, 700:]), {(i, j) for i, j in want if i >= 700 > j})
+
+
+def test_a_group_of_unlike_near_copies_stays(spark):
+    """400 texts of one template, each pair under 0.8: no pair is linked, none is lost."""
+    rng = random.Random(13)
+    base = [f"t{i}" for i in range(30)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for at in (rng.randrange(30), rng.randrange(30)):
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
+    texts += [texts[7] + " end", texts[7] + " end of it"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    found = [sets_of(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(found[i] & found[j])
+        if both * 10 >= 8 * (len(found[i]) + len(found[j]) - both):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    assert kept == sorted({root(i) for i in range(len(texts))}) and len(kept) < len(texts)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from punctuality.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 99), (3, 98), (None, 97)], "k int, v int")
+    other = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    for how in ("left", "inner"):
+        assert sorted(map(str, shared.join_skewed(rows, other, "k", how).collect())) == sorted(map(str, rows.join(other, "k", how).collect()))
 
 
 def test_kept_texts_of_the_sample_have_no_near_copy(spark):
