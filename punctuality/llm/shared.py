@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -28,23 +30,48 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a
-    lost executor costs a task of what follows, not all that came before."""
+    lost executor costs a task of what follows, not all that came before. Within
+    `scratch` it is deleted at the end, unless it is to be kept."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    held = _scratch.get()
+    if held[keep:]:
+        held[-1 - keep].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what was written within and not kept. What is kept belongs to the
+    scratch around this one, if there is any. Nothing that is returned may read the rest."""
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     root = shared_dir(spark)
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if not folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
             continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
 
 
 def join_skewed(rows: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.llm.shared import discard, join_skewed, lower_bytes, written
+from punctuality.llm.shared import discard, join_skewed, lower_bytes, scratch, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -89,11 +89,11 @@ def vantage_points(nodes: DataFrame) -> list[int]:
     return found
 
 
-def shards(nodes: DataFrame, n: int, beside: tuple[str, ...] = ()) -> DataFrame:
+def shards(nodes: DataFrame, n: int, beside: tuple[str, ...] = (), many: int = SHARDS, most: int = SHARD_MAX) -> DataFrame:
     """(shard, lo, hi, fps): runs of the order by the vantage points; lo and hi bound the
     distances to each. The long columns beside go with their fingerprints, one after the
-    other."""
-    each = min(SHARD_MAX, max(SHARD_MIN, -(-n // SHARDS)))
+    other. many: of shards, unless one would hold more than most."""
+    each = min(most, max(SHARD_MIN, -(-n // many)))
     points = vantage_points(nodes)
     rings = [_ring(F.col("fp"), v).alias(f"d{i}") for i, v in enumerate(points)]
 
@@ -280,13 +280,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """One row a document: id_col, fingerprint (16 hex digits), component_id (the
     smallest id that is reachable over links of radius bits or fewer)."""
-    fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "fp-nodes")
-    classes = components(written(links(nodes, nodes.count(), radius), "fp-links"))
-    linked = nodes.join(classes.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("comp").agg(F.min("first").alias("least"))
-    known = linked.join(least, "comp").select("fp", "least")
-    named = nodes.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    with scratch(docs.sparkSession):
+        fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints", keep=True)
+        nodes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "fp-nodes")
+        classes = components(written(links(nodes, nodes.count(), radius), "fp-links"))
+        linked = nodes.join(classes.withColumnRenamed("node", "fp"), "fp")
+        least = linked.groupBy("comp").agg(F.min("first").alias("least"))
+        known = linked.join(least, "comp").select("fp", "least")
+        named = written(nodes.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fp-named", keep=True)
     return join_skewed(fps, named, "fp", "inner").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctuality.llm import simhash
-from punctuality.llm.shared import join_skewed, lower_bytes, written
+from punctuality.llm.shared import join_skewed, lower_bytes, scratch, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a bit differs with p = acos(0.89) / pi = 0.15: 9.7 of 64 bits, deviation 2.9.
@@ -41,6 +41,9 @@ RADIUS = 20
 #: Bytes of the sketches, how many of them candidates share at least (each fewer once in
 #: some 300,000 at 0.8), buckets of a text.
 SKETCH, SHARED, LONG, LONG_SHARED, STARS = 16, 5, 64, 36, 4
+#: Shards of the search, and texts in one at most. As the bounds rule out next to nothing, a
+#: shard meets all others: few large ones are moved, and name a text, less often.
+SHARDS, SHARD_MAX = 16, 1 << 18
 _SALTS = np.random.default_rng(8).integers(1, 1 << 63, (2, LONG), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
@@ -167,7 +170,7 @@ def _block_rows(block: int, sides) -> pa.RecordBatch:
 def neighbours(nodes: DataFrame, n: int) -> DataFrame:
     """(block, side, node): the nodes (of n: fp, comp, node, s0, s1) that have candidates on
     the other side of a block."""
-    blocks = written(simhash.shards(nodes, n, ("comp", "node", "s0", "s1")), "near-shards")
+    blocks = written(simhash.shards(nodes, n, ("comp", "node", "s0", "s1"), SHARDS, SHARD_MAX), "near-shards")
 
     def search(batches):
         for batch in batches:
@@ -313,27 +316,29 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, comp): of every document with an id its text and the class of that."""
-    rows = keyed(docs, id_col, text_col)
-    printed = written(prints(rows), "near-prints")
-    nodes = written(printed.groupBy("node").agg(F.min("id").alias("first"), *[F.any_value(c).alias(c) for c in printed.columns[2:]]), "near-nodes")
-    near_links = written(verified(written(stars(nodes), "near-stars"), rows, nodes), "near-links")
-    joined = simhash.components(near_links).withColumnRenamed("comp", "joined")
-    labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1", "sketch"), "near-labelled")
-    kept = written(likely(written(neighbours(labelled, labelled.count()), "near-involved"), labelled), "near-kept")
-    more = written(block_links(kept, shingle_sets(kept, rows, nodes)), "near-links")
-    comps = written(simhash.components(near_links.union(more)), "near-classes")
+    with scratch(docs.sparkSession):
+        rows = keyed(docs, id_col, text_col)
+        printed = written(prints(rows), "near-prints", keep=True)
+        nodes = written(printed.groupBy("node").agg(F.min("id").alias("first"), *[F.any_value(c).alias(c) for c in printed.columns[2:]]), "near-nodes")
+        near_links = written(verified(written(stars(nodes), "near-stars"), rows, nodes), "near-links")
+        joined = simhash.components(near_links).withColumnRenamed("comp", "joined")
+        labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1", "sketch"), "near-labelled")
+        kept = written(likely(written(neighbours(labelled, labelled.count()), "near-involved"), labelled), "near-kept")
+        more = written(block_links(kept, shingle_sets(kept, rows, nodes)), "near-links")
+        comps = written(simhash.components(near_links.union(more)), "near-classes", keep=True)
     return join_skewed(printed.select("id", "node"), comps, "node", "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each class the row of the smallest id stays (one, if
     several rows have that id). Documents without an id stay."""
-    found = written(classes(docs, id_col, text_col), "near-rows")
-    at = F.struct("id", "node")
-    least = found.groupBy("comp").agg(F.min(at).alias("least"))
-    other = join_skewed(found, least, "comp", "inner").where(at != F.col("least"))
-    drop = written(other.select(F.col("id").alias(id_col), F.col("node").alias("_near_node")).distinct(), "near-drop")
-    twice = written(found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(id_col), F.col("node").alias("_near_node")), "near-repeated")
+    with scratch(docs.sparkSession):
+        found = written(classes(docs, id_col, text_col), "near-rows")
+        at = F.struct("id", "node")
+        least = found.groupBy("comp").agg(F.min(at).alias("least"))
+        other = join_skewed(found, least, "comp", "inner").where(at != F.col("least"))
+        drop = written(other.select(F.col("id").alias(id_col), F.col("node").alias("_near_node")).distinct(), "near-drop", keep=True)
+        twice = written(found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(id_col), F.col("node").alias("_near_node")), "near-repeated", keep=True)
     noded = docs.withColumn("_near_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     kept = noded.join(drop, [id_col, "_near_node"], "left_anti")
     if not twice.isEmpty():
