@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from punctuality.llm import decontam, packing, quality, similar, toxicity
-from punctuality.llm.shared import written
+from punctuality.llm.shared import discard, scratch, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            done = written(stage(spark, docs, sf_dir), name, keep=True)
+        if name != STAGES[0][0]:
+            discard(spark, docs)  # what the stage before wrote
+        docs = done
     return docs
