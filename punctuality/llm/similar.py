@@ -80,7 +80,8 @@ def sketch(least: np.ndarray) -> np.ndarray:
 
 def agree(a: np.ndarray, b: np.ndarray, least: int = SHARED) -> np.ndarray:
     """For rows of sketches whether they share enough bytes."""
-    return (a.view(np.uint8).reshape(len(a), -1) == b.view(np.uint8).reshape(len(b), -1)).sum(1) >= least
+    width = a.shape[1] * a.itemsize
+    return (a.view(np.uint8).reshape(-1, width) == b.view(np.uint8).reshape(-1, width)).sum(1) >= least
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

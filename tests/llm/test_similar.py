@@ -77,6 +77,9 @@ def test_search_tells_who_has_candidates_of_other_classes(monkeypatch):
             assert named <= {k for p in pairs for k in p}
         return together == pairs
 
+    one = rows[:, :300].copy()
+    one[1] = 1
+    assert similar.near(one, None) == {}  # all of one class
     assert covered(similar.near(rows, None), want)
     assert covered(similar.near(rows[:, :700], rows[:, 700:]), {(i, j) for i, j in want if i >= 700 > j})
 
