@@ -4,7 +4,7 @@ Jaccard similarity of 0.8 or more are linked, and one of each class of linked te
 Candidates come from SimHash fingerprints by the vantage-point search of `simhash`, with
 a radius that such pairs hardly pass (see RADIUS), and are linked only after both sets of
 shingles were compared in full. Three things bound the work, and none drops a pair but
-once in some 300,000:
+once in some 240,000:
 `stars` first joins what shares a least hash with the first text of its bucket, so that of
 a large group of near copies few pairs are left for the search, which skips texts that are
 joined already; a sketch of 16 bytes, of which a pair at 0.8 shares 13 on average, turns
@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a bit differs with p = acos(0.89) / pi = 0.15: 9.7 of 64 bits, deviation 2.9.
 RADIUS = 20
 #: Bytes of the sketches, how many of them candidates share at least (each fewer once in
-#: some 300,000 at 0.8), buckets of a text.
+#: some 240,000 at 0.8), buckets of a text.
 SKETCH, SHARED, LONG, LONG_SHARED, STARS = 16, 5, 64, 36, 4
 #: Shards of the search, and texts in one at most. As the bounds rule out next to nothing, a
 #: shard meets all others: few large ones are moved, and name a text, less often.
