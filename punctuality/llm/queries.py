@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuality.llm import decontam, licences, packing, quality, sharding, simhash, tokens, topk, toxicity, warc
+from punctuality.llm import decontam, licences, packing, quality, sharding, simhash, tokens, topk, toxicity, urls, warc
 from punctuality.llm.shared import fold, new_path, written
 
 
@@ -61,6 +61,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.rules_of(spark, URL_RULES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +82,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_exact_topk, op2_best_fit_packing, op3_licence_scan, op4_decontamination, op5_simhash_near_duplicates, op6_warc, op7_quality, op8_toxicity, op9_minimax_sharding, op10_token_files, pipeline)
+    own = (
+        op1_exact_topk,
+        op2_best_fit_packing,
+        op3_licence_scan,
+        op4_decontamination,
+        op5_simhash_near_duplicates,
+        op6_warc,
+        op7_quality,
+        op8_toxicity,
+        op9_minimax_sharding,
+        op10_token_files,
+        op12_url_filters,
+        pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -103,4 +130,14 @@ SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN big.first IS NOT NULL AND big.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN big.first <> page_id THEN big.first END AS refers_to
 FROM p LEFT JOIN big ON p.d = big.d AND p.n = big.n""",
+        "op12_url_filters": r"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules (h, s, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (SELECT r, arg_max({'rule': h || s, 'verdict': v}, length(h || s)) AS b
+    FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY r)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON p.r = fit.r""",
     }
