@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuality.llm import decontam, licences, packing, quality, sharding, simhash, tokens, topk, toxicity, urls, warc
+from punctuality.llm import decontam, licences, packing, phrases, quality, sharding, simhash, tokens, topk, toxicity, urls, warc
 from punctuality.llm.shared import fold, new_path, written
 
 
@@ -61,6 +61,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents")).drop("first_doc", "first_byte")
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/", "allow"),
@@ -93,6 +97,7 @@ def queries() -> dict:
         op8_toxicity,
         op9_minimax_sharding,
         op10_token_files,
+        op11_collocations,
         op12_url_filters,
         pipeline,
     )
@@ -130,6 +135,22 @@ SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN big.first IS NOT NULL AND big.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN big.first <> page_id THEN big.first END AS refers_to
 FROM p LEFT JOIN big ON p.d = big.d AND p.n = big.n""",
+        "op11_collocations": r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+word AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM piece),
+run AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS p FROM word, (VALUES (1), (2), (3)) s (m)),
+f AS (SELECT lang, m, p, count(*) AS c FROM run GROUP BY ALL),
+n AS (SELECT lang, sum(c) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, p, c AS a, string_split(p, ' ') AS w FROM f WHERE m > 1 AND c >= 10),
+cut AS (SELECT lang, m, p, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM cand, (VALUES (1), (2)) s (k) WHERE k < m),
+sc AS (SELECT cut.lang, cut.m, cut.p, a, k, x.c AS l, y.c AS r, 1000000 * a::HUGEINT * a::HUGEINT // (x.c::HUGEINT * y.c::HUGEINT) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.x JOIN f y ON y.lang = cut.lang AND y.p = cut.y),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+big AS (SELECT lang, p, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM cand WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN big ON b.lang = big.lang AND b.p = big.p WHERE b.m = 3 OR big.a IS NULL OR 100 * big.a < 50 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN n ON n.lang = k.lang QUALIFY rank <= 2000""",
         "op12_url_filters": r"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id,
     CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
