@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuality.llm import decontam, licences, packing, phrases, quality, sharding, simhash, tokens, topk, toxicity, urls, warc
+from punctuality.llm import alignment, decontam, licences, packing, phrases, quality, sharding, simhash, tokens, topk, toxicity, urls, warc
 from punctuality.llm.shared import fold, new_path, written
 
 
@@ -79,6 +79,12 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rules_of(spark, URL_RULES))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as known
+
+    return alignment.report(_table(spark, sf_dir, "documents"), known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +105,7 @@ def queries() -> dict:
         op10_token_files,
         op11_collocations,
         op12_url_filters,
+        op13_tokenizer_alignment,
         pipeline,
     )
     return {f.__name__: f for f in own}
