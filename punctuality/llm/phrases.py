@@ -8,10 +8,10 @@ words that are both frequent; triples of words whose two pairs are. What is freq
 the next level as a bit filter of at most 2**MOST_BITS bits (128 MB; with more than some 130 million
 frequent phrases it lets more through than it need, and nothing is lost). A fingerprint's
 count is never less than that of any of its phrases. So those that are frequent are then read in the texts:
-for each the shuffle brings together fingerprint, text, number and the first occurrence
-(document and byte), and different texts of one fingerprint are told apart and counted
-apart. Nothing but frequent phrases is ever made into text. (First occurrences travel with the
-frequent fingerprints alone: beside all of them they would double what the counting moves.)
+the shuffle brings together each one's texts with their numbers and a pointer to an occurrence (the
+smallest id of a document that holds it), so that different texts of one fingerprint are told apart and
+counted apart. Nothing but frequent phrases is ever made into text. (Pointers travel with the frequent
+fingerprints alone: beside all of them they would double what the counting moves.)
 
 Defined results: A-Z are lower-cased; a null text is empty; a null language is `und`; phrases don't
 cross [.,;:!?] or line ends, nor documents; very long texts are read whole (in slices cut between
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from punctuality.llm.shared import join_skewed, scratch, written
 
-LEAST, INSIDE, TOP = 10, 50, 2000
+LEAST, INSIDE, TOP, PARTS = 10, 50, 2000, 16
 WORDS = 3
 #: Bytes of text that are hashed at once, but for longer pieces; the filter's greatest size.
-SLICE, MOST_BITS = 4 << 20, 30
+SLICE, MOST_BITS = 2 << 20, 30
 _PAGE = 15  # bits of a page of the filter, as bitmap_construct_agg makes them
 
 # What ends a word, what ends a piece.
@@ -181,13 +181,10 @@ def counted(docs: DataFrame, n: int, held=None) -> DataFrame:
     return found.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
-_READ = "lang string, size int, print long, phrase string, n long, doc_id {}, byte long"
-
-
 def read(docs: DataFrame, filters: list) -> DataFrame:
-    """(lang, size, phrase, n, first): the phrases of 1 to WORDS words in the texts whose
-    fingerprints are in the filter of their size, each text counted by itself, with its first
-    occurrence (document and byte); of size 0 the number of all words of a language."""
+    """(key, n, first): the phrases of 1 to WORDS words in the texts whose fingerprints are in
+    the filter of their size, each text counted by itself, with the smallest id of a
+    document that holds it; the key is language, line break, phrase. Without a phrase: all words of a language."""
 
     def each(batches):
         powers = _Powers()
@@ -199,26 +196,25 @@ def read(docs: DataFrame, filters: list) -> DataFrame:
                 row = np.searchsorted(starts, words.at, "right") - 1
                 seed = seeds[rows[row]]
                 of = [langs[i] for i in rows.tolist()]
-                number = np.bincount(row, minlength=len(rows))
-                yield _rows(of, 0, np.zeros(len(rows), np.int64), [""] * len(rows), number, ids.take(pa.array(rows)), starts * 0)
+                yield _rows(of, [b""] * len(rows), np.bincount(row, minlength=len(rows)), ids.take(pa.array(rows)))
                 for n, held in enumerate(filters, 1):
                     first, prints = candidates(words, n, seed, None)
                     ok = in_filter(prints, held.value)
-                    first, prints = first[ok], prints[ok]
-                    yield from _told(words, n, first, prints, row, of, rows, starts, ids)
+                    yield _told(words, n, first[ok], prints[ok], row, of, ids.take(pa.array(rows)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("lang", "text", "doc_id").mapInArrow(each, _READ.format(kind))
-    at = F.struct("doc_id", "byte")
-    return found.groupBy("lang", "size", "print", "phrase").agg(F.sum("n").alias("n"), F.min(at).alias("first"))
+    found = docs.select("lang", "text", "doc_id").mapInArrow(each, f"key string, n long, doc_id {kind}")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"))
 
 
-def _told(words: Words, n: int, first: np.ndarray, prints: np.ndarray, row: np.ndarray, of: list, rows: np.ndarray, starts: np.ndarray, ids):
-    """The different phrases among runs of words: same fingerprint, length and bytes."""
+def _told(words: Words, n: int, first: np.ndarray, prints: np.ndarray, row: np.ndarray, of: list[str], ids: pa.Array) -> pa.RecordBatch:
+    """The different phrases among runs of words: same fingerprint, language, length and
+    bytes. row: of each word its text; of and ids: the texts' languages and ids."""
     _, example, which, number = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
     a, size = words.off[first], words.off[first + n] - 1 - words.off[first]
     one = example[which]
-    same = (size == size[one]) & (row_lang(of, row[first]) == row_lang(of, row[first[one]]) if len(set(of)) > 1 else True)
+    lang = np.unique(np.array(of, object).astype(str), return_inverse=True)[1][row[first]] if of else row[first]
+    same = (size == size[one]) & (lang == lang[one])
     for k in range(int(size.max(initial=0))):  # byte by byte, all runs at once
         some = np.flatnonzero(same & (size > k))
         some = some[one[some] != some]
@@ -227,21 +223,14 @@ def _told(words: Words, n: int, first: np.ndarray, prints: np.ndarray, row: np.n
     number = number - np.bincount(which[lone], minlength=len(number))
     shown = np.concatenate([example, lone])
     number = np.concatenate([number, np.ones(len(lone), np.int64)])
-    norm = words.norm.tobytes()
-    text = [norm[i : i + m].decode("utf-8", "surrogatepass") for i, m in zip(a[shown].tolist(), size[shown].tolist(), strict=True)]
-    at = row[first[shown]]
-    langs = [of[i] for i in at.tolist()]
-    yield _rows(langs, n, prints[shown], text, number, ids.take(pa.array(rows[at])), words.at[first[shown]] - starts[at])
-
-
-def row_lang(of: list, row: np.ndarray) -> np.ndarray:
-    return np.unique(np.array(of, object).astype(str), return_inverse=True)[1][row]
+    norm, at = words.norm.tobytes(), row[first[shown]]
+    text = [norm[i : i + m] for i, m in zip(a[shown].tolist(), size[shown].tolist(), strict=True)]
+    return _rows([of[i] for i in at.tolist()], text, number, ids.take(pa.array(at)))
 
 
-def _rows(langs: list, n: int, prints: np.ndarray, text: list, number: np.ndarray, ids, byte: np.ndarray) -> pa.RecordBatch:
-    cells = [pa.array(langs, pa.string()), pa.array(np.full(len(text), n, np.int32)), pa.array(prints.astype(np.uint64).view(np.int64))]
-    cells += [pa.array(text, pa.string()), pa.array(number.astype(np.int64)), ids, pa.array(byte.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(cells, names=["lang", "size", "print", "phrase", "n", "doc_id", "byte"])
+def _rows(langs: list[str], text: list[bytes], number: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    keys = [f"{lang}\n{t.decode('utf-8', 'surrogatepass')}" for lang, t in zip(langs, text, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(number.astype(np.int64)), ids], names=["key", "n", "doc_id"])
 
 
 def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -256,7 +245,11 @@ def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             for n in range(1, WORDS + 1):
                 held = filters[-1] if filters else None
                 filters.append(frequent_filter(written(counted(rows, n, held), "phrase-prints")))
-            return written(read(rows, filters).where((F.col("n") >= LEAST) | (F.col("size") == 0)).drop("print"), "phrases", keep=True)
+            # a phrase has no line break, a language may
+            lang, phrase = F.regexp_extract("key", r"(?s)^(.*)\n", 1), F.substring_index("key", "\n", -1)
+            told = read(rows, filters).select(lang.alias("lang"), phrase.alias("phrase"), "n", "first")
+            size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+            return written(told.withColumn("size", size).where((F.col("n") >= LEAST) | (F.col("size") == 0)), "phrases", keep=True)
     finally:
         for held in filters:
             held.destroy()
@@ -290,15 +283,18 @@ def outer(rows: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
     """Of each language the first phrases by score: lang, rank, phrase, a, l, r, n, score, and
-    the first occurrence (first_doc, first_byte: of the lower-case text's bytes)."""
+    first_doc (the smallest id of a document that holds it)."""
     with scratch(docs.sparkSession):
         found = frequent(docs, id_col, text_col, lang_col)
         total = found.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))  # a row a language
         kept = written(outer(written(scored(found), "phrase-scores")), "phrase-kept", keep=True)
         totals = written(total, "phrase-words", keep=True)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(totals, "lang")
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(*order))
+    # first within parts of each language, so that no task gets more of one than PARTS * top
+    best = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", rank("part")).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", rank()).where(F.col("rank") <= top).join(totals, "lang")
     return ranked.select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
-        F.col("first.doc_id").alias("first_doc"), F.col("first.byte").alias("first_byte"),
+        F.col("first").alias("first_doc"),
     )

@@ -62,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.collocations(_table(spark, sf_dir, "documents")).drop("first_doc", "first_byte")
+    return phrases.collocations(_table(spark, sf_dir, "documents")).drop("first_doc")
 
 
 #: (host, path, verdict)
