@@ -4,16 +4,19 @@ numbers, next to each other in the text) name the licences. Rules of more senten
 before shorter ones, equal ones in their order; what a rule has matched is used up, so
 that the sentences of a full notice don't also match the rules of a shorter one.
 
+Sentences that say what licence holds ("released under ...", or an SPDX line) are known by
+their form: an opening of OPENINGS and the names of one licence or of several, joined by "and" or
+"or"; each is a number of its own. Licences of the GPL's kind may be told "only" or "or later".
+
 Sentences run over the line breaks inside a paragraph: a sentence that isn't known as a
 whole is looked up line by line, so that a notice that stands on a line of its own is found
 as well. Comment signs at the start of a line are no words, and a full stop after an
 abbreviation before a number ends nothing.
 
-Everything is DataFrame functions in one narrow stage: no shuffle. Texts without any
-word that a known sentence has as its rarest (see ANCHORS) can hold none and skip the
-cutting.
+One narrow stage, no shuffle: texts without any word that a known sentence has as its rarest
+(see anchors) can hold none and stay in the JVM; the others are cut and looked up in a dictionary, in Arrow batches.
 
-Defined results: a null or empty text has no sentences and no licence; a very long text is
+Defined results: A-Z are lower-cased; a null or empty text has no sentences and no licence; a very long text is
 cut whole; a sentence that repeats counts each time; a licence is named once a text, where
 its first rule stands in the order; repeated rows get a row each; an empty table gives an
 empty result; other columns are never read, whatever they are called.
@@ -21,8 +24,15 @@ empty result; other columns are never read, whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from punctuality.llm.shared import ascii_lower
 
 # Known licence sentences, normalised (lower case, ASCII letters and
 # digits, single spaces).
@@ -96,7 +106,7 @@ NAMES = {
     "BSD": ("bsd",),
     "ISC": ("isc",),
     "Zlib": ("zlib",),
-    "BSL-1.0": ("boost software license 1 0", "boost software license version 1 0", "boost software"),
+    "BSL-1.0": ("bsl 1 0", "boost software license 1 0", "boost software license version 1 0", "boost software"),
     "GPL-2.0": ("gpl 2 0", "gpl v2", "gplv2", "gnu gpl v2", "gnu general public license v2 0", "gnu general public license version 2"),
     "GPL-3.0": ("gpl 3 0", "gpl v3", "gplv3", "gnu gpl v3", "gnu general public license v3 0", "gnu general public license version 3"),
     "LGPL-2.1": ("lgpl 2 1", "lgpl v2 1", "gnu lesser general public license v2 1", "gnu lesser general public license version 2 1"),
@@ -115,16 +125,17 @@ NAMES = {
     "WTFPL": ("wtfpl",),
     "Artistic-2.0": ("artistic 2 0", "artistic license 2 0"),
 }
-#: How a text says that a licence of that name holds; {} is the name.
-NOTICES = (
-    "released under {}", "released under the {}", "released under the {} license", "licensed under {}", "licensed under the {}", "licensed under the {} license", "licensed under a {} license",
-    "this project is licensed under the {}", "this project is licensed under the {} license", "this software is licensed under the {}", "this software is licensed under the {} license",
-    "this work is licensed under {}", "this work is licensed under the {}", "this work is licensed under the {} license", "this work is licensed under a {} license",
-    "distributed under the {} license", "distributed under the terms of the {}", "distributed under the terms of the {} license", "available under the {} license", "code released under the {} license",
+#: How a sentence opens that says what licence holds.
+OPENINGS = (
+    "released under", "licensed under", "dual licensed under", "distributed under", "available under", "code released under", "published under",
+    "licensed under the terms of", "distributed under the terms of", "released under the terms of", "this project is licensed under", "this project is dual licensed under",
+    "this software is licensed under", "this work is licensed under", "this file is licensed under", "this program is licensed under", "spdx license identifier",
 )
-#: The number of a licence's notices is FIRST_NOTICE and its place in NAMES.
-FIRST_NOTICE = 101
+#: The number of a licence's notices is FIRST_NOTICE and its place in NAMES; of those that say
+#: "or later" LATER more, "only" ONLY more.
+FIRST_NOTICE, LATER, ONLY = 101, 100, 200
 _NOTICE = {name: FIRST_NOTICE + i for i, name in enumerate(NAMES)}
+_VERSIONED = [name for name in NAMES if "GPL" in name]
 #: Ordered rules: of rules of equal length the earlier goes before.
 RULES = [
     ("Apache-2.0", (2, 3, 4, 39, 40)),
@@ -177,6 +188,8 @@ RULES = [
     ("CC0-1.0", (49,)),
     ("EPL-2.0", (56,)),
     *[(name, (k,)) for name, k in _NOTICE.items()],
+    *[(f"{name}-or-later", (_NOTICE[name] + LATER,)) for name in _VERSIONED],
+    *[(f"{name}-only", (_NOTICE[name] + ONLY,)) for name in _VERSIONED],
     ("Proprietary", (22,)),
     ("Public-Domain", (23,)),
 ]
@@ -193,25 +206,45 @@ WORDINGS = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": (20, 21),
 }
 #: Ends of sentences; a blank line ends a paragraph.
-BREAK = r"[.!?;]+\s+|[.!?;]+$|\n[ \t]*\n\s*"
+BREAK = r"[.!?;]+[ \t\n\f\r]+|[.!?;]+\z|\n[ \t]*\n[ \t\n\f\r]*"
 #: What is no word or no end: line ends, comment signs, numbers of list items, stops of
-#: abbreviations. Patterns that both engines read alike; \\N is a group.
+#: abbreviations; and "3.0+". Patterns that both engines read alike; \N is a group.
 CLEAN = [
     (r"\r\n?", "\n"),
     (r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|\*+|--+|>+)[ \t]*", ""),
     (r"(?m)(^[ \t]*|:[ \t]+)[0-9]+\.[ \t]", r"\1 "),
-    (r"\b(v|ver|vers|no|vol)\.(\s+[0-9])", r"\1 \2"),
+    (r"\b(v|ver|vers|no|vol)\.([ \t\n\f\r]+[0-9])", r"\1 \2"),
+    (r"([0-9])\+", r"\1 or later"),
 ]
+#: Of what follows an opening: marks for what is said of versions; the plural after several names;
+#: what parts the names.
+MARKS = [
+    (r" or (?:any later versions?|later versions?|later|at your option any later version)\b", "+"),
+    (r" only\b", "!"),
+    (r"( (?:and|or) .+) licen[sc]es$", r"\1"),
+]
+PARTED = r" (?:and|or) "
+#: Of a name: articles before it and "license" after it.
+BARE = [(r"^(?:the |a |an )+", ""), (r" licen[sc]e([+!]?)$", r"\1")]
+
+
+#: The longest opening first.
+OPENING = f"(?:{'|'.join(sorted(OPENINGS, key=len, reverse=True))}) (.+)"
 
 
 def counted(sentences: dict[int, str] = SENTENCES) -> dict[str, tuple[int, ...]]:
-    """Known wordings and the numbers that each counts as: sentences, whole notices that
-    are more than one, and what says that a licence of some name holds."""
+    """Known wordings and the numbers that each counts as: sentences, and whole notices
+    that are more than one."""
     own = {s: (k,) for k, s in sentences.items()}
-    if sentences is not SENTENCES:
-        return own
-    said = {notice.format(name): (_NOTICE[licence],) for licence, names in NAMES.items() for name in names for notice in NOTICES}
-    return said | WORDINGS | own
+    return WORDINGS | own if sentences is SENTENCES else own
+
+
+def numbers_of_names() -> dict[str, int]:
+    """Names of licences, with a mark or without, and their numbers."""
+    out = {name: _NOTICE[licence] for licence, names in NAMES.items() for name in names}
+    for mark, more in (("+", LATER), ("!", ONLY)):
+        out |= {name + mark: _NOTICE[licence] + more for licence in _VERSIONED for name in NAMES[licence]}
+    return out
 
 
 def ordered_rules(rules: list[tuple[str, tuple[int, ...]]]) -> list[tuple[str, str]]:
@@ -222,78 +255,129 @@ def ordered_rules(rules: list[tuple[str, tuple[int, ...]]]) -> list[tuple[str, s
 def anchors(texts: list[str] | None = None) -> list[str]:
     """A short list of words such that each known wording has one: the word most of them
     share, then that of those left, and so on."""
-    left, out = [set(s.split()) for s in (counted() if texts is None else texts)], []
+    left, out = [set(s.split()) for s in ([*counted(), *OPENINGS] if texts is None else texts)], []
     while left:
         shared: dict[str, int] = {}
         for words in left:
             for w in words:
                 if len(w) > 5:
                     shared[w] = shared.get(w, 0) + 1
-        best = min(shared, key=lambda w: (-shared[w], w)) if shared else min(min(left, key=len))
+        best = min(shared, key=lambda w: (-shared[w], w)) if shared else min(left[0], key=lambda w: (-len(w), w))
         out.append(best)
         left = [words for words in left if best not in words]
     return out
 
 
-def sentence_ids(text: Column, sentences: dict[int, str] = SENTENCES) -> Column:
-    """The numbers of a text's sentences in order, 0 for one that isn't known."""
-    number = F.create_map(*[x for s, ids in sorted(counted(sentences).items()) for x in (F.lit(s), F.array(*map(F.lit, ids)))])
-    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    known = lambda s: F.try_element_at(number, plain(s))
-    lines = lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda x: F.coalesce(known(x), F.array(F.lit(0)))))
-    low = F.lower(text)
-    for pattern, to in CLEAN:
-        low = F.regexp_replace(low, pattern, to.replace("\\", "$"))
-    return F.flatten(F.transform(F.split(low, BREAK), lambda s: F.coalesce(known(s), lines(s))))
+class Scanner:
+    """Known sentences and rules, ready to be looked up."""
 
+    def __init__(self, sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES):
+        self.known, self.rules = counted(sentences), ordered_rules(rules)
+        self.names = numbers_of_names() if sentences is SENTENCES else {}
+        sub = lambda steps: [(re.compile(p, re.ASCII), to) for p, to in steps]
+        self.clean, self.marks, self.bare = sub(CLEAN), sub(MARKS), sub(BARE)
+        self.end, self.other = re.compile(BREAK.replace(r"\z", r"\Z")), re.compile("[^a-z0-9]+")
+        self.opening = re.compile(OPENING)
 
-def matched(ids: Column, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> Column:
-    """The licences whose rules match the numbers, rule by rule, as an array in the order
-    in which rules apply. What a rule matches is used up."""
-    run = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
-    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(seq).alias("seq")) for name, seq in ordered_rules(rules)])
-    start = F.struct(run.alias("run"), F.array().cast("array<string>").alias("names"))
-    hit = lambda state, rule: F.struct(F.replace(state["run"], rule["seq"], F.lit("<0>")).alias("run"), F.array_append(state["names"], rule["name"]).alias("names"))
-    return F.aggregate(each, start, lambda state, rule: F.when(F.contains(state["run"], rule["seq"]), hit(state, rule)).otherwise(state), lambda state: F.array_distinct(state["names"]))
+    @staticmethod
+    def _changed(text: str, steps: list) -> str:
+        return functools.reduce(lambda t, step: step[0].sub(step[1], t), steps, text)
+
+    def notice(self, plain: str) -> tuple[int, ...] | None:
+        """The licences that a sentence says to hold; None if it is no such sentence."""
+        told = self.opening.fullmatch(plain)
+        if not told:
+            return None
+        names = re.split(PARTED, self._changed(told[1], self.marks))
+        found = tuple(self.names.get(self._changed(name, self.bare)) for name in names)
+        return None if None in found else found
+
+    def look_up(self, sentence: str) -> tuple[int, ...] | None:
+        plain = self.other.sub(" ", sentence).strip(" ")
+        found = self.known.get(plain)
+        return self.notice(plain) if found is None and self.names else found
+
+    def numbers(self, text: str) -> list[int]:
+        """The numbers of a text's sentences in order, 0 for one that isn't known."""
+        out: list[int] = []
+        for sentence in self.end.split(self._changed(ascii_lower(text), self.clean)):
+            found = self.look_up(sentence)
+            if found is None:
+                for line in sentence.split("\n"):
+                    out += self.look_up(line) or (0,)
+            else:
+                out += found
+        return out
+
+    def matched(self, numbers: list[int]) -> list[str]:
+        """The licences whose rules match the numbers, rule by rule, in the order in which
+        rules apply. What a rule matches is used up."""
+        run, names = "".join(f"<{k}>" for k in numbers), []
+        for name, seq in self.rules:
+            if seq in run:
+                run = run.replace(seq, "<0>")
+                names.append(name)
+        return list(dict.fromkeys(names))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
     """Per document: id_col, n_known, sentence_ids (known ones in order, comma-joined),
     licences (in the order of the rules that matched, comma-joined)."""
     text = F.col(text_col).cast("string")
-    low = F.lower(text)
     may = F.lit(False)
-    for word in anchors(list(counted(sentences))):
-        may = may | F.contains(low, F.lit(word))
-    none = F.array().cast("array<int>")
-    found = docs.select(F.col(id_col).alias("id"), F.when(may, text).alias("text")).select("id", F.coalesce(sentence_ids(F.col("text"), sentences), none).alias("ids"))
-    known = F.filter("ids", lambda i: i > 0)
-    named = F.when(F.size(known) > 0, F.array_join(matched(F.col("ids"), rules), ",")).otherwise("")
-    return found.select(
-        F.col("id").alias(id_col), F.size(known).cast("long").alias("n_known"), F.array_join(known.cast("array<string>"), ",").alias("sentence_ids"), named.alias("licences")
-    )
+    for word in anchors(None if sentences is SENTENCES else list(sentences.values())):
+        may = may | F.contains(F.col("low"), F.lit(word))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.lower(text).alias("low")).select("id", F.when(may, F.col("text")).alias("text"))
+    scanner = Scanner(sentences, rules)
+
+    def scan(batches):
+        for batch in batches:
+            n, ids, names = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = scanner.numbers(text) if text else []
+                known = [k for k in found if k]
+                n.append(len(known))
+                ids.append(",".join(map(str, known)))
+                names.append(",".join(scanner.matched(found)) if known else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(names, pa.string())], names=schema.names)
+
+    schema = T.StructType(list(rows.select(F.col("id").alias(id_col)).schema.fields)).add("n_known", "long").add("sentence_ids", "string").add("licences", "string")
+    return rows.mapInArrow(scan, schema)
 
 
 def sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
     """The same in DuckDB's SQL, without the anchors: rules one after the other, each on
     what those before have left."""
+
+    def changed(text: str, steps: list[tuple[str, str]]) -> str:
+        for pattern, to in steps:
+            into = "chr(10)" if to == "\n" else f"'{to}'"
+            text = f"regexp_replace({text}, '{pattern}', {into}, 'g')"
+        return text
+
     pairs = ", ".join(f"'{s}': {list(ids)}" for s, ids in counted().items())
-    low = f"lower(coalesce({text_col}, ''))"
-    for pattern, to in CLEAN:
-        into = "chr(10)" if to == "\n" else f"'{to}'"
-        low = f"regexp_replace({low}, '{pattern}', {into}, 'g')"
-    known = lambda s: f"known[trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'))]"
+    names = ", ".join(f"'{s}': {k}" for s, k in numbers_of_names().items())
+    low = changed(f"translate(coalesce({text_col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", CLEAN)
+    plain = lambda s: f"trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'), ' ')"
+    # of each sentence itself and its lines, in one list: {plain form, number of the sentence, of the line (0: itself)}
+    opened = changed(f"regexp_extract(p, '^{OPENING}$', 1)", MARKS)
     rules = ordered_rules(RULES)
     left = ", ".join(f"replace(r{i}, '{seq}', '<0>') AS r{i + 1}" for i, (_, seq) in enumerate(rules))
-    names = ", ".join(f"CASE WHEN contains(r{i}, '{seq}') THEN '{name}' END" for i, (name, seq) in enumerate(rules))
+    told = ", ".join(f"CASE WHEN contains(r{i}, '{seq}') THEN '{name}' END" for i, (name, seq) in enumerate(rules))
     return rf"""
-WITH table_ AS (SELECT MAP {{{pairs}}} AS known),
-cut AS (
-  SELECT {id_col}, flatten(list_transform(regexp_split_to_array({low}, '{BREAK}'),
-    lambda s: coalesce({known("s")}, flatten(list_transform(string_split(s, chr(10)), lambda x: coalesce({known("x")}, [0])))))) AS ids FROM {table}, table_),
-run AS (SELECT {id_col}, list_filter(ids, lambda i: i > 0) AS numbers, array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '') AS r0 FROM cut),
-used AS (SELECT *, {left} FROM run),
-named AS (SELECT {id_col}, numbers, list_filter([{names}], lambda n: n IS NOT NULL) AS names FROM used)
+WITH doc AS (SELECT row_number() OVER () AS r, {id_col}, {text_col} FROM {table}),
+known AS MATERIALIZED (SELECT MAP {{{pairs}}} AS known, MAP {{{names}}} AS names),
+cut AS (SELECT r, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT r, regexp_split_to_array({low}, '{BREAK}') AS ss FROM doc)),
+line AS (SELECT r, i, 0 AS j, s FROM cut UNION ALL SELECT r, i, unnest(range(1, len(ls) + 1)) AS j, unnest(ls) AS s FROM (SELECT r, i, string_split(s, chr(10)) AS ls FROM cut)),
+form AS (SELECT r, i, j, {plain("s")} AS p FROM line),
+item AS (SELECT r, i, j, p, list_transform(regexp_split_to_array({opened}, '{PARTED}'), lambda x: names[{changed("x", BARE)}]) AS ids, known[p] AS own FROM form, known),
+number AS (SELECT r, i, j, CASE WHEN own IS NOT NULL THEN own WHEN len(list_filter(ids, lambda x: x IS NULL)) = 0 THEN ids END AS ids FROM item),
+used AS (SELECT r, i, j, ids FROM number WHERE j = 0 AND ids IS NOT NULL
+  UNION ALL SELECT n.r, n.i, n.j, coalesce(n.ids, [0]) FROM number n JOIN number w ON w.r = n.r AND w.i = n.i AND w.j = 0 AND w.ids IS NULL WHERE n.j > 0),
+run AS (SELECT {id_col}, list_filter(ids, lambda k: k > 0) AS numbers, array_to_string(list_transform(ids, lambda k: '<' || k || '>'), '') AS r0
+  FROM doc JOIN (SELECT r, flatten(list(ids ORDER BY i, j)) AS ids FROM used GROUP BY r) USING (r)),
+gone AS (SELECT *, {left} FROM run),
+named AS (SELECT {id_col}, numbers, list_filter([{told}], lambda n: n IS NOT NULL) AS names FROM gone)
 SELECT {id_col}, CAST(len(numbers) AS BIGINT) AS n_known, coalesce(array_to_string(numbers, ','), '') AS sentence_ids,
   coalesce(array_to_string(list_transform(list_filter(range(1, len(names) + 1), lambda i: list_position(names, names[i]) = i), lambda i: names[i]), ','), '') AS licences
 FROM named"""
