@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctuality.operators import metrics
+from punctuality.operators import metrics, statistics
 from punctuality.params import DEFAULT, DEPARTED, PERIODS, Params
 
 HOURLY = ("OVERALL", "ROUTE", "AIRLINE")
@@ -20,11 +20,20 @@ def route_of() -> Column:
 
 
 def daily(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return metrics.by_scopes(facts, keep=("flight_date_local",), p=p).withColumn("route", route_of())
+    return daily_of(statistics.state_of(facts), p)
 
 
 def hourly(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return metrics.by_scopes(facts, HOURLY, ("flight_date_local", "hour_local"), p).withColumn("route", route_of())
+    return hourly_of(statistics.state_of(facts), p)
+
+
+def daily_of(states: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Daily statistics from state rows (see statistics)."""
+    return statistics.rolled_up(states, p=p).withColumn("route", route_of())
+
+
+def hourly_of(states: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    return statistics.rolled_up(states, HOURLY, ("flight_date_local", "hour_local"), p).withColumn("route", route_of())
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:

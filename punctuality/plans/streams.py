@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctuality.operators import history, insights, statistics
 from punctuality.plans import collection, sql
 from punctuality.session import shared_path
 from punctuality.sources import adapters
@@ -35,6 +36,28 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(spark, folder)
 
 
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily statistics of a state to which the flights of the first half of the time went, and then what
+    the second half made of them."""
+    rows = adapters.observations(spark, sf_dir)
+    ends = rows.agg(F.min("observed_at"), F.max("observed_at")).first()
+    half, every = (jobs.facts_of(history.latest_state(r)) for r in (rows.where(F.col("observed_at") < F.lit(ends[0] + (ends[1] - ends[0]) / 2)), rows))
+    folder = shared_path(spark, "statistics")
+    statistics.fold_in(statistics.state_of(half), folder, 0)
+    statistics.fold_in(statistics.changes(half, every), folder, 1)
+    return insights.daily_of(statistics.held(spark, folder))
+
+
+QUERIES["folded_statistics"] = _folded
+ORACLE["folded_statistics"] = (
+    sql.with_(
+        f"flights AS (SELECT *, scheduled_hour_local AS hour_local, scheduled_dow_local AS dow_local FROM ({collection.ORACLE['latest_state']}))",
+        sql.FACTS_SQL,
+        sql.keyed(),
+        sql.block("b", "keyed", "flight_date_local, scope, key", sql.least_sample()),
+    )
+    + "SELECT *, CASE WHEN scope = 'ROUTE' THEN key WHEN scope IN ('ROUTE_PERIOD', 'ROUTE_AIRLINE') THEN split_part(key, '|', 1) END AS route FROM b"
+)
 QUERIES["stream_events"] = lambda spark, d: jobs.last_word(jobs.run_now(jobs.events(source(spark, d))))
 ORACLE["stream_events"] = collection.ORACLE["derive_events"]
 QUERIES["stream_hourly_counts"] = _hours

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from punctuality.operators import alerts, history, insights, metrics
+from punctuality.operators import alerts, history, insights, metrics, statistics
 from punctuality.params import DEFAULT, SETTLED, Params
-from punctuality.session import shared_path
+from punctuality.session import exists, shared_path
 
 LATE = "2 days"
 LATE_MS = 2 * 86_400_000
@@ -128,11 +128,18 @@ def _listed(rows: DataFrame, column: str) -> list:
     return [r[0] for r in rows.select(column).distinct().collect()]
 
 
-def reopen_days(flights: DataFrame, days: list, path: str, p: Params = DEFAULT) -> None:
-    """Compute the statistics of the days that a batch touched anew, and no other: a late
-    row opens its day again. For foreachBatch, after the state was folded."""
-    facts = metrics.facts(flights.where(F.col("flight_date_local").isin(days)).withColumns({"hour_local": F.col("scheduled_hour_local"), "dow_local": F.col("scheduled_dow_local")}))
-    insights.write_statistics(insights.daily(facts, p), path)
+def facts_of(flights: DataFrame) -> DataFrame:
+    return metrics.facts(flights.withColumns({"hour_local": F.col("scheduled_hour_local"), "dow_local": F.col("scheduled_dow_local")}))
+
+
+def restate(before: DataFrame, after: DataFrame, days: list, k: int, folder: str, p: Params = DEFAULT) -> None:
+    """Bring the statistics in folder (state, and what is published of it: daily) up to what
+    batch k made of flights: what they were goes out of the state, what they are goes in, and
+    the touched days are rolled up from it. No other flight is read. A batch that is run
+    again leaves the same."""
+    spark, state = after.sparkSession, f"{folder}/state"
+    statistics.fold_in(statistics.changes(facts_of(before), facts_of(after)), state, k)
+    insights.write_statistics(insights.daily_of(statistics.held(spark, state, days), p), f"{folder}/daily")
 
 
 def alerts_once(observations: DataFrame) -> DataFrame:
@@ -148,7 +155,7 @@ def send_once(built: DataFrame, ledger: str):
 
     def each(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.schema("dedup_key string, batch long").parquet(ledger).where(F.col("batch") < k) if _exists(spark, ledger) else None
+        held = spark.read.schema("dedup_key string, batch long").parquet(ledger).where(F.col("batch") < k) if exists(spark, ledger) else None
         new = batch.dropDuplicates(["dedup_key"])
         new = new if held is None else alerts.unsent(new, held.select("dedup_key"))
         new.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
@@ -201,11 +208,6 @@ def _path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place, files = _path(spark, path)
-    return files.exists(place)
-
-
 def state_before(spark: SparkSession, folder: str, k: int, days: list | None = None) -> DataFrame:
     """The state rows that batches before k left: of each day the newest version. Only
     the partitions of the days are read."""
@@ -225,7 +227,7 @@ def fold_batch(batch: DataFrame, k: int, folder: str) -> list:
     days = [str(d) for d in _listed(batch, "flight_date_local")]
     if not days:
         return days
-    states = new.unionByName(state_before(spark, folder, k, days)) if _exists(spark, folder) else new
+    states = new.unionByName(state_before(spark, folder, k, days)) if exists(spark, folder) else new
     out = history.fold_states(states).withColumn("day", F.col("flight_date_local").cast("string")).withColumn("v", F.lit(k).cast("long"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "v").parquet(folder)
     for day in days:
@@ -236,16 +238,23 @@ def fold_batch(batch: DataFrame, k: int, folder: str) -> list:
     return days
 
 
+def flights_before(spark: SparkSession, folder: str, k: int, days: list, touched: DataFrame) -> DataFrame:
+    """Of the touched flights the latest state that batches before k left."""
+    if not exists(spark, folder):
+        return history.flights_of(history.state_of(touched)).limit(0)
+    rows = state_before(spark, folder, k, days).join(touched.select(*history.FLIGHT).distinct(), list(history.FLIGHT), "left_semi")
+    return history.flights_of(rows)
+
+
 def upsert_latest(observations: DataFrame, folder: str, statistics: str | None = None, keys: tuple[str, ...] = ("observation_id",)):
     """Start the fold of a stream, each snapshot (as keys tell them) once, into a state
-    table (see fold_batch); the statistics of the days touched are written anew, if a path
-    for them is given."""
+    table (see fold_batch); statistics: a folder whose statistics follow (see restate)."""
 
     def each(batch: DataFrame, k: int) -> None:
-        batch = batch.persist()  # it is read for its days and for its fold
+        spark, batch = batch.sparkSession, batch.persist()  # it is read for its days, its fold and its flights
         days = fold_batch(batch, k, folder)
         if statistics and days:
-            reopen_days(history.flights_of(state_before(batch.sparkSession, folder, k + 1, days)), days, statistics)
+            restate(*(flights_before(spark, folder, v, days, batch) for v in (k, k + 1)), days, k, statistics)
         batch.unpersist()
 
     return once(observations, *keys).drop("seen_at").writeStream.foreachBatch(each)
