@@ -2,18 +2,19 @@
 Jaccard similarity of 0.8 or more are linked, and one of each class of linked texts stays.
 
 Candidates come from SimHash fingerprints by the vantage-point search of `simhash`, with
-a radius that such pairs hardly pass (see RADIUS), and are linked only after both sets of
-shingles were compared in full. Three things bound the work, and none drops a pair but
-once in some 240,000:
+a radius that one pair in some 3,000 of similarity 0.8 passes, and fewer of more (see RADIUS), and
+are linked only after both sets of shingles were compared in full. Two things bound the
+work, and neither drops a pair but once in some 240,000:
 `stars` first joins what shares a least hash with the first text of its bucket, so that of
 a large group of near copies few pairs are left for the search, which skips texts that are
-joined already; a sketch of 16 bytes, of which a pair at 0.8 shares 13 on average, turns
-random neighbours away where they are found; and one of LONG bytes, of which it shares 51
-on average, turns away what shares passages only, before any set of shingles is moved.
+joined already; and a sketch of LONG bytes goes with the fingerprints into the shards: of its
+first SKETCH bytes a pair at 0.8 shares 13 on average, which turns random neighbours away,
+of all of them 51, which turns away what shares passages only, before any set of shingles is moved.
 The search never lists pairs, of which a group of near copies that are not similar enough
 has as many as the square of its size: it tells which texts of two blocks have candidates
 in the other; these come together with their sets of shingles, block by block, and give a
-spanning forest of their links.
+spanning forest of their links. Shards are few and large (see merged), whatever the number
+of partitions of a shuffle, so that a text is named for few blocks.
 
 Defined results: a null text is an empty one, empty and blank texts are copies of each
 other; texts of fewer than five words are one shingle; very long texts are compared whole;
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctuality.llm import simhash
-from punctuality.llm.shared import join_skewed, lower_bytes, scratch, written
+from punctuality.llm.shared import free_name, join_skewed, lower_bytes, scratch, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At 0.8 a bit differs with p = acos(0.89) / pi = 0.15: 9.7 of 64 bits, deviation 2.9.
+#: At 0.8 a bit differs with p = acos(0.89) / pi = 0.15: 9.7 of 64 bits, deviation 2.9;
+#: more than 20 do so once in some 3,000.
 RADIUS = 20
 #: Bytes of the sketches, how many of them candidates share at least (each fewer once in
 #: some 240,000 at 0.8), buckets of a text.
@@ -44,6 +46,7 @@ SKETCH, SHARED, LONG, LONG_SHARED, STARS = 16, 5, 64, 36, 4
 #: Shards of the search, and texts in one at most. As the bounds rule out next to nothing, a
 #: shard meets all others: few large ones are moved, and name a text, less often.
 SHARDS, SHARD_MAX = 16, 1 << 18
+_SKETCH = [f"s{i}" for i in range(LONG // 8)]
 _SALTS = np.random.default_rng(8).integers(1, 1 << 63, (2, LONG), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
@@ -105,24 +108,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """(id, node, fp, s0, s1, m0..., sketch): fingerprint, sketches and least hashes."""
-    names = ["fp", "s0", "s1", *[f"m{i}" for i in range(STARS)]]
+    """(id, node, fp, s0..., m0...): fingerprint, sketch and least hashes."""
+    names = ["fp", *_SKETCH, *[f"m{i}" for i in range(STARS)]]
 
     def each(batches):
         for batch in batches:
-            out, sketches = np.zeros((len(names), batch.num_rows), np.uint64), []
+            out = np.zeros((len(names), batch.num_rows), np.uint64)
             for i, t in enumerate(batch.column(2)):
                 hashes = shingles(t.as_py())
                 least = least_hashes(hashes)
-                out[:, i] = [fingerprint(hashes), *sketch(least[:SKETCH]), *least[:STARS]]
-                sketches.append(sketch(least).tobytes())
-            cells = [batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in out], pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cells, names=["id", "node", *names, "sketch"])
+                out[:, i] = [fingerprint(hashes), *sketch(least), *least[:STARS]]
+            cells = [batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in out]]
+            yield pa.RecordBatch.from_arrays(cells, names=["id", "node", *names])
 
     schema = rows.select("id", "node").schema
     for name in names:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(each, schema.add("sketch", "binary"))
+    return rows.mapInArrow(each, schema)
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -146,6 +148,7 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> dict[tupl
     blocks of up to simhash.TILE on either side: never the pairs themselves, of which a
     group of near copies has as many as the square of its size. Columns are fp, class,
     node and sketch; what is of one class is joined already."""
+    short = 3 + SKETCH // 8
     other = a if b is None else b
     found: dict[tuple[int, int], list] = {}
     for at, start, i, j, hit in simhash.near_pairs(np.ascontiguousarray(a[0]), None if b is None else np.ascontiguousarray(b[0]), radius):
@@ -153,9 +156,11 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> dict[tupl
         x, y = i[x], j[y]
         apart = a[1, x] != other[1, y]
         x, y = x[apart], y[apart]
-        ok = agree(np.ascontiguousarray(a[3:, x].T), np.ascontiguousarray(other[3:, y].T))
-        if ok.any():
-            found.setdefault((at // simhash.TILE, start // simhash.TILE), []).append((np.unique(a[2, x[ok]]), np.unique(other[2, y[ok]])))
+        for end, least in ((short, SHARED), (len(a), LONG_SHARED)):
+            ok = agree(np.ascontiguousarray(a[3:end, x].T), np.ascontiguousarray(other[3:end, y].T), least)
+            x, y = x[ok], y[ok]
+        if len(x):
+            found.setdefault((at // simhash.TILE, start // simhash.TILE), []).append((np.unique(a[2, x]), np.unique(other[2, y])))
     return {block: tuple(np.unique(np.concatenate(side)) for side in zip(*of, strict=True)) for block, of in found.items()}
 
 
@@ -168,16 +173,44 @@ def _block_rows(block: int, sides) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), block)), pa.array(side), pa.array(nodes)], names=["block", "side", "node"])
 
 
+def merged(shards: DataFrame, n: int, width: int) -> DataFrame:
+    """Neighbouring shards of n texts as one, as long as they hold no more than a shard may. A
+    range of the order has a shard at least, so there are as many as a shuffle makes
+    partitions, and each text would be named for as many blocks. Bounds of shards, some
+    hundreds of bytes, pass the driver."""
+    each = min(SHARD_MAX, max(simhash.SHARD_MIN, -(-n // SHARDS)))
+    sizes = sorted(shards.select("shard", F.octet_length("fps").alias("size")).collect())
+    to, held = {}, 0
+    for shard, size in sizes:
+        held += size // (8 * width)
+        new = not to or held > each
+        held = size // (8 * width) if new else held
+        to[shard] = shard if new else last
+        last = to[shard]
+    if len(set(to.values())) == len(to):
+        return shards
+    places = shards.sparkSession.createDataFrame(list(to.items()), "shard long, into long")
+
+    def join(key, table):
+        lo, hi = (np.array(table.column(c).to_pylist()) for c in ("lo", "hi"))
+        rows = np.concatenate([np.frombuffer(v.as_py(), np.uint64).reshape(width, -1) for v in table.column("fps")], 1)
+        return pa.table({"shard": [key[0].as_py()], "lo": pa.array([lo.min(0).tolist()], pa.list_(pa.int32())), "hi": pa.array([hi.max(0).tolist()], pa.list_(pa.int32())), "fps": pa.array([rows.tobytes()], pa.binary())})
+
+    return shards.join(F.broadcast(places), "shard").groupBy("into").applyInArrow(join, shards.schema)
+
+
 def neighbours(nodes: DataFrame, n: int) -> DataFrame:
-    """(block, side, node): the nodes (of n: fp, comp, node, s0, s1) that have candidates on
+    """(block, side, node): the nodes (of n: fp, comp, node, sketch) that have candidates on
     the other side of a block."""
-    blocks = written(simhash.shards(nodes, n, ("comp", "node", "s0", "s1"), SHARDS, SHARD_MAX), "near-shards")
+    width = 3 + len(_SKETCH)
+    found = written(simhash.shards(nodes, n, ("comp", "node", *_SKETCH), SHARDS, SHARD_MAX), "near-ranges")
+    blocks = written(merged(found, n, width), "near-shards")
 
     def search(batches):
         for batch in batches:
             for one, other, left, right in zip(*(batch.column(i) for i in range(4)), strict=True):
-                a = np.frombuffer(left.as_py(), np.uint64).reshape(5, -1)
-                b = None if one == other else np.frombuffer(right.as_py(), np.uint64).reshape(5, -1)
+                a = np.frombuffer(left.as_py(), np.uint64).reshape(width, -1)
+                b = None if one == other else np.frombuffer(right.as_py(), np.uint64).reshape(width, -1)
                 for (x, y), sides in near(a, b).items():
                     yield _block_rows(xxhash.xxh64_intdigest(f"{one} {other} {x} {y}") >> 1, sides)
 
@@ -186,7 +219,7 @@ def neighbours(nodes: DataFrame, n: int) -> DataFrame:
 
 def _in_blocks(batches):
     """(block, columns of one side, columns of the other) of rows that are sorted by block
-    and side: block, side, node, fp, comp, sketch and more."""
+    and side: block, side, node, fp, comp, sketch, set."""
     held: list[pa.RecordBatch] = []
 
     def both():
@@ -210,7 +243,7 @@ def _candidates(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
     """Places in a and in b of the pairs of different classes that are within the radius
     and whose long sketches agree."""
     numbers = lambda x: np.array(x, np.int64).view(np.uint64)
-    sketches = [np.frombuffer(b"".join(of["sketch"]), np.uint8).reshape(-1, LONG) for of in (a, b)]
+    sketches = [np.stack([numbers(of[c]) for c in _SKETCH], 1) for of in (a, b)]
     fps, comps = ([numbers(of[c]) for of in (a, b)] for c in ("fp", "comp"))
     out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(fps[0]), 256):
@@ -222,21 +255,6 @@ def _candidates(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def likely(involved: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of nodes with candidates those that have one whose long sketch agrees, with what
-    tells that (fp, comp, sketch)."""
-    rows = involved.join(nodes.select("node", "fp", "comp", "sketch"), "node").select("block", "side", "node", "fp", "comp", "sketch")
-
-    def keep(batches):
-        for block, a, b in _in_blocks(batches):
-            x, y = _candidates(a, b)
-            if len(x):
-                yield _block_rows(block, [np.unique(np.array(of["node"], np.int64)[k]).view(np.uint64) for of, k in ((a, x), (b, y))])
-
-    kept = rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(keep, _BLOCK)
-    return written(kept, "near-likely").join(nodes.select("node", "fp", "comp", "sketch"), "node")
-
-
 def shingle_sets(asked: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, set): the sorted shingle hashes of the texts of the nodes asked for."""
     first = asked.select("node").distinct().join(nodes.select("node", F.col("first").alias("id")), "node")
@@ -278,15 +296,16 @@ def forest(a: dict, b: dict) -> list[tuple[int, int]]:
     return [(names[i], names[j]) for i, j in joined.links]
 
 
-def block_links(kept: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links between nodes of each block (see likely)."""
+def block_links(involved: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between nodes of each block (see neighbours)."""
 
     def link(batches):
         for _, a, b in _in_blocks(batches):
             found = np.array(forest(a, b) if a["node"] and b["node"] else [], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    rows = kept.join(sets, "node").select("block", "side", "node", "fp", "comp", "sketch", "set")
+    known = written(nodes.select("node", "fp", "comp", *_SKETCH).join(sets, "node"), "near-known")
+    rows = involved.join(known, "node").select("block", "side", "node", "fp", "comp", *_SKETCH, "set")
     return rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(link, "a long, b long")
 
 
@@ -295,13 +314,12 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            x, y = (np.array([v.as_py() for v in batch.column(i)], f"S{LONG}").view(np.uint8).reshape(-1, LONG) for i in (2, 3))
-            a, b = _numbers(batch, 0, 1)
-            ok = agree(x, y, LONG_SHARED)
+            a, b, *words = _numbers(batch, *range(2 + 2 * len(_SKETCH)))
+            ok = agree(*(np.stack(words[i : i + len(_SKETCH)], 1) for i in (0, len(_SKETCH))), LONG_SHARED)
             yield _longs([a[ok], b[ok]], ["a", "b"])
 
-    side = lambda node, name: nodes.select(F.col("node").alias(node), F.col("sketch").alias(name))
-    told = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    side = lambda node: nodes.select(F.col("node").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in _SKETCH])
+    told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in _SKETCH])
     pairs = written(told.mapInArrow(keep, "a long, b long"), "near-pairs")
     sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows, nodes)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
@@ -323,9 +341,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         nodes = written(printed.groupBy("node").agg(F.min("id").alias("first"), *[F.any_value(c).alias(c) for c in printed.columns[2:]]), "near-nodes")
         near_links = written(verified(written(stars(nodes), "near-stars"), rows, nodes), "near-links")
         joined = simhash.components(near_links).withColumnRenamed("comp", "joined")
-        labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", "s0", "s1", "sketch"), "near-labelled")
-        kept = written(likely(written(neighbours(labelled, labelled.count()), "near-involved"), labelled), "near-kept")
-        more = written(block_links(kept, shingle_sets(kept, rows, nodes)), "near-links")
+        labelled = written(nodes.join(joined, "node", "left").select("fp", F.coalesce("joined", "node").alias("comp"), "node", *_SKETCH), "near-labelled")
+        involved = written(neighbours(labelled, labelled.count()), "near-involved")
+        more = written(block_links(involved, labelled, shingle_sets(involved, rows, nodes)), "near-links")
         comps = written(simhash.components(near_links.union(more)), "near-classes", keep=True)
     return join_skewed(printed.select("id", "node"), comps, "node", "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
 
@@ -333,15 +351,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each class the row of the smallest id stays (one, if
     several rows have that id). Documents without an id stay."""
+    hashed = free_name(docs, "_near_node")
     with scratch(docs.sparkSession):
         found = written(classes(docs, id_col, text_col), "near-rows")
         at = F.struct("id", "node")
         least = found.groupBy("comp").agg(F.min(at).alias("least"))
         other = join_skewed(found, least, "comp", "inner").where(at != F.col("least"))
-        drop = written(other.select(F.col("id").alias(id_col), F.col("node").alias("_near_node")).distinct(), "near-drop", keep=True)
-        twice = written(found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(id_col), F.col("node").alias("_near_node")), "near-repeated", keep=True)
-    noded = docs.withColumn("_near_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = noded.join(drop, [id_col, "_near_node"], "left_anti")
+        named = (F.col("id").alias(id_col), F.col("node").alias(hashed))
+        drop = written(other.select(*named).distinct(), "near-drop", keep=True)
+        twice = written(found.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(*named), "near-repeated", keep=True)
+    noded = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = noded.join(drop, [id_col, hashed], "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, [id_col, "_near_node"], "left_anti").unionByName(kept.join(twice, [id_col, "_near_node"], "left_semi").dropDuplicates([id_col, "_near_node"]))
+        kept = kept.join(twice, [id_col, hashed], "left_anti").unionByName(kept.join(twice, [id_col, hashed], "left_semi").dropDuplicates([id_col, hashed]))
     return kept.select(*docs.columns)

@@ -64,7 +64,7 @@ def test_search_tells_who_has_candidates_of_other_classes(monkeypatch):
     monkeypatch.setattr(similar.simhash, "TILE", 256)
     rng = np.random.default_rng(12)
     fps = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 1500)] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
-    rows = np.stack([fps, rng.integers(0, 9, 1500).astype(np.uint64), np.arange(1500, dtype=np.uint64), fps * 0, fps * 0])
+    rows = np.stack([fps, rng.integers(0, 9, 1500).astype(np.uint64), np.arange(1500, dtype=np.uint64), *[fps * 0] * 8])
     want = {(i, j) for i in range(1500) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 20 and rows[1, i] != rows[1, j]}
 
     def covered(found, pairs):
@@ -84,6 +84,32 @@ def test_search_tells_who_has_candidates_of_other_classes(monkeypatch):
     assert covered(similar.near(rows[:, :700], rows[:, 700:]), {(i, j) for i, j in want if i >= 700 > j})
 
 
+def test_small_shards_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = ["fp", "comp", "node", *similar._SKETCH]
+    rows = rng.integers(-(2**63), 2**63, (300, len(names)))
+    nodes = spark.createDataFrame(rows.tolist(), ", ".join(f"{c} long" for c in names))
+    small = similar.simhash.shards(nodes, 300, tuple(names[1:]), 16, 20).cache()
+
+    def held(shards):
+        cells = [np.frombuffer(r["fps"], np.int64).reshape(len(names), -1).T for r in shards.collect()]
+        return sorted(map(tuple, np.concatenate(cells).tolist()))
+
+    one = similar.merged(small, 300, len(names))
+    assert small.count() > 14 and one.count() == 1 and held(one) == held(small) == sorted(map(tuple, rows.tolist()))
+    row, parts = one.first(), small.collect()
+    assert row["lo"] == [min(x) for x in zip(*(p["lo"] for p in parts), strict=True)] and row["hi"] == [max(x) for x in zip(*(p["hi"] for p in parts), strict=True)]
+    monkeypatch.setattr(similar.simhash, "SHARD_MIN", 64)
+    some = similar.merged(small, 300, len(names)).collect()
+    assert 1 < len(some) < small.count() and all(len(r["fps"]) <= 64 * 8 * len(names) for r in some)
+
+
+def test_other_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 7), (2, "a b c", "other", 8), (3, "d", None, None)], "doc_id long, text string, _near_node string, _NEAR_NODE_ int")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c", "mine", 7), (3, "d", None, None)]
+
+
 def test_a_group_of_unlike_near_copies_stays(spark):
     """400 texts of one template, each pair under 0.8: no pair is linked, none is lost."""
     rng = random.Random(13)
