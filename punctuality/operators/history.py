@@ -1,8 +1,8 @@
 """From observations to state: duplicates, merges of sources, the latest-state fold,
 lifecycle events, staleness, health of providers.
 
-All folds are single aggregates, which a hot leg doesn't hurt; only predecessors are found
-by a window over one flight's observations, which are few.
+All folds are single aggregates, which a hot leg doesn't hurt; predecessors are found in
+ranges of flight and time (see ranges).
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import functools
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctuality.functions import scalars
+from punctuality.operators import ranges
 from punctuality.params import DEFAULT, SETTLED, Params
 from punctuality.sources.adapters import SOURCES
 
@@ -342,10 +343,11 @@ def airlines(rows: DataFrame) -> DataFrame:
 
 
 def with_previous(rows: DataFrame, per_source: bool = False) -> DataFrame:
-    """Adds prev: the record of the flight before (in time, then id)."""
+    """Adds prev: the record of the flight before (in time, then id). Flights and times are
+    sorted in ranges, so that a flight with a third of all rows is no task's alone."""
     keys = (*FLIGHT, "data_source") if per_source else FLIGHT
     fields = ("observation_id", "status", "delay_minutes", "gate", "terminal", "scheduled_departure_utc")
-    return rows.withColumn("prev", F.lag(F.struct(*fields)).over(Window.partitionBy(*keys).orderBy("observed_at", "observation_id")))
+    return ranges.with_before(rows, keys, ("observed_at", "observation_id"), fields)
 
 
 def derive_events(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:

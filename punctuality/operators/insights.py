@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.operators import metrics, statistics
+from punctuality.operators import metrics, ranges, statistics
 from punctuality.params import DEFAULT, DEPARTED, PERIODS, Params
 
 HOURLY = ("OVERALL", "ROUTE", "AIRLINE")
@@ -117,10 +117,10 @@ def repeat_cancellations(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def ranked(block: DataFrame) -> DataFrame:
-    """Positions: ranked ones first, then by score (unknown as -1), sample and key. Only
-    the aggregated keys are sorted."""
-    order = Window.orderBy(F.desc("is_ranked"), F.desc(F.coalesce("reliability_score", F.lit(-1.0))), F.desc("total_flights"), "key")
-    return block.withColumn("position", F.row_number().over(order))
+    """Positions: ranked ones first, then by score (unknown as -1), sample and key; numbered
+    in ranges of that order, as keys can be many."""
+    order = (F.desc("is_ranked"), F.desc(F.coalesce("reliability_score", F.lit(-1.0))), F.desc("total_flights"), F.col("key").asc())
+    return ranges.numbered(block, *order).withColumn("position", F.col("position").cast("int"))
 
 
 def rank_airlines(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:

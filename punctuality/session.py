@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "punctuality", **conf: str) -> SparkSession:
@@ -29,3 +29,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and a lost
+    executor costs a task of what follows. The folder is the session's to clear."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
