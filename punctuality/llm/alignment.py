@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 from punctuality.llm.shared import join_skewed, scratch, written
 
 #: Documents and links of a chunk, and documents that are kept as numbers in a bitmap.
-CHUNK_BITS, LINKS, SPARSE = 12, 4 << 20, 255
+CHUNK_BITS, LINKS, SPARSE = 12, 2 << 20, 255
 CHUNK = 1 << CHUNK_BITS
 #: Bits of an id in a pair; words that are remembered, and the longest; characters of texts and
 #: words that are worked on at once; a group of more links is counted by its different ids.
-ID_BITS, WORDS, LONGEST, CHARS, JOINED, HEAVY = 26, 500_000, 64, 1 << 20, 256, 4096
+ID_BITS, WORDS, LONGEST, CHARS, JOINED, HEAVY = 26, 400_000, 64, 1 << 20, 256, 4096
 #: Pairs that are broadcast with their counts, at most (32 bytes each); more are joined by a shuffle.
 MOST_PAIRS = 1 << 20
 _SIGNS = set(range(0x21, 0x30)) | set(range(0x3A, 0x41)) | set(range(0x5B, 0x61)) | set(range(0x7B, 0x7F))
