@@ -64,10 +64,31 @@ QUERIES["stream_hourly_counts"] = _hours
 ORACLE["stream_hourly_counts"] = sql.with_(adapters.OBSERVATIONS_SQL) + "SELECT date_trunc('hour', observed_at) AS hour, origin_iata, count(*) AS n, count(*) FILTER (is_cancelled) AS cancelled FROM observations GROUP BY ALL"
 QUERIES["stream_alerts_once"] = lambda spark, d: jobs.run_now(jobs.alerts_once(source(spark, d)))
 ORACLE["stream_alerts_once"] = sql.with_(adapters.OBSERVATIONS_SQL) + "SELECT DISTINCT 'CANCELLATION:' || flight_number || ':' || flight_date_local AS dedup_key FROM observations WHERE is_cancelled"
-QUERIES["stream_stale"] = lambda spark, d: jobs.run_now(jobs.stale(source(spark, d)))
+def boards(rows: DataFrame) -> DataFrame:
+    """Boards as they were asked for, an hour and origin each: read if the primary source told of it."""
+    hour = F.date_trunc("HOUR", "observed_at")
+    asked = rows.groupBy("origin_iata", hour.alias("hour")).agg(F.bool_or(F.col("data_source") == "primary").alias("ok"))
+    return asked.select("origin_iata", F.timestamp_add("HOUR", F.lit(1), F.col("hour")).cast("timestamp_ntz").alias("read_at"), "ok")
+
+
+def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = boards(adapters.observations(spark, sf_dir))
+    folder = shared_path(spark, "boards")
+    held.write.parquet(folder)
+    return jobs.run_now(jobs.stale(source(spark, sf_dir), spark.readStream.schema(held.schema).parquet(folder), buckets=8))
+
+
+QUERIES["stream_stale"] = _stale
 ORACLE["stream_stale"] = (
-    sql.with_(adapters.OBSERVATIONS_SQL, f"s AS (SELECT {collection.FLIGHT}, arg_max(status, (observed_at, observation_id)) AS status, max(observed_at) AS last_at FROM observations GROUP BY {collection.FLIGHT})")
-    + "SELECT flight_number, origin_iata, destination_iata, CAST(flight_date_local AS VARCHAR) AS flight_date_local, status, 'WENT_STALE' AS event_type FROM s WHERE status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') AND epoch_ms(last_at) + 180 * 60000 < (SELECT max(epoch_ms(observed_at)) - 2 * 86400000 FROM observations)"
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        f"s AS (SELECT {collection.FLIGHT}, arg_max(status, (observed_at, observation_id)) AS status, max(observed_at) AS last_at FROM observations GROUP BY {collection.FLIGHT})",
+        "b AS (SELECT origin_iata, date_trunc('hour', observed_at) + INTERVAL 1 HOUR AS read_at, bool_or(data_source = 'primary') AS ok FROM observations GROUP BY ALL)",
+        "w AS (SELECT greatest((SELECT max(observed_at) FROM observations), (SELECT max(read_at) FROM b WHERE ok)) - INTERVAL 2 DAY AS passed)",
+    )
+    + """SELECT flight_number, origin_iata, destination_iata, CAST(flight_date_local AS VARCHAR) AS flight_date_local, status, 'WENT_STALE' AS event_type
+FROM s WHERE status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED')
+  AND EXISTS (SELECT 1 FROM b, w WHERE b.ok AND b.origin_iata = s.origin_iata AND b.read_at > date_trunc('millisecond', s.last_at) + INTERVAL 180 MINUTE AND b.read_at <= w.passed)"""
 )
 QUERIES["stream_latest_state"] = _latest
 ORACLE["stream_latest_state"] = collection.ORACLE["latest_state"]

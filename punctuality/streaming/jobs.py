@@ -8,22 +8,18 @@ that weren't later than the watermark (two days).
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from punctuality.operators import alerts, history, insights, metrics, statistics
-from punctuality.params import DEFAULT, SETTLED, Params
+from punctuality.params import DEFAULT, Params
 from punctuality.session import exists, shared_path
+from punctuality.streaming.state import SNAP, Predecessors, Silence, keyed_state
 
 LATE = "2 days"
-LATE_MS = 2 * 86_400_000
+#: Parts that an origin's flights are dealt to.
+BUCKETS = 64
 _KEYS = "flight_number string, origin_iata string, destination_iata string, flight_date_local string"
-_SNAP = ("observation_id", "status", "delay_minutes", "gate", "terminal", "scheduled")
 
 
 def timed(observations: DataFrame) -> DataFrame:
@@ -38,41 +34,6 @@ def once(observations: DataFrame, *keys: str) -> DataFrame:
 # --- events ---
 
 
-def _plain(x):
-    """A value of a pandas cell as JSON knows it."""
-    return None if x is None or pd.isna(x) else x if isinstance(x, str) else int(x)
-
-
-def _predecessors(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one flight whose predecessor is new or not what was told before. State:
-    the flight's snapshots by time and id, each with how often it was told, until the
-    watermark has passed the last of them; a row that is there is no new one."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held: list[list] = json.loads(state.get[0]) if state.exists else []  # [time, id, snapshot, seen, source, times told]
-    known = {r[1] for r in held}
-    new = set()
-    for part in parts:
-        for r in part.itertuples(index=False):
-            one = int(r.observation_id)
-            if one not in known:
-                known.add(one)
-                new.add(one)
-                held.append([int(r.micros), one, [_plain(getattr(r, c)) for c in _SNAP], r.seen, r.data_source, 0])
-    held.sort(key=lambda r: (r[0], r[1]))
-    out = []
-    for before, row in zip([None, *held], held, strict=False):
-        if row[1] in new or (before is not None and before[1] in new):
-            out.append((*key, *row[2], row[3], row[4], row[5], *(before[2] if before else (None,) * len(_SNAP))))
-            row[5] += 1
-    if held:
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held[-1][0] // 1000) + LATE_MS)
-    names = [*history.FLIGHT, *_SNAP, "seen", "data_source", "revision", *(f"p{i}" for i in range(len(_SNAP)))]
-    yield pd.DataFrame(out, columns=names, dtype=object)
-
-
 def events(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Lifecycle events as observations come in: the state only gives each row its
     predecessor, the difference is the batch job's own expression. A late row gets its
@@ -82,7 +43,7 @@ def events(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
     rows = timed(observations).select(
         *history.FLIGHT[:3],
         F.col("flight_date_local").cast("string").alias("flight_date_local"),
-        *_SNAP[:-1],
+        *SNAP[:-1],
         text("scheduled_departure_utc").alias("scheduled"),
         text("observed_at").alias("seen"),
         F.unix_micros("seen_at").alias("micros"),
@@ -90,12 +51,13 @@ def events(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "seen_at",
     )
     kinds = ("long", "string", "int", "string", "string", "string")
-    snap = ", ".join(f"{c} {k}" for c, k in zip(_SNAP, kinds, strict=True))
+    snap = ", ".join(f"{c} {k}" for c, k in zip(SNAP, kinds, strict=True))
     before = ", ".join(f"p{i} {k}" for i, k in enumerate(kinds))
-    joined = rows.groupBy(*history.FLIGHT).applyInPandasWithState(
-        _predecessors, f"{_KEYS}, {snap}, seen string, data_source string, revision int, {before}", "held string", "append", GroupStateTimeout.EventTimeTimeout
+    keyed_state(observations.sparkSession)
+    joined = rows.groupBy(*history.FLIGHT).transformWithStateInPandas(
+        Predecessors(), f"{_KEYS}, {snap}, seen string, data_source string, revision int, {before}", "append", "eventTime"
     )
-    fields = [F.col(f"p{i}").alias(c) for i, c in enumerate(_SNAP[:-1])]
+    fields = [F.col(f"p{i}").alias(c) for i, c in enumerate(SNAP[:-1])]
     prev = F.when(F.col("p0").isNotNull(), F.struct(*fields, F.col("p5").cast("timestamp_ntz").alias("scheduled_departure_utc")))
     back = joined.withColumns(
         {
@@ -163,41 +125,27 @@ def send_once(built: DataFrame, ledger: str):
     return built.writeStream.foreachBatch(each)
 
 
-def _silence(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: time, id and status of the flight's last row. An older row changes nothing."""
-    if state.hasTimedOut:
-        _, _, status = state.get
-        state.remove()
-        if status not in SETTLED:
-            yield pd.DataFrame([(*key, status, "WENT_STALE")], columns=[*history.FLIGHT, "status", "event_type"])
-        return
-    last, limit, now = tuple(state.get) if state.exists else None, 0, state.getCurrentWatermarkMs()
-    for part in parts:
-        for r in part.itertuples(index=False):
-            limit = int(r.limit) * 60_000
-            if int(r.micros) // 1000 >= now and (last is None or (int(r.micros), int(r.observation_id)) > tuple(last[:2])):
-                last = (int(r.micros), int(r.observation_id), r.status)
-    if last is not None:
-        state.update(last)
-        wait = LATE_MS if last[2] in SETTLED else limit  # a settled flight is remembered, so that no late row opens it again
-        state.setTimeoutTimestamp(max(last[0] // 1000 + wait, now + 1))
-
-
-def stale(observations: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A flight that hasn't settled and isn't heard of for stale_minutes of event time
-    goes stale; its status stays. (Which boards were read is a second input: where
-    some fail, the batch sweep operators.history.mark_stale decides.)"""
-    rows = timed(observations).select(
-        *history.FLIGHT[:3],
-        F.col("flight_date_local").cast("string").alias("flight_date_local"),
-        "observation_id",
-        "status",
-        F.unix_micros("seen_at").alias("micros"),
-        F.lit(p.stale_minutes).alias("limit"),
-        "seen_at",
+def stale(observations: DataFrame, boards: DataFrame, p: Params = DEFAULT, buckets: int = BUCKETS) -> DataFrame:
+    """Flights that haven't settled and that the boards of their origin, which were read, have told
+    nothing of for stale_minutes of event time; their status stays. boards (origin_iata, read_at,
+    ok): a stream of boards asked for, whether they were read or not; one that failed makes
+    nothing stale. Each flight lies in one of `buckets` of its origin, to all of which a board goes."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day, bucket = F.col("flight_date_local").cast("string"), F.pmod(F.xxhash64(*history.FLIGHT), F.lit(buckets)).cast("int")
+    rows = observations.select(
+        F.lit("seen").alias("kind"), "origin_iata", bucket.alias("bucket"), "flight_number", "destination_iata", day.alias("flight_date_local"),
+        "observation_id", "status", micros("observed_at").alias("micros"), F.col("observed_at").cast("timestamp").alias("seen_at"),
+    )
+    none, every = F.lit(None).cast("string"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    read = boards.where("ok").select(
+        F.lit("read").alias("kind"), "origin_iata", every.alias("bucket"), none.alias("flight_number"), none.alias("destination_iata"), none.alias("flight_date_local"),
+        F.lit(0).cast("long").alias("observation_id"), none.alias("status"), micros("read_at").alias("micros"), F.col("read_at").cast("timestamp").alias("seen_at"),
+    )
+    keyed_state(observations.sparkSession)
+    both = rows.unionByName(read).withWatermark("seen_at", LATE)
+    return both.groupBy("origin_iata", "bucket").transformWithStateInPandas(
+        Silence(p.stale_minutes * 60_000), f"{_KEYS}, status string, event_type string", "append", "eventTime"
     )
-    state = "micros long, observation_id long, status string"
-    return rows.groupBy(*history.FLIGHT).applyInPandasWithState(_silence, f"{_KEYS}, status string, event_type string", state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- the latest state ---

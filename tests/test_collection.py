@@ -1,6 +1,6 @@
 """Scalar functions, boards, merges, folds and events on small cases."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +273,7 @@ def flown(spark):
 ORDERS = [([0, 1], [2, 3], [4, 5]), ([3, 5], [0, 4], [2], [1]), ([1], [1, 0], [3, 4], [2, 3], [5])]
 
 
+
 @pytest.mark.parametrize("order", ORDERS)
 def test_streamed_events_are_those_of_the_batch(spark, tmp_path, order):
     rows = flown(spark)
@@ -281,6 +282,23 @@ def test_streamed_events_are_those_of_the_batch(spark, tmp_path, order):
     assert sorted(map(str, got.select(*history.derive_events(rows).columns).collect())) == want
 
 
+def test_streamed_events_of_a_long_history(spark, tmp_path):
+    """Sixty rows of two flights over three days, in batches of any order."""
+    import random
+
+    rng = random.Random(3)
+    told = [
+        dict(status=rng.choice(["SCHEDULED", "DELAYED", "BOARDING"]), delay_minutes=rng.randrange(60), gate=rng.choice("AB"), flight_number=rng.choice(["TK1", "TK1", "TK2"]),
+             observed_at=datetime(2026, 9, 6) + timedelta(minutes=rng.randrange(60 * 44)))
+        for _ in range(60)
+    ]
+    rows, ids = seen(spark, *told), list(range(60))
+    rng.shuffle(ids)
+    got = jobs.last_word(jobs.run_now(jobs.events(in_batches(spark, tmp_path, rows, ids[:25], ids[20:32], ids[32:59], ids[50:]))))
+    want = history.derive_events(rows)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("order", ORDERS)
 def test_streamed_state_is_that_of_the_batch(spark, tmp_path, order):
     rows, folder, stats = flown(spark), str(tmp_path / "state"), str(tmp_path / "stats")
@@ -298,14 +316,21 @@ def test_streamed_state_is_that_of_the_batch(spark, tmp_path, order):
     assert sorted(map(str, spark.read.parquet(f"{stats}/daily").select(*daily.columns).collect())) == sorted(map(str, daily.collect()))
 
 
-def test_late_rows_do_not_reset_silence(spark, tmp_path):
-    """Flights that fell silent, with their rows in and out of order."""
+@pytest.mark.parametrize("order", [([0, 2], [1, 3], [4], [5], [6]), ([6, 4, 2], [5, 3], [1], [0]), ([0, 1, 2, 3, 4, 5, 6],)])
+def test_flights_go_stale_where_their_board_was_read(spark, tmp_path, order):
+    """In and out of order: a settled flight, one that fell silent, one of a board that failed, one
+    that was told again in time."""
     hour = lambda d, h: datetime(2026, 9, d, h)
     rows = seen(
         spark, dict(status="DEPARTED", observed_at=hour(6, 5)), dict(status="SCHEDULED", observed_at=hour(6, 4)), dict(status="BOARDING", flight_number="W5113", observed_at=hour(6, 5)),
-        dict(status="SCHEDULED", flight_number="W5113", observed_at=hour(6, 4)), dict(status="SCHEDULED", flight_number="TK1", observed_at=hour(12, 4)), dict(status="SCHEDULED", flight_number="TK1", observed_at=hour(12, 5)),
+        dict(status="SCHEDULED", flight_number="W5113", observed_at=hour(6, 4)), dict(status="SCHEDULED", flight_number="TK1", origin_iata="MHD", observed_at=hour(6, 4)),
+        dict(status="SCHEDULED", flight_number="TK2", observed_at=hour(6, 9)), dict(status="DEPARTED", flight_number="TK3", observed_at=hour(6, 4)),
     )
-    got = jobs.run_now(jobs.stale(in_batches(spark, tmp_path, rows, [0, 2], [1, 3], [4], [5]))).collect()
+    read = [("IST", hour(6, 6), True), ("IST", hour(6, 9), True), ("IST", hour(6, 11), False), ("MHD", hour(6, 9), False), ("IST", hour(12, 5), False), ("THR", hour(12, 6), True)]
+    folder = str(tmp_path / "boards")
+    spark.createDataFrame(read, "origin_iata string, read_at timestamp_ntz, ok boolean").coalesce(1).write.parquet(folder)
+    boards = spark.readStream.schema("origin_iata string, read_at timestamp_ntz, ok boolean").parquet(folder)
+    got = jobs.run_now(jobs.stale(in_batches(spark, tmp_path, rows, *order), boards, buckets=3)).collect()
     assert [(r.flight_number, r.status) for r in got] == [("W5113", "BOARDING")]
 
 
