@@ -6,7 +6,7 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, w
 A-Z lowered. A window is WINDOW consecutive words of an item; an item with fewer
 words (but not none) is one window. The items are cut into segments of up to SEGMENT
 words that overlap by a window less a word, repeats dropped, and broadcast in parts of
-a bounded size; more items make more passes, never a larger broadcast. As long as there
+a bounded size, one at a time; more items make more passes, never a larger broadcast. As long as there
 is one part, documents are read where they stand; for more passes each is written once,
 with a row number, by which what the passes found is put together.
 
@@ -145,7 +145,11 @@ def hits(
     rows = rows if n == 1 else written(rows, "leak-docs")
     found = None
     for part in range(n):
-        one = rows.mapInArrow(_search(_held(parts, part, window)), _schema(rows.select("id").schema))
+        held = _held(parts, part, window)
+        one = rows.mapInArrow(_search(held), _schema(rows.select("id").schema))
+        if n > 1:  # one part after the other, so that one broadcast is there at a time
+            one = written(one, "leak-found")
+            held.destroy()
         found = one if found is None else found.unionByName(one)
     if n == 1:
         return found.select("id", "n_words", "spans", F.array_sort("items").alias("items"))
@@ -239,9 +243,11 @@ def decontaminate(
         return each
 
     for k in range(n):
-        docs = docs.mapInArrow(clean(_held(parts, k, window)), schema)
+        held = _held(parts, k, window)
+        docs = docs.mapInArrow(clean(held), schema)
         if k < n - 1:
             docs = written(docs, "clean-docs")
+            held.destroy()
     return docs
 
 

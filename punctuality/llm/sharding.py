@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.llm.shared import ordered, written
+from punctuality.llm.shared import join_skewed, ordered, written
 
 SHARDS = 16
 POINTS = 65536
@@ -136,7 +136,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     which = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
     of = run.select("group", which.cast("int").alias("shard"))
     # the place in the input last, so that equal rows don't all fall in one range
-    placed_rows = rows.withColumn("row", F.monotonically_increasing_id()).join(of, "group").select("id", "size", "crc", "shard", "row")
+    placed_rows = join_skewed(rows.withColumn("row", F.monotonically_increasing_id()), of, "group", "inner").select("id", "size", "crc", "shard", "row")
     dealt = ordered(placed_rows, ["shard", "id", "crc", "row"], "sharded")
     done: dict[int, int] = {}
     starts = []

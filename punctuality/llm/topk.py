@@ -12,8 +12,8 @@ leaf are scored together.
 Lanes are searched in waves, the first of as many as a shuffle has tasks, each next one
 of as many as all before. Between waves blocks get their new kth scores, so that after
 half of the vectors few more pass. Vectors are shuffled once; a block is shuffled once a
-lane, and a lane holds up to LANE_ROWS vectors: what moves is all vectors, and queries
-times (vectors / LANE_ROWS).
+lane, and a lane holds up to LANE_BYTES of vectors, whatever their length: what moves is all vectors, and
+queries times (bytes of vectors / LANE_BYTES).
 
 Defined results: vectors that are null, or hold a null or a non-finite component, and
 rows without an id take no part; rows that share an id are rows each, as queries and as
@@ -35,8 +35,8 @@ from punctuality.llm.shared import discard, tasks, written
 
 K = 20
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 128, 512
-#: Vectors of a lane, at most: what a task holds (64 MB at 64 components of a byte).
-LANE_ROWS = 1 << 20
+#: Bytes of the vectors of a lane: what a task holds; and of a shard or block as doubles, while it is packed.
+LANE_BYTES, PACK_BYTES = 64 << 20, 32 << 20
 #: Vectors with a component beyond this stand in shards of their own, so that others
 #: never need whole numbers beyond those of doubles.
 NARROW = 1 << 21
@@ -146,11 +146,12 @@ def _packed(batches, size: int, tree: bool, k: int):
             wide = np.abs(rows).max(1, initial=0) > NARROW
             for key in {*zip(lane[at].tolist(), wide.tolist(), strict=True)}:
                 mine = np.flatnonzero((lane[at] == key[0]) & (wide == key[1]))
-                for a in range(0, len(mine), size):
-                    part, name = mine[a : a + size], (key[0], dim, key[1])
+                most = min(size, max(1, PACK_BYTES // (8 * max(1, dim))))
+                for a in range(0, len(mine), most):
+                    part, name = mine[a : a + most], (key[0], dim, key[1])
                     parts = held.setdefault(name, [])
                     parts.append((own[at[part]], ids[at[part]], rows[part]))
-                    if sum(len(p[0]) for p in parts) >= size:
+                    if sum(len(p[0]) for p in parts) >= most:
                         yield out(name, held.pop(name))
     for name, parts in sorted(held.items()):
         yield out(name, parts)
@@ -219,13 +220,26 @@ _NAMES = [c.split()[0] for c in _SHAPE.split(", ")]
 _TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in _SHAPE.split(", ")]
 
 
+def lane_count(vectors: DataFrame, wide: int) -> int:
+    """As many lanes as a shuffle has tasks, and so many that none holds more than LANE_BYTES.
+    A component takes what the largest of the narrow ones takes (see NARROW), or 8 bytes."""
+    most = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0))
+    size, narrow = F.size("v").cast("long"), most <= NARROW
+    row = vectors.agg(
+        F.count("*"), F.max(F.when(narrow, most)), F.coalesce(F.sum(F.when(narrow, size)), F.lit(0)), F.coalesce(F.sum(F.when(~narrow, size)), F.lit(0))
+    ).first()
+    width = next(w for w, t in ((1, np.int8), (2, np.int16), (4, np.int32)) if (row[1] or 0) <= np.iinfo(t).max)
+    held = row[0] * 16 + row[2] * width + row[3] * 8
+    return max(1, -(-held // LANE_BYTES), min(-(-row[0] // SHARD_ROWS), wide))
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors (row, id, v; see
     integer_vectors) of highest inner product with each row of them that meets the
     condition query."""
     spark = vectors.sparkSession
-    n, wide = vectors.count(), tasks(spark)
-    lanes = max(1, min(-(-n // SHARD_ROWS), max(wide, -(-n // LANE_ROWS))))
+    wide = tasks(spark)
+    lanes = lane_count(vectors, wide)
     dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(lanes)).alias("lane"), "row", "id", "v")
     trees = written(dealt.repartition(lanes, "lane").mapInArrow(lambda b: _packed(b, SHARD_ROWS, True, k), _SHAPE), "kd-trees")
     blocks = written(dealt.where(query).withColumn("lane", F.lit(0).cast("long")).mapInArrow(lambda b: _packed(b, QUERY_ROWS, False, k), _SHAPE), "kd-queries")

@@ -95,7 +95,7 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], ratio: np.ndarray) ->
     steps, both classes counting alike."""
     ys = np.array([y for y, _, _ in samples])
     if not 0 < ys.sum() < len(ys):
-        return np.zeros(1 << BITS, np.float32), -35.0
+        return np.zeros(1 << BITS, np.float32), 35.0 if ys.any() else -35.0  # labels of one kind say that kind
     weight = {1: 0.5 * len(ys) / ys.sum(), 0: 0.5 * len(ys) / (len(ys) - ys.sum())}
     w, square = np.full(1 << BITS, START, np.float32), np.full(1 << BITS, 1e-3, np.float32)
     bias, bias_square = 0.0, 1e-3

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punctuality.llm.shared import discard, tasks, written
+from punctuality.llm.shared import discard, join_skewed, tasks, written
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -59,8 +59,9 @@ def repeats(rows: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, int
     each. Of pages only digests are moved."""
     digests = written(rows.select("file", "id", F.unhex(F.sha1(F.col("body").cast("binary"))).alias("digest"), F.octet_length("body").cast("long").alias("bytes")), "warc-digests")
     large = digests.where((F.col("bytes") >= least) & F.col("id").isNotNull())
-    first = large.groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = large.join(first, ["digest", "bytes"]).where(F.col("id") != F.col("first")).select("file", "id", "digest", "first").distinct()
+    keyed = large.select("file", "id", "digest", F.concat(F.hex("digest"), F.lit(":"), F.col("bytes").cast("string")).alias("key"))
+    first = keyed.groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = join_skewed(keyed, first, "key", "inner").where(F.col("id") != F.col("first")).select("file", "id", "digest", "first").distinct()
     again = written(again.repartitionByRange(tasks(rows.sparkSession), "file", "id").sortWithinPartitions("file", "id"), "warc-repeats")
     each = digests.select("file", F.lit(0).alias("n")).distinct().unionByName(again.select("file", F.lit(1).alias("n"))).groupBy("file").agg(F.sum("n").alias("n"))
     ranges: list[tuple[int, int, int]] = []
@@ -100,15 +101,17 @@ def records(rows: DataFrame, again: DataFrame, date: str = DATE) -> DataFrame:
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = MIN_REVISIT, date: str = DATE) -> None:
     """Archives of the pages, as files in the folder path. Range by range of input files,
-    their repeats are broadcast; each file is read in one range alone, and no payload is
-    shuffled, however many repeats there are."""
+    their repeats are broadcast; a file of more repeats than a broadcast holds is read once
+    for each, and of it the pages whose ids fall to that. No payload is shuffled, however
+    many repeats there are."""
     rows = _rows(pages, id_col, url_col, text_col)
     again, ranges = repeats(rows, least)
     for a, b, n in ranges or [(0, 0, 0)]:
-        some = again.where(F.col("file").between(a, b))
-        # only one single file with more repeats than a broadcast may hold is joined by a shuffle
-        found = records(rows.where(F.col("file").between(a, b)), F.broadcast(some) if n <= BROADCAST_ROWS else some, date)
-        found.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", "\n").text(path)
+        many = -(-2 * n // max(1, BROADCAST_ROWS)) if n > BROADCAST_ROWS else 1  # half as many on average: a hash doesn't deal evenly
+        for k in range(many):
+            mine = F.col("file").between(a, b) & (F.pmod(F.xxhash64("id"), F.lit(many)) == k)
+            found = records(rows.where(mine), F.broadcast(again.where(mine)), date)
+            found.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", "\n").text(path)
     discard(pages.sparkSession, again)
 
 

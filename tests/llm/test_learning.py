@@ -83,3 +83,12 @@ def test_log_count_ratios():
         assert abs(ratio[at] - (want if tells else 0)) < 1e-5
     scores = toxicity.score_texts(["vile rot", "kind day", ""], *toxicity.fit([(y, *toxicity.scaled(t, ratio)) for y, t in samples], ratio))
     assert scores[0] > 0.9 > 0.5 > scores[1]
+
+
+def test_labels_of_one_kind_say_that_kind(spark):
+    from punctuality.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(i, kind) for i in range(40)], "doc_id long, toxic int")
+        assert {r["predicted"] for r in toxicity.toxicity(docs, labels).collect()} == {kind}

@@ -64,9 +64,9 @@ def test_top_k(spark, monkeypatch):
     table = spark.createDataFrame([(i, v, i, 7, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, id long, v int, dim string, lane int, block int")
     vectors = written(topk.integer_vectors(table), "v")
     want = brute_top(brute_rows(rows[:-1]) + [(5120, [128, 0])], 7)
-    for shard, lane in ((8192, 1 << 20), (50, 60)):
+    for shard, lane in ((8192, 64 << 20), (50, 2500)):
         monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-        monkeypatch.setattr(topk, "LANE_ROWS", lane)
+        monkeypatch.setattr(topk, "LANE_BYTES", lane)
         monkeypatch.setattr(topk, "QUERY_ROWS", shard // 5)
         assert sorted(map(tuple, topk.top_k(vectors, F.col("id") % 20 == 0, 7).collect())) == want
     assert topk.top_k(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
@@ -81,6 +81,20 @@ def test_kd_leaves_bound():
     assert sorted(order.tolist()) == list(range(1000)) and (np.diff(np.append(starts, 1000)) <= 64).all()
 
 
+def test_top_k_of_long_vectors(spark, monkeypatch):
+    """What a task holds is bounded in bytes, however long the vectors are."""
+    rng = random.Random(5)
+    rows = [(i, [rng.randint(-600, 600) / 64 for _ in range(2048)]) for i in range(200)]
+    vectors = written(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "v")
+    monkeypatch.setattr(topk, "LANE_BYTES", 200_000)
+    monkeypatch.setattr(topk, "PACK_BYTES", 300_000)
+    assert topk.lane_count(vectors, 2) == 5 and topk.lane_count(vectors.limit(0), 2) == 1
+    packs = [p for b in topk._packed(iter(vectors.selectExpr("0L as lane", "row", "id", "v").toArrow().to_batches()), 8192, True, 20) for p in b.to_pylist()]
+    assert len(packs) > 10 and all(len(p["rows"]) <= 2 * 300_000 // 4 and p["kind"].endswith("i2") for p in packs)
+    want = brute_top([(i, [int(x * 64) for x in v]) for i, v in rows], 5)
+    assert sorted(map(tuple, topk.top_k(vectors, F.col("id") % 20 == 0, 5).collect())) == want
+
+
 # 2
 
 
