@@ -287,6 +287,11 @@ def append(new: DataFrame, path: str) -> None:
     fresh.write.mode("append").partitionBy("run_day").parquet(path)
 
 
+def fresh_snapshots(new: DataFrame, held: DataFrame) -> DataFrame:
+    """New snapshots as history keeps them (with run_day), against what it holds already."""
+    return append_observations(new.withColumn("run_day", F.left("run_id", F.lit(8))), held)
+
+
 TABLES = ("airlines", "flights", "observations", "events", "runs")
 
 

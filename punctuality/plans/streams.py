@@ -92,3 +92,21 @@ FROM s WHERE status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED')
 )
 QUERIES["stream_latest_state"] = _latest
 ORACLE["stream_latest_state"] = collection.ORACLE["latest_state"]
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations through the stream into history and state; the flights of the published state,
+    with how many snapshots the published history has of each."""
+    folder, rows = shared_path(spark, "ingest"), source(spark, sf_dir)
+    query = jobs.ingest(rows, folder).option("checkpointLocation", shared_path(spark, "ingest-log"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    kept = jobs.history_now(spark, folder, rows.schema).groupBy(*history.FLIGHT).agg(F.count("*").alias("snapshots"))
+    return jobs.latest_now(spark, folder).join(kept, list(history.FLIGHT))
+
+
+_SNAPSHOTS = (
+    adapters.OBSERVATIONS_SQL.replace("observations AS", "told AS", 1)
+    + f", observations AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY {', '.join(history.SNAPSHOT)} ORDER BY observed_at, observation_id) = 1)"
+)
+QUERIES["stream_ingest"] = _ingested
+ORACLE["stream_ingest"] = f"SELECT *, observation_count AS snapshots FROM ({collection.ORACLE['latest_state'].replace(adapters.OBSERVATIONS_SQL, _SNAPSHOTS)})"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from punctuality.operators import alerts, history, insights, metrics, statistics
 from punctuality.params import DEFAULT, Params
@@ -213,6 +214,76 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     return history.flights_of(state_before(spark, folder, 1 << 62))
 
 
+# --- history and state together ---
+
+
+def published(spark: SparkSession, folder: str) -> int:
+    """The last batch that the manifest in folder tells of; -1: none."""
+    if not exists(spark, f"{folder}/manifest"):
+        return -1
+    place, files = _path(spark, f"{folder}/manifest")
+    return max((int(f.getPath().getName()) for f in files.listStatus(place) if f.getPath().getName().isdigit()), default=-1)
+
+
+def publish(spark: SparkSession, folder: str, k: int) -> None:
+    """Tell of batch k: a file that is renamed, so that it is there at once or not at all. Of
+    the files before only the last two are kept."""
+    place, files = _path(spark, f"{folder}/manifest")
+    files.mkdirs(place)
+    draft, _ = _path(spark, f"{folder}/manifest/draft-{k}")
+    out = files.create(draft, True)
+    out.writeBytes(str(k))
+    out.close()
+    final, _ = _path(spark, f"{folder}/manifest/{k}")
+    files.delete(final, False)
+    files.rename(draft, final)
+    for f in files.listStatus(place):
+        name = f.getPath().getName()
+        if name.isdigit() and int(name) < k - 1:
+            files.delete(f.getPath(), False)
+
+
+def ingest_batch(batch: DataFrame, k: int, folder: str, killed: str | None = None) -> None:
+    """One micro-batch into history and state: the snapshots (one of a flight, run and source)
+    that published history doesn't hold go into history, into partitions of this batch alone;
+    the same go into the state; then the batch is published. A batch that is run again, wherever it was
+    killed, writes the same partitions and versions again. killed: where to stop, for tests."""
+    spark = batch.sparkSession
+    history_, before = f"{folder}/history", published(spark, folder)
+    days = [d for d in _listed(batch.withColumn("run_day", F.left("run_id", F.lit(8))), "run_day")]
+    schema = batch.withColumn("run_day", F.lit("")).withColumn("batch", F.lit(0).cast("long")).schema
+    held = spark.read.schema(schema).parquet(history_) if exists(spark, history_) else spark.createDataFrame([], schema)
+    held = held.where(F.col("run_day").isin(days) & (F.col("batch") <= before) & (F.col("batch") < k)).drop("batch")
+    fresh = history.fresh_snapshots(batch, held).select(*batch.columns, "run_day").persist()
+    out = fresh.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("run_day", "batch").parquet(history_)
+    if killed == "history":
+        raise RuntimeError("killed after history")
+    fold_batch(fresh.drop("run_day"), k, f"{folder}/state")
+    if killed == "state":
+        raise RuntimeError("killed after state")
+    publish(spark, folder, k)
+    fresh.unpersist()
+
+
+def ingest(observations: DataFrame, folder: str):
+    """Start a stream into history and state in folder, one version of both at a time: readers
+    (history_now, latest_now) see what the manifest tells of, so both or neither of a batch."""
+    return observations.writeStream.foreachBatch(lambda batch, k: ingest_batch(batch, k, folder))
+
+
+def history_now(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The published history; schema: of observations."""
+    full = T.StructType(list(schema.fields)).add("run_day", "string").add("batch", "long")
+    rows = spark.read.schema(full).parquet(f"{folder}/history") if exists(spark, f"{folder}/history") else spark.createDataFrame([], full)
+    return rows.where(F.col("batch") <= published(spark, folder)).drop("run_day", "batch")
+
+
+def latest_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The flights as the published batches left them."""
+    return history.flights_of(state_before(spark, f"{folder}/state", published(spark, folder) + 1))
+
+
 def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now, and read what it wrote."""
     spark: SparkSession = stream.sparkSession

@@ -316,6 +316,30 @@ def test_streamed_state_is_that_of_the_batch(spark, tmp_path, order):
     assert sorted(map(str, spark.read.parquet(f"{stats}/daily").select(*daily.columns).collect())) == sorted(map(str, daily.collect()))
 
 
+@pytest.mark.parametrize("killed", [None, "history", "state"])
+def test_history_and_state_are_published_together(spark, tmp_path, killed):
+    """Killed between its sinks and run again, a batch leaves what the batch jobs give; until
+    then readers see what was there before."""
+    rows, folder = flown(spark), str(tmp_path / "all")
+    rows = rows.withColumn("run_id", F.when(F.col("observation_id") < 3, "2026090604").otherwise("2026090605"))
+    first, second = rows.where(F.col("observation_id").isin(0, 3, 4)), rows.where(F.col("observation_id") != 0)
+    show = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert jobs.published(spark, folder) == -1 and jobs.history_now(spark, folder, rows.schema).count() == 0
+    jobs.ingest_batch(first, 0, folder)
+    before = show(jobs.history_now(spark, folder, rows.schema)), show(jobs.latest_now(spark, folder))
+    if killed:
+        with pytest.raises(RuntimeError):
+            jobs.ingest_batch(second, 1, folder, killed)
+        assert (show(jobs.history_now(spark, folder, rows.schema)), show(jobs.latest_now(spark, folder))) == before
+    for _ in range(2):
+        jobs.ingest_batch(second, 1, folder)
+    kept = history.append_observations(first, rows.limit(0)).unionByName(history.append_observations(second, first))
+    assert show(jobs.history_now(spark, folder, rows.schema)) == show(kept)
+    assert show(jobs.latest_now(spark, folder)) == show(history.latest_state(kept))
+    jobs.ingest_batch(rows, 2, folder)  # all told before
+    assert show(jobs.history_now(spark, folder, rows.schema)) == show(kept) and jobs.published(spark, folder) == 2
+
+
 @pytest.mark.parametrize("order", [([0, 2], [1, 3], [4], [5], [6]), ([6, 4, 2], [5, 3], [1], [0]), ([0, 1, 2, 3, 4, 5, 6],)])
 def test_flights_go_stale_where_their_board_was_read(spark, tmp_path, order):
     """In and out of order: a settled flight, one that fell silent, one of a board that failed, one
