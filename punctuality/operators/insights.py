@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from punctuality.operators import metrics, ranges, statistics
 from punctuality.params import DEFAULT, DEPARTED, PERIODS, Params
+from punctuality.session import written
 
 HOURLY = ("OVERALL", "ROUTE", "AIRLINE")
 
@@ -123,11 +124,12 @@ def ranked(block: DataFrame) -> DataFrame:
     return ranges.numbered(block, *order).withColumn("position", F.col("position").cast("int"))
 
 
-def rank_airlines(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The airlines' leaderboard, each under the name of its latest flight."""
+def rank_airlines(facts: DataFrame, p: Params = DEFAULT, merged: DataFrame | None = None) -> DataFrame:
+    """The airlines' leaderboard, each under the name of its latest flight. merged: the facts
+    as they count, if they are merged already."""
     name = F.coalesce(F.nullif(F.col("airline_name"), F.lit("")), F.col("airline_key"))
     labels = facts.where("airline_key is not null").groupBy(F.col("airline_key").alias("key")).agg(F.max_by(name, F.struct("scheduled_departure_utc", "flight_id")).alias("label"))
-    return ranked(metrics.by_scope(facts, "AIRLINE", p).join(labels, "key"))
+    return ranked(metrics.by_scope(facts if merged is None else merged, "AIRLINE", p).join(labels, "key"))
 
 
 def best_and_worst(board: DataFrame) -> DataFrame:
@@ -200,20 +202,46 @@ def issues(board: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-def history_routes(facts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    verdict = time_of_day(facts, p).drop("ranked_periods")
-    return metrics.block(facts, "route", p=p).join(verdict, "route", "left")
+COUNTS = tuple(c for c in metrics.BLOCK if c.endswith("_flights") or c.startswith("delayed_gt_"))
+FIGURES = tuple(c for c in metrics.BLOCK if c not in (*COUNTS, "is_ranked"))
+VERDICT = ("best_period", "worst_delay_period", "worst_cancellation_period", "note")
+COMPARED = {
+    "total_before": "long",
+    "total_delta": "long",
+    "cancellation_rate_delta": "double",
+    "delay_rate_delta": "double",
+    "on_time_rate_delta": "double",
+    "avg_delay_minutes_delta": "double",
+    "sufficient_data": "boolean",
+}
+
+
+def history_routes(facts: DataFrame, routes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Of each monitored route the block and the verdict on times of day; a route without
+    flights has counts of 0 and says so."""
+    named = routes.select(F.concat_ws("-", "origin_iata", "destination_iata").alias("route")).distinct()
+    blocks = metrics.block(facts, "route", p=p).select("route", *COUNTS, *FIGURES)
+    verdict = time_of_day(facts, p, routes).select("route", *VERDICT)
+    return named.join(blocks, "route", "left").join(verdict, "route", "left").fillna(0, list(COUNTS))
+
+
+def history(flights_facts: DataFrame, days: int, end: date, routes: DataFrame, airports: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The report over a rolling window: all flights, the monitored routes (those without
+    flights too) with their verdict and their trend against the window before, and the airlines in
+    the order of their leaderboard. A row a part, with all figures of its block. Facts are read
+    once and merged at the finest grain; the parts read what that leaves."""
+    since = lambda rows, n: rows.where(F.col("flight_date_local").between(F.lit(end - timedelta(days=n - 1)), F.lit(end)))
+    merged = written(metrics.merged(since(flights_facts, 2 * days), *metrics.GRAIN), "report-facts")
+    facts = since(merged, days)
+    own = {"label": "string"} | dict.fromkeys(VERDICT, "string") | COMPARED | {"position": "int"}
+
+    def section(rows: DataFrame, name: str, *has: str) -> DataFrame:
+        more = [F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in own.items()]
+        return rows.select(F.lit(name).alias("section"), "key", *COUNTS, *FIGURES, *more)
 
-
-def history(flights_facts: DataFrame, days: int, end: date, routes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The report over a rolling window: all flights, the monitored routes with their trend
-    against the window before, and the airlines in the order of their leaderboard."""
-    facts = flights_facts.where(F.col("flight_date_local").between(F.lit(end - timedelta(days=days - 1)), F.lit(end)))
-    shown = ("total_flights", "cancelled_flights", "avg_delay_minutes", "cancellation_rate", "delay_rate", "reliability_score")
-    none = {"position": "int", "total_delta": "long", "delay_rate_delta": "double", "sufficient_data": "boolean"}
-    section = lambda rows, name, *has: rows.select(F.lit(name).alias("section"), "key", *shown, *[F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in none.items()])
     overall = section(metrics.by_scope(facts, "OVERALL", p), "overall")
-    compared = trend(flights_facts, days, end, p=p).select(F.col("route").alias("key"), "total_delta", "delay_rate_delta", "sufficient_data")
-    named = routes.select(F.concat_ws("-", "origin_iata", "destination_iata").alias("key"))
-    per_route = named.join(metrics.by_scope(facts, "ROUTE", p), "key", "left").join(compared, "key", "left").fillna(0, ["total_flights", "cancelled_flights"])
-    return overall.unionByName(section(per_route, "route", "total_delta", "delay_rate_delta", "sufficient_data")).unionByName(section(rank_airlines(facts, p), "airline", "position"))
+    compared = trend(merged, days, end, p=p).select("route", *COMPARED)
+    label = labelled(routes, airports).select("route", "label").distinct()
+    per_route = history_routes(facts, routes, p).join(compared, "route", "left").join(label, "route", "left").withColumnRenamed("route", "key")
+    sections = (section(per_route, "route", "label", *VERDICT, *COMPARED), section(rank_airlines(since(flights_facts, days), p, facts), "airline", "position"))
+    return overall.unionByName(sections[0]).unionByName(sections[1])

@@ -238,27 +238,41 @@ register(
     + f"SELECT 'cancelled' AS issue, {_ISSUE} FROM today WHERE is_cancelled UNION ALL SELECT 'delayed' AS issue, {_ISSUE} FROM today WHERE NOT is_cancelled AND delay_minutes >= 15 AND status NOT IN ('DEPARTED', 'ARRIVED', 'DIVERTED')",
     lambda f: insights.issues(population.day_board(f, TODAY)),
 )
-register(
-    "report_history_routes",
-    sql.facts(sql.block("h", "facts", "route", "1"), *_VERDICT_PARTS, f"verdict AS ({_VERDICT}v)") + "SELECT h.*, best_period, worst_delay_period, worst_cancellation_period, note FROM h LEFT JOIN verdict USING (route)",
-    lambda f: insights.history_routes(metrics.facts(f)),
+_NAMED = "(SELECT DISTINCT origin_iata || '-' || destination_iata AS route FROM routes)"
+_COUNTS = ", ".join(f"coalesce({c}, 0) AS {c}" for c in insights.COUNTS)
+_FIGURES = ", ".join(insights.FIGURES)
+_VERDICTS = ", ".join(insights.VERDICT)
+QUERIES["report_history_routes"] = lambda spark, d: insights.history_routes(metrics.facts(adapters.flights(spark, d)), adapters.routes(spark))
+ORACLE["report_history_routes"] = (
+    sql.facts(adapters.ROUTES_SQL, sql.block("h", "facts", "route", "1"), *_VERDICT_PARTS, f"verdict AS ({_VERDICT}{_NAMED} FULL JOIN v USING (route))")
+    + f"SELECT route, {_COUNTS}, {_FIGURES}, {_VERDICTS} FROM {_NAMED} LEFT JOIN h USING (route) LEFT JOIN verdict USING (route)"
 )
 _WINDOW = f"(SELECT * FROM facts WHERE flight_date_local BETWEEN {_d(TODAY - timedelta(days=_DAYS - 1))} AND {_d(TODAY)})"
-_SHOWN = "total_flights, cancelled_flights, avg_delay_minutes, cancellation_rate, delay_rate, reliability_score"
-QUERIES["report_history"] = lambda spark, d: insights.history(metrics.facts(adapters.flights(spark, d)), _DAYS, TODAY, adapters.routes(spark))
+_COMPARED = ", ".join(insights.COMPARED)
+_TYPES = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+_NONE = lambda of: ", ".join(f"CAST(NULL AS {_TYPES[t]}) AS {c}" for c, t in of.items())
+_WORDS = dict.fromkeys(("label", *insights.VERDICT), "string")
+QUERIES["report_history"] = lambda spark, d: insights.history(metrics.facts(adapters.flights(spark, d)), _DAYS, TODAY, adapters.routes(spark), adapters.airports(spark))
 ORACLE["report_history"] = (
     sql.facts(
         adapters.ROUTES_SQL,
-        sql.block("every", _WINDOW, "", "1"),
-        sql.block("route_", _WINDOW, "route", "1"),
-        sql.block("air", f"(SELECT *, airline_key AS key FROM {_WINDOW} WHERE airline_key IS NOT NULL)", "key", "20"),
-        f"trend AS ({{}})",
+        adapters.AIRPORTS_SQL,
+        f"win AS {_WINDOW}",
+        sql.block("every", "win", "", "1"),
+        sql.block("route_", "win", "route", "1"),
+        sql.block("air", "(SELECT *, airline_key AS key FROM win WHERE airline_key IS NOT NULL)", "key", "20"),
+        *[part.replace(" FROM facts ", " FROM win ") for part in _VERDICT_PARTS],
+        f"verdict AS ({_VERDICT}{_NAMED} FULL JOIN v USING (route))",
+        "trend AS (TREND)",
     )
-    + f"""SELECT 'overall' AS section, 'ALL' AS key, {_SHOWN}, CAST(NULL AS INTEGER) AS position, CAST(NULL AS BIGINT) AS total_delta, CAST(NULL AS DOUBLE) AS delay_rate_delta, CAST(NULL AS BOOLEAN) AS sufficient_data FROM every
-UNION ALL SELECT 'route', r.origin_iata || '-' || r.destination_iata, coalesce(total_flights, 0), coalesce(cancelled_flights, 0), avg_delay_minutes, cancellation_rate, delay_rate, reliability_score, NULL, total_delta, delay_rate_delta, sufficient_data
-  FROM routes r LEFT JOIN route_ ON route_.route = r.origin_iata || '-' || r.destination_iata LEFT JOIN trend ON trend.route = r.origin_iata || '-' || r.destination_iata
-UNION ALL SELECT 'airline', key, {_SHOWN}, {_POSITION}, NULL, NULL, NULL FROM air"""
-).replace("trend AS ({})", "trend AS (SELECT * FROM (" + ORACLE["trend_by_route"] + "))")
+    + f"""SELECT 'overall' AS section, 'ALL' AS key, {_COUNTS}, {_FIGURES}, {_NONE(_WORDS | insights.COMPARED | {"position": "int"})} FROM every
+UNION ALL SELECT 'route', r.route, {_COUNTS}, {_FIGURES}, label, {_VERDICTS}, {_COMPARED}, NULL
+  FROM (SELECT DISTINCT origin_iata || '-' || destination_iata AS route,
+      upper(coalesce(o.city, o.name, origin_iata)) || ' -> ' || upper(coalesce(d.city, d.name, destination_iata)) AS label
+    FROM routes LEFT JOIN airports o ON o.iata = origin_iata LEFT JOIN airports d ON d.iata = destination_iata) r
+  LEFT JOIN route_ ON route_.route = r.route LEFT JOIN verdict ON verdict.route = r.route LEFT JOIN trend ON trend.route = r.route
+UNION ALL SELECT 'airline', key, {_COUNTS}, {_FIGURES}, {_NONE(_WORDS | insights.COMPARED)}, {_POSITION} FROM air"""
+).replace("TREND", "SELECT * FROM (" + ORACLE["trend_by_route"] + ")")
 register(
     "route_comparison",
     sql.facts(sql.block("b", "facts", "route", "1")) + "SELECT route, total_flights, cancellation_rate, delay_rate, avg_delay_minutes, reliability_score FROM b",
