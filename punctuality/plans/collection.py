@@ -4,13 +4,15 @@ staleness, health; and over scalar functions. Each beside the SQL it is checked
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.functions import scalars
-from punctuality.operators import alerts, history
+from punctuality.operators import alerts, history, providers
+from punctuality.params import DEFAULT
 from punctuality.plans import sql
 from punctuality.sources import adapters
 
@@ -265,10 +267,35 @@ observed(
     "collection_status", f"SELECT max(run_id) AS last_run, max(observed_at) AS last_at, date_diff('minute', max(observed_at), TIMESTAMP '{NOW}') > 120 AS is_stale FROM observations",
     lambda o: o.agg(F.max("run_id").alias("last_run"), F.max("observed_at").alias("last_at")).withColumn("is_stale", scalars.minutes_between(F.lit(str(NOW)).cast("timestamp_ntz"), F.col("last_at")) > 120),
 )
-observed(
+#: Failures in a row and rest that make a difference between hourly runs.
+_RESTS = replace(DEFAULT, provider_failures=2, provider_recovery_s=7200)
+# Of each run, origin and source the call that told of it, and by the rules of failover what the calls of the
+# same source before say: the pause that the last rate-limited call since the last success asked for, and failures since.
+_CALLED = f"""call AS (SELECT run_id, origin_iata, data_source, min(observation_id) AS call_id, min(observed_at) AS called_at, arg_min(status, (observed_at, observation_id)) <> 'CANCELLED' AS ok
+    FROM observations GROUP BY ALL),
+log AS (SELECT *, NOT ok AND call_id % 2 = 0 AS limited, CASE WHEN call_id % 4 = 0 THEN 10800 ELSE {_RESTS.provider_recovery_s} END AS pause FROM call),
+before AS (SELECT a.call_id AS attempt, a.called_at AS asked_at, c.* FROM log a LEFT JOIN log c ON c.data_source = a.data_source AND c.called_at < a.called_at),
+worked AS (SELECT attempt, max((called_at, call_id)) FILTER (ok) AS last_ok FROM before GROUP BY attempt),
+since AS (SELECT * FROM before JOIN worked USING (attempt) WHERE call_id IS NOT NULL AND NOT ok AND (last_ok IS NULL OR (called_at, call_id) > last_ok)),
+rest AS (SELECT attempt FROM since GROUP BY attempt, asked_at
+    HAVING arg_max(called_at + to_seconds(pause), (called_at, call_id)) FILTER (limited) > asked_at
+      OR (count(*) >= {_RESTS.provider_failures} AND asked_at <= max(called_at) + to_seconds({_RESTS.provider_recovery_s}))),
+answer AS (SELECT *, call_id IN (SELECT attempt FROM rest) AS paused FROM log)"""
+over(
+    "provider_rests",
+    adapters.observations,
+    sql.with_(adapters.OBSERVATIONS_SQL, _CALLED) + "SELECT call_id, data_source, called_at, ok, paused FROM answer",
+    lambda o: _answers(o).select(F.col("attempt").alias("call_id"), F.col("provider").alias("data_source"), F.col("at").alias("called_at"), "ok", "paused"),
+)
+over(
     "failover_select",
-    f"""SELECT observation_id FROM (SELECT *, {_RANK} AS place, min(CASE WHEN good AND NOT stopped THEN {_RANK} END) OVER (PARTITION BY run_id, origin_iata) AS first_
-FROM (SELECT *, bool_or(status <> 'CANCELLED') OVER w AS good, bool_and(observation_id % 13 = 0) OVER w AS stopped FROM observations WINDOW w AS (PARTITION BY run_id, origin_iata, data_source))) WHERE place = first_""",
+    adapters.observations,
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        _CALLED,
+        f"took AS (SELECT run_id, origin_iata, arg_min(data_source, {_RANK}) AS data_source FROM answer WHERE ok AND NOT paused GROUP BY ALL)",
+    )
+    + "SELECT observation_id FROM observations SEMI JOIN took USING (run_id, origin_iata, data_source)",
     lambda o: _failover(o).select("observation_id"),
 )
 observed(
@@ -291,11 +318,23 @@ FROM (SELECT provider, count(*) AS total_calls, count(*) FILTER (NOT ok) AS tota
 )
 
 
+def _answers(o: DataFrame) -> DataFrame:
+    """The call that each run, origin and source stands for, and whether the source rested then. A
+    board whose first row is a cancellation stands for a call that failed, one with an even
+    number for one that was rate-limited."""
+    first = F.min_by("status", F.struct("observed_at", "observation_id"))
+    calls = o.groupBy("run_id", "origin_iata", F.col("data_source").alias("provider")).agg(
+        F.min("observation_id").alias("call_id"), F.min("observed_at").alias("called_at"), (first != "CANCELLED").alias("ok")
+    )
+    limited = ~F.col("ok") & (F.col("call_id") % 2 == 0)
+    log = calls.withColumns({"rate_limited": limited, "retry_after_s": F.when(F.col("call_id") % 4 == 0, 10800)})
+    return providers.answers(calls.select(F.col("call_id").alias("attempt"), "provider", F.col("called_at").alias("at"), "run_id", "origin_iata", "ok"), log, _RESTS)
+
+
 def _failover(o: DataFrame) -> DataFrame:
-    """Rows of the source that each run and origin took. A source that told nothing but
-    cancellations stands for one that failed; one with odd ids alone for one that is paused."""
-    answers = o.groupBy("run_id", "origin_iata", "data_source").agg(F.bool_or(F.col("status") != "CANCELLED").alias("ok"), F.bool_and(F.col("observation_id") % 13 == 0).alias("paused"))
-    return o.join(history.failover(answers), ["run_id", "origin_iata", "data_source"], "left_semi")
+    """Rows of the source that each run and origin took."""
+    took = history.failover(_answers(o).withColumnRenamed("provider", "data_source"))
+    return o.join(took, ["run_id", "origin_iata", "data_source"], "left_semi")
 
 
 def _flight_history(state: DataFrame, number: str) -> DataFrame:
