@@ -8,14 +8,17 @@ ranges of flight and time (see ranges).
 from __future__ import annotations
 
 import functools
+import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from punctuality.functions import scalars
 from punctuality.operators import ranges
 from punctuality.params import DEFAULT, SETTLED, Params
+from punctuality.session import exists
 from punctuality.sources.adapters import SOURCES
 
 FLIGHT = ("flight_number", "origin_iata", "destination_iata", "flight_date_local")
@@ -302,9 +305,29 @@ def tables(rows: DataFrame, p: Params = DEFAULT) -> dict[str, DataFrame]:
 
 
 def export(rows: DataFrame, path: str, p: Params = DEFAULT) -> None:
-    """Write the history tables as Parquet, a folder each."""
+    """Write the history tables as Parquet, a folder each, and last a manifest of what was written: of each
+    table its rows and its schema."""
+    spark = rows.sparkSession
     for name, table in tables(rows, p).items():
         table.write.parquet(f"{path}/{name}")
+    held = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    schemas = spark.createDataFrame([(name, held[name].schema.json()) for name in TABLES], "table_name string, schema string")  # a row a table
+    count_rows(held).join(F.broadcast(schemas), "table_name").coalesce(1).write.json(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that `export` wrote, read by their own schemas. An export that wasn't finished, or
+    a table that has other rows than it says, is an error."""
+    if not exists(spark, f"{path}/manifest/_SUCCESS"):
+        raise ValueError(f"{path}: no finished export")
+    told = {r["table_name"]: r for r in spark.read.schema("table_name string, n long, schema string").json(f"{path}/manifest").collect()}
+    if sorted(told) != sorted(TABLES):
+        raise ValueError(f"{path}: tables {sorted(told)}, not {sorted(TABLES)}")
+    held = {name: spark.read.schema(T.StructType.fromJson(json.loads(told[name]["schema"]))).parquet(f"{path}/{name}") for name in TABLES}
+    for r in count_rows(held).collect():
+        if r["n"] != told[r["table_name"]]["n"]:
+            raise ValueError(f"{path}: {r['table_name']} has {r['n']} rows, not {told[r['table_name']]['n']}")
+    return held
 
 
 def count_rows(held: dict[str, DataFrame]) -> DataFrame:

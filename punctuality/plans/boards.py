@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctuality.functions import scalars
 from punctuality.operators import history
 from punctuality.plans import sql
-from punctuality.plans.collection import _EVENTS, _PREV, FLIGHT
+from punctuality.plans.collection import _AIRLINES, _EVENTS, _PREV, FLIGHT
+from punctuality.session import shared_path, written
 from punctuality.sources import adapters, boards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +91,25 @@ def _payload_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["payload_quality"] = _payload_quality
 ORACLE["payload_quality"] = sql.with_(adapters.FLIGHTS_SQL) + "SELECT status, CASE WHEN flight_id % 7 = 0 THEN 'IsCodeshared' ELSE 'IsOperator' END AS kind, count(*) AS n FROM flights JOIN (SELECT flight_id FROM flights) USING (flight_id) GROUP BY ALL"
 
+def _kept_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History keeps each record's item as it came: a path into what was written, beside what became
+    of the flights."""
+    flights = _flights(spark, sf_dir)
+    snapshots = boards.parse_a(payloads_a(flights), codeshares=True, keep_raw=True).select("flight_number", "observed_at", "status", "raw_payload")
+    held = written(snapshots, "snapshots")
+    path = lambda p, t="string": F.try_variant_get("raw_payload", p, t)
+    read = held.select("flight_number", path("$.codeshareStatus").alias("kind"), path("$.departure.terminal").alias("terminal"), path("$.gate").alias("none"))
+    known = flights.select(scalars.flight_number(F.col("number")).alias("flight_number"), F.col("status").alias("became"))
+    return read.join(known, "flight_number").groupBy("became", "kind", "terminal", "none").agg(F.count("*").alias("n"))
+
+
+QUERIES["kept_payloads"] = _kept_payloads
+ORACLE["kept_payloads"] = (
+    sql.with_(adapters.FLIGHTS_SQL)
+    + """SELECT status AS became, CASE WHEN flight_id % 7 = 0 THEN 'IsCodeshared' ELSE 'IsOperator' END AS kind, ' 1 ' AS terminal, CAST(NULL AS VARCHAR) AS none, count(*) AS n
+FROM flights WHERE flight_id % 11 > 0 GROUP BY ALL"""
+)
+
 # --- details, coverage, hubs ---
 
 
@@ -150,3 +171,34 @@ ORACLE["hub_routes"] = (
     )
     + "SELECT origin_iata, destination_iata, hub, CASE WHEN origin_iata = hub THEN 'outbound' ELSE 'return' END AS kind FROM r, h"
 )
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five history tables written, read back and imported into an empty history: rows of each
+    before, in the files and after the import (which leaves mock flights and their children out)."""
+    o = adapters.observations(spark, sf_dir)
+    path, tables = shared_path(spark, "export"), history.tables(o)
+    history.export(o, path)
+    read = history.load(spark, path)
+    taken = history.importable(read, tables["flights"].limit(0))
+    counts = [history.count_rows(of).withColumnRenamed("n", name) for of, name in ((tables, "n"), (read, "n_read"), (taken, "n_taken"))]
+    return counts[0].join(counts[1], "table_name").join(counts[2], "table_name")
+
+
+QUERIES["export_import"] = _exported
+_REAL = f"real AS (SELECT {FLIGHT} FROM observations GROUP BY {FLIGHT} HAVING NOT bool_and(is_mock))"
+ORACLE["export_import"] = (
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        _AIRLINES,
+        f"w AS (SELECT *, {_PREV} FROM observations)",
+        _REAL,
+        f"ev AS ({_EVENTS})",
+        f"c AS (SELECT 'airlines' AS table_name, (SELECT count(*) FROM air) AS n, (SELECT count(*) FROM air) AS n_taken"
+        f" UNION ALL SELECT 'flights', (SELECT count(*) FROM (SELECT DISTINCT {FLIGHT} FROM observations)), (SELECT count(*) FROM real)"
+        f" UNION ALL SELECT 'observations', (SELECT count(*) FROM observations), (SELECT count(*) FROM observations SEMI JOIN real USING ({FLIGHT}))"
+        f" UNION ALL SELECT 'events', (SELECT count(*) FROM ev), (SELECT count(*) FROM ev SEMI JOIN real USING ({FLIGHT}))"
+        " UNION ALL SELECT 'runs', (SELECT count(DISTINCT run_id) FROM observations), (SELECT count(DISTINCT run_id) FROM observations))",
+    )
+    + "SELECT table_name, n, n AS n_read, n_taken FROM c"
+)

@@ -1,6 +1,7 @@
 """Departure boards: JSON payloads of three providers as one flight-leg record each.
 
-A payload is a row (raw, origin_iata, observed_at). Parsing is from_json with a fixed
+A payload is a row (raw, origin_iata, observed_at). With keep_raw each record has its item as it
+came beside it, as a VARIANT that paths read (try_variant_get). Parsing is from_json with a fixed
 schema, explode and projection: one narrow stage, no shuffle. A payload that isn't JSON,
 or lacks the list, gives no rows.
 """
@@ -31,7 +32,8 @@ def _leg(rows: DataFrame, source: str, cancelled: Column, diverted: Column, p: P
     row = F.struct(cancelled.alias("_cancelled"), diverted.alias("_diverted"), *[v.alias(k) for k, v in fields.items()])
     whole = lambda r: r["flight_number"].isNotNull() & r["scheduled_departure_utc"].isNotNull() & r["destination_iata"].isNotNull()
     # filtered as an array, as a filter beside would be pushed down and parse all texts twice
-    found = rows.select("origin_iata", "observed_at", F.inline(F.filter(F.array(row), whole)))
+    kept = [name for name in ("raw_payload",) if name in rows.columns]
+    found = rows.select("origin_iata", "observed_at", *kept, F.inline(F.filter(F.array(row), whole)))
     c = F.col
     late = scalars.delay(c("scheduled_departure_utc"), c("estimated_departure_utc"), c("actual_departure_utc"), c("_told"))
     arrival = scalars.delay(c("scheduled_arrival_utc"), c("estimated_arrival_utc"), c("actual_arrival_utc"), c("_told_arrival"))
@@ -44,8 +46,15 @@ def _leg(rows: DataFrame, source: str, cancelled: Column, diverted: Column, p: P
     return out.drop("_cancelled", "_diverted", "_told", "_told_arrival", "_late", "_late_arrival", "_mapped")
 
 
-def _items(payloads: DataFrame, schema: str, field: str) -> DataFrame:
-    return payloads.select("origin_iata", "observed_at", F.explode(F.from_json("raw", schema)[field]).alias("i"))
+def _items(payloads: DataFrame, schema: str, field: str, keep_raw: bool = False) -> DataFrame:
+    """(origin_iata, observed_at, i) of each item of the payloads; keep_raw: and the item as it came,
+    with what the schema doesn't name, as raw_payload (VARIANT)."""
+    items = F.from_json("raw", schema)[field]
+    if not keep_raw:
+        return payloads.select("origin_iata", "observed_at", F.explode(items).alias("i"))
+    raws = F.from_json("raw", f"{field} array<variant>")[field]
+    both = F.explode(F.arrays_zip(items.alias("i"), raws.alias("r")))
+    return payloads.select("origin_iata", "observed_at", both.alias("z")).select("origin_iata", "observed_at", "z.i", F.col("z.r").alias("raw_payload"))
 
 
 def _destination(rows: DataFrame, code: Column, wanted: tuple[str, ...] | None) -> DataFrame:
@@ -62,11 +71,17 @@ def _timed(rows: DataFrame, pairs: list[tuple[Column, Column]]) -> tuple[DataFra
     return parsed, {name: F.coalesce(F.col("_times")[2 * i], F.col("_times")[2 * i + 1]) for i, name in enumerate(TIMES)}
 
 
-def parse_a(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT, codeshares: bool = False) -> DataFrame:
+def parse_a(
+    payloads: DataFrame,
+    wanted: tuple[str, ...] | None = None,
+    p: Params = DEFAULT,
+    codeshares: bool = False,
+    keep_raw: bool = False,
+) -> DataFrame:
     """Boards with time blocks; cancelled or diverted is what the status text says.
     codeshares: whether flights sold under another's number stay."""
     c, clean = F.col, scalars.clean
-    rows = _destination(_items(payloads, BOARD_A, "departures"), c("i.arrival.airport.iata"), wanted)
+    rows = _destination(_items(payloads, BOARD_A, "departures", keep_raw), c("i.arrival.airport.iata"), wanted)
     shared = F.lower(F.trim(F.coalesce(c("i.codeshareStatus"), F.lit("")))) == "iscodeshared"
     rows = rows.where(~F.coalesce(c("i.isCargo"), F.lit(False)) & (F.lit(codeshares) | ~shared))
     blocks = [f"{side}.{kind}Time" for side in ("departure", "arrival") for kind in ("scheduled", "revised", "runway")]
@@ -100,12 +115,13 @@ def parse_b(
     p: Params = DEFAULT,
     codeshares: bool = False,
     window: tuple[Column, Column] | None = None,
+    keep_raw: bool = False,
 ) -> DataFrame:
     """Rows with a nested flight; the provider's own delay is a fallback. A flight is sold
     under another's number if the object that says so isn't empty; such go, unless
     codeshares. window: only departures from the first (with it) to the second time."""
     c, clean = F.col, scalars.clean
-    rows = _destination(_items(payloads, BOARD_B, "data"), c("i.arrival.iata"), wanted)
+    rows = _destination(_items(payloads, BOARD_B, "data", keep_raw), c("i.arrival.iata"), wanted)
     shared = F.coalesce(F.size("i.flight.codeshared") > 0, F.lit(False))
     rows = rows.where(F.lit(codeshares) | ~shared)
     none = F.lit(None).cast("string")
@@ -140,12 +156,18 @@ def parse_b(
     return found.where((c("scheduled_departure_utc") >= window[0]) & (c("scheduled_departure_utc") < window[1]))
 
 
-def parse_c(payloads: DataFrame, wanted: tuple[str, ...] | None = None, p: Params = DEFAULT, codeshares: bool = False) -> DataFrame:
+def parse_c(
+    payloads: DataFrame,
+    wanted: tuple[str, ...] | None = None,
+    p: Params = DEFAULT,
+    codeshares: bool = False,
+    keep_raw: bool = False,
+) -> DataFrame:
     """Rows with out/off and in/on times and flags; delays are told in seconds. A row that
     only tells a position is another's duplicate and goes, unless codeshares."""
     c, clean = F.col, scalars.clean
     code = F.coalesce(clean(c("i.destination.code_iata")), clean(c("i.destination.code")))
-    rows = _destination(_items(payloads, BOARD_C, "scheduled_departures"), code, wanted)
+    rows = _destination(_items(payloads, BOARD_C, "scheduled_departures", keep_raw), code, wanted)
     shared = F.coalesce(c("i.position_only"), F.lit(False))
     rows = rows.where(F.lit(codeshares) | ~shared)
     sides = [(f"{kind}_{a}", f"{kind}_{b}") for a, b in (("out", "off"), ("in", "on")) for kind in ("scheduled", "estimated", "actual")]

@@ -98,6 +98,29 @@ def test_import_only_into_an_empty_history(spark):
     assert all(t.count() == 0 for t in history.importable(new, new["flights"]).values())
 
 
+def test_export_is_read_back_and_checked(spark, tmp_path):
+    rows, path = seen(spark, *[dict(status="SCHEDULED", flight_number=n, is_mock=n == "MOCK1") for n in ("TK1", "TK2", "MOCK1", "TK1")]), str(tmp_path / "export")
+    history.export(rows, path)
+    held = history.load(spark, path)
+    for name, table in history.tables(rows).items():
+        assert sorted(map(str, held[name].collect())) == sorted(map(str, table.collect())) and held[name].columns == table.columns
+    taken = history.importable(held, held["flights"].limit(0))
+    assert {n: t.count() for n, t in taken.items()} | {"airlines": 0} == {"airlines": 0, "flights": 2, "observations": 3, "events": 2, "runs": 1}
+    held["events"].limit(1).write.mode("append").parquet(f"{path}/events")
+    with pytest.raises(ValueError, match="events has"):
+        history.load(spark, path)
+    with pytest.raises(ValueError, match="no finished export"):
+        history.load(spark, str(tmp_path))
+
+
+def test_payloads_are_kept_where_asked_for(spark):
+    raw = '{"departures": [{"number": "TK 1", "note": {"deep": [1, 2]}, "departure": {"scheduledTime": {"utc": "2026-09-06 05:15Z"}}, "arrival": {"airport": {"iata": "IKA"}}}]}'
+    rows = spark.createDataFrame([(raw, "IST", datetime(2026, 9, 6, 4))], "raw string, origin_iata string, observed_at timestamp_ntz")
+    assert "raw_payload" not in boards.parse_a(rows).columns
+    kept = boards.parse_a(rows, keep_raw=True).select("flight_number", F.try_variant_get("raw_payload", "$.note.deep[1]", "int").alias("deep"))
+    assert [tuple(r) for r in kept.collect()] == [("TK1", 2)]
+
+
 def test_plans_compile(spark):
     """No parser's code is too large to be generated."""
     from punctuality.plans import boards as board_plans
