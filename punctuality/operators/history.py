@@ -459,11 +459,29 @@ def stored(rows: DataFrame) -> DataFrame:
     return _kept(best, SNAPSHOT, _arrival(), False)
 
 
+def went_stale(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(run_id, stale_marked): how many flights each run found gone: last told of more than
+    stale_minutes before a run that read their origin's board, still open, and not told of by then. Each row
+    of a flight has one run at most that can find it so: the first after its time is up."""
+    micros = F.unix_micros(F.col("observed_at").cast("timestamp"))
+    turned = rows.select(*FLIGHT, "status", "observed_at", (-micros).alias("_late"), (-F.col("observation_id")).alias("_last"))
+    told = ranges.with_before(turned, FLIGHT, ("_late", "_last"), ("observed_at",), "_next").where(~F.col("status").isin(*SETTLED))
+    due = told.select("origin_iata", F.timestamp_add("MINUTE", F.lit(p.stale_minutes), F.col("observed_at")).alias("due"), F.col("_next.observed_at").alias("next"))
+    read = rows.groupBy("origin_iata", "run_id").agg(F.max("observed_at").alias("finished"))
+    spans = ranges.with_before(read, ("origin_iata",), ("finished", "run_id"), ("finished",))
+    spans = spans.withColumn("since", F.coalesce("prev.finished", F.col("finished") - F.expr("INTERVAL 1 DAY")))
+    hour = lambda c: F.date_trunc("HOUR", c)
+    hours = F.explode(F.sequence(hour("since"), hour("finished"), F.expr("INTERVAL 1 HOUR")))
+    met = due.withColumn("hour", hour("due")).join(spans.select("origin_iata", "run_id", "since", "finished", hours.alias("hour")), ["origin_iata", "hour"])
+    gone = met.where((F.col("due") >= F.col("since")) & (F.col("due") < F.col("finished")) & (F.col("next").isNull() | (F.col("next") > F.col("finished"))))
+    return gone.groupBy("run_id").agg(F.count("*").alias("stale_marked"))
+
+
 def run_summary(rows: DataFrame, configured: tuple[str, ...] = ("IST",), p: Params = DEFAULT) -> DataFrame:
     """Counters of each collection run, in which all sources' records are merged by leg:
     flights seen, made and updated; snapshots and events written; cancellations and delays
     as the events tell them; records beyond one a leg; legs of several records; what they
-    disagree on; origins that gave nothing."""
+    disagree on; origins that gave nothing; flights found gone stale."""
     by_run = lambda df, *counts: df.groupBy("run_id").agg(*counts)
     seen = by_run(
         legs(rows).groupBy("run_id", *LEG).agg(F.count("*").alias("n")),
@@ -480,7 +498,7 @@ def run_summary(rows: DataFrame, configured: tuple[str, ...] = ("IST",), p: Para
     )
     conflicts = by_run(merge(legs(rows), p=p, by=("run_id",)), F.sum(F.size("conflicts")).alias("merge_conflicts"))
     out = seen.join(origins, "run_id")
-    for more in (created, written, events, conflicts):
+    for more in (created, written, events, conflicts, went_stale(rows, p)):
         out = out.join(more, "run_id", "left")
-    counts = ["flights_created", "observations_written", "providers", "events_written", "cancellations_detected", "delays_detected", "merge_conflicts"]
+    counts = ["stale_marked", "flights_created", "observations_written", "providers", "events_written", "cancellations_detected", "delays_detected", "merge_conflicts"]
     return out.fillna(0, counts).withColumn("flights_updated", F.col("flights_seen") - F.col("flights_created"))

@@ -250,13 +250,18 @@ over(
         _KEPT,
         f"w AS (SELECT *, {_PREV} FROM kept)",
         f"e AS (SELECT run_id, count(*) AS n, count(*) FILTER (event_type = 'CANCELLED') AS gone, count(*) FILTER (event_type = 'DELAY_INCREASED') AS late FROM ({_EVENTS}) JOIN (SELECT observation_id, run_id FROM kept) USING (observation_id) GROUP BY run_id)",
+        f"due AS (SELECT row_number() OVER () AS i, origin_iata, status, observed_at + INTERVAL 180 MINUTE AS due, lead(observed_at) {_W} AS next FROM observations)",
+        "fin AS (SELECT origin_iata, run_id, max(observed_at) AS finished FROM observations GROUP BY ALL)",
+        """gone_ AS (SELECT run_id, count(*) AS n FROM (SELECT i, next, min(finished) AS finished, arg_min(run_id, (finished, run_id)) AS run_id FROM due JOIN fin USING (origin_iata)
+    WHERE finished > due AND status NOT IN ('DEPARTED', 'ARRIVED', 'CANCELLED', 'DIVERTED') GROUP BY i, next) WHERE next IS NULL OR next > finished GROUP BY run_id)""",
         f"made AS (SELECT run_id, count(*) AS n FROM (SELECT min(run_id) AS run_id FROM observations GROUP BY {FLIGHT}) GROUP BY run_id)",
         "k AS (SELECT run_id, count(*) AS n, count(DISTINCT data_source) AS providers FROM kept GROUP BY run_id)",
         "r AS (SELECT run_id, count(*) AS seen, CAST(sum(records) AS BIGINT) AS raw, count(*) FILTER (records > 1) AS enriched, CAST(sum(len(conflicts)) AS BIGINT) AS conflicts FROM m GROUP BY run_id)",
     )
     + """SELECT run_id, seen AS flights_seen, raw - seen AS duplicates_skipped, enriched AS enriched_flights, 'IKA' AS missing_origins, coalesce(made.n, 0) AS flights_created,
   k.n AS observations_written, providers, coalesce(e.n, 0) AS events_written, coalesce(gone, 0) AS cancellations_detected, coalesce(late, 0) AS delays_detected,
-  conflicts AS merge_conflicts, seen - coalesce(made.n, 0) AS flights_updated FROM r JOIN k USING (run_id) LEFT JOIN made USING (run_id) LEFT JOIN e USING (run_id)""",
+  conflicts AS merge_conflicts, seen - coalesce(made.n, 0) AS flights_updated, coalesce(gone_.n, 0) AS stale_marked
+FROM r JOIN k USING (run_id) LEFT JOIN made USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN gone_ USING (run_id)""",
     lambda o: history.run_summary(o, _ORIGINS),
 )
 observed(

@@ -56,3 +56,18 @@ def test_a_resting_source_is_passed_over(spark):
     asked = spark.createDataFrame([(i, n, at, f"r{at.hour}", "IST", True) for i, n, at in later], "attempt long, provider string, at timestamp_ntz, run_id string, origin_iata string, ok boolean")
     told = providers.answers(asked, spark.createDataFrame(calls, CALLS)).withColumnRenamed("provider", "data_source")
     assert sorted((r["run_id"], r["data_source"]) for r in history.failover(told).collect()) == [("r1", "second"), ("r3", "primary")]
+
+
+def test_runs_count_flights_gone_stale(spark):
+    """A row a flight and time; a run finds those gone that its origin's board told nothing of for three hours."""
+    hour = lambda h, m=0: START + timedelta(hours=h, minutes=m)
+    told = [
+        ("TK1", "IST", "SCHEDULED", hour(1), "r01"), ("TK1", "IST", "DELAYED", hour(9), "r09"),  # gone in r05, again in r13
+        ("TK2", "IST", "DEPARTED", hour(1), "r01"), ("TK3", "IST", "SCHEDULED", hour(2), "r02"), ("TK3", "IST", "SCHEDULED", hour(5, 30), "r05"),  # told of in r05
+        ("TK4", "SAW", "SCHEDULED", hour(1), "r01"),  # its board is never read again
+        ("TK5", "IST", "DEPARTED", hour(5, 40), "r05"), ("TK6", "IST", "DEPARTED", hour(13), "r13"),
+    ]
+    rows = [(n, o, "IKA", START.date(), s, at, i, run) for i, (n, o, s, at, run) in enumerate(told)]
+    schema = "flight_number string, origin_iata string, destination_iata string, flight_date_local date, status string, observed_at timestamp_ntz, observation_id long, run_id string"
+    got = {r["run_id"]: r["stale_marked"] for r in history.went_stale(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"r05": 1, "r09": 1, "r13": 1}
