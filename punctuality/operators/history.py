@@ -380,7 +380,8 @@ def with_previous(rows: DataFrame, per_source: bool = False) -> DataFrame:
 
 def derive_events(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """What changed from each record's predecessor, an event a row, in a fixed order."""
-    return events_of(with_previous(rows), p)
+    needed = (*FLIGHT, "observation_id", "observed_at", "data_source", "status", "delay_minutes", "gate", "terminal", "scheduled_departure_utc")
+    return events_of(with_previous(rows.select(*needed)), p)
 
 
 def events_of(rows: DataFrame, p: Params = DEFAULT, revised: str | None = None) -> DataFrame:

@@ -68,9 +68,15 @@ def payloads_c(f: DataFrame) -> DataFrame:
     return _payload(f, "scheduled_departures", item)
 
 
+def _landed(payloads: DataFrame) -> DataFrame:
+    """Payloads as they land: texts in files of some size. (The table that they are made of is one
+    row group, so without this one task would make and parse them all.)"""
+    return written(payloads.repartition(int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "payloads")
+
+
 SHOWN = ("flight_number", "origin_iata", "destination_iata", "scheduled_departure_utc", "status", "delay_minutes", "is_cancelled", "is_diverted", "data_quality", "airline_name")
 for _name, _make, _parse in (("a", payloads_a, boards.parse_a), ("b", payloads_b, boards.parse_b), ("c", payloads_c, boards.parse_c)):
-    QUERIES[f"parse_board_{_name}"] = lambda spark, d, make=_make, parse=_parse: parse(make(_flights(spark, d)), WANTED).select(*SHOWN)
+    QUERIES[f"parse_board_{_name}"] = lambda spark, d, make=_make, parse=_parse: parse(_landed(make(_flights(spark, d))), WANTED).select(*SHOWN)
 
 _LEGS = "f AS (SELECT *, 'TK' || flight_id AS number, CASE WHEN flight_id % 3 > 0 THEN delay_minutes END AS moved FROM flights WHERE flight_id % 7 > 0)"
 _OUT = "number AS flight_number, origin_iata, destination_iata, scheduled_departure_utc, final AS status, CASE WHEN final NOT IN ('CANCELLED', 'DIVERTED') THEN late END AS delay_minutes, final = 'CANCELLED' AS is_cancelled, final = 'DIVERTED' AS is_diverted, airline_name"
