@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from punctuality.functions import scalars
 from punctuality.operators import ranges
 from punctuality.params import DEFAULT, SETTLED, Params
-from punctuality.session import exists
+from punctuality.session import exists, written
 from punctuality.sources.adapters import SOURCES
 
 FLIGHT = ("flight_number", "origin_iata", "destination_iata", "flight_date_local")
@@ -482,7 +482,9 @@ def run_summary(rows: DataFrame, configured: tuple[str, ...] = ("IST",), p: Para
     """Counters of each collection run, in which all sources' records are merged by leg:
     flights seen, made and updated; snapshots and events written; cancellations and delays
     as the events tell them; records beyond one a leg; legs of several records; what they
-    disagree on; origins that gave nothing; flights found gone stale."""
+    disagree on; origins that gave nothing; flights found gone stale. What the counters share is
+    written once, and each reads the columns that it needs."""
+    rows = written(rows, "run-rows")
     by_run = lambda df, *counts: df.groupBy("run_id").agg(*counts)
     seen = by_run(
         legs(rows).groupBy("run_id", *LEG).agg(F.count("*").alias("n")),
@@ -490,8 +492,8 @@ def run_summary(rows: DataFrame, configured: tuple[str, ...] = ("IST",), p: Para
     )
     origins = by_run(rows, F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, configured)), F.collect_set("origin_iata"))), ",").alias("missing_origins"))
     created = by_run(rows.groupBy(*FLIGHT).agg(F.min("run_id").alias("run_id")), F.count("*").alias("flights_created"))
-    kept = stored(rows)
-    written = by_run(kept, F.count("*").alias("observations_written"), F.count_distinct("data_source").alias("providers"))
+    kept = written(stored(rows), "run-snapshots")
+    snapshots = by_run(kept, F.count("*").alias("observations_written"), F.count_distinct("data_source").alias("providers"))
     told = lambda kind, name: F.count_if(F.col("event_type") == kind).alias(name)
     events = by_run(
         derive_events(kept, p).join(kept.select("observation_id", "run_id"), "observation_id"),
@@ -499,7 +501,7 @@ def run_summary(rows: DataFrame, configured: tuple[str, ...] = ("IST",), p: Para
     )
     conflicts = by_run(merge(legs(rows), p=p, by=("run_id",)), F.sum(F.size("conflicts")).alias("merge_conflicts"))
     out = seen.join(origins, "run_id")
-    for more in (created, written, events, conflicts, went_stale(rows, p)):
+    for more in (created, snapshots, events, conflicts, went_stale(rows, p)):
         out = out.join(more, "run_id", "left")
     counts = ["stale_marked", "flights_created", "observations_written", "providers", "events_written", "cancellations_detected", "delays_detected", "merge_conflicts"]
     return out.fillna(0, counts).withColumn("flights_updated", F.col("flights_seen") - F.col("flights_created"))
