@@ -37,7 +37,9 @@ from punctuality.llm.shared import join_skewed, scratch, written
 #: Documents and links of a chunk, and documents that are kept as numbers in a bitmap.
 CHUNK_BITS, LINKS, SPARSE = 12, 2 << 20, 255
 CHUNK = 1 << CHUNK_BITS
-#: Bits of an id in a pair; words that are remembered, and the longest; characters of texts and
+#: Characters and numbers of the words that are remembered, at most but for those of one call.
+MEMORY = 32 << 20
+#: Bits of an id in a pair; words that are remembered, and the longest that are joined; characters of texts and
 #: words that are worked on at once; a group of more links is counted by its different ids.
 ID_BITS, WORDS, LONGEST, CHARS, JOINED, HEAVY = 26, 400_000, 64, 1 << 20, 256, 4096
 #: Pairs that are broadcast with their counts, at most (32 bytes each); more are joined by a shuffle.
@@ -127,6 +129,7 @@ class Aligner:
         self.known: dict[str | tuple[str], int] = {}
         self.told: list[str | None] = []  # None: the tokens don't give the word back
         self.numbers, self.codes, self.often, self.start = array("q"), array("Q"), array("q"), array("q", [0])
+        self.size = 0
 
     def align(self, text: str) -> Aligned | None:
         """The text with a space before it; None if the tokens of a side don't give it back."""
@@ -140,6 +143,7 @@ class Aligner:
     def _keep(self, key, told: str | None, numbers, codes, often) -> None:
         self.known[key] = len(self.told)
         self.told.append(told)
+        self.size += len(told or "") + len(codes)
         self.numbers.extend(numbers)
         self.codes.frombytes(codes.tobytes())
         self.often.frombytes(often.tobytes())
@@ -171,6 +175,7 @@ class Aligner:
         base = len(self.told)
         self.known.update(zip(words, range(base, base + len(words)), strict=True))
         self.told += ["".join(pieces[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)]
+        self.size += sum(map(len, self.told[base:])) + int(at_links[-1])
         self.numbers.frombytes(numbers.astype(np.int64).tobytes())
         codes, often = found.pairs()
         self.start.frombytes((len(self.codes) + at_links[1:]).astype(np.int64).tobytes())
@@ -215,7 +220,7 @@ class Aligner:
     def rows(self, texts: list[str | None]):
         """Of texts: numbers (tokens of A, of B, groups, links), groups as text (None: no tokens),
         and of all links their pair, number and text."""
-        if len(self.known) > WORDS:
+        if len(self.known) > WORDS or self.size > MEMORY:
             self._forget()
         split = [t.split(" ") if t and self.cuts else [] for t in texts]
         self._learn(set().union(*split) - self.known.keys() - {None})
