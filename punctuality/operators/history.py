@@ -412,6 +412,19 @@ def events_of(rows: DataFrame, p: Params = DEFAULT, revised: str | None = None)
     return rows.select(*FLIGHT, "observation_id", F.col("observed_at").alias("occurred_at"), "data_source", *([revised] if revised else []), F.inline(F.array_compact(found)))
 
 
+SEEN = ("observed_at", "observation_id", "status", "delay_minutes", "data_source")
+TOLD = ("occurred_at", "observation_id", "event_type", "previous_value", "new_value")
+
+
+def detail(flights: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Flights as they are, each with its observations and its events as arrays of structs in the order
+    of time. A flight has as many of both as it was seen: what is asked for is one
+    document a flight, so filter before it."""
+    in_order = lambda df, fields, name: df.groupBy(*FLIGHT).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    seen, told = in_order(rows, SEEN, "observations"), in_order(events, TOLD, "events")
+    return flights.join(seen, list(FLIGHT), "left").join(told, list(FLIGHT), "left")
+
+
 def mark_stale(flights: DataFrame, seen: DataFrame, origins: DataFrame, as_of: datetime, p: Params = DEFAULT) -> DataFrame:
     """Flights that a board we read has stopped telling of: quality STALE, status as it
     was. seen: flights of this cycle; origins: boards that were read (a few rows)."""

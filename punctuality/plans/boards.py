@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from punctuality.functions import scalars
 from punctuality.operators import history
-from punctuality.plans import sql
+from punctuality.plans import collection, sql
 from punctuality.plans.collection import _AIRLINES, _EVENTS, _PREV, FLIGHT
 from punctuality.session import shared_path, written
 from punctuality.sources import adapters, boards
@@ -141,6 +141,35 @@ ORACLE["flight_detail"] = (
 )
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details as nested records: the flight's state, how many observations and events it has, and
+    the first and last of them (all are there, in order; texts of all stand in flight_detail)."""
+    o = adapters.observations(spark, sf_dir)
+    full = history.detail(history.latest_state(o), o, history.derive_events(o))
+    end = lambda name, i: F.element_at(name, i)
+    return full.select(
+        *history.FLIGHT, "status", "delay_minutes", "gate", "scheduled_departure_utc", "observation_count",
+        F.size("observations").alias("n_observations"), F.size("events").alias("n_events"),
+        end("observations", 1)["observation_id"].alias("first_seen"), end("observations", -1)["observation_id"].alias("last_seen"),
+        end("events", 1)["event_type"].alias("first_event"), F.array_join(F.transform("events", lambda e: e["event_type"]), " ").alias("kinds"),
+    )
+
+
+QUERIES["flight_detail_nested"] = _nested
+_BY_TIME = "ORDER BY occurred_at, observation_id, event_type, previous_value NULLS FIRST, new_value NULLS FIRST"
+ORACLE["flight_detail_nested"] = (
+    sql.with_(
+        adapters.OBSERVATIONS_SQL,
+        f"w AS (SELECT *, {_PREV} FROM observations)",
+        f"e AS (SELECT {FLIGHT}, count(*) AS n_events, string_agg(event_type, ' ' {_BY_TIME}) AS kinds, first(event_type {_BY_TIME}) AS first_event FROM ({_EVENTS}) GROUP BY {FLIGHT})",
+        f"s AS (SELECT {FLIGHT}, count(*) AS n_observations, arg_min(observation_id, (observed_at, observation_id)) AS first_seen, arg_max(observation_id, (observed_at, observation_id)) AS last_seen FROM observations GROUP BY {FLIGHT})",
+        f"state AS ({collection.ORACLE['latest_state']})",
+    )
+    + f"""SELECT {FLIGHT}, status, delay_minutes, gate, scheduled_departure_utc, observation_count, n_observations, n_events, first_seen, last_seen, first_event, kinds
+FROM state LEFT JOIN s USING ({FLIGHT}) LEFT JOIN e USING ({FLIGHT})"""
+)
+
+
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured routes with what was seen of them; routes without flights too."""
     seen = adapters.flights(spark, sf_dir).where("not is_mock").groupBy("origin_iata", "destination_iata").agg(F.count("*").alias("n"), F.min("flight_date_local").alias("first_day"), F.max("flight_date_local").alias("last_day"))
