@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from punctuality.operators import history
+from punctuality.operators import history, insights, metrics
 from punctuality.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,12 @@ def test_an_export_writes_the_tables_that_it_is_given(spark, tmp_path):
     made = history.tables(adapters.observations(spark, SF))
     history.export_tables(made | {"airlines": made["airlines"].limit(1)}, str(tmp_path / "e"))
     assert history.load(spark, str(tmp_path / "e"))["airlines"].count() == 1
+
+
+def test_rebuild_counts_move_keys_alone(spark):
+    """No figures are made for the number of rows; the numbers are those of the statistics."""
+    facts = metrics.facts(adapters.flights(spark, SF))
+    counts = insights.rebuild_counts(facts)
+    assert "Window" not in plan(counts) and "lateness" not in plan(counts)
+    both = [of(facts).groupBy("flight_date_local").agg(F.count("*").alias(name)) for of, name in ((insights.daily, "daily_rows"), (insights.hourly, "hourly_rows"))]
+    assert shown(counts) == shown(both[0].join(both[1], "flight_date_local"))
