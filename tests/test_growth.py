@@ -1,9 +1,13 @@
 """Steps whose work must grow no faster than their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from punctuality.operators import history, insights, metrics
+from punctuality.plans import streams
 from punctuality.sources import adapters
+from punctuality.streaming import jobs
+from test_collection import ORDERS, flown, in_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +47,16 @@ def test_rebuild_counts_move_keys_alone(spark):
     assert "Window" not in plan(counts) and "lateness" not in plan(counts)
     both = [of(facts).groupBy("flight_date_local").agg(F.count("*").alias(name)) for of, name in ((insights.daily, "daily_rows"), (insights.hourly, "hourly_rows"))]
     assert shown(counts) == shown(both[0].join(both[1], "flight_date_local"))
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_events_told_from_a_table_are_those_of_the_batch(spark, tmp_path, order):
+    rows, folder = flown(spark), str(tmp_path / "told")
+    jobs.tell(in_batches(spark, tmp_path, rows, *order), folder).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    want = history.derive_events(rows)
+    assert shown(jobs.last_word(jobs.told_now(spark, folder)).select(*want.columns)) == shown(want)
+    last = len(order) - 1
+    jobs.tell_batch(rows.where(F.col("observation_id").isin(order[last])), last, folder)  # run again
+    assert shown(jobs.last_word(jobs.told_now(spark, folder)).select(*want.columns)) == shown(want)
+    jobs.tell_batch(rows, last + 1, folder)  # nothing is new
+    assert spark.read.parquet(folder).where(F.col("batch") > last).count() == 0
