@@ -1,5 +1,7 @@
 """Steps whose work must grow no faster than their input."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from punctuality.operators import history, insights, metrics
 from punctuality.plans import streams
 from punctuality.sources import adapters
 from punctuality.streaming import jobs
-from test_collection import ORDERS, flown, in_batches
+from test_collection import ORDERS, flown, in_batches, seen
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,28 @@ def test_events_told_from_a_table_are_those_of_the_batch(spark, tmp_path, order)
     assert shown(jobs.last_word(jobs.told_now(spark, folder)).select(*want.columns)) == shown(want)
     jobs.tell_batch(rows, last + 1, folder)  # nothing is new
     assert spark.read.parquet(folder).where(F.col("batch") > last).count() == 0
+
+
+@pytest.mark.parametrize("order", [([0, 2], [1, 3], [4], [5], [6]), ([6, 4, 2], [5, 3], [1], [0]), ([0, 1, 2, 3, 4, 5, 6],)])
+def test_watched_flights_are_those_of_the_keyed_stream(spark, tmp_path, order):
+    at = lambda d, h: datetime(2026, 9, d, h)
+    rows = seen(
+        spark, dict(status="DEPARTED", observed_at=at(6, 5)), dict(status="SCHEDULED", observed_at=at(6, 4)), dict(status="BOARDING", flight_number="W5113", observed_at=at(6, 5)),
+        dict(status="SCHEDULED", flight_number="W5113", observed_at=at(6, 4)), dict(status="SCHEDULED", flight_number="TK1", origin_iata="MHD", observed_at=at(6, 4)),
+        dict(status="SCHEDULED", flight_number="TK2", observed_at=at(6, 9)), dict(status="DEPARTED", flight_number="TK3", observed_at=at(6, 4)),
+    )
+    read = [("IST", at(6, 6), True), ("IST", at(6, 9), True), ("IST", at(6, 11), False), ("MHD", at(6, 9), False), ("IST", at(12, 5), False), ("THR", at(12, 6), True)]
+    asked, folder = str(tmp_path / "boards"), str(tmp_path / "watched")
+    spark.createDataFrame(read, "origin_iata string, read_at timestamp_ntz, ok boolean").coalesce(1).write.parquet(asked)
+    boards = spark.readStream.schema("origin_iata string, read_at timestamp_ntz, ok boolean").parquet(asked)
+    jobs.watch(in_batches(spark, tmp_path, rows, *order), boards, folder).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.flight_number, r.status) for r in jobs.gone_now(spark, folder).collect()] == [("W5113", "BOARDING")]
+
+
+def test_streams_run_no_python_a_flight(spark, monkeypatch):
+    """Stateful calls of Python, a flight or an origin's bucket each, took longer than the limit."""
+    def none(*_):
+        raise AssertionError("keyed state")
+    monkeypatch.setattr(jobs, "keyed_state", none)
+    for name in ("stream_events", "stream_stale"):
+        assert streams.QUERIES[name](spark, SF).count() > 0
