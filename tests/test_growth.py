@@ -1,6 +1,7 @@
 """Steps whose work must grow no faster than their input."""
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,55 @@ def test_streams_run_no_python_a_flight(spark, monkeypatch):
         assert streams.QUERIES[name](spark, SF).count() > 0
 
 
+def folded(spark, tmp_path, rows, order):
+    """The streamed latest state, where it is, and the query that made it."""
+    folder = str(tmp_path / "state")
+    query = jobs.upsert_latest(in_batches(spark, tmp_path, rows, *order), folder).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return shown(jobs.latest(spark, folder)), folder, query
+
+
+def files_of(folder):
+    return sorted(str(f.parent) for f in Path(folder).rglob("*.parquet"))
+
+
+def test_the_latest_state_keeps_no_row_in_memory_and_writes_a_file_a_day(spark, tmp_path):
+    """A state store of all rows and a file of every task for every day took longer than the limit."""
+    rows = adapters.observations(spark, SF)
+    got, folder, query = folded(spark, tmp_path, rows, [[r[0] for r in rows.select("observation_id").collect()]])
+    assert got == shown(history.latest_state(rows))
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    for table in (folder, f"{folder}-told"):
+        assert len(files_of(table)) == len(set(files_of(table))) > 1
+
+
+@pytest.mark.parametrize("part_rows", [1, 50_000])
+@pytest.mark.parametrize("order", [([3, 5, 0], [0, 4, 3], [2, 1], [6, 6, 5], [7]), ([0, 1, 2, 3, 4, 5, 6, 7],)])
+def test_the_latest_state_takes_late_and_replayed_rows(spark, tmp_path, monkeypatch, part_rows, order):
+    """Rows that come days late, are replayed (in their batch, too) or have no time, and days of several parts."""
+    monkeypatch.setattr(jobs, "PART_ROWS", part_rows)
+    at = lambda d, h: datetime(2026, 9, d, h)
+    rows = seen(
+        spark, dict(status="SCHEDULED", gate="A1", observed_at=at(6, 4)), dict(status="DELAYED", gate="", observed_at=at(6, 5)), dict(status="DEPARTED", observed_at=at(2, 5)),
+        dict(status="SCHEDULED", flight_number="TK1", observed_at=at(16, 4)), dict(status="BOARDING", flight_number="TK1", terminal="1", observed_at=at(6, 9)),
+        dict(status="CANCELLED", is_cancelled=True, flight_number="TK2", observed_at=at(6, 4)), dict(status="DELAYED", flight_number="TK3", observed_at=at(6, 4)),
+        dict(status="DELAYED", flight_number="TK3", observed_at=at(6, 8)),
+    )
+    rows = rows.withColumn("flight_date_local", F.when(F.col("flight_number") != "TK3", F.col("flight_date_local")))
+    twice = rows.unionByName(rows.where("observation_id in (1, 6)"))  # told twice in one batch
+    got, folder, _ = folded(spark, tmp_path, twice, order)
+    assert got == shown(history.latest_state(rows))
+    last = len(order) - 1
+    again = twice.where(F.col("observation_id").isin(order[last]))
+    want = sorted(set(order[last]) - {i for ids in order[:last] for i in ids})
+    for _ in range(2):  # run again
+        new = jobs.first_told(again, last, f"{folder}-told", ("observation_id",), jobs._sizes(again))
+        assert sorted(r.observation_id for r in new.collect()) == want
+        jobs.fold_batch(new, last, folder)
+    assert shown(jobs.latest(spark, folder)) == got
+    assert jobs.first_told(twice, last + 1, f"{folder}-told", ("observation_id",), jobs._sizes(twice)).count() == 0
+
+
 def test_payloads_are_dealt_out_before_they_are_texts(spark):
     """What is shuffled is what they are made of, by its key: no text, and no sort for a round robin."""
     for make in (boards.payloads_a, boards.payloads_b, boards.payloads_c):
