@@ -29,12 +29,12 @@ def _leg(rows: DataFrame, source: str, cancelled: Column, diverted: Column, p: P
     schedule or a destination go."""
     none = F.lit(None).cast("int")
     fields = {"_told": none, "_told_arrival": none} | {{"told": "_told", "told_arrival": "_told_arrival"}.get(k, k): v for k, v in fields.items()}
-    row = F.struct(cancelled.alias("_cancelled"), diverted.alias("_diverted"), *[v.alias(k) for k, v in fields.items()])
-    whole = lambda r: r["flight_number"].isNotNull() & r["scheduled_departure_utc"].isNotNull() & r["destination_iata"].isNotNull()
-    # filtered as an array, as a filter beside would be pushed down and parse all texts twice
-    kept = [name for name in ("raw_payload",) if name in rows.columns]
-    found = rows.select("origin_iata", "observed_at", *kept, F.inline(F.filter(F.array(row), whole)))
     c = F.col
+    kept = [name for name in ("raw_payload",) if name in rows.columns]
+    found = rows.select("origin_iata", "observed_at", *kept, cancelled.alias("_cancelled"), diverted.alias("_diverted"), *[v.alias(k) for k, v in fields.items()])
+    whole = c("flight_number").isNotNull() & c("scheduled_departure_utc").isNotNull() & c("destination_iata").isNotNull()
+    # exploded (once or not at all), as a filter would be pushed down and parse all texts twice; fields that nobody asks for go
+    found = found.select("*", F.explode(F.when(whole, F.array(F.lit(0)))).alias("_once")).drop("_once")
     late = scalars.delay(c("scheduled_departure_utc"), c("estimated_departure_utc"), c("actual_departure_utc"), c("_told"))
     arrival = scalars.delay(c("scheduled_arrival_utc"), c("estimated_arrival_utc"), c("actual_arrival_utc"), c("_told_arrival"))
     status = scalars.resolve_known(c("_mapped"), c("_cancelled"), c("_diverted"), c("actual_departure_utc"), c("actual_arrival_utc"), c("_late"), p)

@@ -1,14 +1,17 @@
 """Steps whose work must grow no faster than their input."""
 
 from datetime import datetime
+from glob import glob
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from punctuality.operators import history, insights, metrics
 from punctuality.plans import boards, streams
 from punctuality.sources import adapters
+from punctuality.sources import boards as parsers
 from punctuality.streaming import jobs
 from test_collection import ORDERS, flown, in_batches, seen
 
@@ -145,3 +148,23 @@ def test_payloads_are_dealt_out_before_they_are_texts(spark):
         text = plan(make(boards._flights(spark, SF)))
         moved = [line for line in text.splitlines() if "Repartition" in line]
         assert len(moved) == 1 and "l_orderkey" in moved[0]
+
+
+def test_boards_compute_the_fields_that_are_asked_for(spark):
+    """Fields of a leg that nobody reads are no part of the job."""
+    legs = parsers.parse_a(boards.payloads_a(boards._flights(spark, SF)), codeshares=True, keep_raw=True)
+    assert "aircraft_registration" in plan(legs) and "aircraft_registration" not in plan(legs.select("flight_number", "status", "raw_payload"))
+
+
+def test_kept_payloads_are_written_whole_and_flights_dealt_out_once(spark):
+    """Items that are read once aren't shredded into columns; the flights beside them go straight to the join."""
+    folder, setting = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "spark.sql.variant.inferShreddingSchema"
+    files = lambda: set(glob(f"{folder}/snapshots-*/*.parquet"))
+    before, was = files(), spark.conf.get(setting)
+    told = boards.QUERIES["kept_payloads"](spark, SF)
+    made = files() - before
+    assert made and not any("typed_value" in str(pq.read_schema(file)) for file in made) and spark.conf.get(setting) == was
+    moved = [line for line in plan(told).splitlines() if "Repartition" in line]
+    assert len(moved) == 1 and "flight_number" in moved[0]
+    # one flight is told by two lines in this table
+    assert sum(r.n for r in told.collect()) == adapters.flights(spark, SF).where("flight_id % 11 > 0").count()
